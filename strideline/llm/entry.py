@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, quality
+from . import bpe, chat, idfile, packing, quality, secret_scan
 from .common import documents
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file; every machine has it there."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", *quality.COUNTS, "base_failed", "kept", *quality.SLACK]
     return quality.score_quality(documents(spark, sf_dir)).select(*cols)
@@ -24,9 +31,34 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.format_chat(turns.unionByName(hostile))))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(documents(spark, sf_dir), ["doc_id"])
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("secrets")).alias("spans"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfile.stored(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
+    "op4_packing": op4_packing,
+    "op5_secret_scans": op5_secret_scans,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op10_id_planes": op10_id_planes,
 }
 
 

@@ -1,0 +1,47 @@
+"""Splitting texts where every byte-level pre-tokenizer splits, with a bounded memory of what the chunks encode to.
+
+A piece of the byte-level pattern holds a space only as its first character, so a space that is followed by no white
+space always opens a piece. Texts without a space before white space are cut there; their chunks repeat so often that
+a table answers most of them. Other texts go to the encoder whole.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterable
+
+#: A space before white space, of any kind that a pre-tokenizer may know: such a text isn't cut.
+_UNSAFE = re.compile(r" \s")
+#: Longer chunks aren't remembered.
+LONGEST = 64
+
+
+class ChunkMemo:
+    """chunk -> bytes, for chunks after a space and, apart from them, the first chunks of texts.
+
+    encode_many takes a list of strings and gives bytes for each, which can be joined. The table starts anew beyond
+    `entries`, so its memory is bounded."""
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], entries: int = 400_000):
+        self.encode_many, self.entries = encode_many, entries
+        self.after: dict[str, bytes] = {}
+
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
+        texts = list(texts)
+        out: list[bytes | None] = [None] * len(texts)
+        cut = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
+        if len(self.after) > self.entries:
+            self.after.clear()
+        after = self.after
+        need = list({w for ws in cut if ws for w in ws[1:] if w not in after})
+        whole = [t for t, ws in zip(texts, cut) if ws is None]
+        first = [ws[0] for ws in cut if ws]
+        made = self.encode_many([" " + w for w in need] + first + whole)
+        after.update(zip(need, made))
+        heads, rest = iter(made[len(need) : len(need) + len(first)]), iter(made[len(need) + len(first) :])
+        for i, ws in enumerate(cut):
+            out[i] = next(rest) if ws is None else b"".join([next(heads), *map(after.__getitem__, ws[1:])])
+        for w in need:
+            if len(w) > LONGEST:
+                del after[w]
+        return out
