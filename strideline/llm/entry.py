@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, idfile, packing, quality, secret_scan
+from . import ann, bpe, chat, idfile, langid, lm, packing, quality, secret_scan
 from .common import documents
 
 
@@ -31,6 +31,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.format_chat(turns.unionByName(hostile))))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -42,12 +46,22 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("secrets")).alias("spans"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.train(docs.filter(langid.fold() != 1))
+    return langid.predict(docs, model, ["doc_id"]).withColumn("held_out", langid.fold() == 1).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.stored(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -55,9 +69,12 @@ def op10_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_packing": op4_packing,
     "op5_secret_scans": op5_secret_scans,
+    "op6_lm_scoring": op6_lm_scoring,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_language_id": op9_language_id,
     "op10_id_planes": op10_id_planes,
 }
 
