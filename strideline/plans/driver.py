@@ -1,11 +1,523 @@
-"""Registered queries over the driver's tables, and their DuckDB SQL."""
+"""Registered queries over the driver's tables: each applies operators of this library to whole tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions import clean, measures as m
+from ..operators import asof, effects, facts, filters, insights, merge, mixes, places as place_ops, rank, reports, rollup
+from .adapters import FLAGS, Data
 
-def oracle_sql():
-    return {}
+c = F.col
+AS_OF, TODAY = "1998-06-30", "2002-01-01"
+
+
+def session_spec() -> dict[str, Column]:
+    dense = c("pipeline_version") == "dense_v2"
+    grouped = c("n_groups").isNotNull() & dense
+    return {
+        "total_sessions": F.count("*"), "avg_speed": m.mean(c("speed")), "avg_risky_ratio": m.mean(c("risky_ratio")), "avg_red_ratio": m.mean(c("red_ratio")),
+        "avg_crosswalk_ratio": m.mean(c("crosswalk_ratio")), "avg_people": m.mean(c("n_people")), "earliest": F.min("collected"), "latest": F.max("collected"),
+        "batch_count": F.count_distinct("batch"), "avg_measured": m.weighted_mean(c("measured_speed"), c("measured_n")), "measured_sample": m.sum_where(c("measured_n"), c("measured_speed").isNotNull()),
+        "measured_sessions": F.count("measured_speed"), "conflicts_per_100": m.exposure_rate(c("severe_conflicts"), c("n_people")), "conflict_exposure": m.sum_where(c("n_people"), c("severe_conflicts").isNotNull()),
+        "dense_group_share": m.ratio(m.sum_where(c("grouped_people"), dense), m.sum_where(c("n_people"), grouped)), "dense_sessions": F.count_if(dense), "legacy_sessions": F.count_if(c("pipeline_version") == "legacy_1hz"),
+    }
+
+
+def parts() -> dict[str, Column]:
+    return {
+        "n": F.count("*"), "s_risky": m.count_true(c("risky")), "s_red": m.count_true(c("red_light")), "s_crosswalk": m.count_true(c("crosswalk")), "s_phone": m.count_true(c("phone")),
+        "s_age": F.sum("age"), "n_age": F.count("age"), "s_male": F.count_if(c("gender") == "male"),
+    }
+
+
+def finals() -> dict[str, Column]:
+    rate = lambda s: m.ratio(c(s), c("n"))
+    return {"n_observations": c("n"), "risky_rate": rate("s_risky"), "red_rate": rate("s_red"), "crosswalk_rate": rate("s_crosswalk"), "phone_rate": rate("s_phone"), "avg_age": m.ratio(c("s_age"), c("n_age")), "age_sample": c("n_age"), "male_ratio": rate("s_male")}
+
+
+def summary(d: Data, sessions: DataFrame | None = None) -> DataFrame:
+    s = d.sessions if sessions is None else sessions
+    df = rollup.place_summary(d.places, s, d.observations, session_spec(), parts(), finals(), ["total_sessions", "n_observations", "measured_sessions"])
+    return df.withColumn("risk_intensity", m.risk_intensity(c("avg_risky_ratio"), c("avg_red_ratio"), c("risky_rate")))
+
+
+def place_summary(d: Data) -> DataFrame:
+    return summary(d)
+
+
+def place_summary_fanout(d: Data) -> DataFrame:
+    spec = {"sessions": F.count_distinct("session_id"), "joined_rows": F.count("*"), "avg_speed": m.mean(c("speed")), "risky_rate": m.ratio(m.count_true(c("risky")), F.count("*"))}
+    return rollup.fanout_summary(d.places.select("place_id", "city", "country"), d.sessions.select("place_id", "session_id", "speed"), d.observations.select("session_id", "risky"), spec, ["place_id", "city", "country"])
+
+
+def session_summary(d: Data) -> DataFrame:
+    p = parts() | {"s_female": F.count_if(c("gender") == "female")}
+    f = {"n_observations": c("n"), "avg_age": m.ratio(c("s_age"), c("n_age")), "male": c("s_male"), "female": c("s_female"), "n_risky": c("s_risky"), "risky_rate": m.ratio(c("s_risky"), c("n"))}
+    return rollup.session_summary(d.sessions.select("session_id", "place_id", "link", "collected", "status"), d.observations, p, f, ["n_observations", "male", "female", "n_risky"])
+
+
+def behavior_profile(d: Data) -> DataFrame:
+    rows = d.places.select("place_id").join(d.sessions.select("place_id", "session_id"), "place_id", "left").join(d.observations.select("session_id", "gender", "age", "daytime", "phone", "track"), "session_id", "left")
+    return rows.groupBy("place_id").agg(
+        F.count_if(c("gender") == "male").alias("male"), F.count_if(c("gender") == "female").alias("female"), F.count_if(c("gender").isNull() | (c("gender") == "")).alias("unknown_gender"),
+        m.mean(c("age")).alias("avg_age"), F.min("age").alias("min_age"), F.max("age").alias("max_age"), m.percentile(c("age"), 0.5).alias("median_age"),
+        m.count_true(c("daytime")).alias("day"), F.count_if(~c("daytime")).alias("night"), m.pooled_rate(c("phone"), c("track")).alias("phone_rate"),
+    )
+
+
+RANKS = {"speed_rank": "avg_speed", "risky_rank": "avg_risky_ratio", "red_rank": "avg_red_ratio", "crosswalk_rank": "avg_crosswalk_ratio"}
+
+
+def rank_base(d: Data) -> DataFrame:
+    spec = session_spec()
+    s = rollup.session_rollup(d.sessions, {k: spec[k] for k in ("total_sessions", *RANKS.values())})
+    return rollup.with_default(d.places.select("place_id", "city", "country", "continent").join(s, "place_id", "left"), ["total_sessions"])
+
+
+def rank_table(d: Data) -> DataFrame:
+    return rollup.ranked(rank_base(d), RANKS, {"speed_percentile": "avg_speed", "risky_percentile": "avg_risky_ratio", "red_percentile": "avg_red_ratio", "crosswalk_percentile": "avg_crosswalk_ratio"})
+
+
+def global_baseline(d: Data) -> DataFrame:
+    s = {"global_avg_speed": m.mean(c("speed")), "global_avg_risky_ratio": m.mean(c("risky_ratio")), "global_avg_red_ratio": m.mean(c("red_ratio")), "global_median_speed": m.percentile(c("speed"), 0.5), "global_q1_speed": m.percentile(c("speed"), 0.25), "global_q3_speed": m.percentile(c("speed"), 0.75), "total_sessions": F.count("*"), "localized": F.count_if(c("status") == "ok"), "global_avg_people": m.mean(c("n_people")), "global_avg_vehicles": m.mean(c("n_vehicles")), "global_avg_measured": m.mean(c("measured_speed")), "measured_sessions": F.count("measured_speed")}
+    o = {"global_avg_age": m.mean(c("age")), "global_median_age": m.percentile(c("age"), 0.5), "total_observations": F.count("*"), "global_risky_rate": m.pooled_rate(c("risky"), c("track")), "global_red_rate": m.pooled_rate(c("red_light"), c("track")), "global_phone_rate": m.pooled_rate(c("phone"), c("track"))}
+    return rollup.baseline(d.sessions, d.observations, d.places, s, o)
+
+
+def insight_base(d: Data) -> DataFrame:
+    """Domain names over the adapters; ratios are 0 to 1."""
+    share = lambda x: m.mean(c(x)) / 100.0
+    ok = c("status") == "ok"
+    s = rollup.session_rollup(d.sessions, {
+        "video_count": F.count("*"), "avg_crossing_speed": m.mean(c("speed")), "median_crossing_speed": m.percentile(c("speed"), 0.5), "avg_risky_crossing_ratio": share("risky_ratio"), "avg_run_red_light_ratio": share("red_ratio"), "avg_crosswalk_usage_ratio": share("crosswalk_ratio"),
+        "dominant_weather": F.mode("weather", deterministic=True), "weather_variety": F.count_distinct("weather"), "vehicles_list": rollup.sorted_list(c("top_vehicles")), "videos_localized": F.count_if(ok), "localized_street": F.min_by(F.when(ok, c("street_name")), F.when(ok, c("session_id"))),
+        "avg_crossing_time": m.mean(c("crossing_time")), "avg_pedestrians_per_video": m.mean(c("n_people")), "avg_vehicles_per_video": m.mean(c("n_vehicles")), "avg_accident_prob": share("hazard"), "avg_measured_walking_speed": m.mean(c("measured_speed")),
+    })
+    o = rollup.observation_rollup(d.observations, d.sessions, parts(), {"pedestrian_count": c("n"), "avg_age": m.ratio(c("s_age"), c("n_age")), "male_ratio": m.ratio(c("s_male"), c("n")), "phone_usage_ratio": m.ratio(c("s_phone"), c("n")), "age_sample": c("n_age")})
+    df = d.places.select("place_id", "city", "country", "continent", "city_med_age").join(s, "place_id", "left").join(o, "place_id", "left")
+    df = rollup.with_default(df, ["video_count", "pedestrian_count"])
+    df = rollup.ranked(df, {"speed_rank": "avg_crossing_speed", "risky_rank": "avg_risky_crossing_ratio", "red_light_rank": "avg_run_red_light_ratio", "crosswalk_usage_rank": "avg_crosswalk_usage_ratio"})
+    df = rollup.rank_measured(df, "measured_walking_speed_rank", "avg_measured_walking_speed")
+    return rollup.peers(rollup.rank_within(df, "continent_speed_rank", "avg_crossing_speed", "continent"), "cities_in_continent", "continent")
+
+
+def insight_baseline(d: Data) -> DataFrame:
+    share = lambda x: m.mean(c(x)) / 100.0
+    s = {"global_avg_crossing_speed": m.mean(c("speed")), "global_q1_crossing_speed": m.percentile(c("speed"), 0.25), "global_q3_crossing_speed": m.percentile(c("speed"), 0.75), "global_avg_crosswalk_usage_ratio": share("crosswalk_ratio"), "global_avg_pedestrians_per_video": m.mean(c("n_people")), "global_avg_vehicles_per_video": m.mean(c("n_vehicles"))}
+    o = {"global_risky_crossing_rate": m.pooled_rate(c("risky"), c("track")), "global_median_pedestrian_age": m.percentile(c("age"), 0.5)}
+    return rollup.baseline(d.sessions, d.observations, d.places, s, o)
+
+
+def all_insights(d: Data) -> DataFrame:
+    missing = ("avg_road_width", "avg_traffic_light_prob", "avg_crosswalk_prob", "avg_crack_prob", "avg_potholes_prob")
+    base = insight_base(d).withColumns({n: F.lit(None).cast("double") for n in missing})
+    return insights.exploded(insights.generate(base, insight_baseline(d)))
+
+
+def insight_rules(d: Data) -> DataFrame:
+    return all_insights(d).select("place_id", "position", "rule", "category", "relevance_score", "data_confidence", c("metrics.city_value").alias("city_value"), c("metrics.comparison_value").alias("comparison_value"))
+
+
+def top_insights(d: Data) -> DataFrame:
+    return insights.top_insights(all_insights(d), 50).select("place_id", "city", "rule", "relevance_score")
+
+
+def weighted_measures(d: Data) -> DataFrame:
+    spec = session_spec()
+    return rollup.session_rollup(d.sessions, {k: spec[k] for k in ("avg_measured", "measured_sample", "conflicts_per_100", "conflict_exposure", "dense_group_share")}, "weather")
+
+
+def plausible_median(d: Data) -> DataFrame:
+    rows = d.observations.select("session_id", "walking", "delay").join(d.sessions.select("session_id", "place_id"), "session_id")
+    ok = c("walking").between(30, 300)
+    return rows.groupBy("place_id").agg(m.percentile(F.when(ok, c("walking")), 0.5).alias("median_walking"), F.count_if(~ok).alias("implausible"), m.percentile(F.when(c("delay") >= 0, c("delay")), 0.5).alias("median_delay"))
+
+
+def filter_options(d: Data) -> DataFrame:
+    o = d.observations
+    groups = {"continent": (d.places, c("continent")), "country": (d.places, c("country")), "weather": (d.sessions, c("weather")), "gender": (o, c("gender")), "age_range": (o, clean.age_bucket(c("age")))}
+    flags = {"vehicle": (o, {f: c(f) for f in FLAGS}), "behavior": (o, {f: c(f) for f in ("risky", "red_light", "crosswalk", "phone")}), "time_of_day": (o, {"daytime": c("daytime"), "nighttime": ~c("daytime")})}
+    return mixes.filter_options(groups, flags)
+
+
+def top_by_metric(d: Data) -> DataFrame:
+    table = rollup.ranked(rank_base(d), RANKS)
+    out = None
+    for r, column in RANKS.items():
+        one = rank.top_by_rank(table, r, 10, tuple(RANKS)).select(F.lit(r).alias("metric"), c(r).alias("rank"), "place_id", c(column).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def place_card(d: Data) -> DataFrame:
+    ranks = rollup.ranked(rank_base(d), RANKS).select("place_id", *RANKS)
+    return summary(d).select("place_id", "city", "total_sessions", "n_observations", "risk_intensity").join(ranks, "place_id", "left")
+
+
+ASOF_COUNTS, ASOF_RATES = ["total_sessions", "n_observations"], ["avg_speed", "risky_rate"]
+
+
+def asof_summary(d: Data, date: str | None) -> DataFrame:
+    s = d.sessions if date is None else d.sessions.withColumn("imported", c("collected").cast("timestamp")).filter(asof.known_at(date))
+    return summary(d, s).select("city", "country", *ASOF_COUNTS, *ASOF_RATES)
+
+
+def summary_asof(d: Data) -> DataFrame:
+    return asof_summary(d, AS_OF).withColumn("data_as_of_date", F.lit(AS_OF).cast("date"))
+
+
+def compare_asof(d: Data) -> DataFrame:
+    return asof.compare(asof_summary(d, None), asof_summary(d, AS_OF), ["city", "country"], ASOF_COUNTS, ASOF_RATES, AS_OF, TODAY)
+
+
+def batch_stats(d: Data) -> DataFrame:
+    return asof.batch_stats(d.sessions, rollup.observation_sums(d.observations, {"n_observations": F.count("*")}))
+
+
+def place_list(d: Data) -> DataFrame:
+    keep = filters.contains_ci("city", "00000001") & filters.contains_ci("country", "nation_1") & filters.in_list("continent", ["ASIA", "EUROPE", "AMERICA"])
+    return d.places.filter(keep).select("place_id", "city", "country", "continent", "population")
+
+
+def newest_sessions(d: Data) -> DataFrame:
+    return filters.newest_sessions(d.sessions.select("session_id", "place_id", "collected", "status"), d.places).select("place_id", "position", "session_id", "collected", "latitude", "longitude")
+
+
+def monthly_series(d: Data) -> DataFrame:
+    s = d.sessions.withColumn("month", F.trunc("collected", "month")).filter(c("risky_ratio").isNotNull() & (c("session_id") % 3 == 0))
+    v = s.groupBy("place_id", "month").agg(m.mean(c("risky_ratio")).alias("value"))
+    return asof.series_by_place(v, "1995-01-01", "1996-12-01")
+
+
+def monthly_events(d: Data) -> DataFrame:
+    e = d.events.select("event_type", F.to_date("ts").alias("day"), F.round(c("value") * 100).cast("long").alias("cents"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return e.groupBy("event_type", "day").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"), F.count_if(c("k") >= 50).alias("high"), F.max("k").alias("max_k"))
+
+
+def map_filtered(d: Data) -> DataFrame:
+    where = filters.in_range("population", 0, 800000) & (c("risky_rate") > 0)
+    seen = filters.any_flag(["car", "bus"]) & filters.all_flags(["crosswalk"]) & filters.gender_is(["female", "unknown"])
+    out = filters.map_places(summary(d), d.sessions, d.observations, where, seen, {"car": (1, 40), "truck": (None, 12)}, ["1-URGENT", "5-low", "3-MEDIUM"])
+    return out.select("place_id", "city", "total_sessions", "n_observations", "risky_rate", "avg_speed")
+
+
+GATED = rank.Metric("avg_measured", "", "measured_sample", 30, True, "global_avg_measured")
+
+
+def measured_base(d: Data) -> DataFrame:
+    spec = session_spec()
+    return d.places.select("place_id", "city").join(rollup.session_rollup(d.sessions, {k: spec[k] for k in ("avg_measured", "measured_sample")}), "place_id", "left")
+
+
+def leaderboard_gated(d: Data) -> DataFrame:
+    base = d.sessions.agg(m.mean(c("measured_speed")).alias("global_avg_measured"))
+    return rank.leaderboard(measured_base(d), GATED, base)
+
+
+def extremes(d: Data) -> DataFrame:
+    return rank.extremes(rank_base(d), list(RANKS.values()))
+
+
+def mix_weather(d: Data) -> DataFrame:
+    return mixes.weather_mix(d.sessions)
+
+
+def by_place(d: Data, *columns: str) -> DataFrame:
+    return d.observations.select("session_id", *columns).join(d.sessions.select("session_id", "place_id"), "session_id")
+
+
+def mix_daynight(d: Data) -> DataFrame:
+    return mixes.mix(by_place(d, "daytime"), "place_id", F.when(c("daytime"), "Day").otherwise("Night"))
+
+
+def mix_gender(d: Data) -> DataFrame:
+    return mixes.mix(by_place(d, "gender"), "place_id", c("gender"))
+
+
+def mix_sessions_by_gender(d: Data) -> DataFrame:
+    return mixes.mix(by_place(d, "gender"), "place_id", c("gender"), c("session_id"))
+
+
+def risk_by_bucket(d: Data) -> DataFrame:
+    return mixes.risk_by_bucket(by_place(d, "age", "risky"), "place_id", clean.age_detail(c("age")), c("age"), c("risky"))
+
+
+def flag_mix(d: Data) -> DataFrame:
+    sums = rollup.observation_rollup(d.observations, d.sessions, mixes.flag_sums(FLAGS), {f: c(f) for f in FLAGS})
+    return mixes.flag_mix(sums, "place_id", FLAGS)
+
+
+def risk_factors(d: Data) -> DataFrame:
+    return mixes.risk_factors(d.sessions, "place_id", "weather", c("risky_ratio"))
+
+
+def rank_by_counting(d: Data) -> DataFrame:
+    return rank.rank_by_average(rank_base(d), ["avg_speed", "avg_risky_ratio"])
+
+
+def measured_groups(d: Data) -> DataFrame:
+    n = F.count("measured_speed")
+    agg = d.sessions.groupBy("place_id").agg(n.alias("n_measured"), m.mean(c("measured_speed")).alias("mean"), m.weighted_mean(c("measured_speed"), c("measured_n")).alias("weighted"), m.mean(F.when(c("pipeline_version") == "dense_v2", c("severe_conflicts"))).alias("dense_conflicts"))
+    has = c("n_measured") > 0
+    return agg.select("place_id", "n_measured", *[F.when(has, c(x)).alias(x) for x in ("mean", "weighted", "dense_conflicts")])
+
+
+def avg_with_fallback(d: Data) -> DataFrame:
+    b = [("b1", 15.0), ("b2", 24.0), ("b3", 40.5), ("b4", 58.0)]
+    key = clean.age_detail(c("age"))
+    rows = d.places.select("place_id").join(by_place(d, "age"), "place_id", "left").groupBy("place_id").agg(
+        m.mean(F.when(c("age") > 45, c("age"))).alias("first"), m.mean(F.when(c("age") > 20, c("age"))).alias("second"),
+        *[F.count_if(key == k).alias(n) for k, (n, _) in zip(("Under 18", "18-30", "31-50", "50+"), b)])
+    return rows.select("place_id", mixes.average_with_fallback(F.when(c("b4") > 3, c("first")), F.when(c("b2") > 3, c("second")), b).alias("avg_age"))
+
+
+def stats_by_weather(d: Data) -> DataFrame:
+    rows = by_place(d, "risky", "red_light", "daytime", "phone").drop("place_id").join(d.sessions.select("session_id", "weather", "pipeline_version"), "session_id")
+    pct = lambda x: m.ratio(F.lit(100) * m.count_true(c(x)), F.count("*"))
+    return rows.groupBy("weather", F.when(c("daytime"), "1").otherwise("0").alias("daytime")).agg(pct("risky").alias("risky_crossing_prob"), pct("red_light").alias("run_red_light_prob"))
+
+
+def stats_by_gender(d: Data) -> DataFrame:
+    rate = lambda x: m.ratio(m.count_true(c(x)), F.count("*"))
+    return d.observations.groupBy("gender").agg(rate("risky").alias("risky_crossing"), rate("red_light").alias("run_red_light"))
+
+
+def stats_by_age(d: Data) -> DataFrame:
+    rate = lambda x: m.ratio(m.count_true(c(x)), F.count("*"))
+    return d.observations.groupBy(c("age").cast("string").alias("age")).agg(rate("risky").alias("risky_crossing"), rate("red_light").alias("run_red_light"))
+
+
+def all_facts(d: Data) -> DataFrame:
+    w = facts.melt(stats_by_weather(d), "weather_daytime_stats", facts.MELTS["weather_daytime_stats"])
+    g = facts.melt(stats_by_gender(d), "gender_stats", facts.MELTS["gender_stats"])
+    return w.unionByName(g).unionByName(facts.melt(stats_by_age(d), "age_stats", facts.MELTS["age_stats"]))
+
+
+FACT_COLUMNS = ["data_source", "fact_type", "metric_name", "dimension_type", "dimension_value", "value_numeric", "value_percentage"]
+
+
+def facts_melt(d: Data) -> DataFrame:
+    return all_facts(d).select(*FACT_COLUMNS)
+
+
+def facts_ranked(d: Data) -> DataFrame:
+    return facts.ranked_facts(all_facts(d)).drop("correlation_coefficient")
+
+
+def per_place(d: Data) -> DataFrame:
+    per = d.sessions.select("place_id", "session_id").join(rollup.observation_sums(d.observations, {"n": F.count("*")}), "session_id", "left")
+    per = per.groupBy("place_id").agg(F.count("*").alias("sessions"), F.coalesce(F.sum("n"), F.lit(0)).alias("observations"), F.sum(F.coalesce("n", F.lit(1))).alias("joined"))
+    df = d.places.select("place_id", "city", "continent").join(per, "place_id", "left")
+    return df.withColumns({"sessions": F.coalesce("sessions", F.lit(0)), "observations": F.coalesce("observations", F.lit(0)), "joined": F.coalesce("joined", F.lit(1))})
+
+
+def facts_by_continent(d: Data) -> DataFrame:
+    return facts.facts_by_continent(facts.melt(stats_by_gender(d), "gender_stats", facts.MELTS["gender_stats"]), per_place(d)).select("continent", "metric_name", "dimension_value", "fact_count", "place_count", "session_count", "observation_count")
+
+
+def facts_by_place(d: Data) -> DataFrame:
+    f = facts.melt(stats_by_gender(d), "gender_stats", facts.MELTS["gender_stats"]).select("metric_name", "dimension_value", "value_numeric")
+    return facts.facts_by_place(f, per_place(d).drop("joined"))
+
+
+def effects_balanced(d: Data) -> DataFrame:
+    w = stats_by_weather(d)
+    label = F.concat(clean.capitalise_first(c("weather")), F.lit(" + "), clean.format_daytime(c("daytime")))
+    e = effects.effect_sizes(w, label, c("risky_crossing_prob"), "Environmental", 0.2)
+    e = e.unionByName(effects.effect_sizes(stats_by_gender(d).filter("gender <> ''"), c("gender"), c("risky_crossing"), "Demographics", 0.02, 0.0001, 100.0))
+    a = effects.grouped_mean(stats_by_age(d), clean.age_effect_group(c("age").cast("int")), c("risky_crossing"))
+    return effects.balanced(e.unionByName(effects.effect_sizes(a, c("label"), c("rate"), "Age", 0.02, 0.0001, 100.0))).select("position", "category", "label", F.round("rate", 6).alias("rate"), F.round("effect", 6).alias("effect"), "direction")
+
+
+def incoming(d: Data) -> tuple[DataFrame, DataFrame]:
+    """Old and new versions of sessions: overlapping thirds, with repeats in the new one."""
+    s = d.sessions.select("session_id", "link", "collected", "speed", "weather", "risky_ratio")
+    old = s.filter(c("session_id") % 3 != 0)
+    new = s.filter(c("session_id") % 3 != 1).withColumns({"speed": c("speed") + 1, "collected": F.when(c("session_id") % 2 == 0, c("collected")), "pass": F.lit(1)})
+    again = new.filter(c("session_id") % 5 == 0).withColumns({"speed": c("speed") + 10, "pass": F.lit(2)})
+    return old, new.unionByName(again)
+
+
+def merge_sessions(d: Data) -> DataFrame:
+    old, new = incoming(d)
+    one = merge.pick(new, ["link"], ["pass"], last=True)
+    return merge.merge(old, one, ["link"], {"collected": merge.NEW_OR_OLD, "session_id": merge.OLD_OR_NEW})
+
+
+def merge_partial(d: Data) -> DataFrame:
+    o = merge.pick(d.observations.select("session_id", "track", "risky", "age", "walking", "delay"), ["session_id", "track"], ["walking", "delay", "risky", "age"])
+    new = d.observations.filter(c("session_id") % 2 == 0).select("session_id", "track", "risky", (c("age") + 1).alias("age"), (c("walking") + 1000).alias("walking"), "delay")
+    return merge.upsert_observations(o, new, ["walking", "delay", "risky", "age"], ["risky", "walking"])
+
+
+def append_dedup(d: Data) -> DataFrame:
+    o = d.observations.select("session_id", "track", "gender")
+    return merge.append_dedup(o.filter(c("session_id") % 4 == 0), o.filter(c("session_id") % 2 == 0), ["session_id", "track", "gender"])
+
+
+def history_rows(d: Data) -> DataFrame:
+    old, new = incoming(d)
+    h = merge.history_rows(old, merge.pick(new, ["link"], ["pass"], last=True), "link", ["speed", "risky_ratio"], f"{TODAY} 00:00:00")
+    return h.select("link", "speed", "risky_ratio", F.get_json_object("snapshot", "$.speed").cast("long").alias("old_speed"), F.get_json_object("snapshot", "$.weather").alias("old_weather"))
+
+
+def lookup_fallback(d: Data) -> DataFrame:
+    s = d.sessions.select("session_id", "link", c("n_people").alias("duration"))
+    t = d.sessions.filter(c("session_id") % 10 == 0).select("link", c("n_people").alias("duration"), c("speed").alias("seconds"), c("session_id").alias("o"))
+    return merge.lookup_with_fallback(s, t, "link", "duration", "seconds", ["o"])
+
+
+def rejects(d: Data) -> DataFrame:
+    return merge.rejects(d.orders.select("o_orderkey", "o_custkey"), d.customer.filter(c("c_custkey") % 5 != 0), "o_custkey", "c_custkey")
+
+
+def lines_without_part(d: Data) -> DataFrame:
+    bad = merge.rejects(d.lineitem.select("l_partkey", "l_orderkey"), d.part.filter("p_size > 10"), "l_partkey", "p_partkey")
+    return bad.groupBy("l_partkey").agg(F.count("*").alias("n_lines"), F.count_distinct("l_orderkey").alias("n_orders"))
+
+
+def localization_apply(d: Data) -> DataFrame:
+    s = d.sessions.select("link", "status", c("n_people").cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"), "street_name")
+    n = d.sessions.filter(c("session_id") % 4 == 0).select(F.when(c("session_id") % 100 == 0, "").otherwise(c("link")).alias("link"), F.when(c("session_id") % 8 == 0, "ok").otherwise("failed").alias("status"), (c("n_vehicles") * 6).cast("double").alias("latitude"), c("n_people").cast("double").alias("longitude"), F.lit("found").alias("street_name"))
+    return merge.apply_localizations(s, n, ["latitude", "longitude", "street_name"])
+
+
+def known_names(d: Data) -> DataFrame:
+    return d.places.groupBy("country", "iso3", "continent").agg(F.count("*").alias("videos"), F.sum("population").alias("population")).select(c("country").alias("name"), c("continent").alias("country"), "iso3", "videos", "population", "continent")
+
+
+def resolve_names(d: Data) -> DataFrame:
+    """Suppliers' nations, some misspelled or aliased, against the nations of the customers."""
+    n = d.supplier.join(d.nation, c("s_nationkey") == c("n_nationkey"))
+    k = c("s_suppkey")
+    name = F.when(k % 5 == 0, F.concat(F.lower("n_name"), F.lit("!"))).when(k % 5 == 1, F.replace("n_name", F.lit("NATION"), F.lit("NATIO"))).when(k % 5 == 2, F.concat(F.lit("Land "), c("s_nationkey").cast("string"))).otherwise(c("n_name"))
+    inputs = n.select(k.alias("input_id"), name.alias("name"), F.lit(None).cast("string").alias("country"), F.when(k % 3 == 0, F.concat(F.lit("N"), c("n_nationkey").cast("string"))).when(k % 3 == 1, "N99").alias("iso3"))
+    aliases = d.nation.select(F.concat(F.lit("land"), c("n_nationkey").cast("string")).alias("alias"), c("n_name").alias("name"))
+    world = known_names(d).filter("videos < 0")
+    return place_ops.resolve(inputs, known_names(d), aliases, world).select("input_id", "name", c("c_name").alias("found"), "layer", "confident")
+
+
+def disambiguate(d: Data) -> DataFrame:
+    cands = place_ops.fold(d.places.select(c("state").alias("name"), "country", "iso3", c("place_id").alias("videos"), "population"))
+    inputs = place_ops.fold(d.supplier.select(c("s_suppkey").alias("input_id"), F.when(c("s_suppkey") % 2 == 0, "building").otherwise("Auto Mobile").alias("name"), F.lit(None).cast("string").alias("country"), F.when(c("s_suppkey") % 4 < 3, F.concat(F.lit("N"), c("s_nationkey").cast("string"))).alias("iso3")))
+    return place_ops.disambiguate(inputs, cands).select("input_id", c("c_videos").alias("best"), c("c_iso3").alias("iso3"), "confident")
+
+
+def fuzzy_unique(d: Data) -> DataFrame:
+    names = d.nation.select(clean.normalize_name(c("n_name")).alias("name_key"))
+    k = c("n_nationkey")
+    typed = d.nation.select(k.alias("input_id"), F.when(k % 2 == 0, F.concat(F.lit("x"), clean.normalize_name(c("n_name")))).otherwise(F.expr("substring(lower(replace(n_name, '_', '')), 2, 100)")).alias("name_key"))
+    return place_ops.fuzzy_unique(typed, names)
+
+
+def enrich(d: Data) -> DataFrame:
+    k = c("place_id")
+    rows = d.places.select(k.alias("input_id"), c("country").alias("name"), F.when(k % 3 == 0, "unknown").when(k % 3 == 1, "").otherwise("X").alias("country"), F.when(k % 2 == 0, c("iso3")).alias("iso3"), F.when(k % 4 == 0, "kept").alias("continent"))
+    known = known_names(d)
+    empty = known.filter("videos < 0")
+    aliases = d.nation.limit(0).select(c("n_name").alias("alias"), c("n_name").alias("name"))
+    hints = rows.select("input_id", "name", F.lit(None).cast("string").alias("country"), "iso3")
+    return place_ops.enrich(rows, place_ops.resolve(hints, known, aliases, empty), ["continent", "iso3"])
+
+
+def candidate_score(d: Data) -> DataFrame:
+    p = d.part.select(c("p_partkey").alias("place_id"), c("p_name").alias("name"))
+    w = F.split("p_name", " ")
+    code = F.when(c("p_partkey") % 3 == 0, "PPLC").when(c("p_partkey") % 3 == 1, "ADM").otherwise("PPLX")
+    cands = d.part.select(c("p_partkey").alias("place_id"), F.explode(F.array(F.struct(F.upper("p_name").alias("n"), F.lit("ADM").alias("k")), F.struct(w[0].alias("n"), code.alias("k")), F.struct(c("p_brand").alias("n"), F.lit("PPLA").alias("k")))).alias("x")).select("place_id", c("x.n").alias("candidate"), c("x.k").alias("code"))
+    return place_ops.score_candidates(p, cands).select("place_id", "candidate", "code", F.round("score", 6).alias("score"))
+
+
+def missing_rows(d: Data) -> DataFrame:
+    s = summary(d).select("place_id", F.when(c("place_id") % 6 == 0, "Unknown").otherwise(c("state")).alias("state"), "latitude", "longitude", "measured_sample", "conflict_exposure")
+    return place_ops.missing_fields(s, ["state"], ["latitude", "longitude", "measured_sample", "conflict_exposure"])
+
+
+def missing_report(d: Data) -> DataFrame:
+    return place_ops.missing_report(missing_rows(d))
+
+
+def work_list(d: Data) -> DataFrame:
+    return place_ops.work_list(missing_rows(d), ["measured_sample", "conflict_exposure"]).select("place_id", F.array_join("missing", ",").alias("missing"))
+
+
+def duplicated(d: Data) -> tuple[DataFrame, DataFrame]:
+    p = d.places.select("place_id", F.concat(F.lit("C"), F.floor(c("place_id") / 2).cast("string")).alias("city"), F.when(c("place_id") % 8 == 1, "Unknown").when(c("place_id") % 4 == 3, F.concat(F.lit("I"), F.floor(c("place_id") / 2).cast("string"))).otherwise(c("country")).alias("country"), F.concat(F.lit("I"), F.floor(c("place_id") / 2).cast("string")).alias("iso3"))
+    return p, d.sessions.filter(c("place_id") % 16 != 1).select("session_id", "place_id")
+
+
+def merge_duplicates(d: Data) -> DataFrame:
+    kept, moved = place_ops.merge_duplicates(*duplicated(d))
+    return kept.join(moved.groupBy("place_id").agg(F.count("*").alias("n_sessions")), "place_id", "left").select("place_id", "city", "country", F.coalesce("n_sessions", F.lit(0)).alias("n_sessions"))
+
+
+def homonym_dedup(d: Data) -> DataFrame:
+    p = d.places.select("place_id", F.concat(F.lit("São "), c("state")).alias("city"), "country", F.when(c("place_id") % 2 == 0, c("iso3")).otherwise("").alias("iso3"), (c("population") % 1000).alias("videos"))
+    return place_ops.dedup_homonyms(p)
+
+
+def repair_names(d: Data) -> DataFrame:
+    bad = d.part.select(c("p_partkey").alias("place_id"), F.concat(c("p_name"), F.when(c("p_partkey") % 2 == 0, "?").otherwise("®s")).alias("city"), c("p_brand").alias("country"))
+    good = d.part.select(c("p_name").alias("city"), c("p_brand").alias("country")).distinct()
+    return place_ops.repair_names(bad, good).select("place_id", "repaired", F.round("score", 6).alias("score"))
+
+
+def rank_scale(d: Data) -> DataFrame:
+    return rank.rank_scale(measured_base(d), GATED)
+
+
+def layer_rows(d: Data) -> DataFrame:
+    return rank.layer_rows(measured_base(d), GATED)
+
+
+def coverage(d: Data) -> DataFrame:
+    return reports.coverage(d.places, c("latitude").isNotNull() & c("longitude").isNotNull(), "continent")
+
+
+def flag_coverage(d: Data) -> DataFrame:
+    return reports.flag_coverage(d.observations, FLAGS)
+
+
+def top_vehicle_places(d: Data) -> DataFrame:
+    s = rollup.session_rollup(d.sessions, {"n_vehicles": F.sum("n_vehicles")})
+    return reports.top_places(s, "n_vehicles", 10)
+
+
+def safe_casts(d: Data) -> DataFrame:
+    """Casts of texts made from events: prefixes, ranges and booleans."""
+    k = c("event_id")
+    raw = F.when(k % 5 == 0, F.concat(k.cast("string"), F.lit(".5abc"))).when(k % 5 == 1, F.concat(F.lit("Age("), (k % 40).cast("string"), F.lit(")-("), (k % 40 + 9).cast("string"), F.lit(")"))).when(k % 5 == 2, "").when(k % 5 == 3, "True").otherwise(F.concat(F.lit("-"), (k % 100).cast("string")))
+    e = d.events.select(k, raw.alias("raw"))
+    r = c("raw")
+    return e.select(k, clean.safe_numeric(r).alias("numeric"), clean.strict_numeric(r).alias("strict"), clean.safe_integer(r).alias("int_value"), clean.safe_age(r).alias("age"), clean.case_boolean(r).alias("strict_case"), clean.tri_boolean(r).alias("tri"), clean.clean_string(r).alias("cleaned"), clean.parse_coord(r, -90, 90).alias("coord"))
+
+
+def delta_vs_global(d: Data) -> DataFrame:
+    base = d.sessions.agg(m.mean(c("speed")).alias("g"))
+    return rank_base(d).crossJoin(F.broadcast(base)).select("place_id", m.delta_percent(c("avg_speed"), c("g")).alias("delta"), (F.coalesce(c("avg_speed") > c("g"), F.lit(False))).alias("above"))
+
+
+def load_summary(d: Data) -> DataFrame:
+    return reports.load_summary({"places": d.places, "sessions": d.sessions, "observations": d.observations}, {"latest": (d.sessions, "collected")})
+
+
+QUERIES = [
+    place_summary, place_summary_fanout, session_summary, behavior_profile, rank_table, global_baseline, insight_base, insight_rules, top_insights, weighted_measures, plausible_median, filter_options, top_by_metric,
+    place_card, summary_asof, compare_asof, batch_stats, place_list, newest_sessions, monthly_series, monthly_events, map_filtered, leaderboard_gated, extremes, mix_weather, mix_daynight, mix_gender, mix_sessions_by_gender,
+    risk_by_bucket, flag_mix, risk_factors, rank_by_counting, measured_groups, avg_with_fallback, facts_melt, facts_ranked, facts_by_continent, facts_by_place, effects_balanced, merge_sessions, merge_partial,
+    append_dedup, history_rows, lookup_fallback, rejects, lines_without_part, localization_apply, resolve_names, disambiguate, fuzzy_unique, enrich, candidate_score, missing_report, work_list, merge_duplicates,
+    homonym_dedup, repair_names, rank_scale, layer_rows, coverage, flag_coverage, top_vehicle_places, safe_casts, delta_vs_global, load_summary,
+]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {q.__name__: (lambda spark, folder, q=q: q(Data(spark, folder))) for q in QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    from .oracle import ORACLE
+
+    return dict(ORACLE)
