@@ -1,10 +1,11 @@
 """Byte-level BPE as a lazily determinised transducer.
 
 A sequence of tokens is what BPE makes of its bytes if and only if BPE keeps each pair of neighbours apart, so every
-prefix of a piece has one last token, found from the last tokens of shorter prefixes. A state of the transducer is a
-token already emitted and the bytes read since. Reading a byte gives the new prefix its last token; positions from
-which some vocabulary token could still reach beyond the bytes read are live, and what all live positions' encodings
-begin with is emitted. The delay is bounded by the tokens' lengths. States are made when first needed.
+prefix of a piece has one last token, found from the last tokens of shorter prefixes. A position of the text is live while
+some vocabulary token could start there and reach beyond the bytes read; a state of the transducer is the bytes since
+the oldest live position and the last tokens at the live ones, so words with the same ending share it. Reading a byte
+gives the new prefix's last token. When only the newest position is live, all tokens up to it are settled and emitted;
+the delay is bounded by how long tokens can overlap. States and transitions are made when first needed.
 
 Decoding joins the tokens' bytes in blocks and runs a UTF-8 state machine across the blocks' borders.
 
@@ -16,17 +17,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .words import ChunkMemo
+from .pieces import ID, PieceMemo
 
-#: White space as Unicode has it: the same set in every engine.
-_SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-MAX_STATES = 150_000
+MAX_STATES = 300_000
+_BYTES = [bytes((b,)) for b in range(256)]
+#: Bytes of a piece between two emissions.
+LOOKAHEAD = 64
 #: Tokens decoded at once.
 BLOCK = 4096
+#: Rows encoded at once.
+ROWS = 1024
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,25 +40,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class State:
-    """base: the last token emitted, -1 at a piece's start. pending: the bytes since. For each position in pending,
-    tokens and parents have the last token of the prefix that ends there, and where it starts; live positions are
-    those that a token can start from."""
+class State(dict):
+    """byte -> (state, last token of the new prefix), filled when first asked for.
 
-    __slots__ = ("pending", "tokens", "parents", "live", "next", "end")
+    text: the bytes since the oldest live position. live: for each live position its place in text, and the last token
+    of the prefix that ends there (-1 at the piece's start)."""
 
-    def __init__(self, pending: bytes, tokens: tuple[int, ...], parents: tuple[int, ...], live: tuple[int, ...]):
-        self.pending, self.tokens, self.parents, self.live = pending, tokens, parents, live
-        self.next: dict[int, tuple[State, tuple[int, ...]]] = {}
-        self.end: tuple[int, ...] | None = None
+    __slots__ = ("owner", "text", "live")
 
-    def path(self, to: int) -> tuple[int, ...]:
-        """The tokens from the start of pending up to a position."""
-        out = []
-        while to:
-            out.append(self.tokens[to])
-            to = self.parents[to]
-        return tuple(out[::-1])
+    def __init__(self, owner: Transducer, text: bytes, live: tuple[tuple[int, int], ...]):
+        self.owner, self.text, self.live = owner, text, live
+
+    def __missing__(self, byte: int) -> tuple[State, int]:
+        made = self[byte] = self.owner.step(self, byte)
+        return made
 
 
 class Transducer:
@@ -61,74 +62,103 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
+        self.size = {i: len(t) for t, i in ranks.items()}
         self.prefixes = {t[:n] for t in ranks for n in range(len(t))}
         self.apart: dict[tuple[int, int], bool] = {}
+        self.made_of: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.start = State(b"", (-1,), (0,), (0,))
-        self.states: dict[tuple[int, bytes], State] = {(-1, b""): self.start}
-
-    def merged(self, data: bytes) -> list[int]:
-        """BPE by definition: of all neighbours merge the pair of lowest rank, the first of equals."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
-
-    def keeps_apart(self, a: int, b: int) -> bool:
-        known = self.apart.get((a, b))
-        if known is None:
-            if len(self.apart) > 2 * MAX_STATES:
-                self.apart.clear()
-            known = self.apart[a, b] = self.merged(self.token[a] + self.token[b]) == [a, b]
+        self.start = State(self, b"", ((0, -1),))
+        self.states: dict[tuple, State] = {(b"", self.start.live): self.start}
+
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge made a token, None for a byte: BPE of its bytes, stopped before the last merge."""
+        if token not in self.made_of:
+            data = self.token[token]
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while len(parts) > 2:
+                _, i = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            self.made_of[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return self.made_of[token]
+
+    def keeps_apart(self, left: int, right: int) -> bool:
+        """Whether BPE of the two tokens' bytes is the two tokens.
+
+        Merges of both sides happen in order of rank. Going back in time, the later of the two merges next to the border
+        is undone, and the tokens that then faced each other mustn't have had a merge that came before it."""
+        key, known = (left, right), self.apart.get((left, right))
+        if known is not None:
+            return known
+        token, ranks, due, known = self.token, self.ranks, 1 << 60, None
+        while known is None:
+            across = ranks.get(token[left] + token[right], 1 << 60)
+            a, b = self.halves(left), self.halves(right)
+            if across < due:
+                known = False
+            elif a is None and b is None:
+                known = True
+            elif b is None or (a is not None and left > right):
+                left, due = a[1], left
+            else:
+                # Of equal ranks the leftmost goes first, so the border's merge would have preceded the right side's.
+                right, due = b[0], right + 1
+        if len(self.apart) > MAX_STATES:
+            self.apart.clear()
+        self.apart[key] = known
         return known
 
-    def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        data, tokens, parents = state.pending + bytes((byte,)), state.tokens, state.parents
-        n, ranks, prefixes = len(data), self.ranks, self.prefixes
-        for k in state.live:
-            t = ranks.get(data[k:])
-            if t is not None and (tokens[k] == -1 or self.keeps_apart(tokens[k], t)):
-                tokens, parents = tokens + (t,), parents + (k,)
-                break
-        live = [k for k in state.live if data[k:] in prefixes] + [n]
-        # The last position that all live positions' encodings have in common.
-        heads = set(live)
-        while len(heads) > 1:
-            k = max(heads)
-            heads.remove(k)
-            heads.add(parents[k])
-        to = heads.pop()
-        out: tuple[int, ...] = ()
-        if to:
-            out = State(data, tokens, parents, ()).path(to)
-            # Positions that no live position's encoding goes through keep a parent that nobody asks for.
-            data, tokens, parents = data[to:], tokens[to:], tuple(max(p - to, 0) for p in parents[to:])
-            live = [k - to for k in live]
-        key = (tokens[0], data)
+    def step(self, state: State, byte: int) -> tuple[State, int]:
+        """The transition on a byte."""
+        text, last, live = state.text + _BYTES[byte], -2, []
+        for k, before in state.live:
+            rest = text[k:]
+            t = self.ranks.get(rest)
+            if last == -2 and t is not None and (before == -1 or self.keeps_apart(before, t)):
+                last = t
+            if rest in self.prefixes:
+                live.append((k, before))
+        live.append((len(text), last))
+        oldest = live[0][0]
+        key = (text[oldest:], tuple([(k - oldest, t) for k, t in live]))
         new = self.states.get(key)
         if new is None:
-            new = self.states[key] = State(data, tokens, parents, tuple(live))
-        state.next[byte] = (new, out)
-        return new, out
+            new = self.states[key] = State(self, *key)
+        return new, last
 
     def encode(self, piece: bytes) -> list[int]:
+        """Settled tokens are emitted after every LOOKAHEAD bytes, the others at the piece's end."""
         if len(self.states) > MAX_STATES:
             self.reset()
-        state, ids = self.start, []
-        for byte in piece:
-            found = state.next.get(byte)
-            state, out = found if found is not None else self.step(state, byte)
-            if out:
-                ids.extend(out)
-        if state.end is None:
-            state.end = state.path(len(state.pending))
-        ids.extend(state.end)
-        return ids
+        state, ids, lasts = self.start, [], []
+        for at in range(0, len(piece), LOOKAHEAD):
+            for byte in piece[at : at + LOOKAHEAD]:
+                state, last = state[byte]
+                lasts.append(last)
+            if at + LOOKAHEAD < len(piece) and (to := self._settled(state, lasts)):
+                ids += self._tokens(lasts, to)
+                del lasts[:to]
+        return ids + self._tokens(lasts, len(lasts))
+
+    def _settled(self, state: State, lasts: list[int]) -> int:
+        """The last position that the encodings of all live positions have in common."""
+        heads = {len(lasts) - len(state.text) + k for k, _ in state.live}
+        while len(heads) > 1:
+            at = max(heads)
+            heads.remove(at)
+            heads.add(at - self.size[lasts[at - 1]])
+        return max(0, heads.pop())
+
+    def _tokens(self, lasts: list[int], at: int) -> list[int]:
+        """From the last token of each prefix, the tokens up to a position: each starts where the one before it ends."""
+        size, out = self.size, []
+        while at > 0:
+            t = lasts[at - 1]
+            out.append(t)
+            at -= size[t]
+        out.reverse()
+        return out
 
 
 class Utf8Machine:
@@ -169,89 +199,86 @@ class Utf8Machine:
 class Codec:
     """Encoder and decoder over whole texts; one in each worker for each vocabulary."""
 
-    def __init__(self, path: str, pattern: str):
-        import regex
-
+    def __init__(self, path: str):
         self.fst = Transducer(read_ranks(path))
-        self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]"))
-        self.shown = {str(i).encode(): t for i, t in self.fst.token.items()}
-        self.memo = ChunkMemo(lambda chunks: [self._decimals(c) for c in chunks])
+        self.memo = PieceMemo(self._pieces)
 
-    def _decimals(self, text: str) -> bytes:
-        return "".join(f" {i}" for p in self.pieces.findall(text) for i in self.fst.encode(p.encode())).encode()
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        made = list(map(self.fst.encode, pieces))
+        packed = np.array([i for ids in made for i in ids], ID).tobytes()
+        ends = list(itertools.accumulate(len(ids) * ID.itemsize for ids in made))
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """For each text its decimal ids, a space before each."""
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
         return self.memo.encode(texts)
 
-    def decode(self, ids: list[bytes]) -> Iterator[str]:
-        """The text of decimal ids, block by block."""
+    def decode(self, ids: list[int]) -> Iterator[str]:
+        """The text of ids, block by block."""
         machine = Utf8Machine()
         for i in range(0, len(ids), BLOCK):
-            yield machine.feed(b"".join(map(self.shown.__getitem__, ids[i : i + BLOCK])))
+            yield machine.feed(b"".join(map(self.fst.token.__getitem__, ids[i : i + BLOCK])))
         yield machine.close()
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    key = (path, pattern)
-    if key not in _codecs:
-        _codecs[key] = Codec(*key)
-    return _codecs[key]
+def codec(path: str) -> Codec:
+    if path not in _codecs:
+        _codecs[path] = Codec(path)
+    return _codecs[path]
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids: array<int>, for each row."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        c = codec(path, pattern)
+        c = codec(path)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = [np.array(x.split(), dtype=np.int32) for x in c.encode(t or "" for t in part.column("text").to_pylist())]
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                ids = list(c.encode(t or "" for t in part.column("text").to_pylist()))
                 offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, np.concatenate([*ids, np.zeros(0, np.int32)]))], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, np.concatenate(ids).astype(np.int32))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text from doc_id and ids."""
 
     def run(batches):
         import pyarrow as pa
 
-        c = codec(path, pattern)
+        c = codec(path)
         for b in batches:
-            texts = ["".join(c.decode([str(i).encode() for i in ids or []])) for ids in b.column("ids").to_pylist()]
+            texts = ["".join(c.decode(ids or [])) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: each text encoded, and its ids decoded, in one pass, so that no ids are shuffled or stored."""
 
     def run(batches):
         import pyarrow as pa
 
-        c = codec(path, pattern)
+        c = codec(path)
+        decimal = [b"%d" % i for i in range(max(c.fst.token) + 1)]
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
                 counts, id_sums, text_sums = [], [], []
-                for shown in c.encode(t or "" for t in part.column("text").to_pylist()):
-                    ids = shown.split()
-                    text = hashlib.sha256()
+                for array in c.encode(t or "" for t in part.column("text").to_pylist()):
+                    ids, text = array.tolist(), hashlib.sha256()
                     for block in c.decode(ids):
                         text.update(block.encode())
                     counts.append(len(ids))
-                    id_sums.append(hashlib.sha256(shown[1:]).hexdigest())
+                    id_sums.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, ids))).hexdigest())
                     text_sums.append(text.hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .words import ChunkMemo
+from .pieces import ID, PieceMemo
 
-ID = np.dtype("<u4")
+#: Pieces encoded in one call's text.
+JOINED = 256
 
 
 class Encoder:
@@ -22,13 +23,29 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo = ChunkMemo(self._encode_many)
-
-    def _encode_many(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=ID).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, dtype=ID) for x in self.memo.encode(texts)]
+        self.feed = self.library.token_to_id("Ċ")
+        self.memo = PieceMemo(self._encode_pieces)
+
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Pieces without white space inside are joined by line feeds, each of which is a piece and an id of its own there."""
+        texts = [p.decode() for p in pieces]
+        alone = [i for i, t in enumerate(texts) if self.feed is None or not t.strip() or t[1:].split(None, 1) != [t[1:]] and len(t) > 1]
+        skip = set(alone)
+        plain = [i for i in range(len(texts)) if i not in skip] if skip else range(len(texts))
+        lines = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        made = self.library.encode_batch_fast(["\n".join(map(texts.__getitem__, line)) for line in lines] + [texts[i] for i in alone], add_special_tokens=False)
+        out: list[bytes] = [b""] * len(texts)
+        for line, e in zip(lines, made):
+            ids = np.array(e.ids, dtype=ID)
+            raw, ends = ids.tobytes(), (ID.itemsize * np.flatnonzero(ids == self.feed)).tolist()
+            for i, a, b in zip(line, [-ID.itemsize, *ends], [*ends, len(raw)], strict=True):
+                out[i] = raw[a + ID.itemsize : b]
+        for i, e in zip(alone, made[len(lines) :]):
+            out[i] = np.array(e.ids, dtype=ID).tobytes()
+        return out
+
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        return self.memo.encode(texts)
 
     def sentence_ends(self) -> np.ndarray:
         """For each id whether a sentence or line may end with it. A line feed is shown as the byte-level alphabet shows it."""
@@ -51,7 +68,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
 
-def encoded(batches, path: str, end: int, at_once: int = 256):
+def encoded(batches, path: str, end: int, at_once: int = 1024):
     """(doc_id, ids with the end id) of each row, in order."""
     e = encoder(path)
     tail = np.array([end], dtype=ID)
