@@ -513,8 +513,23 @@ QUERIES = [
 ]
 
 
+#: Whole numbers that can be missing: shown as doubles, so that both engines' results read alike. Dates are shown as text.
+NULLABLE = {
+    "place_summary": ["measured_sample", "conflict_exposure"], "behavior_profile": ["min_age", "max_age"], "insight_base": ["measured_walking_speed_rank"], "merge_sessions": ["risky_ratio"], "merge_partial": ["age"],
+    "history_rows": ["risky_ratio"], "lookup_fallback": ["seconds"], "safe_casts": ["int_value", "age"], "layer_rows": ["sample"], "weighted_measures": ["measured_sample", "conflict_exposure"],
+}
+DATES = {
+    "place_summary": ["earliest", "latest"], "session_summary": ["collected"], "summary_asof": ["data_as_of_date"], "newest_sessions": ["collected"], "monthly_series": ["month"], "monthly_events": ["day"],
+    "merge_sessions": ["collected"], "load_summary": ["latest"],
+}
+
+
+def shown(name: str, df: DataFrame) -> DataFrame:
+    return df.withColumns({x: c(x).cast("double") for x in NULLABLE.get(name, [])} | {x: c(x).cast("string") for x in DATES.get(name, [])})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: (lambda spark, folder, q=q: q(Data(spark, folder))) for q in QUERIES}
+    return {q.__name__: (lambda spark, folder, q=q: shown(q.__name__, q(Data(spark, folder)))) for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
