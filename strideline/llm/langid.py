@@ -188,7 +188,7 @@ def train(labelled: DataFrame) -> ByteCnn:
     chosen = rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= SAMPLE).select("doc_id", "lang")
     sample = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi").filter("text IS NOT NULL")
     pdf = sample.orderBy("lang", F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text").toPandas()
-    pdf = pdf[pdf["text"].map(lambda t: any(map(str.isalpha, t)))]
+    pdf = pdf[pdf["text"].map(lambda t: any(map(str.isalpha, t))).astype(bool)]
     langs = sorted(pdf["lang"].unique())
     cnn = ByteCnn(langs)
     if langs:

@@ -60,12 +60,13 @@ def quality_counts(docs: DataFrame, text: str = "text", keep: list[str] | None =
     keep = [c for c in keep if c not in made]
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACES}]"))
-    base = [F.col(f"`{c}`") for c in keep]
+    # The caller's columns travel as one struct, so none of their names can clash with those made here.
     df = docs.select(
-        *base, word_array(t).alias("__words"), lines.alias("__lines"),
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), word_array(t).alias("__words"), lines.alias("__lines"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace(t, r"[^A-Z]+", "")).cast("long").alias("n_upper"),
     )
+    base = ["__row"]
     df = df.select(
         *base, "n_symbols", "n_upper", F.size("__words").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
@@ -86,7 +87,8 @@ def quality_counts(docs: DataFrame, text: str = "text", keep: list[str] | None =
     df = df.select(*base, *rest, F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull())))).alias("__starts"))
     df = df.select(*base, *rest, F.coalesce(_covered(F.col("__starts")), F.lit(0).cast("long")).alias("n_repeat_words"))
     mille = lambda a, b: F.coalesce(F.floor(F.try_divide(F.lit(1000) * F.col(a), F.col(b))), F.lit(0)).cast("long")
-    return df.withColumns({"symbol_mille": mille("n_symbols", "word_chars"), "upper_mille": mille("n_upper", "word_chars"), "dup_line_mille": mille("n_dup_lines", "n_lines")})
+    df = df.withColumns({"symbol_mille": mille("n_symbols", "word_chars"), "upper_mille": mille("n_upper", "word_chars"), "dup_line_mille": mille("n_dup_lines", "n_lines")})
+    return df.select(*[F.col("__row").getField(c).alias(c) for c in keep], *[c for c in df.columns if c != "__row"])
 
 
 def base_failed() -> Column:
