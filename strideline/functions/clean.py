@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Letters that decomposition leaves whole.
@@ -61,8 +62,6 @@ def parse_date(s: Column) -> Column:
 
 
 def _normalizer(form: str):
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.str.normalize(form)

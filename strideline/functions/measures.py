@@ -55,7 +55,7 @@ def delta_percent_panel(v: Column, base: Column) -> Column:
 def safe_normalize(v: Column, low: Column, high: Column) -> Column:
     """Place in [0, 1]; 0.5 where the range has no width or anything is missing."""
     t = F.try_divide((v - low).cast("double"), F.nullif(high - low, F.lit(0)).cast("double"))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)), F.lit(0.5))
+    return F.when(t.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
 
 
 def risk_intensity(risky: Column, red: Column, pooled: Column) -> Column:

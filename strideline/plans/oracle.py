@@ -243,7 +243,7 @@ QUERIES: dict[str, str] = {
   SELECT place_id, repaired, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY score DESC, repaired) AS r FROM s WHERE score > 50) WHERE r = 1""",
     "rank_scale": f"SELECT n_ranked, CASE WHEN n_ranked >= 5 THEN low END AS low, CASE WHEN n_ranked >= 5 THEN high END AS high FROM (SELECT count(*) AS n_ranked, min(avg_measured) AS low, max(avg_measured) AS high FROM ({MEASURED}) WHERE avg_measured IS NOT NULL AND measured_sample >= 30)",
     "layer_rows": f"""@b AS ({MEASURED}), k AS (SELECT count(*) >= 5 AS ok, min(avg_measured) AS low, max(avg_measured) AS high FROM b WHERE avg_measured IS NOT NULL AND measured_sample >= 30)
-  SELECT place_id, avg_measured AS value, coalesce(measured_sample >= 30, false) AND ok AS is_ranked, CASE WHEN measured_sample >= 30 AND ok THEN coalesce(greatest(0.0::double, least(1.0::double, (avg_measured - low) / nullif(high - low, 0))), 0.5) END AS t, CASE WHEN measured_sample IS NULL THEN 'unknown' WHEN measured_sample < 30 THEN 'below_bar' WHEN ok THEN 'ranked' ELSE 'no_scale' END AS evidence, measured_sample AS sample FROM b, k WHERE avg_measured IS NOT NULL""",
+  SELECT place_id, avg_measured AS value, coalesce(measured_sample >= 30, false) AND ok AS is_ranked, CASE WHEN measured_sample >= 30 AND ok THEN CASE WHEN high = low THEN 0.5 ELSE greatest(0.0::double, least(1.0::double, (avg_measured - low) / (high - low))) END END AS t, CASE WHEN measured_sample IS NULL THEN 'unknown' WHEN measured_sample < 30 THEN 'below_bar' WHEN ok THEN 'ranked' ELSE 'no_scale' END AS evidence, measured_sample AS sample FROM b, k WHERE avg_measured IS NOT NULL""",
     "coverage": "SELECT continent, count(*) AS total, count(*) FILTER (latitude IS NOT NULL AND longitude IS NOT NULL) AS covered, CAST(100 * count(*) FILTER (latitude IS NOT NULL AND longitude IS NOT NULL) AS double) / count(*) AS percent FROM places GROUP BY 1",
     "flag_coverage": f"SELECT count(*) AS total, {', '.join(f'{count_if(f)} AS with_{f}' for f in FLAGS)}, {count_if(' AND '.join(f'{f} IS NULL' for f in FLAGS))} AS all_null FROM observations",
     "top_vehicle_places": "SELECT place_id, sum(n_vehicles)::BIGINT AS n_vehicles FROM sessions GROUP BY 1 ORDER BY n_vehicles DESC NULLS LAST, place_id LIMIT 10",
