@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import clean, measures as m
-from ..operators import asof, effects, facts, filters, insights, merge, mixes, places as place_ops, rank, reports, rollup
+from ..operators import api, asof, effects, facts, filters, insights, merge, mixes, places as place_ops, rank, reports, rollup
 from .adapters import FLAGS, Data
 
 c = F.col
@@ -504,12 +504,21 @@ def load_summary(d: Data) -> DataFrame:
     return reports.load_summary({"places": d.places, "sessions": d.sessions, "observations": d.observations}, {"latest": (d.sessions, "collected")})
 
 
+def known_places(d: Data) -> DataFrame:
+    return api.known_places(summary(d))
+
+
+def metric_insights(d: Data) -> DataFrame:
+    base = d.sessions.agg(m.mean(c("speed")).alias("g_speed"), m.mean(c("red_ratio")).alias("g_red"))
+    return api.metric_insights(rank_base(d), base, {"avg_speed": ("Speed", "g_speed"), "avg_red_ratio": ("Red light running", "g_red")})
+
+
 QUERIES = [
     place_summary, place_summary_fanout, session_summary, behavior_profile, rank_table, global_baseline, insight_base, insight_rules, top_insights, weighted_measures, plausible_median, filter_options, top_by_metric,
     place_card, summary_asof, compare_asof, batch_stats, place_list, newest_sessions, monthly_series, monthly_events, map_filtered, leaderboard_gated, extremes, mix_weather, mix_daynight, mix_gender, mix_sessions_by_gender,
     risk_by_bucket, flag_mix, risk_factors, rank_by_counting, measured_groups, avg_with_fallback, facts_melt, facts_ranked, facts_by_continent, facts_by_place, effects_balanced, merge_sessions, merge_partial,
     append_dedup, history_rows, lookup_fallback, rejects, lines_without_part, localization_apply, resolve_names, disambiguate, fuzzy_unique, enrich, candidate_score, missing_report, work_list, merge_duplicates,
-    homonym_dedup, repair_names, rank_scale, layer_rows, coverage, flag_coverage, top_vehicle_places, safe_casts, delta_vs_global, load_summary,
+    homonym_dedup, repair_names, rank_scale, layer_rows, coverage, flag_coverage, top_vehicle_places, safe_casts, delta_vs_global, load_summary, known_places, metric_insights,
 ]
 
 

@@ -252,6 +252,9 @@ QUERIES: dict[str, str] = {
   SELECT event_id, numeric, TRY_CAST(nullif(raw, '') AS double) AS strict, int_value, CASE WHEN event_id % 5 = 1 THEN CAST(floor((event_id % 40 + event_id % 40 + 9) / 2.0 + 0.5) AS int) WHEN int_value > 0 THEN int_value END AS age,
     CASE WHEN raw = '' THEN NULL ELSE raw IN ('1', 'true', 'yes') END AS strict_case, CASE WHEN lower(raw) IN ('1', 'true', 'yes') THEN true WHEN lower(raw) IN ('0', 'false', 'no') THEN false END AS tri, nullif(trim(raw), '') AS cleaned, CASE WHEN numeric BETWEEN -90 AND 90 THEN numeric END AS coord FROM f""",
     "delta_vs_global": f"SELECT place_id, (avg_speed - g) / nullif(g, 0) * 100 AS delta, coalesce(avg_speed > g, false) AS above FROM ({RANK_BASE}), (SELECT {mean('speed')} AS g FROM sessions)",
+    "known_places": f"SELECT DISTINCT city FROM ({summary()}) WHERE total_sessions > 0 AND n_observations > 0",
+    "metric_insights": " UNION ALL ".join(f"""SELECT '{x}' AS metric, *, '{label} is highest in ' || top_name || ' and lowest in ' || bottom_name AS sentence FROM (SELECT (SELECT city FROM ({RANK_BASE}) WHERE {x} > 0 ORDER BY {x} DESC, city LIMIT 1) AS top_name, (SELECT max({x}) FROM ({RANK_BASE})) AS top_value,
+  (SELECT city FROM ({RANK_BASE}) WHERE {x} > 0 ORDER BY {x}, city LIMIT 1) AS bottom_name, (SELECT min({x}) FROM ({RANK_BASE}) WHERE {x} > 0) AS bottom_value, '{label}' AS label, (SELECT {mean(g)} FROM sessions) AS global_mean)""" for x, label, g in (("avg_speed", "Speed", "speed"), ("avg_red_ratio", "Red light running", "red_ratio"))),
     "load_summary": "SELECT (SELECT count(*) FROM places) AS n_places, (SELECT count(*) FROM sessions) AS n_sessions, (SELECT count(*) FROM observations) AS n_observations, (SELECT max(collected) FROM sessions) AS latest",
 }
 
