@@ -156,8 +156,10 @@ def score_quality(docs: DataFrame) -> DataFrame:
 
 def apply_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, unchanged. Texts aren't shuffled: their counts are made again beside the thresholds."""
-    limits = cut(thresholds(sketches(quality_counts(docs, keep=["lang", "source"]))))
+    limits = cut(thresholds(sketches(cut(quality_counts(docs, keep=["lang", "source"])))))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     df = docs.select(whole, F.col("text").alias("text"), F.col("lang").alias("lang"), F.col("source").alias("source"))
-    kept = _joined(quality_counts(df, keep=["__row", "lang", "source"]), limits).filter("kept")
+    # The row number keeps the filter above the counts: pushed below them it would repeat their expressions within each other.
+    counted = quality_counts(df, keep=["__row", "lang", "source"]).withColumn("__n", F.monotonically_increasing_id())
+    kept = _joined(counted, limits).filter(F.col("kept") & (F.col("__n") >= 0))
     return kept.select("__row.*")
