@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,8 +24,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.feed = self.library.token_to_id("Ċ")
+        added = {t.content: (i, t) for i, t in self.library.get_added_tokens_decoder().items() if t.content}
+        if self.library.normalizer is not None or any(t.single_word or t.lstrip or t.rstrip for _, t in added.values()):
+            raise ValueError(f"{path}: a normalizer, or added tokens that take more or less than their string")
+        self.marks = {x: np.array([i], dtype=ID) for x, (i, _) in added.items()}
+        # The library takes the leftmost string, and the longest of those.
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
+        self.feed = None if any("\n" in x for x in added) else self.library.token_to_id("Ċ")
         self.memo = PieceMemo(self._encode_pieces)
 
     def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
@@ -45,7 +52,22 @@ class Encoder:
         return out
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        return self.memo.encode(texts)
+        """Strings of added tokens are ids of their own; what lies between them is cut into pieces."""
+        if self.split is None:
+            yield from self.memo.encode(texts)
+            return
+        marks: deque[list[str]] = deque()
+
+        def between():
+            for text in texts:
+                found = self.split(text)
+                marks.append(found[1::2])
+                yield from found[::2]
+
+        made = self.memo.encode(between())
+        for ids in made:
+            own = marks.popleft()
+            yield np.concatenate([ids, *(x for m in own for x in (self.marks[m], next(made)))]) if own else ids
 
     def sentence_ends(self) -> np.ndarray:
         """For each id whether a sentence or line may end with it. A line feed is shown as the byte-level alphabet shows it."""
