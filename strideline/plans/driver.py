@@ -187,7 +187,7 @@ def newest_sessions(d: Data) -> DataFrame:
 
 
 def monthly_series(d: Data) -> DataFrame:
-    s = d.sessions.withColumn("month", F.trunc("collected", "month")).filter(c("risky_ratio").isNotNull() & (c("session_id") % 3 == 0))
+    s = d.sessions.withColumn("month", F.trunc("collected", "month")).filter(c("risky_ratio").isNotNull())
     v = s.groupBy("place_id", "month").agg(m.mean(c("risky_ratio")).alias("value"))
     return asof.series_by_place(v, "1995-01-01", "1996-12-01")
 
