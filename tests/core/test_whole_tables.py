@@ -32,3 +32,10 @@ def test_series_fills_gaps_within_a_place(spark):
     df = spark.createDataFrame([(1, day(2), 5.0), (1, day(4), 7.0), (2, day(1), 1.0)], "place_id long, month date, value double")
     got = sorted(tuple(r) for r in asof.series_by_place(df, "1995-01-01", "1995-05-01").collect())
     assert got == [(1, day(2), 5.0), (1, day(3), 5.0), (1, day(4), 7.0), (1, day(5), 7.0), *((2, day(m), 1.0) for m in range(1, 6))]
+
+
+def test_append_dedup_takes_every_observation(spark, sf_dir, duck):
+    """Target rows have sessions of their own, so what is left are all rows of the others."""
+    want = duck("SELECT session_id, track, gender FROM observations WHERE session_id % 4 <> 0")
+    got = driver.queries()["append_dedup"](spark, sf_dir).select("session_id", "track", "gender").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and {r["session_id"] % 4 for r in got} == {1, 2, 3}
