@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import deque
 from collections.abc import Iterable, Iterator
+from operator import attrgetter
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .pieces import ID, PieceMemo
 
-#: Pieces encoded in one call's text.
-JOINED = 256
+
+def alphabet() -> np.ndarray:
+    """The character by which byte-level vocabularies show each byte: itself if it is visible, else one from 256 on."""
+    shown = np.zeros(256, np.uint32)
+    visible = [b for first, last in ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)) for b in range(first, last + 1)]
+    shown[visible] = visible
+    hidden = np.setdiff1d(np.arange(256), visible)
+    shown[hidden] = 256 + np.arange(len(hidden))
+    return shown
 
 
 class Encoder:
@@ -24,32 +33,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        first = self.library.pre_tokenizer and json.loads(self.library.pre_tokenizer.__getstate__())
+        if not first or first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex", True):
+            raise ValueError(f"{path}: not a byte-level vocabulary with its usual pattern")
         added = {t.content: (i, t) for i, t in self.library.get_added_tokens_decoder().items() if t.content}
         if self.library.normalizer is not None or any(t.single_word or t.lstrip or t.rstrip for _, t in added.values()):
             raise ValueError(f"{path}: a normalizer, or added tokens that take more or less than their string")
         self.marks = {x: np.array([i], dtype=ID) for x, (i, _) in added.items()}
         # The library takes the leftmost string, and the longest of those.
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
-        self.feed = None if any("\n" in x for x in added) else self.library.token_to_id("Ċ")
+        self.model, self.shown = self.library.model, alphabet()
         self.memo = PieceMemo(self._encode_pieces)
 
     def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Pieces without white space inside are joined by line feeds, each of which is a piece and an id of its own there."""
-        texts = [p.decode() for p in pieces]
-        alone = [i for i, t in enumerate(texts) if self.feed is None or not t.strip() or t[1:].split(None, 1) != [t[1:]] and len(t) > 1]
-        skip = set(alone)
-        plain = [i for i in range(len(texts)) if i not in skip] if skip else range(len(texts))
-        lines = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        made = self.library.encode_batch_fast(["\n".join(map(texts.__getitem__, line)) for line in lines] + [texts[i] for i in alone], add_special_tokens=False)
-        out: list[bytes] = [b""] * len(texts)
-        for line, e in zip(lines, made):
-            ids = np.array(e.ids, dtype=ID)
-            raw, ends = ids.tobytes(), (ID.itemsize * np.flatnonzero(ids == self.feed)).tolist()
-            for i, a, b in zip(line, [-ID.itemsize, *ends], [*ends, len(raw)], strict=True):
-                out[i] = raw[a + ID.itemsize : b]
-        for i, e in zip(alone, made[len(lines) :]):
-            out[i] = np.array(e.ids, dtype=ID).tobytes()
-        return out
+        """Each piece by the library's model, in the alphabet in which its merges are written."""
+        shown = self.shown[np.frombuffer(b"".join(pieces), np.uint8)].astype("<u4").tobytes().decode("utf-32-le")
+        tokenize, id_of, flat, ends, at = self.model.tokenize, attrgetter("id"), [], [], 0
+        for n in map(len, pieces):
+            flat.extend(map(id_of, tokenize(shown[at : at + n])))
+            ends.append(ID.itemsize * len(flat))
+            at += n
+        raw = np.array(flat, dtype=ID).tobytes()
+        return [raw[i:j] for i, j in zip([0, *ends], ends)]
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Strings of added tokens are ids of their own; what lies between them is cut into pieces."""

@@ -22,7 +22,7 @@ WHITE = (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2
 #: Ends a text in a batch: no character.
 _END = 0x10FFFF + 1
 #: Characters cut at once, and pieces remembered.
-BATCH, ENTRIES, LONGEST = 1 << 19, 500_000, 64
+BATCH, ENTRIES, LONGEST = 1 << 20, 500_000, 64
 
 _classes: np.ndarray | None = None
 
@@ -139,7 +139,7 @@ class PieceMemo:
     def _batch(self, texts: list[str]) -> Iterator[np.ndarray]:
         pieces, ends = cut(texts)
         coded = pieces.dictionary_encode()
-        distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        distinct, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.known) > self.entries:
             self.known.clear()
         known = self.known
