@@ -18,7 +18,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = ["doc_id", *quality.COUNTS, "base_failed", "kept", *quality.SLACK]
+    cols = ["doc_id", *quality.COUNTS, "base_failed", "kept", *quality.SIGNALS]
     return quality.score_quality(documents(spark, sf_dir)).select(*cols)
 
 

@@ -5,15 +5,13 @@ from __future__ import annotations
 from . import quality as q
 
 _BIN = "x - x % (1::BIGINT << greatest(length(bin(x)) - 7, 0)::BIGINT)"
-_SLACK = "CASE signal " + " ".join(f"WHEN '{s}' THEN {v}" for s, v in q.SLACK.items()) + " END"
-
 
 def _fences(name: str, by: str) -> str:
     keys = by + ", " if by else ""
     return f"""
 {name}_c AS (SELECT {keys}signal, bin, sum(n) AS n FROM sketch GROUP BY {keys}signal, bin),
 {name}_u AS (SELECT *, sum(n) OVER (PARTITION BY {keys}signal ORDER BY bin) AS up_to, sum(n) OVER (PARTITION BY {keys}signal) AS docs FROM {name}_c),
-{name} AS (SELECT {keys}signal, docs, min(bin) FILTER (10 * up_to >= 5 * docs) + {q.SPREAD} * (min(bin) FILTER (10 * up_to >= 5 * docs) - min(bin) FILTER (10 * up_to >= docs)) + {_SLACK} AS fence FROM {name}_u GROUP BY {keys}signal, docs)"""
+{name} AS (SELECT {keys}signal, docs, min(bin) FILTER (10 * up_to >= 5 * docs) + {q.SPREAD} * greatest(min(bin) FILTER (10 * up_to >= 5 * docs) - min(bin) FILTER (10 * up_to >= docs), 1) AS fence FROM {name}_u GROUP BY {keys}signal, docs)"""
 
 
 #: Counts, sketches, fences and verdicts over a relation docs(doc_id, text, lang, source).
@@ -24,24 +22,28 @@ q_repeated AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, k)
 q_covered AS (SELECT rid, sum(least({q.WINDOW}, nxt - i))::BIGINT AS n FROM (SELECT rid, i, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i), i + {q.WINDOW}) AS nxt FROM q_repeated) GROUP BY rid),
 q_lines AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM q_words),
 q_counts AS (SELECT w.*, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
-  length(regexp_replace(t, '[^A-Z]+', '', 'g'))::BIGINT AS n_upper, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  length(regexp_replace(t, '[\p{{L}}\p{{M}}\p{{N}}\x20\x09-\x0D]+', '', 'g'))::BIGINT AS n_marks, length(regexp_replace(t, '[^A-Z]+', '', 'g'))::BIGINT AS n_upper,
+  CASE WHEN len(ws) >= {q.WINDOW} THEN len(list_filter(list_zip(ws[1:-2], ws[2:]), lambda p: p[1] = p[2])) ELSE 0 END::BIGINT AS n_echoes,
+  len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM q_words w JOIN q_lines USING (rid) LEFT JOIN q_covered c USING (rid)),
-q_signals AS (SELECT *, coalesce(1000 * n_symbols // nullif(word_chars, 0), 0)::BIGINT AS symbol_mille, coalesce(1000 * n_upper // nullif(word_chars, 0), 0)::BIGINT AS upper_mille, coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0)::BIGINT AS dup_line_mille FROM q_counts),
-sketch AS (SELECT lang, source, signal, {_BIN} AS bin, count(*) AS n FROM (UNPIVOT (SELECT rid, lang, source, {", ".join(q.SLACK)} FROM q_signals) ON {", ".join(q.SLACK)} INTO NAME signal VALUE x) GROUP BY ALL),
+q_signals AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  coalesce(1000 * n_marks // nullif(word_chars, 0), 0)::BIGINT AS mark_mille, coalesce(1000 * n_upper // nullif(word_chars, 0), 0)::BIGINT AS upper_mille,
+  coalesce(1000 * n_echoes // nullif(n_words, 0), 0)::BIGINT AS echo_mille, coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0)::BIGINT AS dup_line_mille FROM q_counts),
+sketch AS (SELECT lang, source, signal, {_BIN} AS bin, count(*) AS n FROM (UNPIVOT (SELECT rid, lang, source, {", ".join(q.SIGNALS)} FROM q_signals WHERE NOT base_failed) ON {", ".join(q.SIGNALS)} INTO NAME signal VALUE x)
+  WHERE x > 0 OR signal NOT IN ({", ".join(f"'{s}'" for s in q.SPARSE)}) GROUP BY ALL),
 {_fences("f_own", "lang, source")},
 {_fences("f_lang", "lang")},
 {_fences("f_all", "")},
-q_limits AS (SELECT o.lang, o.source, o.signal, CASE WHEN o.docs >= {q.MIN_GROUP} THEN o.fence WHEN l.docs >= {q.MIN_GROUP} THEN l.fence ELSE a.fence END AS fence
+q_limits AS (SELECT o.lang, o.source, o.signal, least((o.docs * o.fence + {q.PRIOR} * ((l.docs * l.fence + {q.PRIOR} * a.fence) // (l.docs + {q.PRIOR}))) // (o.docs + {q.PRIOR}), {q.BOUND} * a.fence) AS fence
   FROM f_own o JOIN f_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.signal = l.signal JOIN f_all a ON a.signal = o.signal),
-q_wide AS (SELECT lang, source, {", ".join(f"max(fence) FILTER (signal = '{s}') AS max_{s}" for s in q.SLACK)} FROM q_limits GROUP BY lang, source),
-q_verdict AS (SELECT s.*, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed,
-  NOT (n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words) AND NOT ({" OR ".join(f"{s} > max_{s}" for s in q.SLACK)}) AS kept
-  FROM q_signals s JOIN q_wide w ON s.lang IS NOT DISTINCT FROM w.lang AND s.source IS NOT DISTINCT FROM w.source)"""
+q_wide AS (SELECT lang, source, {", ".join(f"max(fence) FILTER (signal = '{s}') AS max_{s}" for s in q.SIGNALS)} FROM q_limits GROUP BY lang, source),
+q_verdict AS (SELECT s.*, {", ".join(f"max_{s}" for s in q.SIGNALS)}, NOT base_failed AND NOT ({" OR ".join(f"coalesce({s} > max_{s}, false)" for s in q.SIGNALS)}) AS kept
+  FROM q_signals s LEFT JOIN q_wide w ON s.lang IS NOT DISTINCT FROM w.lang AND s.source IS NOT DISTINCT FROM w.source)"""
 
 _ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
 
 ORACLE: dict[str, str] = {
-    "op1_quality_rules": f"WITH docs AS (SELECT * FROM documents), {QUALITY_CTES}\nSELECT doc_id, {', '.join(q.COUNTS)}, base_failed, kept, {', '.join(q.SLACK)} FROM q_verdict",
+    "op1_quality_rules": f"WITH docs AS (SELECT * FROM documents), {QUALITY_CTES}\nSELECT doc_id, {', '.join(q.COUNTS)}, base_failed, kept, {', '.join(q.SIGNALS)} FROM q_verdict",
     "op2_chat_formatting": rf"""
 WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'),

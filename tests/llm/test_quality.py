@@ -54,12 +54,40 @@ def test_bins_keep_seven_bits(spark):
 
 
 def test_sketches_merge(spark):
-    rows = [("en", s, "symbol_mille", int(v), 1) for s in "ab" for v in range(50)]
+    rows = [("en", s, "mark_mille", int(v), 1) for s in "ab" for v in range(50)]
     sketch = spark.createDataFrame(rows, "lang string, source string, signal string, bin long, n long")
     merged = {r["bin"]: r["n"] for r in q.merge(sketch, "lang").collect()}
     assert merged == {v: 2 for v in range(50)}
     fence = q.fences(sketch, "lang").collect()[0]
-    assert fence["docs"] == 100 and fence["fence"] == 24 + q.SPREAD * (24 - 4) + q.SLACK["symbol_mille"]
+    assert fence["docs"] == 100 and fence["fence"] == 24 + q.SPREAD * (24 - 4)
+
+
+def limits(signals, spark):
+    """signals: rows of lang, source and the four signals, none of which fails the base rules."""
+    schema = "lang string, source string, " + ", ".join(f"{s} long" for s in q.SIGNALS) + ", base_failed boolean"
+    return {(r["lang"], r["source"]): r.asDict() for r in q.thresholds(q.sketches(spark.createDataFrame([(*x, False) for x in signals], schema))).collect()}
+
+
+def test_every_fence_follows_its_group(spark):
+    # Two sources of one language, of 4,000 documents each, whose signals differ by a factor of two.
+    rows = [("en", s, *(k * (20 + i % 7) for _ in q.SIGNALS)) for s, k in (("plain", 1), ("dense", 2)) for i in range(4000)]
+    got = limits(rows, spark)
+    for s in q.SIGNALS:
+        plain, dense = got["en", "plain"][f"max_{s}"], got["en", "dense"][f"max_{s}"]
+        assert 26 < plain < dense <= 2 * 26 + 2 * q.SPREAD * 4, s
+
+
+def test_a_junk_source_cannot_raise_its_own_threshold_without_limit(spark):
+    rows = [("en", f"s{i % 10}", 30 + i % 9, 15 + i % 5, i % 4, 0) for i in range(4000)] + [("en", "spam", 350 + i % 90, 15, 0, 0) for i in range(2000)]
+    got = limits(rows, spark)
+    assert got["en", "spam"]["max_mark_mille"] < 350
+    assert got["en", "s1"]["max_mark_mille"] < 350
+
+
+def test_a_small_group_is_judged_by_its_language(spark):
+    rows = [("en", "big", 20 + i % 7, 10, 0, 0) for i in range(5000)] + [("en", "small", 300, 10, 0, 0)] + [("de", "other", 60 + i % 7, 10, 0, 0) for i in range(5000)]
+    got = limits(rows, spark)
+    assert got["en", "small"]["max_mark_mille"] < 100 < 60 + q.SPREAD * 3 + got["de", "other"]["max_mark_mille"]
 
 
 def test_junk_goes_and_clean_stays_also_in_a_hot_source(docs, by_id):
