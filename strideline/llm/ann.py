@@ -1,22 +1,33 @@
 """Nearest neighbours by inner product: an inverted file whose lists are scanned dimension by dimension.
 
-Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm (0 for queries), so that the largest inner
-product is the smallest distance, and are turned by a seeded random rotation, after which the first b of D components
-hold about b/D of a squared distance. Lists are k-means cells fitted on a bounded sample; every vector is in one. A
-query probes the nearest lists. Within a list, components are read in column blocks: a candidate is abandoned as soon
-as the hypothesis that it is among the nearest fails,
+Vectors are dealt to bands of norm, each reaching from half of its largest norm to it. Divided by that and given one
+more component, which fills their length up to 1 (0 for queries, whose own length is 1), all of them lie on one sphere:
+the largest inner product is the smallest distance. A seeded random rotation then spreads a distance evenly, so the
+first b of D components hold about b/D of it.
 
-    partial > limit * b/D * (1 + EPSILON / sqrt(b))^2
+Lists are cells of two levels, fitted on a bounded sample: centres, and offsets from centres that all cells share, so
+the number of lists grows with the square root of the vectors' beyond what the sample could fit alone. A query probes
+the lists of largest expected inner product. Within a list, components are read in column blocks: a candidate is abandoned
+as soon as the hypothesis that it is among the nearest fails,
 
-with limit the k-th smallest squared distance so far. The number of probes is fitted: a bounded sample of queries is
-held against all vectors, in blocks, and the smallest number that reaches TARGET recall on it is taken.
+    partial > limit * b/D * (1 + EPSILON * sqrt((1 - b/D) / b))^2
 
-Equal vectors are searched once: of the rows with one vector only the K + 1 smallest ids can be among K nearest.
-Lists and their queries are dealt to groups of bounded size, so neither a large list nor a popular one is one task's.
+with limit the squared distance that belongs to the k-th largest inner product known: first that within the sample,
+then that of the lists read before. The number of probes is fitted: a bounded sample of queries is held against all
+vectors, in blocks, and the smallest number that reaches TARGET recall on it is taken.
+
+How it runs. Lists are put together in shards of bounded size, a longer one is dealt to several. A query goes once to
+each shard that holds lists it probes, so its vector travels once a shard, not once a list, and a shard returns at most
+K + 1 rows a query. Equal vectors are searched once: of the rows with one vector only the K + 1 smallest ids can be
+among K nearest. What is collected is bounded: the sample, the checked queries' neighbours, and a row for each list.
+
+Work. A query touches its probed lists' vectors, the fitted share of all. Vectors that form groups need few probes; of
+vectors spread evenly in many dimensions no partition keeps neighbours together, and the share is above one half.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and vectors of another number
 of components than most, take no part as queries or candidates; ties go to the smaller vec_id; of rows with one
-vec_id one counts, that of smallest hash; with fewer than K candidates all are returned; an empty table gives no rows.
+vec_id one counts, that of smallest hash; with fewer than K candidates all are returned; columns other than vec_id and
+embedding aren't read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +39,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut
 
-K, SAMPLE, MAX_LISTS, GROUP, CHECKED = 20, 8192, 1024, 4096, 128
+K, SAMPLE, CHECKED = 20, 8192, 128
+#: Centres and offsets at most; their product bounds the lists.
+LEVEL = 512
+#: Vectors in a shard, at least and at most, shards aimed at between, and queries that meet a shard in one task.
+SHARD, SHARDS, QUERIES = (1024, 65536), 64, 8192
 EPSILON, BLOCK, TARGET, SEED = 2.1, 16, 0.96, 11
 ROUNDS = 8
+#: Pairs whose partial distances are held at once.
+TILE = 1 << 21
 
 
 def usable(vector: Column) -> Column:
@@ -38,6 +55,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def log_norm(v: Column) -> Column:
+    """log2 of the length; components are divided by the largest first, so nothing overflows."""
+    most = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    return F.log2(most) + F.log2(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most))) / 2
+
+
 def rotation(dims: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(SEED).normal(size=(dims, dims)))
     return q * np.sign(np.diag(r))
@@ -47,53 +70,130 @@ def k_means(sample: np.ndarray, lists: int) -> np.ndarray:
     rng = np.random.default_rng(SEED)
     centres = sample[rng.permutation(len(sample))[:lists]].copy()
     for _ in range(ROUNDS):
-        own = nearest_lists(sample, centres, 1)[:, 0]
+        own = nearest(sample, centres)
         sums, n = np.zeros_like(centres), np.bincount(own, minlength=len(centres))
         np.add.at(sums, own, sample)
         centres[n > 0] = sums[n > 0] / n[n > 0, None]
     return centres
 
 
-def nearest_lists(x: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
-    d = (centres**2).sum(axis=1)[None] - 2 * x @ centres.T
-    return np.argsort(d, axis=1, kind="stable")[:, :probes] if probes > 1 else d.argmin(axis=1)[:, None]
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(axis=1)[None] - 2 * x @ centres.T).argmin(axis=1)
 
 
 class Index:
-    """The fitted part, bounded by MAX_LISTS and the dimension: rotation, largest norm and centres."""
-
-    def __init__(self, turn: np.ndarray, norm2: float, centres: np.ndarray):
-        self.turn, self.norm2, self.centres = turn, norm2, centres
-
-    def data(self, x: np.ndarray) -> np.ndarray:
-        extra = np.sqrt(np.maximum(self.norm2 - (x**2).sum(axis=1), 0))
-        return np.hstack([x, extra[:, None]]) @ self.turn
+    """The fitted part, bounded by LEVEL and the dimension: rotation, log2 of the largest norm, centres and offsets."""
+
+    def __init__(self, dims: int, log_most: float):
+        self.turn, self.log_most = rotation(dims + 1), log_most
+        self.centres = self.offsets = np.zeros((1, dims + 1))
+
+    def fit(self, sample: np.ndarray, lists: int) -> None:
+        x, _ = self.data(sample)
+        level = int(np.clip(round(lists**0.5), 1, min(LEVEL, max(1, len(x) // 4))))
+        self.centres = k_means(x, level)
+        self.offsets = k_means(x - self.centres[nearest(x, self.centres)], level)
+
+    def _unit(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of length 1, and log2 of their lengths."""
+        most = np.abs(x).max(axis=1, keepdims=True)
+        x = x / most
+        length = np.sqrt((x**2).sum(axis=1))
+        return x / length[:, None], np.log2(most[:, 0]) + np.log2(length)
+
+    def data(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rotated points of the sphere, and bands: 0 for the largest norms, one more for each halving."""
+        unit, log = self._unit(x)
+        behind = np.maximum(self.log_most - log, 0)
+        band = np.floor(behind)
+        unit = unit * np.exp2(band - behind)[:, None]
+        extra = np.sqrt(np.maximum(1 - (unit**2).sum(axis=1), 0))
+        return np.hstack([unit, extra[:, None]]) @ self.turn, band.astype(np.int64)
 
     def query(self, x: np.ndarray) -> np.ndarray:
-        return np.hstack([x, np.zeros((len(x), 1))]) @ self.turn
-
-
-def scan(q: np.ndarray, x: np.ndarray, k: int, block: int = BLOCK, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
-    """Places and squared distances of q's k nearest rows of x, with early abandoning."""
-    dims, first = x.shape[1], max(4 * k, 64)
-    d = ((x[:first] - q) ** 2).sum(axis=1)
-    at = np.argsort(d, kind="stable")[:k]
-    d = d[at]
-    for begin in range(first, len(x), 1024):
-        rows = np.arange(begin, min(begin + 1024, len(x)))
-        part = np.zeros(len(rows))
-        limit = d[-1] if len(d) == k else np.inf
-        for b in range(0, dims, block):
-            to = min(b + block, dims)
-            part = part + ((x[rows, b:to] - q[b:to]) ** 2).sum(axis=1)
-            stays = part <= (limit if to == dims else limit * to / dims * (1 + epsilon / np.sqrt(to)) ** 2)
-            rows, part = rows[stays], part[stays]
-            if not len(rows):
+        return np.hstack([self._unit(x)[0], np.zeros((len(x), 1))]) @ self.turn
+
+    def lists(self, x: np.ndarray, band: np.ndarray) -> np.ndarray:
+        centre = nearest(x, self.centres)
+        cell = centre * len(self.offsets) + nearest(x - self.centres[centre], self.offsets)
+        return band * (len(self.centres) * len(self.offsets)) + cell
+
+    def expected(self, q: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """For each query and list the inner product with the list's centre on the sphere, scaled by its band."""
+        band, cell = np.divmod(lists, len(self.centres) * len(self.offsets))
+        i, j = np.divmod(cell, len(self.offsets))
+        centre = self.centres[i] + self.offsets[j]
+        length = np.sqrt(np.maximum((centre**2).sum(axis=1), 1e-300))
+        return (q @ (centre / length[:, None]).T) * np.exp2(-band.astype(float))
+
+
+def scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray, block: int = BLOCK, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in q and x of the pairs within q's limits of squared distance, and their squared distances, with early abandoning."""
+    dims = x.shape[1]
+    found = []
+    step = max(1, TILE // max(1, len(q)))
+    for first in range(0, len(x), step):
+        part = x[first : first + step]
+        a, b, far = None, None, np.zeros((len(q), len(part)))
+        for at in range(0, dims, block):
+            to = min(at + block, dims)
+            bound = limit if to == dims else limit * (to / dims) * (1 + epsilon * np.sqrt((1 - to / dims) / to)) ** 2
+            if a is None:
+                u, v = q[:, at:to], part[:, at:to]
+                far = far + (u**2).sum(axis=1)[:, None] + (v**2).sum(axis=1)[None] - 2 * (u @ v.T)
+                stays = far <= bound[:, None]
+                # Whole matrices while most pairs stay, single pairs afterwards.
+                if to == dims or np.count_nonzero(stays) * 4 < stays.size:
+                    a, b = np.nonzero(stays)
+                    far = far[a, b]
+            else:
+                far = far + ((q[a, at:to] - part[b, at:to]) ** 2).sum(axis=1)
+                stays = far <= bound[a]
+                a, b, far = a[stays], b[stays], far[stays]
+            if a is not None and not len(a):
                 break
-        at, d = np.concatenate([at, rows]), np.concatenate([d, part])
-        order = np.argsort(d, kind="stable")[:k]
-        at, d = at[order], d[order]
-    return at, d
+        found.append((a, b + first, far))
+    join = lambda i, t: np.concatenate([*(f[i] for f in found), np.zeros(0, t)]).astype(t)
+    return join(0, np.int64), join(1, np.int64), join(2, np.float64)
+
+
+def best_of(owner: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each owner's k largest scores, ties to the smaller other, by owner and falling score."""
+    order = np.lexsort((other, -score, owner))
+    o = owner[order]
+    first = np.concatenate([[True], o[1:] != o[:-1]]) if len(o) else np.zeros(0, bool)
+    rank = np.arange(len(o)) - np.maximum.accumulate(np.where(first, np.arange(len(o)), 0))
+    return order[rank < k]
+
+
+class Pool:
+    """The best candidates of a block of queries, and the k-th largest inner product known for each."""
+
+    def __init__(self, known: np.ndarray, k: int):
+        self.known, self.k, self.parts, self.size = known.copy(), k, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+
+    def add(self, owner: np.ndarray, other: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((owner, other, score))
+        self.size += len(owner)
+        if self.size > 8 * self.k * max(1, len(self.known)):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        owner, other, score = (np.concatenate(x) for x in zip(*self.parts))
+        keep = best_of(owner, other, score, self.k)
+        owner, other, score = owner[keep], other[keep], score[keep]
+        ends = np.flatnonzero(np.concatenate([owner[1:] != owner[:-1], [True]])) if len(owner) else np.zeros(0, np.int64)
+        counts = np.diff(np.concatenate([[-1], ends]))
+        full = ends[counts == self.k]
+        self.known[owner[full]] = np.maximum(self.known[owner[full]], score[full])
+        self.parts, self.size = [(owner, other, score)], 0
+        return owner, other, score
+
+
+def limits(known: np.ndarray, band: int) -> np.ndarray:
+    """Squared distances on the band's sphere that belong to inner products; a little more, for rounding."""
+    with np.errstate(over="ignore"):
+        return 2 - 2 * known * np.exp2(float(min(band, 1100))) + 1e-9
 
 
 def _matrix(column) -> np.ndarray:
@@ -111,6 +211,29 @@ def _lists(column_rows: np.ndarray):
     return pa.ListArray.from_arrays(np.arange(0, (n + 1) * d, d, dtype=np.int32), column_rows.ravel())
 
 
+class Shards:
+    """Which shards a list's vectors are in: consecutive lists share one, a longer list has several of its own."""
+
+    def __init__(self, lists: np.ndarray, sizes: np.ndarray):
+        size = int(np.clip(sizes.sum() // SHARDS, *SHARD))
+        self.lists, self.first, self.parts = lists, np.zeros(len(lists), np.int64), np.maximum(1, -(-sizes // size))
+        at, held = 0, 0
+        for i, (n, parts) in enumerate(zip(sizes.tolist(), self.parts.tolist())):
+            if held and held + n > size:
+                at, held = at + 1, 0
+            self.first[i] = at
+            if parts > 1:
+                at, held = at + parts, 0
+            else:
+                held += n
+
+    def of(self, lists: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Of each vector."""
+        i = np.searchsorted(self.lists, lists)
+        mixed = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return self.first[i] + (mixed % self.parts[i].astype(np.uint64)).astype(np.int64)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """vectors: vec_id, embedding; is_query: over vec_id. Gives query_id, rank, vec_id, score."""
     import pyarrow as pa
@@ -127,63 +250,109 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     few = few.withColumns({"r": F.row_number().over(w.orderBy("vec_id")), "key": F.min("vec_id").over(w)}).filter(F.col("r") <= k + 1)
     copies = cut(few.select("h1", "h2", "key", "vec_id", "r", F.when(F.col("r") == 1, F.col("v")).alias("v")))
     single = copies.filter("r = 1").select("key", "v", "h1", "h2")
-    shape = single.agg(F.mode(F.size("v"), deterministic=True).alias("d"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.count("*").alias("n")).first()
+    shape = single.agg(F.mode(F.size("v"), deterministic=True).alias("d"), F.count("*").alias("n")).first()
     out = "query_id long, rank int, vec_id long, score double"
     if not shape["n"]:
         return spark.createDataFrame([], out)
     single = single.filter(F.size("v") == shape["d"])
-    sample = np.array([r[0] for r in single.orderBy(F.xxhash64("key")).limit(SAMPLE).select("v").collect()])
-    index = Index(rotation(shape["d"] + 1), shape["m"], np.zeros((1, shape["d"] + 1)))
-    lists = int(np.clip(round(shape["n"] ** 0.5), 1, min(MAX_LISTS, len(sample))))
-    index.centres = k_means(index.data(sample), lists)
+    index = Index(shape["d"], single.agg(F.max(log_norm(F.col("v")))).first()[0])
+    sample = single.orderBy(F.xxhash64("key")).limit(SAMPLE).select("key", "v").collect()
+    sample_keys, points = np.array([r["key"] for r in sample]), np.array([r["v"] for r in sample])
+    index.fit(points, round(shape["n"] ** 0.5))
+    sample_x, sample_band = index.data(points)
 
     def assign(batches: Iterator) -> Iterator:
         for b in batches:
             if b.num_rows:
-                x = index.data(_matrix(b.column("v")))
-                yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(nearest_lists(x, index.centres, 1)[:, 0], pa.int32()), _lists(x)], names=["key", "list", "x"])
+                x, band = index.data(_matrix(b.column("v")))
+                yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(index.lists(x, band)), _lists(x)], names=["key", "list", "x"])
 
-    placed = cut(single.select("key", "v").mapInArrow(assign, "key long, list int, x array<double>"))
+    placed = cut(single.select("key", "v").mapInArrow(assign, "key long, list long, x array<double>"))
     # Each query row finds its vector's key; a vector is searched once however many queries share it.
     asked = rows.filter(is_query).select("vec_id", "h1", "h2").distinct()
     asked = cut(asked.join(single.select("h1", "h2", "key"), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "key"))
     wanted = asked.select("key").distinct()
-    questions = single.select("key", "v").join(wanted, "key", "left_semi")
-    probes = _probes(placed, questions, index, k)
-
-    def probe(batches: Iterator) -> Iterator:
+    questions = cut(single.select("key", "v").join(wanted, "key", "left_semi"))
+    sizes = np.array([tuple(r) for r in placed.groupBy("list").count().orderBy("list").collect()], np.int64).reshape(-1, 2)
+    lists, shards = sizes[:, 0], Shards(sizes[:, 0], sizes[:, 1])
+    probes = _probes(placed, questions, index, lists, k)
+    blocks = max(1, -(-questions.count() // QUERIES))
+
+    def in_sample(keys: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Inner products with the sample, the query's own vector apart."""
+        score = (q @ sample_x.T) * np.exp2(-sample_band.astype(float))[None]
+        score[keys[:, None] == sample_keys[None]] = -np.inf
+        return score
+
+    def known(keys: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The k-th largest inner product within the sample."""
+        return np.partition(in_sample(keys, q), -k, axis=1)[:, -k] if len(sample_keys) >= k else np.full(len(q), -np.inf)
+
+    def seed(batches: Iterator) -> Iterator:
+        """The nearest of the sample are candidates: so every query has k, if there are so many."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                keys = b.column("key").to_numpy()
+                score = in_sample(keys, index.query(_matrix(b.column("v"))))
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                s, c, owner = np.take_along_axis(score, best, 1).ravel(), sample_keys[best].ravel(), np.repeat(keys, best.shape[1])
+                some = s > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(owner[some]), pa.array(c[some]), pa.array(s[some])], names=["q", "c", "s"])
+
+    def aim(batches: Iterator) -> Iterator:
+        """A row for each query and shard that holds lists it probes."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                keys, q = b.column("key").to_numpy(), index.query(_matrix(b.column("v")))
+                best = known(keys, q)
+                rank = np.argsort(-index.expected(q, lists), axis=1, kind="stable")[:, :probes]
+                who, which = np.repeat(np.arange(len(q)), rank.shape[1]), rank.ravel()
+                parts = shards.parts[which]
+                who, which = np.repeat(who, parts), np.repeat(which, parts)
+                shard = shards.first[which] + np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+                order = np.lexsort((which, shard, who))
+                who, which, shard = who[order], which[order], shard[order]
+                opens = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (shard[1:] != shard[:-1])])) if len(who) else np.zeros(0, np.int64)
+                ends = np.concatenate([opens, [len(who)]]).astype(np.int32)
+                w = who[opens]
+                block = (keys[w].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % np.uint64(blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(shard[opens]), pa.array(block.astype(np.int32)), pa.array(keys[w]), pa.array(best[w]), pa.ListArray.from_arrays(ends, lists[which]), _lists(q[w])], names=["shard", "block", "key", "known", "lists", "q"])
+
+    def deal(batches: Iterator) -> Iterator:
         for b in batches:
             if b.num_rows:
-                q = index.query(_matrix(b.column("v")))
-                near = nearest_lists(q, index.centres, probes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("key").to_numpy(), near.shape[1])), pa.array(near.ravel(), pa.int32())], names=["key", "list"])
-
-    aimed = questions.mapInArrow(probe, "key long, list int")
-    # Parts of bounded size: a list's vectors by parts, its queries by blocks. One row a list, so at most MAX_LISTS.
-    sizes = placed.groupBy("list").count().withColumnRenamed("count", "n").join(aimed.groupBy("list").count().withColumnRenamed("count", "m"), "list")
-    sizes = F.broadcast(cut(sizes.select("list", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"), F.ceil(F.col("m") / GROUP).cast("int").alias("blocks"))))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "key"), F.col(n)).cast("int")
-    left = placed.join(sizes, "list").select("list", dealt("parts", 2).alias("part"), spread("blocks").alias("block"), "key", "x")
-    right = aimed.join(sizes, "list").join(questions, "key").select("list", spread("parts").alias("part"), dealt("blocks", 3).alias("block"), "key", "v")
+                shard = shards.of(b.column("list").to_numpy(), b.column("key").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(shard), b.column("key"), b.column("list"), b.column("x")], names=["shard", "key", "list", "x"])
+
+    left = placed.mapInArrow(deal, "shard long, key long, list long, x array<double>").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = questions.mapInArrow(aim, "shard long, block int, key long, known double, lists array<long>, q array<double>")
+    cells = len(index.centres) * len(index.offsets)
 
     def compare(group, queries):
-        x, keys = _matrix(group.column("x")), group.column("key").to_numpy()
-        order = np.argsort(keys)
-        x, keys = x[order], keys[order]
-        q, who = index.query(_matrix(queries.column("v"))) if queries.num_rows else None, queries.column("key").to_numpy()
-        a, b, d = [], [], []
-        for i in range(queries.num_rows if len(x) else 0):
-            at, far = scan(q[i], x, k + 1)
-            a.append(np.full(len(at), who[i]))
-            b.append(keys[at])
-            d.append(far)
-        join = lambda xs, t: np.concatenate([*xs, np.zeros(0, t)]).astype(t)
-        return pa.table({"q": join(a, np.int64), "c": join(b, np.int64), "d": join(d, np.float64)})
-
-    by = ["list", "part", "block"]
-    near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "q long, c long, d double")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))).filter(F.col("r") <= k + 1).select("q", "c")
+        pool, who = Pool(queries.column("known").to_numpy(), k + 1), queries.column("key").to_numpy()
+        if group.num_rows and queries.num_rows:
+            x, keys, own = _matrix(group.column("x")), group.column("key").to_numpy(), group.column("list").to_numpy()
+            order = np.lexsort((keys, own))
+            x, keys, own = x[order], keys[order], own[order]
+            q, wanted = _matrix(queries.column("q")), queries.column("lists").combine_chunks()
+            probed, by = wanted.flatten().to_numpy(), np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy()))
+            order = np.lexsort((by, probed))
+            probed, by = probed[order], by[order]
+            for one in np.unique(own):
+                i, j = np.searchsorted(own, [one, one + 1])
+                mine = by[np.searchsorted(probed, one) : np.searchsorted(probed, one + 1)]
+                if len(mine):
+                    band = int(one // cells)
+                    a, b, far = scan(q[mine], x[i:j], limits(pool.known[mine], band))
+                    pool.add(mine[a], keys[i:j][b], (1 - far / 2) * np.exp2(-float(band)))
+        owner, other, score = pool.settle()
+        return pa.table({"q": who[owner] if len(owner) else np.zeros(0, np.int64), "c": other, "s": score})
+
+    near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(compare, "q long, c long, s double")
+    near = near.union(questions.mapInArrow(seed, "q long, c long, s double")).groupBy("q", "c").agg(F.max("s").alias("s"))
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "c"))).filter(F.col("r") <= k + 1).select("q", "c")
     score = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
     near = near.join(single.select(F.col("key").alias("c"), F.col("v").alias("b")), "c").join(single.select(F.col("key").alias("q"), F.col("v").alias("a")), "q").select("q", "c", score.alias("score"))
     rows_of = near.join(copies.select(F.col("key").alias("c"), "vec_id"), "c")
@@ -193,7 +362,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     return mine.select("query_id", F.posexplode("found").alias("p", "f")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), F.col("f.score").alias("score"))
 
 
-def _probes(placed: DataFrame, questions: DataFrame, index: Index, k: int) -> int:
+def _probes(placed: DataFrame, questions: DataFrame, index: Index, lists: np.ndarray, k: int) -> int:
     """The fewest probes that reach TARGET recall for CHECKED queries against all vectors."""
     import pyarrow as pa
 
@@ -201,18 +370,18 @@ def _probes(placed: DataFrame, questions: DataFrame, index: Index, k: int) -> in
     if not some:
         return 1
     q, ids = index.query(np.array([r["v"] for r in some])), np.array([r["key"] for r in some])
+    cells = len(index.centres) * len(index.offsets)
 
     def truth(batches: Iterator) -> Iterator:
         for b in batches:
             if b.num_rows:
-                x = _matrix(b.column("x"))
-                d = (x**2).sum(axis=1)[None] - 2 * q @ x.T
-                d[ids[:, None] == b.column("key").to_numpy()[None]] = np.inf
-                at = np.argsort(d, axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), at.shape[1])), pa.array(b.column("list").to_numpy()[at].ravel(), pa.int32()), pa.array(np.take_along_axis(d, at, 1).ravel())], names=["q", "list", "d"])
-
-    best = placed.mapInArrow(truth, "q long, list int, d double").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "list"))).filter(F.col("r") <= k)
-    order = nearest_lists(q, index.centres, len(index.centres))
-    place = np.argsort(order, axis=1)  # place[i, list]: how late query i probes it
-    hits = np.array([place[r["q"], r["list"]] for r in best.select("q", "list").collect()])
+                own, keys = b.column("list").to_numpy(), b.column("key").to_numpy()
+                s = (q @ _matrix(b.column("x")).T) * np.exp2(-(own // cells).astype(float))[None]
+                s[ids[:, None] == keys[None]] = -np.inf
+                at = np.argsort(-s, axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), at.shape[1])), pa.array(own[at].ravel()), pa.array(np.take_along_axis(s, at, 1).ravel())], names=["q", "list", "s"])
+
+    best = placed.mapInArrow(truth, "q long, list long, s double").filter(F.col("s") > float("-inf")).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "list"))).filter(F.col("r") <= k)
+    place = np.argsort(np.argsort(-index.expected(q, lists), axis=1, kind="stable"), axis=1)  # how late a query probes each list
+    hits = np.array([place[r["q"], np.searchsorted(lists, r["list"])] for r in best.select("q", "list").collect()])
     return int(np.sort(hits)[max(0, int(np.ceil(TARGET * len(hits))) - 1)]) + 1 if len(hits) else 1

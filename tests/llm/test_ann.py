@@ -54,12 +54,51 @@ def test_few_candidates_and_none(spark):
     assert ann.search(frame(spark, [], []), F.col("vec_id") == 0).count() == 0
 
 
+def recall(spark, x, k=20):
+    ids = np.arange(len(x))
+    by = {}
+    for r in ann.search(spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in zip(ids, x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k).collect():
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    wanted = {q: set(brute(ids, x, q, k)) for q in range(0, len(x), 20)}
+    return sum(len(by[q] & w) for q, w in wanted.items()) / sum(map(len, wanted.values()))
+
+
+def test_many_shards_parts_of_a_list_and_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", (16, 16))
+    monkeypatch.setattr(ann, "QUERIES", 10)
+    monkeypatch.setattr(ann, "TILE", 64)
+    rng = np.random.default_rng(4)
+    # Half of the vectors crowd in one place, so one list takes several shards.
+    x = np.concatenate([rng.normal(size=(400, 12)), [3.0] * 12 + 0.01 * rng.normal(size=(400, 12))])
+    assert recall(spark, x) >= 0.9
+
+
+def test_grouped_vectors_need_few_probes(spark, monkeypatch):
+    probes = []
+    fit = ann._probes
+    monkeypatch.setattr(ann, "_probes", lambda *a: probes.append((fit(*a), len(a[3]))) or probes[-1][0])
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(40, 24)), 50, axis=0) + 0.1 * rng.normal(size=(2000, 24))
+    assert recall(spark, x) >= 0.9
+    assert probes[0][0] * 3 <= probes[0][1]
+
+
+def test_large_and_small_finite_components(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 6))
+    x[:10] *= 1e150
+    x[10:20] *= 1e-150
+    assert recall(spark, x, 5) >= 0.9
+
+
 def test_scan_equals_brute_force_with_a_wide_test():
     rng = np.random.default_rng(3)
-    x, q = rng.normal(size=(3000, 40)), rng.normal(size=40)
-    at, d = ann.scan(q, x, 10, epsilon=50.0)
-    full = ((x - q) ** 2).sum(axis=1)
-    assert list(at) == list(np.argsort(full)[:10]) and np.allclose(d, np.sort(full)[:10])
+    x, q = rng.normal(size=(3000, 40)), rng.normal(size=(7, 40))
+    full = ((x[None] - q[:, None]) ** 2).sum(axis=2)
+    limit = np.sort(full, axis=1)[:, 9] * (1 + 1e-12)
+    a, b, far = ann.scan(q, x, limit, epsilon=50.0)
+    for i in range(7):
+        assert set(b[a == i]) == set(np.argsort(full[i])[:10]) and np.allclose(np.sort(far[a == i]), np.sort(full[i])[:10])
 
 
 def test_rotation_keeps_distances():
