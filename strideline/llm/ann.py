@@ -55,9 +55,8 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def log_norm(v: Column) -> Column:
+def log_norm(v: Column, most: Column) -> Column:
     """log2 of the length; components are divided by the largest first, so nothing overflows."""
-    most = F.array_max(F.transform(v, lambda x: F.abs(x)))
     return F.log2(most) + F.log2(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most))) / 2
 
 
@@ -248,14 +247,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2", part).orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     w = Window.partitionBy("h1", "h2")
     few = few.withColumns({"r": F.row_number().over(w.orderBy("vec_id")), "key": F.min("vec_id").over(w)}).filter(F.col("r") <= k + 1)
-    copies = cut(few.select("h1", "h2", "key", "vec_id", "r", F.when(F.col("r") == 1, F.col("v")).alias("v")))
-    single = copies.filter("r = 1").select("key", "v", "h1", "h2")
+    # The largest component is written too: within log_norm it would be sought again for every component.
+    own = F.col("r") == 1
+    copies = cut(few.select("h1", "h2", "key", "vec_id", "r", F.when(own, F.col("v")).alias("v"), F.when(own, F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("most")))
+    single = copies.filter("r = 1").select("key", "v", "h1", "h2", "most")
     shape = single.agg(F.mode(F.size("v"), deterministic=True).alias("d"), F.count("*").alias("n")).first()
     out = "query_id long, rank int, vec_id long, score double"
     if not shape["n"]:
         return spark.createDataFrame([], out)
     single = single.filter(F.size("v") == shape["d"])
-    index = Index(shape["d"], single.agg(F.max(log_norm(F.col("v")))).first()[0])
+    index = Index(shape["d"], single.agg(F.max(log_norm(F.col("v"), F.col("most")))).first()[0])
     sample = single.orderBy(F.xxhash64("key")).limit(SAMPLE).select("key", "v").collect()
     sample_keys, points = np.array([r["key"] for r in sample]), np.array([r["v"] for r in sample])
     index.fit(points, round(shape["n"] ** 0.5))
