@@ -36,7 +36,8 @@ def corpus(seed=1):
 
 
 def expected(texts, ids):
-    s = [nd.shingles(t) for t in texts]
+    s = [nd.word_codes(t) for t in texts]
+    k = [set(nd.shingles(t).tolist()) for t in texts]
     root = {i: i for i in ids}
 
     def find(x):
@@ -50,7 +51,7 @@ def expected(texts, ids):
                 continue
             same = texts[i] == texts[j]
             if not same and len(s[i]) and len(s[j]) and min(len(s[i]), len(s[j])) >= 0.7 * max(len(s[i]), len(s[j])):
-                same = nd.similar(lcs(s[i].tolist(), s[j].tolist()), len(s[i]), len(s[j]))
+                same = (len(k[i] & k[j]) >= nd.ORDER or s[i].tolist() == s[j].tolist()) and nd.similar(lcs(s[i].tolist(), s[j].tolist()), len(s[i]), len(s[j]))
             if same:
                 a, b = sorted((find(ids[i]), find(ids[j])))
                 root[b] = a
@@ -86,11 +87,43 @@ def test_linked_equals_definition():
         for _ in range(r.randrange(0, 5)):
             k = r.randrange(len(b))
             b[k : k + r.randrange(2)] = prose(r, r.randrange(2))
-        x, y = nd.shingles(" ".join(a)), nd.shingles(" ".join(b))
+        x, y = nd.word_codes(" ".join(a)), nd.word_codes(" ".join(b))
         want = bool(len(x) and len(y)) and nd.similar(lcs(x.tolist(), y.tolist()), len(x), len(y))
         assert nd.linked(x, y, nd.labelled(x), nd.labelled(y)) == want
 
 
+def test_recall_on_planted_edits(docs, by_id):
+    """Every twentieth word replaced, dropped or doubled: few five-word shingles are left, most words are."""
+    r = random.Random(11)
+    texts, alone = [], 60
+    for i in range(150):
+        words = prose(r, r.randrange(60, 400))
+        copy = []
+        for w in words:
+            copy += {0: ["edit"], 1: [], 2: [w, w]}.get(r.randrange(60), [w])
+        texts += [" ".join(words), " ".join(copy)]
+    texts += [" ".join(prose(r, 100)) for _ in range(alone)]
+    got = by_id(nd.classes(docs(texts)))
+    assert sum(got[i]["class_id"] == got[i + 1]["class_id"] for i in range(0, 300, 2)) >= 0.95 * 150
+    assert all(got[i]["class_id"] == i for i in range(300, 300 + alone))
+
+
+def test_sketches_of_a_long_text_in_steps(monkeypatch):
+    s, seeds = nd.shingles(" ".join(prose(random.Random(12), 500))), nd._seeds()
+    whole = nd.sketches(s, seeds)
+    monkeypatch.setattr(nd, "AT_ONCE", 700)
+    assert (nd.sketches(s, seeds) == whole).all()
+
+
+def test_clashing_columns(docs):
+    from pyspark.sql import functions as F
+
+    df = docs(["a b c d e f g h"] * 2 + ["x y z"]).withColumns({c: F.lit("mine") for c in ("row", "id", "__id", "digest", "label", "class_id", "a", "band")})
+    kept = nd.deduplicate(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+    assert nd.classes(df).count() == 3
+
+
 def test_order_matters_to_sketches():
     r = random.Random(7)
     w = prose(r, 400)
