@@ -160,3 +160,8 @@ def similarity(a: Column, b: Column) -> Column:
     """1 for equal texts, falling with edit distance to 0."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise((longest - F.levenshtein(a, b)) / longest)
+
+
+def month_label(day: Column) -> Column:
+    """The label of a month on a chart, as 'Jan 1997'."""
+    return F.date_format(day, "MMM yyyy")

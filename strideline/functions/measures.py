@@ -60,3 +60,9 @@ def safe_normalize(v: Column, low: Column, high: Column) -> Column:
 
 def risk_intensity(risky: Column, red: Column, pooled: Column) -> Column:
     return F.coalesce((risky + red) / F.lit(2.0), pooled)
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """To so many digits, halves up, as double: the same arithmetic in every engine."""
+    scale = float(10**digits)
+    return F.floor(x.cast("double") * scale + 0.5).cast("double") / scale

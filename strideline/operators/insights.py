@@ -1,7 +1,7 @@
 """Scored text insights: rules on a place's row beside the global row.
 
-Rules are data: (id, category, condition, score, text, value, comparison) Columns over the insight base joined with
-the baseline. One projection makes an array of structs; there is no loop over places.
+Rules are data: (id, category, condition, score, text, value, comparison) as SQL expressions over the insight base joined
+with the baseline. One projection makes an array of structs; there is no loop over places.
 """
 
 from __future__ import annotations
@@ -11,101 +11,93 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import measures as m
-
 MOST = 10
 
 
 @dataclass(frozen=True)
 class Rule:
+    """SQL expressions; values and comparisons are shown as doubles."""
+
     id: str
     category: str
-    when: Column
-    score: Column
-    text: Column
-    value: Column
-    comparison: Column | None = None
-
+    when: str
+    score: str
+    text: str
+    value: str
+    comparison: str = "CAST(NULL AS double)"
 
-def _c(name: str) -> Column:
-    return F.col(name)
 
+def shown(x: str, digits: int = 0) -> str:
+    """A number of at least 0 as text with so many digits, halves up."""
+    n = f"CAST(floor(({x}) * {float(10**digits)}D + 0.5D) AS bigint)"
+    return f"concat({n} div {10**digits}, '.', lpad(CAST({n} % {10**digits} AS string), {digits}, '0'))" if digits else f"CAST({n} AS string)"
 
-def _there(*names: str) -> Column:
-    out = F.lit(True)
-    for n in names:
-        out = out & F.col(n).isNotNull()
-    return out
 
+def delta(value: str, base: str) -> str:
+    return f"(try_divide(CAST({value} - {base} AS double), CAST(nullif({base}, 0) AS double)) * 100)"
 
-def _capped(x: Column, top: float) -> Column:
-    return F.least(x, F.lit(float(top)))
 
-
-def delta_rule(id: str, category: str, value: str, base: str, least: float, per: float, top: float, label: str, enough: Column, scale: float = 1.0) -> Rule:
+def delta_rule(id: str, category: str, value: str, base: str, least: float, per: float, top: float, label: str, enough: str, scale: int = 1, unit: str = "", digits: int = 1) -> Rule:
     """Shown if the place differs from the baseline by so many percent."""
-    d = m.delta_percent(_c(value), _c(base))
-    side = F.when(d > 0, "above").otherwise("below")
-    text = F.concat(F.lit(f"{label} is "), F.format_string("%.0f", F.abs(d)), F.lit("% "), side, F.lit(" the global figure"))
-    return Rule(id, category, enough & _there(value, base) & (_c(base) != 0) & (F.abs(d) >= least), _capped(F.abs(d) / per, top), text, _c(value) * scale, _c(base) * scale)
+    d = delta(value, base)
+    side = f"CASE WHEN {d} > 0 THEN 'above' ELSE 'below' END"
+    text = f"concat('{label} is ', {shown(f'{value} * {scale}', digits)}, '{unit}, ', {shown(f'abs({d})', 1)}, '% ', {side}, ' the global ', {shown(f'{base} * {scale}', digits)}, '{unit}')"
+    when = f"({enough}) AND {value} IS NOT NULL AND {base} IS NOT NULL AND {base} <> 0 AND abs({d}) >= {least}"
+    return Rule(id, category, when, f"least(abs({d}) / {per}D, {float(top)}D)", text, f"{value} * {float(scale)}D", f"{base} * {float(scale)}D")
 
 
 def crossing_rules(total: str = "total_places") -> list[Rule]:
     """The rules of the crossing domain; thresholds and scores are fixed values of the domain."""
-    people = lambda n: F.coalesce(_c("pedestrian_count") >= n, F.lit(False))
-    videos = lambda n: F.coalesce(_c("video_count") >= n, F.lit(False))
-    places = F.coalesce(F.nullif(_c(total), F.lit(0)), F.lit(50))
-    r, share, male = _c("speed_rank"), F.lit(100) / _c("weather_variety"), _c("male_ratio") * 100
-    off = F.abs(male - 50)
-    red, red_rank = _c("avg_run_red_light_ratio") * 100, _c("red_light_rank")
-    worst = F.greatest(*[F.coalesce(_c(c), F.lit(0.0)) for c in ("avg_crack_prob", "avg_potholes_prob", "avg_accident_prob")]) * 100
-    iqr = _c("global_q3_crossing_speed") - _c("global_q1_crossing_speed")
-    low, high = _c("global_q1_crossing_speed") - 1.5 * iqr, _c("global_q3_crossing_speed") + 1.5 * iqr
-    resident = F.abs(_c("avg_age") - _c("city_med_age"))
-    phone = _c("phone_usage_ratio") * 100
-    vehicles = F.slice(F.array_distinct(F.transform(F.split("vehicles_list", ","), lambda x: F.trim(x))), 1, 3)
-    fmt = lambda s, *cs: F.format_string(s, *cs)
+    people = "coalesce(pedestrian_count >= {}, false)".format
+    videos = "coalesce(video_count >= {}, false)".format
+    places = f"coalesce(nullif({total}, 0), 50)"
+    share, male, phone, red = "(100D / weather_variety)", "(male_ratio * 100)", "(phone_usage_ratio * 100)", "(avg_run_red_light_ratio * 100)"
+    off, resident = f"abs({male} - 50)", "abs(avg_age - city_med_age)"
+    worst = "(greatest(coalesce(avg_crack_prob, 0D), coalesce(avg_potholes_prob, 0D), coalesce(avg_accident_prob, 0D)) * 100)"
+    low_q, high_q = "global_q1_crossing_speed", "global_q3_crossing_speed"
+    iqr = f"({high_q} - {low_q})"
+    vehicles = "slice(array_distinct(transform(split(vehicles_list, ','), x -> trim(x))), 1, 3)"
+    optional = lambda label, x, digits, unit: f"CASE WHEN {x} IS NOT NULL THEN concat('{label} ', {shown(x, digits)}, '{unit}') END"
     return [
-        delta_rule("L1", "speed", "avg_crossing_speed", "global_avg_crossing_speed", 5, 50, 1, "Crossing speed", videos(1)),
-        Rule("L2", "rank", (r <= 10) | (r > places - 10), 0.6 + 0.4 * F.when(r <= 10, (11 - r) / 10).otherwise((r - (places - 10)) / 10), fmt("Ranks %d of %d by crossing speed", r.cast("long"), places.cast("long")), r.cast("double"), places.cast("double")),
-        delta_rule("L3", "behavior", "avg_risky_crossing_ratio", "global_risky_crossing_rate", 10, 100, 1, "Risky crossing", people(10), 100),
-        Rule("L4", "weather", _there("dominant_weather") & ~((share < 30) & (_c("weather_variety") > 2)), _capped(share / 100, 0.6), F.concat(F.lit("Mostly "), _c("dominant_weather"), F.lit(" weather")), share),
-        Rule("L5", "vehicle", _there("vehicles_list") & videos(2), F.lit(0.5), F.concat(F.lit("Most seen vehicles: "), F.array_join(vehicles, ", ")), F.size(vehicles).cast("double")),
-        delta_rule("L6", "demographic", "avg_age", "global_median_pedestrian_age", 15, 50, 0.8, "Average age", people(10)),
-        Rule("L7", "behavior", people(10) & (phone >= 10), _capped(phone / 50, 0.9), fmt("%.0f%% use a phone while crossing", phone), phone),
-        delta_rule("L8", "behavior", "avg_crosswalk_usage_ratio", "global_avg_crosswalk_usage_ratio", 15, 75, 0.9, "Crosswalk usage", people(10), 100),
-        Rule("L9", "rank", _c("continent_speed_rank") <= 3, 0.7 + 0.15 * (4 - _c("continent_speed_rank")), F.concat(fmt("Number %d by speed in ", _c("continent_speed_rank").cast("long")), F.coalesce("continent", F.lit("its continent"))), _c("continent_speed_rank").cast("double"), _c("cities_in_continent").cast("double")),
-        Rule("L10", "demographic", people(15) & _there("male_ratio") & (_c("male_ratio") != 0) & (off >= 20), _capped(off / 50, 0.7), fmt("%.0f%% of people are male", male), male, F.lit(50.0)),
-        Rule("L11", "behavior", people(10) & ((red >= 5) | (red_rank <= 10)) & _there("avg_run_red_light_ratio"), _capped(red / 30, 0.9), fmt("%.1f%% cross on red", red), red),
-        Rule("L12", "localization", _c("videos_localized") >= 1, F.lit(0.85), F.concat_ws(" ", fmt("%d sessions located", _c("videos_localized").cast("long")), F.concat(F.lit("near "), F.split(_c("localized_street"), "[;,]")[0])), _c("videos_localized").cast("double"), _c("video_count").cast("double")),
-        Rule("L13", "infrastructure", _c("avg_crosswalk_prob").isNotNull() | _c("avg_traffic_light_prob").isNotNull() | _c("avg_road_width").isNotNull(), F.lit(0.5), F.concat_ws(", ", fmt("crosswalks %.0f%%", _c("avg_crosswalk_prob") * 100), fmt("traffic lights %.0f%%", _c("avg_traffic_light_prob") * 100), fmt("road width %.1f m", _c("avg_road_width"))), _c("avg_road_width").cast("double")),
-        Rule("L14", "safety", worst >= 2, _capped(worst / 20, 0.75), fmt("Road hazards in up to %.0f%% of frames", worst), worst),
-        delta_rule("L15", "behavior", "avg_pedestrians_per_video", "global_avg_pedestrians_per_video", 25, 150, 0.7, "Pedestrian density", F.lit(True)),
-        delta_rule("L16", "vehicle", "avg_vehicles_per_video", "global_avg_vehicles_per_video", 30, 200, 0.6, "Traffic volume", F.lit(True)),
-        Rule("L17", "behavior", _c("avg_crossing_time") > 0, F.lit(0.45), fmt("%.1f s to decide and cross", _c("avg_crossing_time").cast("double")), _c("avg_crossing_time").cast("double")),
-        Rule("L18", "rank", (iqr > 0) & ((_c("avg_crossing_speed") < low) | (_c("avg_crossing_speed") > high)), F.lit(0.75), F.lit("Crossing speed is an outlier"), _c("avg_crossing_speed").cast("double")),
-        Rule("L19", "demographic", people(10) & (resident >= 5), _capped(resident / 20, 0.6), fmt("Observed age differs by %.0f years from residents'", resident.cast("double")), _c("avg_age").cast("double"), _c("city_med_age").cast("double")),
-        Rule("L20", "meta", videos(1), F.lit(0.3), fmt("From %d sessions and %d people", _c("video_count").cast("long"), _c("pedestrian_count").cast("long")), _c("video_count").cast("double")),
+        delta_rule("L1", "speed", "avg_crossing_speed", "global_avg_crossing_speed", 5, 50, 1, "Crossing speed", videos(1), unit=" m/s", digits=2),
+        Rule("L2", "rank", f"speed_rank <= 10 OR speed_rank > {places} - 10", f"0.6D + 0.4D * CASE WHEN speed_rank <= 10 THEN (11 - speed_rank) / 10D ELSE (speed_rank - ({places} - 10)) / 10D END", f"concat('Ranks ', speed_rank, ' of ', {places}, ' places by crossing speed')", "speed_rank", places),
+        delta_rule("L3", "behavior", "avg_risky_crossing_ratio", "global_risky_crossing_rate", 10, 100, 1, "Risky crossing", people(10), 100, "%"),
+        Rule("L4", "weather", f"dominant_weather IS NOT NULL AND NOT ({share} < 30 AND weather_variety > 2)", f"least({share} / 100, 0.6D)", f"concat('Mostly ', dominant_weather, ' weather (', weather_variety, ' kinds seen)')", share),
+        Rule("L5", "vehicle", f"vehicles_list IS NOT NULL AND {videos(2)}", "0.5D", f"concat('Most seen vehicles: ', array_join({vehicles}, ', '))", f"size({vehicles})"),
+        delta_rule("L6", "demographic", "avg_age", "global_median_pedestrian_age", 15, 50, 0.8, "Average age", people(10), unit=" years"),
+        Rule("L7", "behavior", f"{people(10)} AND {phone} >= 10", f"least({phone} / 50, 0.9D)", f"concat({shown(phone, 1)}, '% use a phone while crossing')", phone),
+        delta_rule("L8", "behavior", "avg_crosswalk_usage_ratio", "global_avg_crosswalk_usage_ratio", 15, 75, 0.9, "Crosswalk usage", people(10), 100, "%"),
+        Rule("L9", "rank", "continent_speed_rank <= 3", "0.7D + 0.15D * (4 - continent_speed_rank)", "concat('Number ', continent_speed_rank, ' of ', cities_in_continent, ' by crossing speed in ', coalesce(continent, 'its continent'))", "continent_speed_rank", "cities_in_continent"),
+        Rule("L10", "demographic", f"{people(15)} AND male_ratio IS NOT NULL AND male_ratio <> 0 AND {off} >= 20", f"least({off} / 50, 0.7D)", f"concat({shown(male, 1)}, '% of people are male')", male, "50"),
+        Rule("L11", "behavior", f"{people(10)} AND ({red} >= 5 OR red_light_rank <= 10) AND avg_run_red_light_ratio IS NOT NULL", f"least({red} / 30, 0.9D)", f"concat({shown(red, 1)}, '% cross on red')", red),
+        Rule("L12", "localization", "videos_localized >= 1", "0.85D", "concat_ws(' ', concat(videos_localized, ' of ', video_count, ' sessions located'), concat('near ', split(localized_street, '[;,]')[0]))", "videos_localized", "video_count"),
+        Rule("L13", "infrastructure", "avg_crosswalk_prob IS NOT NULL OR avg_traffic_light_prob IS NOT NULL OR avg_road_width IS NOT NULL", "0.5D", f"concat_ws(', ', {optional('crosswalks', 'avg_crosswalk_prob * 100', 0, '%')}, {optional('traffic lights', 'avg_traffic_light_prob * 100', 0, '%')}, {optional('road width', 'avg_road_width', 1, ' m')})", "avg_road_width"),
+        Rule("L14", "safety", f"{worst} >= 2", f"least({worst} / 20, 0.75D)", f"concat('Road hazards in up to ', {shown(worst, 1)}, '% of frames')", worst),
+        delta_rule("L15", "behavior", "avg_pedestrians_per_video", "global_avg_pedestrians_per_video", 25, 150, 0.7, "Pedestrian density", "true", unit=" a session"),
+        delta_rule("L16", "vehicle", "avg_vehicles_per_video", "global_avg_vehicles_per_video", 30, 200, 0.6, "Traffic volume", "true", unit=" vehicles a session"),
+        Rule("L17", "behavior", "avg_crossing_time > 0", "0.45D", f"concat({shown('avg_crossing_time', 1)}, ' s to decide and cross')", "avg_crossing_time"),
+        Rule("L18", "rank", f"{iqr} > 0 AND (avg_crossing_speed < {low_q} - 1.5D * {iqr} OR avg_crossing_speed > {high_q} + 1.5D * {iqr})", "0.75D", f"concat('Crossing speed of ', {shown('avg_crossing_speed', 2)}, ' m/s is an outlier')", "avg_crossing_speed"),
+        Rule("L19", "demographic", f"{people(10)} AND {resident} >= 5", f"least({resident} / 20, 0.6D)", f"concat('Observed age ', {shown('avg_age', 1)}, ' differs by ', {shown(resident, 1)}, ' years from residents')", "avg_age", "city_med_age"),
+        Rule("L20", "meta", videos(1), "0.3D", "concat('From ', video_count, ' sessions and ', pedestrian_count, ' people')", "video_count"),
     ]
 
 
-def confidence() -> Column:
-    v, p = F.coalesce(_c("video_count"), F.lit(0)), F.coalesce(_c("pedestrian_count"), F.lit(0))
-    return F.when((v >= 5) & (p >= 100), "high").when((v >= 3) & (p >= 50), "medium").otherwise("low")
+CONFIDENCE = "CASE WHEN coalesce(video_count, 0) >= 5 AND coalesce(pedestrian_count, 0) >= 100 THEN 'high' WHEN coalesce(video_count, 0) >= 3 AND coalesce(pedestrian_count, 0) >= 50 THEN 'medium' ELSE 'low' END"
+_SHOWN = ("id", "rule", "category", "text", "relevance_score", "data_confidence", "metrics")
 
 
 def generate(base: DataFrame, baseline: DataFrame, rules: Callable[[], list[Rule]] = crossing_rules, most: int = MOST, key: str = "place_id") -> DataFrame:
     """key and insights: array of (id, category, text, relevance_score, data_confidence, metrics), best first, at most `most`; ties by the rules' order."""
-    df = base.crossJoin(F.broadcast(baseline))
-    structs = []
+    made = []
     for i, r in enumerate(rules()):
-        comparison = F.lit(None).cast("double") if r.comparison is None else r.comparison.cast("double")
-        metrics = F.struct(r.value.cast("double").alias("city_value"), comparison.alias("comparison_value"), m.delta_percent(r.value, comparison).alias("delta_percent"))
-        fields = F.struct((-r.score.cast("double")).alias("o"), F.lit(i).alias("n"), F.concat_ws("_", F.col(key).cast("string"), F.lit(r.id)).alias("id"), F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), r.text.alias("text"), r.score.cast("double").alias("relevance_score"), confidence().alias("data_confidence"), metrics.alias("metrics"))
-        structs.append(F.when(F.coalesce(r.when, F.lit(False)), fields))
-    best = F.slice(F.array_sort(F.filter(F.array(*structs), lambda x: x.isNotNull())), 1, most)
-    shown = F.transform(best, lambda x: F.struct(*[x[n].alias(n) for n in ("id", "rule", "category", "text", "relevance_score", "data_confidence", "metrics")]))
-    return df.select(key, *[c for c in ("city", "country") if c in base.columns], shown.alias("insights"))
+        value, comparison = f"CAST({r.value} AS double)", f"CAST({r.comparison} AS double)"
+        metrics = f"named_struct('city_value', {value}, 'comparison_value', {comparison}, 'delta_percent', {delta(value, comparison)})"
+        score = f"CAST({r.score} AS double)"
+        made.append(f"CASE WHEN coalesce({r.when}, false) THEN named_struct('o', -{score}, 'n', {i}, 'id', concat_ws('_', CAST(`{key}` AS string), '{r.id}'), 'rule', '{r.id}', 'category', '{r.category}', 'text', {r.text}, 'relevance_score', {score}, 'data_confidence', {CONFIDENCE}, 'metrics', {metrics}) END")
+    best = f"slice(array_sort(filter(array({', '.join(made)}), x -> x IS NOT NULL)), 1, {most})"
+    fields = ", ".join(f"'{n}', x.{n}" for n in _SHOWN)
+    df = base.crossJoin(F.broadcast(baseline))  # one row
+    return df.select(key, *[c for c in ("city", "country") if c in base.columns], F.expr(f"transform({best}, x -> named_struct({fields}))").alias("insights"))
 
 
 def exploded(insights: DataFrame) -> DataFrame:
@@ -126,3 +118,12 @@ def from_json_insights(text: Column) -> Column:
     """Insights stored as JSON text; anything but an array is an empty one."""
     kind = "array<struct<id:string,category:string,text:string,relevance_score:string>>"
     return F.coalesce(F.when(F.ltrim(text).startswith("["), F.from_json(text, kind)), F.array().cast(kind))
+
+
+def store_insights(places: DataFrame, rows: DataFrame, key: str = "place_id") -> DataFrame:
+    """places with their insights as one array, best first; an empty one for a place without any. rows: one an insight,
+    with position, as exploded gives them: at most MOST a place, so an array is small."""
+    fields = [c for c in ("position", "id", "category", "text", "relevance_score", "data_confidence", "metrics") if c in rows.columns]
+    stored = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("insights"))
+    kind = dict(stored.dtypes)["insights"]
+    return places.drop("insights").join(stored, key, "left").withColumn("insights", F.coalesce("insights", F.array().cast(kind)))

@@ -153,3 +153,30 @@ def repair_names(bad: DataFrame, clean_names: DataFrame, country: str = "country
     scored = a.join(b, F.col(country) == F.col("__c")).withColumn("score", score).filter(F.col("score") > least)
     w = Window.partitionBy("place_id").orderBy(F.desc("score"), "repaired")
     return scored.withColumn("__r", F.row_number().over(w)).filter("__r = 1").select("place_id", "city", "repaired", "score")
+
+
+def country_codes(rows: DataFrame, countries: DataFrame, hint: str = "hint") -> DataFrame:
+    """rows with iso2, iso3 and continent of the country that a hint names by iso2, iso3 or name (in this order, whatever
+    the case); iso codes are NULL and the continent 'Unknown' where it names none.
+
+    countries: name, iso2, iso3, continent."""
+    ways = F.array(*[F.struct(F.lit(i).alias("way"), F.lower(F.trim(c)).alias("__key")) for i, c in enumerate(("iso2", "iso3", "name"))])
+    keys = countries.select("iso2", "iso3", "continent", F.explode(ways).alias("w")).select("iso2", "iso3", "continent", "w.*").filter(F.col("__key") != "")
+    one = keys.groupBy("__key").agg(F.min(F.struct("way", "iso2", "iso3", "continent")).alias("__c"))
+    df = rows.join(one, F.lower(F.trim(hint)) == F.col("__key"), "left")
+    unknown = F.coalesce(F.nullif(F.col("__c.continent"), F.lit("")), F.lit("Unknown"))
+    return df.select(*rows.columns, F.col("__c.iso2").alias("iso2"), F.col("__c.iso3").alias("iso3"), unknown.alias("continent"))
+
+
+#: Fields that a match fills if it has them, and fields that it decides.
+FILLED, DECIDED = ["state", "country", "iso3", "population"], ["continent", "latitude", "longitude"]
+
+
+def fill_from_match(places: DataFrame, matches: DataFrame, key: str = "place_id") -> DataFrame:
+    """places with what the place-name service found: FILLED fields where the match has a value, DECIDED fields as the
+    match has them; places without a match stay as they are. matches: one row a key."""
+    found = matches.select(F.col(key).alias("__key"), *[F.col(x).alias(f"__{x}") for x in FILLED + DECIDED])
+    df = places.join(found, F.col(key) == F.col("__key"), "left")
+    hit = F.col("__key").isNotNull()
+    cols = {x: F.coalesce(f"__{x}", x) for x in FILLED} | {x: F.when(hit, F.col(f"__{x}")).otherwise(F.col(x)) for x in DECIDED}
+    return df.withColumns(cols).select(*places.columns)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import measures as m
+from . import order
 
 
 @dataclass(frozen=True)
@@ -112,5 +113,5 @@ def layer_rows(base: DataFrame, metric: Metric, key: str = "place_id") -> DataFr
 
 def rank_by_average(df: DataFrame, columns: list[str], key: str = "place_id") -> DataFrame:
     """Rank as one more than the places with a larger average; a place without the average has 1."""
-    w = lambda c: Window.partitionBy(F.col(c).isNull()).orderBy(F.desc(c))
-    return df.select(key, *[F.when(F.col(c).isNull(), F.lit(1)).otherwise(F.rank().over(w(c))).alias(f"{c}_rank") for c in columns])
+    found = order.placed(df.select(key, *columns), {f"__{c}": (c, None) for c in columns}, key)
+    return found.select(key, *[F.coalesce(order.rank_known(f"__{c}"), F.lit(1)).alias(f"{c}_rank") for c in columns])

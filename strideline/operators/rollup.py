@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from . import order
 
 Spec = Mapping[str, Column]
+Percentiles = Mapping[str, tuple[str, float]]
 
 
 def session_rollup(sessions: DataFrame, spec: Spec, key: str = "place_id") -> DataFrame:
@@ -53,33 +55,34 @@ def session_summary(sessions: DataFrame, observations: DataFrame, parts: Spec, f
     return with_default(sessions.join(sums, "session_id", "left"), zeros)
 
 
-def baseline(sessions: DataFrame, observations: DataFrame, places: DataFrame, session_spec: Spec, observation_spec: Spec) -> DataFrame:
-    """One row: global figures of sessions, observations and places."""
+def baseline(sessions: DataFrame, observations: DataFrame, places: DataFrame, session_spec: Spec, observation_spec: Spec, session_percentiles: Percentiles | None = None, observation_percentiles: Percentiles | None = None) -> DataFrame:
+    """One row: global figures of sessions, observations and places. Percentiles: name -> (column, p)."""
     one = lambda df, spec: df.agg(*[c.alias(n) for n, c in spec.items()])
-    return one(sessions, session_spec).crossJoin(one(observations, observation_spec)).crossJoin(places.agg(F.count("*").alias("total_places")))
-
-
-def ranked(df: DataFrame, ranks: Mapping[str, str], percentiles: Mapping[str, str] | None = None) -> DataFrame:
-    """Global ranks (largest first, NULLs last) and percent ranks (smallest first, NULLs last) over one row a place."""
-    cols = {n: F.rank().over(Window.orderBy(F.desc_nulls_last(c))) for n, c in ranks.items()}
-    cols |= {n: F.percent_rank().over(Window.orderBy(F.asc_nulls_last(c))) for n, c in (percentiles or {}).items()}
-    return df.withColumns(cols)
-
-
-def rank_measured(df: DataFrame, name: str, column: str) -> DataFrame:
-    """Rank among rows that have the value; NULL for the others."""
-    known = F.col(column).isNotNull()
-    w = Window.partitionBy(known).orderBy(F.desc(column))
-    return df.withColumn(name, F.when(known, F.rank().over(w)))
-
-
-def rank_within(df: DataFrame, name: str, column: str, group: str) -> DataFrame:
-    return df.withColumn(name, F.rank().over(Window.partitionBy(group).orderBy(F.desc_nulls_last(column))))
+    out = one(sessions, session_spec).crossJoin(one(observations, observation_spec)).crossJoin(places.agg(F.count("*").alias("total_places")))
+    for df, wanted in ((sessions, session_percentiles), (observations, observation_percentiles)):
+        if wanted:
+            out = out.crossJoin(order.percentiles(df, wanted))
+    return out
+
+
+def ranked(df: DataFrame, ranks: Mapping[str, str], percentiles: Mapping[str, str] | None = None, known_only: Mapping[str, str] | None = None, within: Mapping[str, tuple[str, str]] | None = None, key: str = "place_id") -> DataFrame:
+    """Global ranks (largest first, NULLs last) and percent ranks (smallest first, NULLs last), ranks among rows that have
+    the value (NULL for the others), and ranks within a group: name -> (column, group). One row a key; no global sort."""
+    wanted = {c: (c, None) for part in (ranks, percentiles or {}, known_only or {}) for c in part.values()}
+    wanted |= {f"{c} in {g}": (c, g) for c, g in (within or {}).values()}
+    names = {w: f"__{i}" for i, w in enumerate(wanted)}
+    found = order.placed(df, {names[w]: x for w, x in wanted.items()}, key)
+    cols = {n: order.rank(names[c]) for n, c in ranks.items()}
+    cols |= {n: order.percent_rank(names[c]) for n, c in (percentiles or {}).items()}
+    cols |= {n: order.rank_known(names[c]) for n, c in (known_only or {}).items()}
+    cols |= {n: order.rank(names[f"{c} in {g}"]) for n, (c, g) in (within or {}).items()}
+    return found.withColumns(cols).drop(*names.values())
 
 
 def peers(df: DataFrame, name: str, group: str) -> DataFrame:
     """Rows in the same group; 0 for a NULL group."""
-    return df.withColumn(name, F.when(F.col(group).isNull(), F.lit(0).cast("long")).otherwise(F.count("*").over(Window.partitionBy(group))))
+    sizes = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias(name))
+    return df.join(sizes, group, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long"))).select(*df.columns, name)
 
 
 def sorted_list(x: Column) -> Column:

@@ -56,7 +56,7 @@ def place_summary_fanout(d: Data) -> DataFrame:
 def session_summary(d: Data) -> DataFrame:
     p = parts() | {"s_female": F.count_if(c("gender") == "female")}
     f = {"n_observations": c("n"), "avg_age": m.ratio(c("s_age"), c("n_age")), "male": c("s_male"), "female": c("s_female"), "n_risky": c("s_risky"), "risky_rate": m.ratio(c("s_risky"), c("n"))}
-    return rollup.session_summary(d.sessions.select("session_id", "place_id", "link", "collected", "status"), d.observations, p, f, ["n_observations", "male", "female", "n_risky"])
+    return rollup.session_summary(d.sessions.select("session_id", "place_id", "link", "collected", "status", "street_name"), d.observations, p, f, ["n_observations", "male", "female", "n_risky"])
 
 
 def behavior_profile(d: Data) -> DataFrame:
@@ -82,9 +82,10 @@ def rank_table(d: Data) -> DataFrame:
 
 
 def global_baseline(d: Data) -> DataFrame:
-    s = {"global_avg_speed": m.mean(c("speed")), "global_avg_risky_ratio": m.mean(c("risky_ratio")), "global_avg_red_ratio": m.mean(c("red_ratio")), "global_median_speed": m.percentile(c("speed"), 0.5), "global_q1_speed": m.percentile(c("speed"), 0.25), "global_q3_speed": m.percentile(c("speed"), 0.75), "total_sessions": F.count("*"), "localized": F.count_if(c("status") == "ok"), "global_avg_people": m.mean(c("n_people")), "global_avg_vehicles": m.mean(c("n_vehicles")), "global_avg_measured": m.mean(c("measured_speed")), "measured_sessions": F.count("measured_speed")}
-    o = {"global_avg_age": m.mean(c("age")), "global_median_age": m.percentile(c("age"), 0.5), "total_observations": F.count("*"), "global_risky_rate": m.pooled_rate(c("risky"), c("track")), "global_red_rate": m.pooled_rate(c("red_light"), c("track")), "global_phone_rate": m.pooled_rate(c("phone"), c("track"))}
-    return rollup.baseline(d.sessions, d.observations, d.places, s, o)
+    s = {"global_avg_speed": m.mean(c("speed")), "global_avg_risky_ratio": m.mean(c("risky_ratio")), "global_avg_red_ratio": m.mean(c("red_ratio")), "total_sessions": F.count("*"), "localized": F.count_if(c("status") == "ok"), "global_avg_people": m.mean(c("n_people")), "global_avg_vehicles": m.mean(c("n_vehicles")), "global_avg_measured": m.mean(c("measured_speed")), "measured_sessions": F.count("measured_speed")}
+    o = {"global_avg_age": m.mean(c("age")), "total_observations": F.count("*"), "global_risky_rate": m.pooled_rate(c("risky"), c("track")), "global_red_rate": m.pooled_rate(c("red_light"), c("track")), "global_phone_rate": m.pooled_rate(c("phone"), c("track"))}
+    quartiles = {"global_q1_speed": ("speed", 0.25), "global_median_speed": ("speed", 0.5), "global_q3_speed": ("speed", 0.75)}
+    return rollup.baseline(d.sessions, d.observations, d.places, s, o, quartiles, {"global_median_age": ("age", 0.5)})
 
 
 def insight_base(d: Data) -> DataFrame:
@@ -99,26 +100,27 @@ def insight_base(d: Data) -> DataFrame:
     o = rollup.observation_rollup(d.observations, d.sessions, parts(), {"pedestrian_count": c("n"), "avg_age": m.ratio(c("s_age"), c("n_age")), "male_ratio": m.ratio(c("s_male"), c("n")), "phone_usage_ratio": m.ratio(c("s_phone"), c("n")), "age_sample": c("n_age")})
     df = d.places.select("place_id", "city", "country", "continent", "city_med_age").join(s, "place_id", "left").join(o, "place_id", "left")
     df = rollup.with_default(df, ["video_count", "pedestrian_count"])
-    df = rollup.ranked(df, {"speed_rank": "avg_crossing_speed", "risky_rank": "avg_risky_crossing_ratio", "red_light_rank": "avg_run_red_light_ratio", "crosswalk_usage_rank": "avg_crosswalk_usage_ratio"})
-    df = rollup.rank_measured(df, "measured_walking_speed_rank", "avg_measured_walking_speed")
-    return rollup.peers(rollup.rank_within(df, "continent_speed_rank", "avg_crossing_speed", "continent"), "cities_in_continent", "continent")
+    ranks = {"speed_rank": "avg_crossing_speed", "risky_rank": "avg_risky_crossing_ratio", "red_light_rank": "avg_run_red_light_ratio", "crosswalk_usage_rank": "avg_crosswalk_usage_ratio"}
+    df = rollup.ranked(df, ranks, known_only={"measured_walking_speed_rank": "avg_measured_walking_speed"}, within={"continent_speed_rank": ("avg_crossing_speed", "continent")})
+    return rollup.peers(df, "cities_in_continent", "continent")
 
 
 def insight_baseline(d: Data) -> DataFrame:
     share = lambda x: m.mean(c(x)) / 100.0
-    s = {"global_avg_crossing_speed": m.mean(c("speed")), "global_q1_crossing_speed": m.percentile(c("speed"), 0.25), "global_q3_crossing_speed": m.percentile(c("speed"), 0.75), "global_avg_crosswalk_usage_ratio": share("crosswalk_ratio"), "global_avg_pedestrians_per_video": m.mean(c("n_people")), "global_avg_vehicles_per_video": m.mean(c("n_vehicles"))}
-    o = {"global_risky_crossing_rate": m.pooled_rate(c("risky"), c("track")), "global_median_pedestrian_age": m.percentile(c("age"), 0.5)}
-    return rollup.baseline(d.sessions, d.observations, d.places, s, o)
+    s = {"global_avg_crossing_speed": m.mean(c("speed")), "global_avg_crosswalk_usage_ratio": share("crosswalk_ratio"), "global_avg_pedestrians_per_video": m.mean(c("n_people")), "global_avg_vehicles_per_video": m.mean(c("n_vehicles"))}
+    o = {"global_risky_crossing_rate": m.pooled_rate(c("risky"), c("track"))}
+    return rollup.baseline(d.sessions, d.observations, d.places, s, o, {"global_q1_crossing_speed": ("speed", 0.25), "global_q3_crossing_speed": ("speed", 0.75)}, {"global_median_pedestrian_age": ("age", 0.5)})
 
 
 def all_insights(d: Data) -> DataFrame:
-    missing = ("avg_road_width", "avg_traffic_light_prob", "avg_crosswalk_prob", "avg_crack_prob", "avg_potholes_prob")
-    base = insight_base(d).withColumns({n: F.lit(None).cast("double") for n in missing})
+    """The adapters have no road width and scene probabilities of their own: crossing times and ratios stand in."""
+    missing = ("avg_traffic_light_prob", "avg_crack_prob", "avg_potholes_prob")
+    base = insight_base(d).withColumns({n: F.lit(None).cast("double") for n in missing} | {"avg_road_width": c("avg_crossing_time"), "avg_crosswalk_prob": c("avg_crosswalk_usage_ratio")})
     return insights.exploded(insights.generate(base, insight_baseline(d)))
 
 
 def insight_rules(d: Data) -> DataFrame:
-    return all_insights(d).select("place_id", "position", "rule", "category", "relevance_score", "data_confidence", c("metrics.city_value").alias("city_value"), c("metrics.comparison_value").alias("comparison_value"))
+    return all_insights(d).select("place_id", "position", "rule", "category", "relevance_score", "data_confidence", "text", c("metrics.city_value").alias("city_value"), c("metrics.comparison_value").alias("comparison_value"))
 
 
 def top_insights(d: Data) -> DataFrame:
@@ -186,10 +188,18 @@ def newest_sessions(d: Data) -> DataFrame:
     return filters.newest_sessions(d.sessions.select("session_id", "place_id", "collected", "status"), d.places).select("place_id", "position", "session_id", "collected", "latitude", "longitude")
 
 
+SERVED = {"avg_speed": 2, "avg_risky_ratio": 3, "risky_rate": 4, "avg_measured": 1, "conflicts_per_100": 2, "risk_intensity": 3}
+
+
+def served_rows(d: Data) -> DataFrame:
+    """The columns a client gets, rounded."""
+    return summary(d).select("place_id", *[m.rounded(c(x), n).alias(x) for x, n in SERVED.items()])
+
+
 def monthly_series(d: Data) -> DataFrame:
     s = d.sessions.withColumn("month", F.trunc("collected", "month")).filter(c("risky_ratio").isNotNull())
     v = s.groupBy("place_id", "month").agg(m.mean(c("risky_ratio")).alias("value"))
-    return asof.series_by_place(v, "1995-01-01", "1996-12-01")
+    return asof.series_by_place(v, "1992-01-01", "1998-12-01").withColumn("label", clean.month_label(c("month")))
 
 
 def monthly_events(d: Data) -> DataFrame:
@@ -486,6 +496,26 @@ def top_vehicle_places(d: Data) -> DataFrame:
     return reports.top_places(s, "n_vehicles", 10)
 
 
+def country_codes(d: Data) -> DataFrame:
+    countries = d.nation.join(d.region, c("n_regionkey") == c("r_regionkey")).select(c("n_name").alias("name"), F.concat(F.lit("C"), c("n_nationkey").cast("string")).alias("iso2"), F.concat(F.lit("N"), c("n_nationkey").cast("string")).alias("iso3"), c("r_name").alias("continent"))
+    k = c("c_custkey") % 5
+    n = c("c_nationkey").cast("string")
+    hint = F.when(k == 0, F.concat(F.lit(" c"), n)).when(k == 1, F.concat(F.lit("n"), n)).when(k == 2, F.concat(F.lit("Nation_"), n)).when(k == 3, "nowhere")
+    return place_ops.country_codes(d.customer.select("c_custkey", hint.alias("hint")), countries)
+
+
+def fill_from_match(d: Data) -> DataFrame:
+    k = c("place_id")
+    p = d.places.select(k, F.when(k % 2 == 0, c("state")).alias("state"), c("country"), F.when(k % 4 == 0, c("iso3")).alias("iso3"), c("population"), c("continent"), c("latitude"), c("longitude"))
+    found = d.places.filter(k % 3 != 0).select(k, F.when(k % 5 == 0, "found").alias("state"), F.when(k % 7 == 0, "land").alias("country"), c("iso3"), F.when(k % 2 == 1, c("population") + 1).alias("population"), F.lower("continent").alias("continent"), (c("population") % 90).cast("double").alias("latitude"), (c("population") % 180).cast("double").alias("longitude"))
+    return place_ops.fill_from_match(p, found)
+
+
+def stored_insights(d: Data) -> DataFrame:
+    stored = insights.store_insights(d.places.select("place_id", "city"), all_insights(d).drop("city", "country"))
+    return stored.select("place_id", "city", F.size("insights").cast("long").alias("n"), F.array_join(F.transform("insights", lambda i: F.substring_index(i["id"], "_", -1)), ",").alias("rules"))
+
+
 def safe_casts(d: Data) -> DataFrame:
     """Casts of texts made from events: prefixes, ranges and booleans."""
     k = c("event_id")
@@ -518,7 +548,7 @@ QUERIES = [
     place_card, summary_asof, compare_asof, batch_stats, place_list, newest_sessions, monthly_series, monthly_events, map_filtered, leaderboard_gated, extremes, mix_weather, mix_daynight, mix_gender, mix_sessions_by_gender,
     risk_by_bucket, flag_mix, risk_factors, rank_by_counting, measured_groups, avg_with_fallback, facts_melt, facts_ranked, facts_by_continent, facts_by_place, effects_balanced, merge_sessions, merge_partial,
     append_dedup, history_rows, lookup_fallback, rejects, lines_without_part, localization_apply, resolve_names, disambiguate, fuzzy_unique, enrich, candidate_score, missing_report, work_list, merge_duplicates,
-    homonym_dedup, repair_names, rank_scale, layer_rows, coverage, flag_coverage, top_vehicle_places, safe_casts, delta_vs_global, load_summary, known_places, metric_insights,
+    homonym_dedup, repair_names, rank_scale, layer_rows, coverage, flag_coverage, top_vehicle_places, safe_casts, delta_vs_global, load_summary, known_places, metric_insights, served_rows, country_codes, fill_from_match, stored_insights,
 ]
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .adapters import FLAGS, prelude
-from .driver import AS_OF, DATES, NULLABLE, TODAY
+from .driver import AS_OF, DATES, NULLABLE, SERVED, TODAY
 
 DENSE = "pipeline_version = 'dense_v2'"
 
@@ -84,36 +84,43 @@ INSIGHT_GLOBAL = f"""SELECT * FROM (SELECT {mean("speed")} AS g_speed, quantile_
   (SELECT {ratio(count_if("risky"), "count(*)")} AS g_risky, quantile_cont(age, 0.5) AS g_age FROM observations), (SELECT count(*) AS g_places FROM places)"""
 
 
-def delta_rule(n: int, rule: str, category: str, value: str, base: str, least: int, per: int, top: float, enough: str, scale: str = "1.0") -> str:
+def text(x: str, digits: int = 0) -> str:
+    n = f"CAST(floor(({x}) * {float(10**digits)}::double + 0.5::double) AS bigint)"
+    return f"({n} // {10**digits} || '.' || lpad(CAST({n} % {10**digits} AS varchar), {digits}, '0'))" if digits else f"CAST({n} AS varchar)"
+
+
+def delta_rule(n: int, rule: str, category: str, value: str, base: str, least: int, per: int, top: float, enough: str, label: str, unit: str = "", digits: int = 1, scale: str = "1.0") -> str:
     d = f"(({value} - {base}) / nullif({base}, 0) * 100)"
-    return f"SELECT place_id, {n} AS ord, '{rule}' AS rule, '{category}' AS category, least(abs({d}) / {per}, {top}::double) AS relevance_score, {value} * {scale}::double AS city_value, {base} * {scale}::double AS comparison_value FROM x WHERE {enough} AND {value} IS NOT NULL AND {base} <> 0 AND abs({d}) >= {least}"
+    shown = f"'{label} is ' || {text(f'{value} * {scale}::double', digits)} || '{unit}, ' || {text(f'abs({d})', 1)} || CASE WHEN {d} > 0 THEN '% above' ELSE '% below' END || ' the global ' || {text(f'{base} * {scale}::double', digits)} || '{unit}'"
+    return f"SELECT place_id, {n} AS ord, '{rule}' AS rule, '{category}' AS category, least(abs({d}) / {per}, {top}::double) AS relevance_score, {value} * {scale}::double AS city_value, {base} * {scale}::double AS comparison_value, {shown} AS text FROM x WHERE {enough} AND {value} IS NOT NULL AND {base} <> 0 AND abs({d}) >= {least}"
 
 
-def plain_rule(n: int, rule: str, category: str, when: str, score: str, value: str, comparison: str = "NULL::double") -> str:
-    return f"SELECT place_id, {n}, '{rule}', '{category}', CAST({score} AS double), CAST({value} AS double), CAST({comparison} AS double) FROM x WHERE {when}"
+def plain_rule(n: int, rule: str, category: str, when: str, score: str, value: str, shown: str, comparison: str = "NULL::double") -> str:
+    return f"SELECT place_id, {n}, '{rule}', '{category}', CAST({score} AS double), CAST({value} AS double), CAST({comparison} AS double), {shown} FROM x WHERE {when}"
 
 
 PEOPLE = "pedestrian_count >= {}"
 RULES = " UNION ALL ".join([
-    delta_rule(0, "L1", "speed", "avg_crossing_speed", "g_speed", 5, 50, 1, "video_count >= 1"),
-    plain_rule(1, "L2", "rank", "speed_rank <= 10 OR speed_rank > g_places - 10", "0.6::double + 0.4::double * CASE WHEN speed_rank <= 10 THEN (11 - speed_rank) / 10.0::double ELSE (speed_rank - (g_places - 10)) / 10.0::double END", "speed_rank", "g_places"),
-    delta_rule(2, "L3", "behavior", "avg_risky_crossing_ratio", "g_risky", 10, 100, 1, PEOPLE.format(10), "100"),
-    plain_rule(3, "L4", "weather", "dominant_weather IS NOT NULL AND NOT (100::double / weather_variety < 30 AND weather_variety > 2)", "least(100::double / weather_variety / 100, 0.6)", "100::double / weather_variety"),
-    plain_rule(4, "L5", "vehicle", "vehicles_list IS NOT NULL AND video_count >= 2", "0.5", "least(3, len(string_split(vehicles_list, ', ')))"),
-    delta_rule(5, "L6", "demographic", "avg_age", "g_age", 15, 50, 0.8, PEOPLE.format(10)),
-    plain_rule(6, "L7", "behavior", "pedestrian_count >= 10 AND phone_usage_ratio * 100 >= 10", "least(phone_usage_ratio * 100 / 50, 0.9)", "phone_usage_ratio * 100"),
-    delta_rule(7, "L8", "behavior", "avg_crosswalk_usage_ratio", "g_crosswalk", 15, 75, 0.9, PEOPLE.format(10), "100"),
-    plain_rule(8, "L9", "rank", "continent_speed_rank <= 3", "0.7::double + 0.15::double * (4 - continent_speed_rank)", "continent_speed_rank", "cities_in_continent"),
-    plain_rule(9, "L10", "demographic", "pedestrian_count >= 15 AND male_ratio <> 0 AND abs(male_ratio * 100 - 50) >= 20", "least(abs(male_ratio * 100 - 50) / 50, 0.7)", "male_ratio * 100", "50"),
-    plain_rule(10, "L11", "behavior", "pedestrian_count >= 10 AND avg_run_red_light_ratio IS NOT NULL AND (avg_run_red_light_ratio * 100 >= 5 OR red_light_rank <= 10)", "least(avg_run_red_light_ratio * 100 / 30, 0.9)", "avg_run_red_light_ratio * 100"),
-    plain_rule(11, "L12", "localization", "videos_localized >= 1", "0.85", "videos_localized", "video_count"),
-    plain_rule(13, "L14", "safety", "coalesce(avg_accident_prob, 0) * 100 >= 2", "least(avg_accident_prob * 100 / 20, 0.75)", "avg_accident_prob * 100"),
-    delta_rule(14, "L15", "behavior", "avg_pedestrians_per_video", "g_people", 25, 150, 0.7, "true"),
-    delta_rule(15, "L16", "vehicle", "avg_vehicles_per_video", "g_vehicles", 30, 200, 0.6, "true"),
-    plain_rule(16, "L17", "behavior", "avg_crossing_time > 0", "0.45", "avg_crossing_time"),
-    plain_rule(17, "L18", "rank", "q3 - q1 > 0 AND (avg_crossing_speed < q1 - 1.5::double * (q3 - q1) OR avg_crossing_speed > q3 + 1.5::double * (q3 - q1))", "0.75", "avg_crossing_speed"),
-    plain_rule(18, "L19", "demographic", "pedestrian_count >= 10 AND abs(avg_age - city_med_age) >= 5", "least(abs(avg_age - city_med_age) / 20, 0.6)", "avg_age", "city_med_age"),
-    plain_rule(19, "L20", "meta", "video_count >= 1", "0.3", "video_count"),
+    delta_rule(0, "L1", "speed", "avg_crossing_speed", "g_speed", 5, 50, 1, "video_count >= 1", "Crossing speed", " m/s", 2),
+    plain_rule(1, "L2", "rank", "speed_rank <= 10 OR speed_rank > g_places - 10", "0.6::double + 0.4::double * CASE WHEN speed_rank <= 10 THEN (11 - speed_rank) / 10.0::double ELSE (speed_rank - (g_places - 10)) / 10.0::double END", "speed_rank", "'Ranks ' || speed_rank || ' of ' || g_places || ' places by crossing speed'", "g_places"),
+    delta_rule(2, "L3", "behavior", "avg_risky_crossing_ratio", "g_risky", 10, 100, 1, PEOPLE.format(10), "Risky crossing", "%", scale="100"),
+    plain_rule(3, "L4", "weather", "dominant_weather IS NOT NULL AND NOT (100::double / weather_variety < 30 AND weather_variety > 2)", "least(100::double / weather_variety / 100, 0.6)", "100::double / weather_variety", "'Mostly ' || dominant_weather || ' weather (' || weather_variety || ' kinds seen)'"),
+    plain_rule(4, "L5", "vehicle", "vehicles_list IS NOT NULL AND video_count >= 2", "0.5", "least(3, len(string_split(vehicles_list, ', ')))", "'Most seen vehicles: ' || array_to_string(string_split(vehicles_list, ', ')[1:3], ', ')"),
+    delta_rule(5, "L6", "demographic", "avg_age", "g_age", 15, 50, 0.8, PEOPLE.format(10), "Average age", " years"),
+    plain_rule(6, "L7", "behavior", "pedestrian_count >= 10 AND phone_usage_ratio * 100 >= 10", "least(phone_usage_ratio * 100 / 50, 0.9)", "phone_usage_ratio * 100", f"{text('phone_usage_ratio * 100', 1)} || '% use a phone while crossing'"),
+    delta_rule(7, "L8", "behavior", "avg_crosswalk_usage_ratio", "g_crosswalk", 15, 75, 0.9, PEOPLE.format(10), "Crosswalk usage", "%", scale="100"),
+    plain_rule(8, "L9", "rank", "continent_speed_rank <= 3", "0.7::double + 0.15::double * (4 - continent_speed_rank)", "continent_speed_rank", "'Number ' || continent_speed_rank || ' of ' || cities_in_continent || ' by crossing speed in ' || continent", "cities_in_continent"),
+    plain_rule(9, "L10", "demographic", "pedestrian_count >= 15 AND male_ratio <> 0 AND abs(male_ratio * 100 - 50) >= 20", "least(abs(male_ratio * 100 - 50) / 50, 0.7)", "male_ratio * 100", f"{text('male_ratio * 100', 1)} || '% of people are male'", "50"),
+    plain_rule(10, "L11", "behavior", "pedestrian_count >= 10 AND avg_run_red_light_ratio IS NOT NULL AND (avg_run_red_light_ratio * 100 >= 5 OR red_light_rank <= 10)", "least(avg_run_red_light_ratio * 100 / 30, 0.9)", "avg_run_red_light_ratio * 100", f"{text('avg_run_red_light_ratio * 100', 1)} || '% cross on red'"),
+    plain_rule(11, "L12", "localization", "videos_localized >= 1", "0.85", "videos_localized", "videos_localized || ' of ' || video_count || ' sessions located near ' || localized_street", "video_count"),
+    plain_rule(12, "L13", "infrastructure", "avg_crosswalk_usage_ratio IS NOT NULL OR avg_crossing_time IS NOT NULL", "0.5", "avg_crossing_time", f"concat_ws(', ', 'crosswalks ' || {text('avg_crosswalk_usage_ratio * 100')} || '%', 'road width ' || {text('avg_crossing_time', 1)} || ' m')"),
+    plain_rule(13, "L14", "safety", "coalesce(avg_accident_prob, 0) * 100 >= 2", "least(avg_accident_prob * 100 / 20, 0.75)", "avg_accident_prob * 100", f"'Road hazards in up to ' || {text('avg_accident_prob * 100', 1)} || '% of frames'"),
+    delta_rule(14, "L15", "behavior", "avg_pedestrians_per_video", "g_people", 25, 150, 0.7, "true", "Pedestrian density", " a session"),
+    delta_rule(15, "L16", "vehicle", "avg_vehicles_per_video", "g_vehicles", 30, 200, 0.6, "true", "Traffic volume", " vehicles a session"),
+    plain_rule(16, "L17", "behavior", "avg_crossing_time > 0", "0.45", "avg_crossing_time", f"{text('avg_crossing_time', 1)} || ' s to decide and cross'"),
+    plain_rule(17, "L18", "rank", "q3 - q1 > 0 AND (avg_crossing_speed < q1 - 1.5::double * (q3 - q1) OR avg_crossing_speed > q3 + 1.5::double * (q3 - q1))", "0.75", "avg_crossing_speed", f"'Crossing speed of ' || {text('avg_crossing_speed', 2)} || ' m/s is an outlier'"),
+    plain_rule(18, "L19", "demographic", "pedestrian_count >= 10 AND abs(avg_age - city_med_age) >= 5", "least(abs(avg_age - city_med_age) / 20, 0.6)", "avg_age", f"'Observed age ' || {text('avg_age', 1)} || ' differs by ' || {text('abs(avg_age - city_med_age)', 1)} || ' years from residents'", "city_med_age"),
+    plain_rule(19, "L20", "meta", "video_count >= 1", "0.3", "video_count", "'From ' || video_count || ' sessions and ' || pedestrian_count || ' people'"),
 ])
 CONFIDENCE = "CASE WHEN video_count >= 5 AND pedestrian_count >= 100 THEN 'high' WHEN video_count >= 3 AND pedestrian_count >= 50 THEN 'medium' ELSE 'low' END"
 INSIGHTS = f"""insight_base AS ({INSIGHT_BASE}), insight_ranked AS ({INSIGHT_RANKED}), x AS (SELECT * FROM insight_ranked, ({INSIGHT_GLOBAL})),
@@ -147,7 +154,7 @@ KNOWN = "known AS (SELECT country AS name, continent, iso3, count(*) AS videos,
 QUERIES: dict[str, str] = {
     "place_summary": summary(),
     "place_summary_fanout": f"SELECT p.place_id, p.city, p.country, count(DISTINCT s.session_id) AS sessions, count(*) AS joined_rows, {mean('speed')} AS avg_speed, {ratio(count_if('risky'), 'count(*)')} AS risky_rate FROM places p LEFT JOIN sessions s ON p.place_id = s.place_id LEFT JOIN observations o ON s.session_id = o.session_id GROUP BY 1, 2, 3",
-    "session_summary": f"""SELECT s.session_id, s.place_id, s.link, s.collected, s.status, coalesce(n_observations, 0) AS n_observations, avg_age, coalesce(male, 0) AS male, coalesce(female, 0) AS female, coalesce(n_risky, 0) AS n_risky, risky_rate FROM sessions s LEFT JOIN
+    "session_summary": f"""SELECT s.session_id, s.place_id, s.link, s.collected, s.status, s.street_name, coalesce(n_observations, 0) AS n_observations, avg_age, coalesce(male, 0) AS male, coalesce(female, 0) AS female, coalesce(n_risky, 0) AS n_risky, risky_rate FROM sessions s LEFT JOIN
   (SELECT session_id, count(*) AS n_observations, {mean('age')} AS avg_age, {count_if("gender = 'male'")} AS male, {count_if("gender = 'female'")} AS female, {count_if('risky')} AS n_risky, {ratio(count_if('risky'), 'count(*)')} AS risky_rate FROM observations GROUP BY 1) o ON s.session_id = o.session_id""",
     "behavior_profile": f"""SELECT p.place_id, {count_if("gender = 'male'")} AS male, {count_if("gender = 'female'")} AS female, {count_if("gender IS NULL OR gender = ''")} AS unknown_gender, {mean('age')} AS avg_age, min(age) AS min_age, max(age) AS max_age, quantile_cont(age, 0.5) AS median_age,
   {count_if('daytime')} AS day, {count_if('NOT daytime')} AS night, {ratio(count_if('phone'), 'count(track)')} AS phone_rate FROM places p LEFT JOIN sessions s ON p.place_id = s.place_id LEFT JOIN observations o ON s.session_id = o.session_id GROUP BY 1""",
@@ -156,7 +163,7 @@ QUERIES: dict[str, str] = {
   {count_if("status = 'ok'")} AS localized, {mean('n_people')} AS global_avg_people, {mean('n_vehicles')} AS global_avg_vehicles, {mean('measured_speed')} AS global_avg_measured, count(measured_speed) AS measured_sessions FROM sessions),
   (SELECT {mean('age')} AS global_avg_age, quantile_cont(age, 0.5) AS global_median_age, count(*) AS total_observations, {ratio(count_if('risky'), 'count(*)')} AS global_risky_rate, {ratio(count_if('red_light'), 'count(*)')} AS global_red_rate, {ratio(count_if('phone'), 'count(*)')} AS global_phone_rate FROM observations), (SELECT count(*) AS total_places FROM places)""",
     "insight_base": f"@insight_base AS ({INSIGHT_BASE}) {INSIGHT_RANKED}",
-    "insight_rules": f"@{INSIGHTS} SELECT r.place_id, position, rule, category, relevance_score, {CONFIDENCE} AS data_confidence, city_value, comparison_value FROM rules r JOIN insight_base b ON r.place_id = b.place_id WHERE position <= 10",
+    "insight_rules": f"@{INSIGHTS} SELECT r.place_id, position, rule, category, relevance_score, {CONFIDENCE} AS data_confidence, text, city_value, comparison_value FROM rules r JOIN insight_base b ON r.place_id = b.place_id WHERE position <= 10",
     "top_insights": f"@{INSIGHTS} SELECT place_id, city, rule, relevance_score FROM (SELECT r.*, b.city, row_number() OVER (PARTITION BY r.place_id ORDER BY relevance_score DESC, r.place_id || '_' || rule) AS k FROM rules r JOIN insight_base b ON r.place_id = b.place_id WHERE position <= 10 AND category <> 'meta') WHERE k = 1 ORDER BY relevance_score DESC, city LIMIT 50",
     "weighted_measures": vid(names=["avg_measured", "measured_sample", "conflicts_per_100", "conflict_exposure", "dense_group_share"], key="weather"),
     "plausible_median": f"SELECT place_id, quantile_cont(CASE WHEN walking BETWEEN 30 AND 300 THEN walking END, 0.5) AS median_walking, {count_if('walking NOT BETWEEN 30 AND 300')} AS implausible, quantile_cont(CASE WHEN delay >= 0 THEN delay END, 0.5) AS median_delay FROM ({BY_PLACE}) GROUP BY 1",
@@ -171,9 +178,9 @@ QUERIES: dict[str, str] = {
     "batch_stats": "SELECT batch, count(DISTINCT s.session_id) AS sessions, count(DISTINCT place_id) AS places, coalesce(sum(n), 0)::BIGINT AS observations FROM sessions s LEFT JOIN (SELECT session_id, count(*) AS n FROM observations GROUP BY 1) o ON s.session_id = o.session_id GROUP BY 1",
     "place_list": "SELECT place_id, city, country, continent, population FROM places WHERE city ILIKE '%00000001%' AND country ILIKE '%nation_1%' AND continent IN ('ASIA', 'EUROPE', 'AMERICA')",
     "newest_sessions": "SELECT s.place_id, position, session_id, collected, latitude, longitude FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY collected DESC NULLS LAST, session_id DESC) AS position FROM sessions) s JOIN places p ON s.place_id = p.place_id WHERE position <= 5",
-    "monthly_series": f"""@v AS (SELECT place_id, CAST(date_trunc('month', collected) AS date) AS month, {mean('risky_ratio')} AS value FROM sessions WHERE risky_ratio IS NOT NULL AND session_id % 3 = 0 GROUP BY 1, 2),
-  m AS (SELECT place_id, CAST(month AS date) AS month FROM (SELECT DISTINCT place_id FROM v), (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1996-12-01', INTERVAL 1 MONTH)) AS month))
-  SELECT * FROM (SELECT m.place_id, m.month, last_value(value IGNORE NULLS) OVER (PARTITION BY m.place_id ORDER BY m.month ROWS UNBOUNDED PRECEDING) AS value FROM m LEFT JOIN v ON m.place_id = v.place_id AND m.month = v.month) WHERE value IS NOT NULL""",
+    "monthly_series": f"""@v AS (SELECT place_id, CAST(date_trunc('month', collected) AS date) AS month, {mean('risky_ratio')} AS value FROM sessions WHERE risky_ratio IS NOT NULL GROUP BY 1, 2),
+  m AS (SELECT place_id, CAST(month AS date) AS month FROM (SELECT DISTINCT place_id FROM v), (SELECT unnest(generate_series(DATE '1992-01-01', DATE '1998-12-01', INTERVAL 1 MONTH)) AS month))
+  SELECT *, strftime(month, '%b %Y') AS label FROM (SELECT m.place_id, m.month, last_value(value IGNORE NULLS) OVER (PARTITION BY m.place_id ORDER BY m.month ROWS UNBOUNDED PRECEDING) AS value FROM m LEFT JOIN v ON m.place_id = v.place_id AND m.month = v.month) WHERE value IS NOT NULL""",
     "monthly_events": "SELECT event_type, CAST(ts AS date) AS day, count(*) AS n, sum(CAST(round(value * 100) AS bigint))::BIGINT AS cents, count(*) FILTER (CAST(json_extract_string(props, '$.k') AS bigint) >= 50) AS high, max(CAST(json_extract_string(props, '$.k') AS bigint)) AS max_k FROM events GROUP BY 1, 2",
     "map_filtered": f"""SELECT place_id, city, total_sessions, n_observations, risky_rate, avg_speed FROM ({summary()}) WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND n_observations > 0 AND population BETWEEN 0 AND 800000 AND risky_rate > 0 AND place_id IN (
   SELECT place_id FROM ({BY_PLACE}) o JOIN (SELECT session_id FROM sessions WHERE lower(weather) IN ('1-urgent', '5-low', '3-medium')) w ON o.session_id = w.session_id WHERE (car OR bus) AND crosswalk AND (gender = 'female' OR gender IS NULL OR gender = '') GROUP BY 1 HAVING {count_if('car')} BETWEEN 1 AND 40 AND {count_if('truck')} <= 12)""",
@@ -205,7 +212,7 @@ QUERIES: dict[str, str] = {
     "merge_partial": """@o AS (SELECT * FROM (SELECT session_id, track, risky, age, walking, delay, row_number() OVER (PARTITION BY session_id, track ORDER BY walking NULLS FIRST, delay NULLS FIRST, risky NULLS FIRST, age NULLS FIRST) AS r FROM observations) WHERE r = 1),
   n AS (SELECT * FROM (SELECT session_id, track, risky, age + 1 AS age, walking + 1000 AS walking, delay, row_number() OVER (PARTITION BY session_id, track ORDER BY walking DESC NULLS LAST, delay DESC NULLS LAST, risky DESC NULLS LAST, age DESC NULLS LAST) AS r FROM observations WHERE session_id % 2 = 0) WHERE r = 1)
   SELECT o.session_id, o.track, coalesce(n.risky, o.risky) AS risky, o.age, coalesce(n.walking, o.walking) AS walking, o.delay FROM o LEFT JOIN n ON o.session_id = n.session_id AND o.track = n.track""",
-    "append_dedup": "SELECT session_id, track, gender FROM observations n WHERE session_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM observations t WHERE t.session_id % 4 = 0 AND t.session_id = n.session_id AND t.track = n.track AND coalesce(t.gender, '') = coalesce(n.gender, ''))",
+    "append_dedup": "SELECT session_id, track, gender FROM observations n WHERE NOT EXISTS (SELECT 1 FROM observations t WHERE t.session_id % 4 = 0 AND t.session_id = n.session_id AND t.track = n.track AND coalesce(t.gender, '') = coalesce(n.gender, ''))",
     "history_rows": f"@{INCOMING} SELECT link, n.speed, n.risky_ratio, o.speed AS old_speed, o.weather AS old_weather FROM old o JOIN new n USING (link)",
     "lookup_fallback": "@t AS (SELECT link, n_people AS duration, speed AS seconds, session_id AS o FROM sessions WHERE session_id % 10 = 0), b AS (SELECT duration, arg_max(seconds, o) AS seconds FROM t GROUP BY 1) SELECT s.session_id, s.link, s.n_people AS duration, coalesce(t.seconds, b.seconds) AS seconds FROM sessions s LEFT JOIN t ON s.link = t.link LEFT JOIN b ON s.n_people = b.duration",
     "rejects": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)",
@@ -255,6 +262,12 @@ QUERIES: dict[str, str] = {
     "known_places": f"SELECT DISTINCT city FROM ({summary()}) WHERE total_sessions > 0 AND n_observations > 0",
     "metric_insights": " UNION ALL ".join(f"""SELECT '{x}' AS metric, *, '{label} is highest in ' || top_name || ' and lowest in ' || bottom_name AS sentence FROM (SELECT (SELECT city FROM ({RANK_BASE}) WHERE {x} > 0 ORDER BY {x} DESC, city LIMIT 1) AS top_name, (SELECT max({x}) FROM ({RANK_BASE})) AS top_value,
   (SELECT city FROM ({RANK_BASE}) WHERE {x} > 0 ORDER BY {x}, city LIMIT 1) AS bottom_name, (SELECT min({x}) FROM ({RANK_BASE}) WHERE {x} > 0) AS bottom_value, '{label}' AS label, (SELECT {mean(g)} FROM sessions) AS global_mean)""" for x, label, g in (("avg_speed", "Speed", "speed"), ("avg_red_ratio", "Red light running", "red_ratio"))),
+    "served_rows": f"SELECT place_id, {', '.join(f'floor({x} * {float(10 ** n)}::double + 0.5::double) / {float(10 ** n)}::double AS {x}' for x, n in SERVED.items())} FROM ({summary()})",
+    "country_codes": """@h AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN ' c' || c_nationkey WHEN 1 THEN 'n' || c_nationkey WHEN 2 THEN 'Nation_' || c_nationkey WHEN 3 THEN 'nowhere' END AS hint FROM customer)
+  SELECT c_custkey, hint, 'C' || n_nationkey AS iso2, 'N' || n_nationkey AS iso3, coalesce(r_name, 'Unknown') AS continent FROM h LEFT JOIN (nation JOIN region ON n_regionkey = r_regionkey) ON lower(trim(hint)) IN ('c' || n_nationkey, 'n' || n_nationkey, lower(n_name))""",
+    "fill_from_match": """SELECT place_id, CASE WHEN place_id % 3 <> 0 AND place_id % 5 = 0 THEN 'found' WHEN place_id % 2 = 0 THEN state END AS state, CASE WHEN place_id % 3 <> 0 AND place_id % 7 = 0 THEN 'land' ELSE country END AS country, CASE WHEN place_id % 3 <> 0 OR place_id % 4 = 0 THEN iso3 END AS iso3,
+  CASE WHEN place_id % 3 <> 0 AND place_id % 2 = 1 THEN population + 1 ELSE population END AS population, CASE WHEN place_id % 3 <> 0 THEN lower(continent) ELSE continent END AS continent, CASE WHEN place_id % 3 <> 0 THEN CAST(population % 90 AS double) ELSE latitude END AS latitude, CASE WHEN place_id % 3 <> 0 THEN CAST(population % 180 AS double) ELSE longitude END AS longitude FROM places""",
+    "stored_insights": f"@{INSIGHTS} SELECT p.place_id, p.city, count(rule) AS n, coalesce(string_agg(rule, ',' ORDER BY position), '') AS rules FROM places p LEFT JOIN (SELECT * FROM rules WHERE position <= 10) r ON p.place_id = r.place_id GROUP BY 1, 2",
     "load_summary": "SELECT (SELECT count(*) FROM places) AS n_places, (SELECT count(*) FROM sessions) AS n_sessions, (SELECT count(*) FROM observations) AS n_observations, (SELECT max(collected) FROM sessions) AS latest",
 }
 

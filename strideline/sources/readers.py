@@ -102,6 +102,26 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode("m").alias("alias", "name")).filter(~F.col("alias").startswith("_"))
 
 
+def read_world_places(spark: SparkSession, path: str) -> DataFrame:
+    """The world's places from CSV (name, country, iso3, continent, population, latitude, longitude): one row a name and
+    country, typed, with videos 0, so that resolve takes it as its world layer; rows without a name or a place go."""
+    df = _strings(spark, path, "UTF-8")
+    text = lambda c: clean.clean_string(F.col(c)) if c in df.columns else F.lit(None).cast("string")
+    df = df.select(
+        text("name").alias("name"), text("country").alias("country"), text("iso3").alias("iso3"), text("continent").alias("continent"), clean.safe_numeric(F.col("population")).cast("long").alias("population"),
+        clean.parse_coord(F.col("latitude"), -90, 90).alias("latitude"), clean.parse_coord(F.col("longitude"), -180, 180).alias("longitude"), F.lit(0).cast("long").alias("videos"),
+    ).filter("name IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL")
+    best = F.max_by(F.struct(*[c for c in df.columns if c not in ("name", "country")]), F.struct(F.coalesce("population", F.lit(-1)), "latitude", "longitude"))
+    return df.groupBy("name", "country").agg(best.alias("b")).select("name", "country", "b.*")
+
+
+def homonyms(world: DataFrame) -> DataFrame:
+    """name_key and its places, most people first: an array for each folded name, as long as the name has homonyms."""
+    place = F.struct((-F.coalesce("population", F.lit(0))).alias("o"), "country", "population", "latitude", "longitude")
+    found = world.withColumn("name_key", clean.normalize_name(F.col("name"))).groupBy("name_key").agg(F.array_sort(F.collect_list(place)).alias("p"))
+    return found.select("name_key", F.transform("p", lambda x: F.struct(*[x[c].alias(c) for c in ("country", "population", "latitude", "longitude")])).alias("places"))
+
+
 def read_category_stats(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return _strings(spark, f"{folder}/{name}.csv", "UTF-8")
 

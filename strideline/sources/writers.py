@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import clean
-from ..operators import places as place_ops
+from ..operators import insights, merge, places as place_ops
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -36,10 +36,16 @@ def export_gazetteer(places: DataFrame, aliases: DataFrame) -> tuple[DataFrame,
     return kept, aliases.join(known, clean.normalize_name(F.col("name")) == F.col("__k"), "left_semi")
 
 
-def publish(steps: list[tuple[str, Callable[[], object]]]) -> list[str]:
-    """Run the steps of a publication in order; the names of those done. A failing step ends it."""
-    done = []
-    for name, step in steps:
-        step()
-        done.append(name)
-    return done
+def publish(spark: SparkSession, folder: str, places: DataFrame, sessions: DataFrame, incoming: DataFrame, localizations: DataFrame, fields: list[str], summarize: Callable[[DataFrame, DataFrame], DataFrame], describe: Callable[[DataFrame, DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """Import, coordinates, refresh, insights, refresh: the snapshots sessions, located, summary, insights and published
+    below folder, each read back by the next step. A failing step ends it; the versions before it stay.
+
+    incoming and localizations: new rows by link. summarize: places and sessions -> summary. describe: places and sessions
+    -> one row an insight."""
+    return refresh_snapshots(spark, folder, {
+        "sessions": lambda s: merge.merge(sessions, merge.pick(incoming, ["link"], incoming.columns), ["link"], {"session_id": merge.OLD_OR_NEW}),
+        "located": lambda s: merge.apply_localizations(s.table("sessions"), localizations, fields),
+        "summary": lambda s: summarize(places, s.table("located")),
+        "insights": lambda s: describe(places, s.table("located")),
+        "published": lambda s: insights.store_insights(s.table("summary"), s.table("insights")),
+    })

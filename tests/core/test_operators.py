@@ -25,7 +25,7 @@ def test_sessions_are_not_weighted_by_their_observations(city):
 
 def test_ranks_put_nulls_last_and_measured_ranks_leave_them_out(spark):
     df = spark.createDataFrame([(1, 5.0, "X"), (2, 5.0, "X"), (3, None, "Y"), (4, 1.0, None)], "place_id int, v double, g string")
-    got = {r["place_id"]: r for r in rollup.peers(rollup.rank_within(rollup.rank_measured(rollup.ranked(df, {"r": "v"}, {"p": "v"}), "m", "v"), "w", "v", "g"), "n", "g").collect()}
+    got = {r["place_id"]: r for r in rollup.peers(rollup.ranked(df, {"r": "v"}, {"p": "v"}, {"m": "v"}, {"w": ("v", "g")}), "n", "g").collect()}
     assert [got[i]["r"] for i in (1, 2, 3, 4)] == [1, 1, 4, 3] and got[3]["m"] is None and got[4]["m"] == 3
     assert got[4]["p"] == 0.0 and got[3]["p"] == 1.0 and got[4]["n"] == 0 and got[1]["n"] == 2
 

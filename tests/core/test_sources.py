@@ -58,7 +58,6 @@ def test_gazetteer_export_and_snapshots(spark, tmp_path):
     assert [r["place_id"] for r in kept.collect()] == [2] and [r["alias"] for r in aliases.collect()] == ["Sampa"]
     tables = writers.refresh_snapshots(spark, str(tmp_path), {"snap_a": lambda s: s.range(3), "snap_b": lambda s: s.table("snap_a").filter("id > 0")})
     assert tables["snap_b"].count() == 2
-    assert writers.publish([("one", lambda: None), ("two", lambda: None)]) == ["one", "two"]
 
 
 def test_merge_stream_is_exactly_once(spark, tmp_path):
@@ -70,3 +69,31 @@ def test_merge_stream_is_exactly_once(spark, tmp_path):
         ingest.merge_stream(spark, paths["in"], schema, paths["out"], paths["ck"], step).awaitTermination()
     got = {r["k"]: r["n"] for r in ingest.current(spark, paths["out"], schema, 2).collect()}
     assert got == {"a": 5, "b": 2, "c": 8}
+
+
+def test_publish_runs_every_step_on_the_last_ones_snapshot(spark, tmp_path):
+    places = spark.createDataFrame([(1, "A"), (2, "B")], "place_id long, city string")
+    kind = "session_id long, link string, place_id long, speed double, status string, latitude double"
+    old = spark.createDataFrame([(1, "u", 1, 2.0, "none", None)], kind)
+    new = spark.createDataFrame([(None, "u", 1, 4.0, "none", None), (2, "v", 2, 8.0, "none", None)], kind)
+    found = spark.createDataFrame([("v", "ok", 5.0)], "link string, status string, latitude double")
+
+    def summarize(p, s):
+        return p.join(s.groupBy("place_id").agg(F.avg("speed").alias("speed"), F.max("latitude").alias("latitude")), "place_id", "left")
+
+    def describe(p, s):
+        return s.filter("speed > 5").select("place_id", F.lit(1).alias("position"), F.lit("fast").alias("category"), F.lit("x").alias("text"))
+
+    out = writers.publish(spark, str(tmp_path), places, old, new, found, ["latitude"], summarize, describe)
+    assert list(out) == ["sessions", "located", "summary", "insights", "published"]
+    rows = {r["city"]: r for r in out["published"].collect()}
+    assert (rows["A"]["speed"], rows["A"]["latitude"], rows["A"]["insights"]) == (4.0, None, [])
+    assert (rows["B"]["speed"], rows["B"]["latitude"], rows["B"]["insights"][0]["category"]) == (8.0, 5.0, "fast")
+    assert sorted(r["session_id"] for r in out["sessions"].collect()) == [1, 2]
+
+
+def test_world_places_and_homonyms(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("name,country,population,latitude,longitude\nParis,France,2000000,48.8,2.3\nPARIS,United States,25000,33.6,-95.5\nParis,France,10,1,1\n,Nowhere,1,1,1\nLost,X,5,99,0\n", encoding="utf-8")
+    world = readers.read_world_places(spark, str(tmp_path / "w.csv"))
+    assert sorted((r["name"], r["country"], r["population"], r["videos"]) for r in world.collect()) == [("PARIS", "United States", 25000, 0), ("Paris", "France", 2000000, 0)]
+    assert [(r["name_key"], [p["country"] for p in r["places"]]) for r in readers.homonyms(world).collect()] == [("paris", ["France", "United States"])]
