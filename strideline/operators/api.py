@@ -23,14 +23,59 @@ def city_compare(now: DataFrame, then: DataFrame, date: str, today: str, counts:
     return asof.compare(one(now), one(then), ["city", "country"], counts, rates, filters.real_date(date), today)
 
 
-def metric_series(sessions: DataFrame, place: int, value: Column, end_month: str, months: int | None = None) -> DataFrame:
-    """The monthly mean of a value at one place over the last 1 to 60 months (6 by default), gaps filled."""
+#: Metrics of the monthly series; pooled ones are shares of observations, others means over sessions.
+SERIES_POOLED = {"risky_crossing_rate": "risky", "run_red_light_rate": "red_light", "crosswalk_usage_rate": "crosswalk"}
+SERIES_MEANS = {"avg_crossing_speed": "speed", "avg_crossing_time": "crossing_time", "avg_measured_walking_speed": "measured_speed"}
+
+
+def monthly_values(sessions: DataFrame, observations: DataFrame, metric: str) -> tuple[DataFrame, DataFrame]:
+    """place_id, month and value of a metric, and place_id and value over all time. Observations are counted per session first."""
+    month = F.trunc("collected", "month").alias("month")
+    if metric in SERIES_POOLED:
+        counts = rollup.observation_sums(observations, {"hits": m.count_true(F.col(SERIES_POOLED[metric])), "n": F.count("*")})
+        rows = sessions.select("session_id", "place_id", month).join(counts, "session_id")
+        value = m.ratio(F.sum("hits"), F.sum("n"))
+    elif metric in SERIES_MEANS:
+        rows = sessions.select("place_id", month, F.col(SERIES_MEANS[metric]).alias("v")).filter("v IS NOT NULL")
+        value = m.mean(F.col("v"))
+    else:
+        raise ValueError(f"unknown metric: {metric}")
+    return rows.filter("month IS NOT NULL").groupBy("place_id", "month").agg(value.alias("value")), rows.groupBy("place_id").agg(value.alias("value"))
+
+
+def all_series(sessions: DataFrame, observations: DataFrame, metric: str, start: str, end: str) -> DataFrame:
+    """place_id, month, value and label for every place: gaps filled; a place with nothing in the window has its value over
+    all time at the window's end."""
+    monthly, whole = monthly_values(sessions, observations, metric)
+    inside = monthly.filter(F.col("month").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    series = asof.series_by_place(inside, start, end)
+    single = whole.filter("value IS NOT NULL").join(inside.select("place_id").distinct(), "place_id", "left_anti").select("place_id", F.lit(end).cast("date").alias("month"), "value")
+    return series.select("place_id", "month", "value").unionByName(single).withColumn("label", clean.month_label(F.col("month")))
+
+
+def metric_series(sessions: DataFrame, observations: DataFrame, place: int, metric: str, end_month: str, months: int | None = None) -> DataFrame:
+    """month, value and label of one place over the last 1 to 60 months (6 by default); no rows for an unknown place."""
     n = filters.clamp(months, 1, 60, 6)
-    one = sessions.filter(F.col("place_id") == place).select(F.trunc("collected", "month").alias("month"), value.alias("v")).filter("v IS NOT NULL")
-    start = f"{end_month[:4]}-{end_month[5:7]}-01"
-    year, month = int(start[:4]), int(start[5:7]) - (n - 1)
-    first = f"{year + (month - 1) // 12:04d}-{(month - 1) % 12 + 1:02d}-01"
-    return asof.monthly_series(one.groupBy("month").agg(m.mean(F.col("v")).alias("value")), first, start)
+    end = f"{end_month[:4]}-{end_month[5:7]}-01"
+    year, month = int(end[:4]), int(end[5:7]) - (n - 1)
+    start = f"{year + (month - 1) // 12:04d}-{(month - 1) % 12 + 1:02d}-01"
+    one = sessions.filter(F.col("place_id") == place)
+    own = observations.join(one.select("session_id"), "session_id", "left_semi")
+    return all_series(one, own, metric, start, end).select("month", "value", "label")
+
+
+def global_insights(baseline: DataFrame, numbers: dict[str, str], rates: dict[str, str]) -> DataFrame:
+    """The global row as a client gets it: names of numbers, and of rates, which are times 100."""
+    return baseline.select(*[F.col(c).alias(n) for n, c in numbers.items()], *[(F.col(c) * 100).alias(n) for n, c in rates.items()])
+
+
+def deltas_vs_global(base: DataFrame, baseline: DataFrame, metrics: dict[str, str], key: str = "place_id") -> DataFrame:
+    """key, metric, value, delta and above: each metric beside the global figure; rates between 0 and 1 count as percentages.
+
+    metrics: column of base -> column of baseline, which has one row."""
+    value = lambda c, g: F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"), m.delta_percent_panel(F.col(c), F.col(g)).alias("delta"), F.coalesce(F.col(c) > F.col(g), F.lit(False)).alias("above"))
+    rows = base.crossJoin(F.broadcast(baseline.select(*metrics.values())))
+    return rows.select(key, F.explode(F.array(*[value(c, g) for c, g in metrics.items()])).alias("d")).select(key, "d.*").filter("value IS NOT NULL")
 
 
 def known_places(summary: DataFrame, sessions: str = "total_sessions", people: str = "n_observations") -> DataFrame:

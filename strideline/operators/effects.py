@@ -2,13 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import clean
+
 #: How far a rate must be from the baseline, in percent points.
 THRESHOLDS = {"risky_crossing": 2.0, "run_red_light": 1.0}
 PER_CATEGORY, OVERALL = 3, 10
 
 
+@dataclass(frozen=True)
+class Source:
+    """A statistics table of categories: label and rate columns by metric; rates are shown times scale, those at most floor don't count for the baseline."""
+
+    category: str
+    label: Column
+    rates: dict[str, str]
+    floor: float = 0.01
+    scale: float = 1.0
+    group: bool = False
+
+
+def sources() -> dict[str, Source]:
+    """The six kinds of categories of the crossing domain."""
+    percent = {"risky_crossing": "risky_crossing_rate(%)", "run_red_light": "run_red_light_rate(%)"}
+    share = {"risky_crossing": "risky_crossing", "run_red_light": "run_red_light"}
+    named = lambda x: clean.capitalise_first(F.col(x))
+    return {
+        "weather_daytime_stats": Source("Environmental", F.concat(named("weather"), F.lit(" + "), clean.format_daytime(F.col("daytime"))), {"risky_crossing": "risky_crossing_prob", "run_red_light": "run_red_light_prob"}),
+        "gender_stats": Source("Demographics", F.nullif(F.col("gender"), F.lit("")), share, 0.0001, 100.0),
+        "age_stats": Source("Age", clean.age_effect_group(F.col("age").cast("int")), share, 0.0001, 100.0, True),
+        "clothing_stats": Source("Demographics", named("clothing_type"), percent),
+        "phone_stats": Source("Behavior", F.when(F.col("accessory") == "phone_using", "Phone Users").otherwise(named("accessory")), percent),
+        "vehicle_stats": Source("Vehicles", named("vehicle_type"), percent),
+    }
+
+
+def relationships(metric: str, tables: Mapping[str, DataFrame], threshold: float | None = None) -> DataFrame:
+    """The balanced effects of all sources at hand on a metric. tables: name -> statistics table."""
+    if metric not in THRESHOLDS:
+        raise ValueError(f"unknown metric: {metric}")
+    found = None
+    for name, s in sources().items():
+        if name in tables:
+            df, rate = tables[name].filter(s.label.isNotNull()), F.col(f"`{s.rates[metric]}`")
+            label, rate, df = (F.col("label"), F.col("rate"), grouped_mean(df, s.label, rate)) if s.group else (s.label, rate, df)
+            one = effect_sizes(df, label, rate, s.category, THRESHOLDS[metric] if threshold is None else threshold, s.floor, s.scale)
+            found = one if found is None else found.unionByName(one)
+    if found is None:
+        raise ValueError("no statistics tables")
+    return balanced(found)
+
+
 def filtered_mean(rate: Column, above: float) -> Column:
     """Mean of the rates above a floor; 0 if there are none."""
     return F.coalesce(F.avg(F.when(rate > above, rate)), F.lit(0.0))

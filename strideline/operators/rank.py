@@ -42,6 +42,11 @@ REGISTRY = {
     "road_width": Metric("avg_road_width", "m", None, 0, None, "global_avg_road_width"),
     "pedestrian_density": Metric("pedestrian_count", "", None, 0, None),
 }
+#: The map's metrics: density there is people a session, and mortality is the country's.
+MAP_REGISTRY = REGISTRY | {
+    "pedestrian_density": Metric("avg_pedestrians_per_video", "people a session"),
+    "traffic_mortality": Metric("traffic_mortality", "per 100k", None, 0, False),
+}
 SMALLEST_SHARE, BOARD, SCALED_FROM = 0.0001, 100, 5
 
 
@@ -73,6 +78,24 @@ def leaderboard(base: DataFrame, metric: Metric, baseline: DataFrame | None = No
     )
 
 
+def leaderboards(base: DataFrame, metrics: dict[str, Metric], baseline: DataFrame | None = None, key: str = "place_id", limit: int = BOARD) -> DataFrame:
+    """The leaderboard of every metric, with its name, in one pass over base; a metric without a rank or baseline has NULLs there."""
+    rows = base if baseline is None else base.crossJoin(F.broadcast(baseline.select(*{m_.baseline for m_ in metrics.values() if m_.baseline})))  # one row
+    there = lambda c, kind: F.col(c).cast(kind) if c and c in rows.columns else F.lit(None).cast(kind)
+
+    def entry(name: str, metric: Metric) -> Column:
+        value = F.col(metric.column).cast("double")
+        made = F.struct(
+            F.lit(name).alias("metric"), (-value if metric.higher_is_better else value).alias("o"), (value * (100 if metric.unit == "%" else 1)).alias("value"),
+            m.delta_percent(value, there(metric.baseline, "double")).alias("delta_percent"), there(metric.rank, "int").alias("stored_rank"),
+        )
+        return F.when(passes(metric), made)
+
+    found = rows.select(key, F.explode(F.filter(F.array(*[entry(n, x) for n, x in metrics.items()]), lambda e: e.isNotNull())).alias("e")).select(key, "e.*")
+    found = found.withColumn("position", F.row_number().over(Window.partitionBy("metric").orderBy("o", key))).filter(F.col("position") <= limit)
+    return found.select("metric", "position", key, "value", "delta_percent", "stored_rank")
+
+
 def top_by_rank(ranked: DataFrame, rank: str, n: int = 10, allowed: tuple[str, ...] = ()) -> DataFrame:
     """The first n by a stored rank."""
     if allowed and rank not in allowed:

@@ -202,6 +202,15 @@ def monthly_series(d: Data) -> DataFrame:
     return asof.series_by_place(v, "1992-01-01", "1998-12-01").withColumn("label", clean.month_label(c("month")))
 
 
+def metric_series(d: Data) -> DataFrame:
+    """All places and two metrics, a pooled one and a mean; the window leaves some places without a month."""
+    rows = None
+    for metric in ("risky_crossing_rate", "avg_measured_walking_speed"):
+        one = api.all_series(d.sessions, d.observations, metric, "1998-02-01", "1998-07-01").withColumn("metric", F.lit(metric))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 def monthly_events(d: Data) -> DataFrame:
     e = d.events.select("event_type", F.to_date("ts").alias("day"), F.round(c("value") * 100).cast("long").alias("cents"), F.get_json_object("props", "$.k").cast("long").alias("k"))
     return e.groupBy("event_type", "day").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"), F.count_if(c("k") >= 50).alias("high"), F.max("k").alias("max_k"))
@@ -227,6 +236,27 @@ def leaderboard_gated(d: Data) -> DataFrame:
     return rank.leaderboard(measured_base(d), GATED, base)
 
 
+BOARDS = {
+    "speed": rank.Metric("avg_speed", "", None, 0, True, "global_avg_speed", "speed_rank"), "risky": rank.Metric("avg_risky_ratio", "", "n_observations", 30, False, "global_avg_risky_ratio", "risky_rank"),
+    "red": rank.Metric("avg_red_ratio", "", "n_observations", 30, False, "global_avg_red_ratio", "red_rank"), "crosswalk": rank.Metric("avg_crosswalk_ratio", "", "n_observations", 30, True, None, "crosswalk_rank"),
+    "phone": rank.Metric("phone_rate", "%", "n_observations", 30, False, "global_phone_rate"), "measured": rank.Metric("avg_measured", "", "measured_sample", 30, True, "global_avg_measured"),
+    "conflicts": rank.Metric("conflicts_per_100", "", "conflict_exposure", 30, False), "groups": rank.Metric("dense_group_share", "%", "total_sessions", 5, None), "age": rank.Metric("avg_age", "", "age_sample", 30, None, "global_avg_age"), "people": rank.Metric("n_observations"),
+}
+
+
+def leaderboards(d: Data) -> DataFrame:
+    base = summary(d).join(rollup.ranked(rank_base(d), RANKS).select("place_id", *RANKS), "place_id")
+    return rank.leaderboards(base, BOARDS, global_baseline(d))
+
+
+def global_insights(d: Data) -> DataFrame:
+    return api.global_insights(global_baseline(d), {"crossing_speed": "global_avg_speed", "walking_speed": "global_avg_measured", "avg_age": "global_avg_age", "places": "total_places", "sessions": "total_sessions", "people": "total_observations"}, {"risky_rate": "global_risky_rate", "red_rate": "global_red_rate", "phone_rate": "global_phone_rate"})
+
+
+def deltas_vs_global(d: Data) -> DataFrame:
+    return api.deltas_vs_global(summary(d), global_baseline(d), {"avg_speed": "global_avg_speed", "avg_measured": "global_avg_measured", "risky_rate": "global_risky_rate", "red_rate": "global_red_rate", "phone_rate": "global_phone_rate", "avg_age": "global_avg_age"})
+
+
 def extremes(d: Data) -> DataFrame:
     return rank.extremes(rank_base(d), list(RANKS.values()))
 
@@ -342,6 +372,26 @@ def effects_balanced(d: Data) -> DataFrame:
     return effects.balanced(e.unionByName(effects.effect_sizes(a, c("label"), c("rate"), "Age", 0.02, 0.0001, 100.0))).select("position", "category", "label", F.round("rate", 6).alias("rate"), F.round("effect", 6).alias("effect"), "direction")
 
 
+def stats_by_flag(d: Data, name: str, flags: dict[str, str]) -> DataFrame:
+    """Percent risky and on red among observations with each flag, one pass. flags: column -> name."""
+    wide = d.observations.agg(*[x for f in flags for x in (m.count_true(c(f)).alias(f"{f}_n"), m.count_true(c(f) & c("risky")).alias(f"{f}_risky"), m.count_true(c(f) & c("red_light")).alias(f"{f}_red"))])
+    one = lambda f, n: F.struct(F.lit(n).alias(name), m.ratio(F.lit(100) * c(f"{f}_risky"), c(f"{f}_n")).alias("risky_crossing_rate(%)"), m.ratio(F.lit(100) * c(f"{f}_red"), c(f"{f}_n")).alias("run_red_light_rate(%)"))
+    return wide.select(F.explode(F.array(*[one(f, n) for f, n in flags.items()])).alias("e")).select("e.*")
+
+
+CLOTHES, ITEMS = {"truck": "long coat", "scooter": "shorts", "tram": "hat"}, {"phone": "phone_using", "bicycle": "backpack"}
+
+
+def relationships(d: Data) -> DataFrame:
+    """Both metrics over all six sources; the rates of these tables hardly differ, so the threshold is small."""
+    tables = {
+        "weather_daytime_stats": stats_by_weather(d), "gender_stats": stats_by_gender(d), "age_stats": stats_by_age(d), "clothing_stats": stats_by_flag(d, "clothing_type", CLOTHES),
+        "phone_stats": stats_by_flag(d, "accessory", ITEMS), "vehicle_stats": stats_by_flag(d, "vehicle_type", {f: f for f in FLAGS}),
+    }
+    both = [effects.relationships(x, tables, 0.02).withColumn("metric", F.lit(x)) for x in effects.THRESHOLDS]
+    return both[0].unionByName(both[1]).select("metric", "position", "category", "label", F.round("rate", 6).alias("rate"), F.round("effect", 6).alias("effect"), "direction")
+
+
 def incoming(d: Data) -> tuple[DataFrame, DataFrame]:
     """Old and new versions of sessions: overlapping thirds, with repeats in the new one."""
     s = d.sessions.select("session_id", "link", "collected", "speed", "weather", "risky_ratio")
@@ -549,16 +599,17 @@ QUERIES = [
     risk_by_bucket, flag_mix, risk_factors, rank_by_counting, measured_groups, avg_with_fallback, facts_melt, facts_ranked, facts_by_continent, facts_by_place, effects_balanced, merge_sessions, merge_partial,
     append_dedup, history_rows, lookup_fallback, rejects, lines_without_part, localization_apply, resolve_names, disambiguate, fuzzy_unique, enrich, candidate_score, missing_report, work_list, merge_duplicates,
     homonym_dedup, repair_names, rank_scale, layer_rows, coverage, flag_coverage, top_vehicle_places, safe_casts, delta_vs_global, load_summary, known_places, metric_insights, served_rows, country_codes, fill_from_match, stored_insights,
+    metric_series, leaderboards, global_insights, deltas_vs_global, relationships,
 ]
 
 
 #: Whole numbers that can be missing: shown as doubles, so that both engines' results read alike. Dates are shown as text.
 NULLABLE = {
     "place_summary": ["measured_sample", "conflict_exposure"], "behavior_profile": ["min_age", "max_age"], "insight_base": ["measured_walking_speed_rank"], "merge_sessions": ["risky_ratio"], "merge_partial": ["age"],
-    "history_rows": ["risky_ratio"], "lookup_fallback": ["seconds"], "safe_casts": ["int_value", "age"], "layer_rows": ["sample"], "weighted_measures": ["measured_sample", "conflict_exposure"],
+    "history_rows": ["risky_ratio"], "lookup_fallback": ["seconds"], "safe_casts": ["int_value", "age"], "layer_rows": ["sample"], "weighted_measures": ["measured_sample", "conflict_exposure"], "leaderboards": ["stored_rank"],
 }
 DATES = {
-    "place_summary": ["earliest", "latest"], "session_summary": ["collected"], "summary_asof": ["data_as_of_date"], "newest_sessions": ["collected"], "monthly_series": ["month"], "monthly_events": ["day"],
+    "place_summary": ["earliest", "latest"], "session_summary": ["collected"], "summary_asof": ["data_as_of_date"], "newest_sessions": ["collected"], "monthly_series": ["month"], "metric_series": ["month"], "monthly_events": ["day"],
     "merge_sessions": ["collected"], "load_summary": ["latest"],
 }
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .adapters import FLAGS, prelude
-from .driver import AS_OF, DATES, NULLABLE, SERVED, TODAY
+from .driver import AS_OF, BOARDS, CLOTHES, DATES, ITEMS, NULLABLE, SERVED, TODAY
 
 DENSE = "pipeline_version = 'dense_v2'"
 
@@ -262,6 +262,24 @@ QUERIES: dict[str, str] = {
     "known_places": f"SELECT DISTINCT city FROM ({summary()}) WHERE total_sessions > 0 AND n_observations > 0",
     "metric_insights": " UNION ALL ".join(f"""SELECT '{x}' AS metric, *, '{label} is highest in ' || top_name || ' and lowest in ' || bottom_name AS sentence FROM (SELECT (SELECT city FROM ({RANK_BASE}) WHERE {x} > 0 ORDER BY {x} DESC, city LIMIT 1) AS top_name, (SELECT max({x}) FROM ({RANK_BASE})) AS top_value,
   (SELECT city FROM ({RANK_BASE}) WHERE {x} > 0 ORDER BY {x}, city LIMIT 1) AS bottom_name, (SELECT min({x}) FROM ({RANK_BASE}) WHERE {x} > 0) AS bottom_value, '{label}' AS label, (SELECT {mean(g)} FROM sessions) AS global_mean)""" for x, label, g in (("avg_speed", "Speed", "speed"), ("avg_red_ratio", "Red light running", "red_ratio"))),
+    "metric_series": "@" + ", ".join(f"""w{i} AS ({rows}), a{i} AS (SELECT place_id, CAST(sum(x) AS double) / nullif(sum(y), 0) AS value FROM w{i} GROUP BY 1), v{i} AS (SELECT place_id, month, CAST(sum(x) AS double) / nullif(sum(y), 0) AS value FROM w{i} WHERE month BETWEEN DATE '1998-02-01' AND DATE '1998-07-01' GROUP BY 1, 2),
+  s{i} AS (SELECT * FROM (SELECT p.place_id, g.month, last_value(value IGNORE NULLS) OVER (PARTITION BY p.place_id ORDER BY g.month ROWS UNBOUNDED PRECEDING) AS value FROM (SELECT DISTINCT place_id FROM v{i}) p CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '1998-02-01', DATE '1998-07-01', INTERVAL 1 MONTH)) AS date) AS month) g LEFT JOIN v{i} v ON v.place_id = p.place_id AND v.month = g.month) WHERE value IS NOT NULL)""" for i, rows in enumerate((
+        "SELECT place_id, CAST(date_trunc('month', collected) AS date) AS month, CASE WHEN risky THEN 1 ELSE 0 END AS x, 1 AS y FROM sessions s JOIN observations o ON s.session_id = o.session_id",
+        "SELECT place_id, CAST(date_trunc('month', collected) AS date) AS month, measured_speed AS x, 1 AS y FROM sessions WHERE measured_speed IS NOT NULL"))) + " SELECT *, strftime(month, '%b %Y') AS label FROM (" + " UNION ALL ".join(f"SELECT '{metric}' AS metric, place_id, month, value FROM s{i} UNION ALL SELECT '{metric}', place_id, DATE '1998-07-01', value FROM a{i} WHERE place_id NOT IN (SELECT place_id FROM v{i})" for i, metric in enumerate(("risky_crossing_rate", "avg_measured_walking_speed"))) + ")",
+    "leaderboards": f"@lb AS (SELECT s.*, {', '.join(f'r.{n}_rank' for n in RATIO_RANKS)} FROM ({summary()}) s JOIN (SELECT place_id, {RANKS} FROM ({RANK_BASE})) r ON s.place_id = r.place_id), gs AS (SELECT {mean('speed')} AS global_avg_speed, {mean('risky_ratio')} AS global_avg_risky_ratio, {mean('red_ratio')} AS global_avg_red_ratio, {mean('measured_speed')} AS global_avg_measured FROM sessions), go AS (SELECT {mean('age')} AS global_avg_age, {ratio(count_if('phone'), 'count(*)')} AS global_phone_rate FROM observations) "
+        + " UNION ALL ".join(f"SELECT '{name}' AS metric, row_number() OVER (ORDER BY v {up}, place_id) AS position, place_id, CAST(v * {100 if b.unit == '%' else 1} AS double) AS value, {f'(v - {b.baseline}) / nullif({b.baseline}, 0) * 100' if b.baseline else 'NULL::double'} AS delta_percent, {b.rank or 'NULL'} AS stored_rank FROM (SELECT {b.column} AS v, * FROM lb WHERE {b.column} IS NOT NULL{f' AND {b.column} > 0.0001' if b.unit == '%' else ''}{f' AND {b.sample} >= {b.least}' if b.sample else ''} ORDER BY v {up}, place_id LIMIT 100), gs, go"
+            for name, b in BOARDS.items() for up in ["DESC" if b.higher_is_better else "ASC"]),
+    "global_insights": f"SELECT * FROM (SELECT {mean('speed')} AS crossing_speed, {mean('measured_speed')} AS walking_speed, count(*) AS sessions FROM sessions), (SELECT {mean('age')} AS avg_age, count(*) AS people, {ratio(count_if('risky'), 'count(*)')} * 100 AS risky_rate, {ratio(count_if('red_light'), 'count(*)')} * 100 AS red_rate, {ratio(count_if('phone'), 'count(*)')} * 100 AS phone_rate FROM observations), (SELECT count(*) AS places FROM places)",
+    "deltas_vs_global": f"@s AS ({summary()}), gs AS (SELECT {mean('speed')} AS avg_speed, {mean('measured_speed')} AS avg_measured FROM sessions), go AS (SELECT {mean('age')} AS avg_age, {ratio(count_if('risky'), 'count(*)')} AS risky_rate, {ratio(count_if('red_light'), 'count(*)')} AS red_rate, {ratio(count_if('phone'), 'count(*)')} AS phone_rate FROM observations) "
+        + " UNION ALL ".join(f"SELECT place_id, '{x}' AS metric, s.{x} AS value, (CASE WHEN s.{x} > 0 AND s.{x} < 1 THEN s.{x} * 100 ELSE s.{x} END - CASE WHEN {t}.{x} > 0 AND {t}.{x} < 1 THEN {t}.{x} * 100 ELSE {t}.{x} END) / nullif(CASE WHEN {t}.{x} > 0 AND {t}.{x} < 1 THEN {t}.{x} * 100 ELSE {t}.{x} END, 0) * 100 AS delta, s.{x} > {t}.{x} AS above FROM s, {t} WHERE s.{x} IS NOT NULL" for x, t in (("avg_speed", "gs"), ("avg_measured", "gs"), ("risky_rate", "go"), ("red_rate", "go"), ("phone_rate", "go"), ("avg_age", "go"))),
+    "relationships": f"@g AS ({GENDER_STATS}), a AS ({AGE_STATS}), w AS ({WEATHER_STATS}), e AS (" + " UNION ALL ".join(f"""SELECT '{x}' AS metric, 0 AS src, 'Environmental' AS category, upper(weather[1]) || weather[2:] || ' + ' || CASE daytime WHEN '1' THEN 'Day' ELSE 'Night' END AS label, {y} AS rate, 0.01 AS low, 1.0 AS scale FROM w
+  UNION ALL SELECT '{x}', 1, 'Demographics', gender, {x}, 0.0001, 100 FROM g WHERE gender <> ''
+  UNION ALL SELECT '{x}', 2, 'Age', label, avg({x}), 0.0001, 100 FROM (SELECT CASE WHEN CAST(age AS int) BETWEEN 18 AND 30 THEN '18-30' WHEN CAST(age AS int) BETWEEN 31 AND 50 THEN '31-50' WHEN CAST(age AS int) >= 51 THEN '51+' END AS label, {x} FROM a) WHERE label IS NOT NULL GROUP BY label"""
+        + "".join(f" UNION ALL SELECT '{x}', {i}, '{k}', '{n}', CAST(100 * {count_if(f'{f} AND {z}')} AS double) / nullif({count_if(f)}, 0), 0.01, 1.0 FROM observations" for i, k, named in ((3, "Demographics", {f: n[:1].upper() + n[1:] for f, n in CLOTHES.items()}), (4, "Behavior", {f: "Phone Users" if n == "phone_using" else n[:1].upper() + n[1:] for f, n in ITEMS.items()}), (5, "Vehicles", {f: f[:1].upper() + f[1:] for f in FLAGS})) for f, n in named.items())
+        for x, y, z in (("risky_crossing", "risky_crossing_prob", "risky"), ("run_red_light", "run_red_light_prob", "red_light")))
+        + """), f AS (SELECT *, rate * scale AS shown, rate * scale - coalesce(avg(CASE WHEN rate > low THEN rate END) OVER (PARTITION BY metric, src), 0) * scale AS effect FROM e WHERE rate IS NOT NULL),
+  k AS (SELECT *, row_number() OVER (PARTITION BY metric, category ORDER BY abs(effect) DESC, label) AS r FROM f WHERE abs(effect) > 0.02)
+  SELECT * FROM (SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY abs(effect) DESC, category, label) AS position, category, label, round(shown, 6) AS rate, round(effect, 6) AS effect, CASE WHEN effect > 0 THEN 'up' ELSE 'down' END AS direction FROM k WHERE r <= 3) WHERE position <= 10""",
     "served_rows": f"SELECT place_id, {', '.join(f'floor({x} * {float(10 ** n)}::double + 0.5::double) / {float(10 ** n)}::double AS {x}' for x, n in SERVED.items())} FROM ({summary()})",
     "country_codes": """@h AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN ' c' || c_nationkey WHEN 1 THEN 'n' || c_nationkey WHEN 2 THEN 'Nation_' || c_nationkey WHEN 3 THEN 'nowhere' END AS hint FROM customer)
   SELECT c_custkey, hint, 'C' || n_nationkey AS iso2, 'N' || n_nationkey AS iso3, coalesce(r_name, 'Unknown') AS continent FROM h LEFT JOIN (nation JOIN region ON n_regionkey = r_regionkey) ON lower(trim(hint)) IN ('c' || n_nationkey, 'n' || n_nationkey, lower(n_name))""",

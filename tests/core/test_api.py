@@ -27,7 +27,7 @@ def test_lists_and_series(data, spark):
         api.city_compare(s, s, "2024-13-01", "2024-12-31", [], [])
     place = data.sessions.filter("risky_ratio IS NOT NULL").first()
     end = place["collected"].strftime("%Y-%m")
-    rows = api.metric_series(data.sessions, place["place_id"], F.col("risky_ratio"), end, 6).collect()
+    rows = api.metric_series(data.sessions, data.observations, place["place_id"], "avg_crossing_speed", end, 6).collect()
     assert 1 <= len(rows) <= 6
 
 

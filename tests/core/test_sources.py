@@ -76,7 +76,7 @@ def test_publish_runs_every_step_on_the_last_ones_snapshot(spark, tmp_path):
     kind = "session_id long, link string, place_id long, speed double, status string, latitude double"
     old = spark.createDataFrame([(1, "u", 1, 2.0, "none", None)], kind)
     new = spark.createDataFrame([(None, "u", 1, 4.0, "none", None), (2, "v", 2, 8.0, "none", None)], kind)
-    found = spark.createDataFrame([("v", "ok", 5.0)], "link string, status string, latitude double")
+    found = spark.createDataFrame([("v", "ok", 5.0, 6.0)], "link string, status string, latitude double, longitude double")
 
     def summarize(p, s):
         return p.join(s.groupBy("place_id").agg(F.avg("speed").alias("speed"), F.max("latitude").alias("latitude")), "place_id", "left")
