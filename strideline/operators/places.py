@@ -142,15 +142,33 @@ def dedup_homonyms(places: DataFrame, id: str = "place_id", videos: str = "video
     return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r", "name_key", "__land")
 
 
+def _grams(key: Column) -> Column:
+    """Substrings of three letters; of a key so short that less than three can be more than half of it, also of one and two."""
+    n = F.length(key)
+    of = lambda q: F.when(n >= q, F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substring(key, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.when(n > 5, of(3)).otherwise(F.concat(of(1), of(2), of(3))))
+
+
 def repair_names(bad: DataFrame, clean_names: DataFrame, country: str = "country", least: float = 50.0) -> DataFrame:
     """place_id, city and repaired: a known name of the same country that equals the name, or its folded key, or has the
-    best containment score (shorter over longer length times 100, above `least`) where one key contains the other."""
-    a = fold(bad, "city", "__a").select("place_id", "city", country, "__a")
-    b = fold(clean_names, "city", "__b").select(F.col("city").alias("repaired"), F.col(country).alias("__c"), "__b")
-    na, nb = F.length("__a"), F.length("__b")
-    contained = (F.contains(F.col("__a"), F.col("__b")) | F.contains(F.col("__b"), F.col("__a"))) & (na > 0) & (nb > 0)
-    score = F.when(F.col("city") == F.col("repaired"), 300.0).when(F.col("__a") == F.col("__b"), 200.0).when(contained, 100.0 * F.least(na, nb) / F.greatest(na, nb)).otherwise(0.0)
-    scored = a.join(b, F.col(country) == F.col("__c")).withColumn("score", score).filter(F.col("score") > least)
+    best containment score (shorter over longer length times 100, above `least`, 50 or more) where one key contains the other.
+
+    Names of a country meet where a folded key is equal, or where the first three letters of one are in the other: what
+    lies within a key begins with letters of it, so no pair is lost and not all pairs are compared."""
+    if least < 50:
+        raise ValueError("least must be 50 or more")
+    a = fold(bad, "city", "__a").select("place_id", "city", F.col(country).alias("__c"), "__a").withColumn("__na", F.length("__a"))
+    b = fold(clean_names, "city", "__b").select(F.col("city").alias("repaired"), F.col(country).alias("__c"), "__b").distinct().withColumn("__nb", F.length("__b"))
+    start = lambda key: F.substring(key, 1, 3).alias("__g")
+    same = a.join(b, (a["__c"] == b["__c"]) & (a["__a"] == b["__b"])).select("place_id", "city", "repaired", F.when(F.col("city") == F.col("repaired"), 300.0).otherwise(200.0).alias("score"))
+    length = (F.col("__na") > 0) & (F.col("__nb") > 0) & (100.0 * F.least("__na", "__nb") / F.greatest("__na", "__nb") > least)
+    score = (100.0 * F.least("__na", "__nb") / F.greatest("__na", "__nb")).alias("score")
+
+    def inside(whole: DataFrame, whole_key: str, part: DataFrame, part_key: str) -> DataFrame:
+        left, right = whole.select("*", F.explode(_grams(F.col(whole_key))).alias("__g")), part.select("*", start(part_key))
+        return left.join(right, ["__c", "__g"]).filter((F.col("__a") != F.col("__b")) & length & F.contains(whole_key, part_key)).select("place_id", "city", "repaired", score)
+
+    scored = same.unionByName(inside(a, "__a", b, "__b")).unionByName(inside(b, "__b", a, "__a"))
     w = Window.partitionBy("place_id").orderBy(F.desc("score"), "repaired")
     return scored.withColumn("__r", F.row_number().over(w)).filter("__r = 1").select("place_id", "city", "repaired", "score")
 

@@ -449,15 +449,24 @@ def known_names(d: Data) -> DataFrame:
     return d.places.groupBy("country", "iso3", "continent").agg(F.count("*").alias("videos"), F.sum("population").alias("population")).select(c("country").alias("name"), c("continent").alias("country"), "iso3", "videos", "population", "continent")
 
 
+def world_names(d: Data) -> DataFrame:
+    """Brands as places of the world that no session knows."""
+    return d.part.groupBy("p_brand").agg(F.min("p_type").alias("country"), F.count("*").alias("population")).select(
+        c("p_brand").alias("name"), "country", F.concat(F.lit("W"), F.regexp_extract("p_brand", r"(\d+)", 1)).alias("iso3"), F.lit(0).cast("long").alias("videos"), "population", F.lit("WORLD").alias("continent"))
+
+
+def aliases(d: Data) -> DataFrame:
+    return d.nation.select(F.concat(F.lit("land"), c("n_nationkey").cast("string")).alias("alias"), c("n_name").alias("name"))
+
+
 def resolve_names(d: Data) -> DataFrame:
-    """Suppliers' nations, some misspelled or aliased, against the nations of the customers."""
+    """Suppliers' nations, some misspelled, aliased, or places of the world, against the nations of the customers."""
     n = d.supplier.join(d.nation, c("s_nationkey") == c("n_nationkey"))
     k = c("s_suppkey")
-    name = F.when(k % 5 == 0, F.concat(F.lower("n_name"), F.lit("!"))).when(k % 5 == 1, F.replace("n_name", F.lit("NATION"), F.lit("NATIO"))).when(k % 5 == 2, F.concat(F.lit("Land "), c("s_nationkey").cast("string"))).otherwise(c("n_name"))
+    brand = F.concat(F.lit("brand #"), (k % 5 + 1).cast("string"), (F.floor(k / 5) % 5 + 1).cast("string"))
+    name = F.when(k % 10 == 7, brand).when(k % 5 == 0, F.concat(F.lower("n_name"), F.lit("!"))).when(k % 5 == 1, F.replace("n_name", F.lit("NATION"), F.lit("NATIO"))).when(k % 5 == 2, F.concat(F.lit("Land "), c("s_nationkey").cast("string"))).otherwise(c("n_name"))
     inputs = n.select(k.alias("input_id"), name.alias("name"), F.lit(None).cast("string").alias("country"), F.when(k % 3 == 0, F.concat(F.lit("N"), c("n_nationkey").cast("string"))).when(k % 3 == 1, "N99").alias("iso3"))
-    aliases = d.nation.select(F.concat(F.lit("land"), c("n_nationkey").cast("string")).alias("alias"), c("n_name").alias("name"))
-    world = known_names(d).filter("videos < 0")
-    return place_ops.resolve(inputs, known_names(d), aliases, world).select("input_id", "name", c("c_name").alias("found"), "layer", "confident")
+    return place_ops.resolve(inputs, known_names(d), aliases(d), world_names(d)).select("input_id", "name", c("c_name").alias("found"), "layer", "confident")
 
 
 def disambiguate(d: Data) -> DataFrame:
@@ -475,12 +484,12 @@ def fuzzy_unique(d: Data) -> DataFrame:
 
 def enrich(d: Data) -> DataFrame:
     k = c("place_id")
-    rows = d.places.select(k.alias("input_id"), c("country").alias("name"), F.when(k % 3 == 0, "unknown").when(k % 3 == 1, "").otherwise("X").alias("country"), F.when(k % 2 == 0, c("iso3")).alias("iso3"), F.when(k % 4 == 0, "kept").alias("continent"))
+    brand = F.concat(F.lit("Brand-"), (k % 4 + 1).cast("string"), (F.floor(k / 7) % 5 + 1).cast("string"))
+    name = F.when(k % 5 == 0, F.concat(F.lit("Land "), F.substring("iso3", 2, 9))).when(k % 5 == 1, brand).otherwise(c("country"))
+    rows = d.places.select(k.alias("input_id"), name.alias("name"), F.when(k % 3 == 0, "unknown").when(k % 3 == 1, "").otherwise("X").alias("country"), F.when(k % 2 == 0, c("iso3")).alias("iso3"), F.when(k % 4 == 0, "kept").alias("continent"))
     known = known_names(d)
-    empty = known.filter("videos < 0")
-    aliases = d.nation.limit(0).select(c("n_name").alias("alias"), c("n_name").alias("name"))
     hints = rows.select("input_id", "name", F.lit(None).cast("string").alias("country"), "iso3")
-    return place_ops.enrich(rows, place_ops.resolve(hints, known, aliases, empty), ["continent", "iso3"])
+    return place_ops.enrich(rows, place_ops.resolve(hints, known, aliases(d), world_names(d)), ["continent", "iso3"])
 
 
 def candidate_score(d: Data) -> DataFrame:

@@ -151,6 +151,8 @@ MISSING = f"""miss AS (SELECT place_id, list_filter([CASE WHEN state IS NULL OR
   FROM (SELECT place_id, CASE WHEN place_id % 6 = 0 THEN 'Unknown' ELSE state END AS state, latitude, longitude, measured_sample, conflict_exposure FROM ({summary()})))"""
 KNOWN = "known AS (SELECT country AS name, continent, iso3, count(*) AS videos, sum(population) AS population FROM places GROUP BY 1, 2, 3)"
 
+WORLD = f"world AS (SELECT {NORM.format('p_brand')} AS k, p_brand AS name, min(p_type) AS country, 'W' || regexp_extract(p_brand, '([0-9]+)', 1) AS iso3 FROM part GROUP BY p_brand)"
+
 QUERIES: dict[str, str] = {
     "place_summary": summary(),
     "place_summary_fanout": f"SELECT p.place_id, p.city, p.country, count(DISTINCT s.session_id) AS sessions, count(*) AS joined_rows, {mean('speed')} AS avg_speed, {ratio(count_if('risky'), 'count(*)')} AS risky_rate FROM places p LEFT JOIN sessions s ON p.place_id = s.place_id LEFT JOIN observations o ON s.session_id = o.session_id GROUP BY 1, 2, 3",
@@ -220,19 +222,21 @@ QUERIES: dict[str, str] = {
     "localization_apply": """@n AS (SELECT CASE WHEN session_id % 100 = 0 THEN '' ELSE link END AS link, CASE WHEN session_id % 8 = 0 THEN 'ok' ELSE 'failed' END AS status, CAST(n_vehicles * 6 AS double) AS latitude, CAST(n_people AS double) AS longitude FROM sessions WHERE session_id % 4 = 0),
   u AS (SELECT * FROM n WHERE link <> '' AND (status <> 'ok' OR (latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180)))
   SELECT s.link, coalesce(u.status, s.status) AS status, CASE WHEN u.status = 'ok' THEN u.latitude ELSE CAST(s.n_people AS double) END AS latitude, CASE WHEN u.status = 'ok' THEN u.longitude END AS longitude, CASE WHEN u.status = 'ok' THEN 'found' ELSE s.street_name END AS street_name FROM sessions s LEFT JOIN u ON s.link = u.link""",
-    "resolve_names": f"""@i AS (SELECT s_suppkey AS input_id, CASE s_suppkey % 5 WHEN 0 THEN lower(n_name) || '!' WHEN 1 THEN replace(n_name, 'NATION', 'NATIO') WHEN 2 THEN 'Land ' || s_nationkey ELSE n_name END AS name, CASE s_suppkey % 3 WHEN 0 THEN 'N' || n_nationkey WHEN 1 THEN 'N99' END AS iso3 FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-  {KNOWN}, p AS (SELECT {NORM.format('name')} AS k, name, iso3 FROM known), al AS (SELECT 'land' || n_nationkey AS k, {NORM.format('n_name')} AS t FROM nation),
-  j AS (SELECT i.*, CASE WHEN p.k IS NULL THEN coalesce(al.t, {NORM.format('i.name')}) ELSE {NORM.format('i.name')} END AS k FROM i LEFT JOIN p ON {NORM.format('i.name')} = p.k LEFT JOIN al ON {NORM.format('i.name')} = al.k),
-  near AS (SELECT input_id, min(p.k) AS k FROM (SELECT j.input_id, p.k, levenshtein(j.k, p.k) AS d, min(levenshtein(j.k, p.k)) OVER (PARTITION BY j.input_id) AS best FROM j, p WHERE length(j.k) >= 7 AND j.k NOT IN (SELECT k FROM p)) p WHERE d <= 1 AND d = best GROUP BY 1 HAVING count(*) = 1)
-  SELECT j.input_id, j.name, coalesce(p.name, q.name) AS found, CASE WHEN p.k IS NOT NULL THEN 'project' WHEN q.k IS NOT NULL THEN 'fuzzy' END AS layer, CASE WHEN p.k IS NULL THEN false WHEN j.iso3 IS NULL THEN true ELSE lower(j.iso3) = lower(p.iso3) END AS confident FROM j LEFT JOIN p ON j.k = p.k LEFT JOIN near ON j.input_id = near.input_id LEFT JOIN p q ON near.k = q.k""",
+    "resolve_names": f"""@i AS (SELECT s_suppkey AS input_id, CASE WHEN s_suppkey % 10 = 7 THEN 'brand #' || (s_suppkey % 5 + 1) || (s_suppkey // 5 % 5 + 1) ELSE CASE s_suppkey % 5 WHEN 0 THEN lower(n_name) || '!' WHEN 1 THEN replace(n_name, 'NATION', 'NATIO') WHEN 2 THEN 'Land ' || s_nationkey ELSE n_name END END AS name, CASE s_suppkey % 3 WHEN 0 THEN 'N' || n_nationkey WHEN 1 THEN 'N99' END AS iso3 FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+  {KNOWN}, {WORLD}, p AS (SELECT {NORM.format('name')} AS k, name, iso3 FROM known), al AS (SELECT 'land' || n_nationkey AS k, {NORM.format('n_name')} AS t FROM nation),
+  j AS (SELECT i.*, CASE WHEN p.k IS NULL AND w.k IS NULL THEN coalesce(al.t, {NORM.format('i.name')}) ELSE {NORM.format('i.name')} END AS k FROM i LEFT JOIN p ON {NORM.format('i.name')} = p.k LEFT JOIN world w ON {NORM.format('i.name')} = w.k LEFT JOIN al ON {NORM.format('i.name')} = al.k),
+  near AS (SELECT input_id, min(p.k) AS k FROM (SELECT j.input_id, p.k, levenshtein(j.k, p.k) AS d, min(levenshtein(j.k, p.k)) OVER (PARTITION BY j.input_id) AS best FROM j, p WHERE length(j.k) >= 7 AND j.k NOT IN (SELECT k FROM p) AND j.k NOT IN (SELECT k FROM world)) p WHERE d <= 1 AND d = best GROUP BY 1 HAVING count(*) = 1)
+  SELECT j.input_id, j.name, coalesce(p.name, w.name, q.name) AS found, CASE WHEN p.k IS NOT NULL THEN 'project' WHEN w.k IS NOT NULL THEN 'world' WHEN q.k IS NOT NULL THEN 'fuzzy' END AS layer, CASE WHEN p.k IS NOT NULL THEN j.iso3 IS NULL OR lower(j.iso3) = lower(p.iso3) WHEN w.k IS NOT NULL THEN j.iso3 IS NULL OR lower(j.iso3) = lower(w.iso3) ELSE false END AS confident FROM j LEFT JOIN p ON j.k = p.k LEFT JOIN world w ON j.k = w.k LEFT JOIN near ON j.input_id = near.input_id LEFT JOIN p q ON near.k = q.k""",
     "disambiguate": f"""@i AS (SELECT s_suppkey AS input_id, CASE WHEN s_suppkey % 2 = 0 THEN 'building' ELSE 'automobile' END AS k, CASE WHEN s_suppkey % 4 < 3 THEN 'N' || s_nationkey END AS hint FROM supplier),
   c AS (SELECT {NORM.format('state')} AS k, country, iso3, place_id, population FROM places),
   j AS (SELECT i.input_id, i.hint, c.*, coalesce(lower(i.hint) = lower(c.iso3), false) AS hit, count(*) OVER (PARTITION BY i.input_id) AS n FROM i JOIN c ON i.k = c.k)
   SELECT input_id, best, iso3, CASE WHEN hint IS NULL THEN n = 1 ELSE hit END AS confident FROM (SELECT input_id, place_id AS best, iso3, hint, hit, n, row_number() OVER (PARTITION BY input_id ORDER BY hit DESC, place_id DESC, population DESC, country, iso3) AS r FROM j) WHERE r = 1""",
     "fuzzy_unique": f"""@p AS (SELECT DISTINCT {NORM.format('n_name')} AS k FROM nation), i AS (SELECT n_nationkey AS input_id, CASE WHEN n_nationkey % 2 = 0 THEN 'x' || {NORM.format('n_name')} ELSE substring(lower(replace(n_name, '_', '')), 2, 100) END AS name_key FROM nation),
   d AS (SELECT input_id, name_key, p.k, levenshtein(name_key, p.k) AS distance, min(levenshtein(name_key, p.k)) OVER (PARTITION BY input_id) AS best FROM i, p WHERE length(name_key) >= 7) SELECT input_id, name_key, min(k) AS match FROM d WHERE distance <= 1 AND distance = best GROUP BY 1, 2 HAVING count(*) = 1""",
-    "enrich": f"""@{KNOWN}, r AS (SELECT place_id AS input_id, country AS name, CASE place_id % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN '' ELSE 'X' END AS country, CASE WHEN place_id % 2 = 0 THEN iso3 END AS iso3, CASE WHEN place_id % 4 = 0 THEN 'kept' END AS continent FROM places)
-  SELECT r.input_id, r.name, k.continent AS country, coalesce(r.iso3, k.iso3) AS iso3, coalesce(r.continent, k.continent) AS continent FROM r JOIN known k ON r.name = k.name""",
+    "enrich": f"""@{KNOWN}, {WORLD}, r AS (SELECT place_id AS input_id, CASE place_id % 5 WHEN 0 THEN 'Land ' || substring(iso3, 2, 9) WHEN 1 THEN 'Brand-' || (place_id % 4 + 1) || (place_id // 7 % 5 + 1) ELSE country END AS name, CASE place_id % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN '' ELSE 'X' END AS country, CASE WHEN place_id % 2 = 0 THEN iso3 END AS iso3, CASE WHEN place_id % 4 = 0 THEN 'kept' END AS continent FROM places),
+  al AS (SELECT 'land' || n_nationkey AS k, n_name AS t FROM nation), hit AS (SELECT r.input_id, k.name, k.continent AS country, k.iso3, k.continent FROM r LEFT JOIN al ON {NORM.format('r.name')} = al.k JOIN known k ON coalesce(al.t, r.name) = k.name
+    UNION ALL SELECT r.input_id, w.name, w.country, w.iso3, 'WORLD' FROM r JOIN world w ON {NORM.format('r.name')} = w.k WHERE r.iso3 IS NULL)
+  SELECT r.input_id, coalesce(h.name, r.name) AS name, coalesce(h.country, nullif(r.country, ''), 'Unknown') AS country, coalesce(r.iso3, h.iso3) AS iso3, coalesce(r.continent, h.continent) AS continent FROM r LEFT JOIN hit h ON r.input_id = h.input_id""",
     "candidate_score": """@c AS (SELECT p_partkey AS place_id, p_name AS name, unnest([upper(p_name), string_split(p_name, ' ')[1], p_brand]) AS candidate, unnest(['ADM', CASE p_partkey % 3 WHEN 0 THEN 'PPLC' WHEN 1 THEN 'ADM' ELSE 'PPLX' END, 'PPLA']) AS code FROM part),
   s AS (SELECT *, CASE WHEN lower(name) = lower(candidate) THEN 100.0::double WHEN contains(lower(name), lower(candidate)) OR contains(lower(candidate), lower(name)) THEN 50.0::double ELSE 30.0::double * ((greatest(length(name), length(candidate)) - levenshtein(lower(name), lower(candidate)))::double / greatest(length(name), length(candidate))) END
     + CASE WHEN code = 'PPLC' THEN 20 WHEN code = 'PPLA' THEN 15 WHEN code LIKE 'PPL%' THEN 10 ELSE 0 END AS score FROM c)

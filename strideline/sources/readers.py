@@ -14,31 +14,42 @@ def _strings(spark: SparkSession, path: str | list[str], encoding: str, **option
     return spark.read.options(header="true", inferSchema="false", encoding=encoding, quote='"', escape='"', multiLine="true", **options).csv(path)
 
 
+def first_lines(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """path, header and is_utf8 of every file with a line, from one distributed pass over lines; no file is held whole."""
+    lines = spark.read.options(pathGlobFilter=glob, recursiveFileLookup="true").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")).alias("o"), "value")
+    found = lines.groupBy("path").agg(F.min_by("value", "o").alias("v"), F.bool_and(F.expr("is_valid_utf8(value)")).alias("is_utf8"))
+    header = F.when(F.expr("is_valid_utf8(v)"), F.col("v")).otherwise(F.decode(F.col("v").cast("binary"), "ISO-8859-1"))
+    return found.select("path", F.regexp_replace(header, "^\ufeff|\r$", "").alias("header"), "is_utf8")
+
+
 def valid_utf8(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     """path and is_utf8 of every file, one row a file."""
-    files = spark.read.format("binaryFile").options(pathGlobFilter=glob, recursiveFileLookup="true").load(path)
-    return files.select("path", F.expr("is_valid_utf8(content)").alias("is_utf8"))
+    return first_lines(spark, path, glob).select("path", "is_utf8")
 
 
 def read_csv(spark: SparkSession, path: str, glob: str = "*.csv", normalize: bool = True) -> DataFrame:
     """All values as strings, header row, UTF-8 where a file is valid, else ISO-8859-1, values in NFC, source_file added.
 
-    The list of files, not their rows, comes to the driver to choose encodings."""
-    kinds = valid_utf8(spark, path, glob).collect()
-    parts = []
-    for ok, encoding in ((True, "UTF-8"), (False, "ISO-8859-1")):
-        files = [r["path"] for r in kinds if r["is_utf8"] is ok]
-        if files:
-            parts.append(_strings(spark, files, encoding).withColumn("source_file", F.col("_metadata.file_path")))
-    if not parts:
+    Columns go by their names: files with one header are read together, those of different headers united by name, missing
+    ones NULL. The list of files with their headers, not their rows, comes to the driver, where Spark's reader needs it;
+    finding it is a job."""
+    groups: dict[tuple[bool, str], list[str]] = {}
+    for r in first_lines(spark, path, glob).collect():
+        groups.setdefault((r["is_utf8"], r["header"]), []).append(r["path"])
+    if not groups:
         raise FileNotFoundError(f"no {glob} in {path}")
-    df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-    df = df.dropna(how="all", subset=[c for c in df.columns if c != "source_file"])
-    return df.withColumns({c: clean.nfc(F.col(f"`{c}`")) for c in df.columns if c != "source_file"}) if normalize else df
+    df = None
+    for (ok, _), files in sorted(groups.items()):
+        part = _strings(spark, files, "UTF-8" if ok else "ISO-8859-1").withColumn("source_file", F.col("_metadata.file_path"))
+        df = part if df is None else df.unionByName(part, allowMissingColumns=True)
+    names = [c for c in df.columns if c != "source_file"]
+    df = df.dropna(how="all", subset=names).select(*[F.col(f"`{c}`") for c in names], "source_file")
+    return df.withColumns({c: clean.nfc(F.col(f"`{c}`")) for c in names}) if normalize else df
 
 
 def read_csv_best_encoding(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1", "UTF-16")) -> DataFrame:
-    """The decoding of one file with the fewest signs of a wrong one; the first of equals."""
+    """The decoding of one file with the fewest signs of a wrong one; the first of equals. Counting them is a job for each encoding."""
     counts = []
     for e in encodings:
         text = spark.read.option("encoding", e).option("wholetext", "false").csv(path, sep="\u0001", quote="").select(F.concat_ws("", "*").alias("t"))
@@ -56,11 +67,10 @@ def scan_place_folders(spark: SparkSession, path: str, glob: str = "*.csv") -> D
 
 
 def list_headers(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """file and headers (lower case, sorted set) of every CSV. Only the first line of a file is looked at."""
-    files = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=glob).load(path)
-    first = F.substring_index(F.replace(F.decode(F.substring("content", 1, 65536), "UTF-8"), F.lit("\r"), F.lit("")), "\n", 1)
-    names = F.transform(F.split(F.lower(first), ","), lambda h: F.trim(F.btrim(F.trim(h), F.lit('"'))))
-    return files.select("path", F.array_sort(F.array_distinct(F.array_remove(names, ""))).alias("headers"))
+    """path and headers (lower case, sorted set) of every CSV, from its first line; quoted names may hold commas."""
+    names = F.split(F.lower("header"), r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    names = F.transform(names, lambda h: F.trim(F.replace(F.regexp_replace(F.trim(h), '^"|"$', ""), F.lit('""'), F.lit('"'))))
+    return first_lines(spark, path, glob).select("path", F.array_sort(F.array_distinct(F.array_remove(names, ""))).alias("headers"))
 
 
 def match_headers(a: DataFrame, b: DataFrame, threshold: float = 0.8) -> DataFrame:

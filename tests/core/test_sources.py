@@ -97,3 +97,18 @@ def test_world_places_and_homonyms(spark, tmp_path):
     world = readers.read_world_places(spark, str(tmp_path / "w.csv"))
     assert sorted((r["name"], r["country"], r["population"], r["videos"]) for r in world.collect()) == [("PARIS", "United States", 25000, 0), ("Paris", "France", 2000000, 0)]
     assert [(r["name_key"], [p["country"] for p in r["places"]]) for r in readers.homonyms(world).collect()] == [("paris", ["France", "United States"])]
+
+
+def test_columns_go_by_name_across_files(spark, tmp_path):
+    for name, text in (("a", "a,b\n1,2\n"), ("b", "b,a\n2,1\n"), ("c", "\ufeffa,c\n1,3\n"), ("d", "a,b\n5,6\n")):
+        (tmp_path / f"{name}.csv").write_text(text, encoding="utf-8")
+    rows = sorted((r["a"], r["b"] or "", r["c"] or "") for r in readers.read_csv(spark, str(tmp_path)).collect())
+    assert rows == [("1", "", "3"), ("1", "2", ""), ("1", "2", ""), ("5", "6", "")]
+
+
+def test_long_and_quoted_headers(spark, tmp_path):
+    names = [f"column_{i:05d}" for i in range(9000)]
+    (tmp_path / "long.csv").write_text(",".join(names) + "\n1\n", encoding="utf-8")
+    (tmp_path / "q.csv").write_bytes(b'"x, y","Say ""hi""",Z\xfc\r\n1,2,3\n')
+    got = {r["path"].rsplit("/", 1)[1]: r["headers"] for r in readers.list_headers(spark, str(tmp_path)).collect()}
+    assert got["long.csv"] == names and got["q.csv"] == ['say "hi"', "x, y", "zü"]
