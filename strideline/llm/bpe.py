@@ -10,7 +10,7 @@ the delay is bounded by how long tokens can overlap. States and transitions are
 Decoding joins the tokens' bytes in blocks and runs a UTF-8 state machine across the blocks' borders.
 
 Edge cases: a null text is empty and has no tokens; texts are encoded whole; strings of special tokens are ordinary
-text; repeated rows are encoded one by one.
+text; repeated rows are encoded one by one; only doc_id and text are read, so other columns' names can't clash.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ each assistant turn's escaped text. ``read_back`` recovers turns and masked text
 
 Edge cases: null texts and roles are empty; turns with one number are ordered by role, then text; null turns come
 first; a null conv_id is a conversation; repeated rows are repeated turns; an empty table gives no rows. One
-conversation is one output row, so its turns must fit a task; rows are reduced to role and text before the shuffle.
+conversation is one output row, so its turns must fit a task; rows are reduced to role and text before the shuffle. Spans
+are gathered by an array aggregation, which copies them once a trained turn.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ def unescape(text: Column) -> Column:
 
 def format_chat(turns: DataFrame) -> DataFrame:
     """turns: conv_id, turn, role, text. Gives conv_id, formatted, and loss_spans: array of (start, length), from 0, in code points."""
-    role = F.replace(escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit(NEWLINE))
-    df = turns.select("conv_id", F.struct("turn", role.alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text")).alias("t"))
-    df = df.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    df = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    df = df.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("raw"))
+    # Escaped after sorting: escapes would change the order of ties.
+    safe = lambda t: F.struct(F.replace(escape(t["role"]), F.lit("\n"), F.lit(NEWLINE)).alias("role"), escape(t["text"]).alias("text"))
+    df = df.select("conv_id", F.transform("raw", safe).alias("ts"))
     # A turn opens a block unless the one before it has its role.
     before = F.concat(F.array(F.lit(None).cast("string")), F.slice(F.transform("ts", lambda t: t["role"]), 1, F.size("ts") - 1))
     piece = F.zip_with("ts", before, lambda t, r: F.struct(

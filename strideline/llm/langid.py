@@ -5,12 +5,15 @@ over each window, the largest response of each filter is kept, and a softmax lay
 response is a sum of one number for each of its places and the byte there, so inference adds rows of tables over pairs
 of bytes. Windows' log-probabilities are averaged over the text, weighted by their lengths.
 
-Training reads labelled rows only: at most SAMPLE rows of each language, those of smallest hash of doc_id (a bounded,
-documented sample), and at most WINDOWS windows spread evenly over each of their texts. Everything is seeded.
+Training reads the labelled rows only. Whole texts are cut into windows, of which each language gives at most SAMPLE, those
+of smallest hash of doc_id and place (a bounded, documented sample: only its windows come to the driver). At most LANGUAGES
+languages are learned, those with most text. Everything is seeded.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; with no labelled row every text is ``und``;
 texts shorter than a window are padded with zero bytes; texts are predicted whole; repeated rows get one answer each;
-rows of null languages aren't learned from; labels of a language are its exact strings.
+rows of null languages aren't learned from; labels of a language are its exact strings; equal probabilities go to the first
+of them; rows repeated with one doc_id and text are learned once; ``predict`` replaces input columns named lang_pred and
+score, other names can't clash.
 """
 
 from __future__ import annotations
@@ -18,18 +21,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 WINDOW = 256
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 8, 8
-SAMPLE, WINDOWS = 400, 6
+SAMPLE, LANGUAGES = 2000, 512
 EPOCHS, BATCH, RATE, SEED = 14, 64, 0.01, 7
 UNKNOWN = "und"
 #: Windows in one matrix of responses.
 AT_ONCE = 48
 
 
-def windows(data: bytes, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def windows(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Windows as rows of bytes, and their lengths. The last two overlap, so that none is nearly empty."""
     n = len(data)
     if n <= WINDOW:
@@ -39,9 +42,6 @@ def windows(data: bytes, most: int | None = None) -> tuple[np.ndarray, np.ndarra
     starts = np.minimum(np.arange(0, n, WINDOW), n - WINDOW)
     lengths = np.full(len(starts), WINDOW, np.float32)
     lengths[-1] = n - WINDOW * (len(starts) - 1)
-    if most and len(starts) > most:
-        pick = np.linspace(0, len(starts) - 1, most).astype(int)
-        starts, lengths = starts[pick], lengths[pick]
     raw = np.frombuffer(data, np.uint8)
     return raw[starts[:, None] + np.arange(WINDOW)], lengths
 
@@ -181,28 +181,35 @@ class ByteCnn:
 
 
 def train(labelled: DataFrame) -> ByteCnn:
-    """labelled: doc_id, text, lang. Collects the bounded sample and trains on the driver."""
-    w = Window.partitionBy("lang").orderBy("__h", "doc_id")
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("__h"))
-    # Ids are chosen first: texts are read for the sample alone.
-    chosen = rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= SAMPLE).select("doc_id", "lang")
-    sample = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi").filter("text IS NOT NULL")
-    pdf = sample.orderBy("lang", F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text").toPandas()
-    pdf = pdf[pdf["text"].map(lambda t: any(map(str.isalpha, t))).astype(bool)]
-    langs = sorted(pdf["lang"].unique())
+    """labelled: doc_id, text, lang. Trains on the driver on the bounded sample of windows."""
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.col("text").rlike(r"\p{L}")).select("lang", F.col("doc_id").cast("string").alias("d"), F.encode("text", "UTF-8").alias("b"))
+    n = F.greatest(F.ceil(F.octet_length("b") / WINDOW), F.lit(1)).cast("int")
+    totals = rows.groupBy("lang").agg(F.sum(n).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    langs = sorted(r["lang"] for r in totals)
     cnn = ByteCnn(langs)
-    if langs:
-        cut = [windows(t.encode("utf-8", "replace"), WINDOWS)[0] for t in pdf["text"]]
-        y = np.repeat([langs.index(x) for x in pdf["lang"]], [len(c) for c in cut])
-        cnn.fit(np.concatenate(cut), y)
-    return cnn
+    if not langs:
+        return cnn
+    # A window is chosen by its own hash, so no language's rows meet in a task; a few more than needed come, for chance.
+    share = F.create_map(*[x for r in totals for x in (F.lit(r["lang"]), F.lit(1.2 * (SAMPLE + 10 * SAMPLE**0.5) / r["n"]))])[F.col("lang")]
+    key = lambda i: F.xxhash64("d", i)
+    at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.shiftrightunsigned(key(i), 1) < share * F.lit(float(2**63)))
+    begin = lambda i: F.greatest(F.lit(0), F.least(i * WINDOW, F.octet_length("b") - WINDOW)) + 1
+    cut = F.transform("at", lambda i: F.struct(key(i).alias("h"), F.substring(F.col("b"), begin(i), F.lit(WINDOW)).alias("w")))
+    chosen = rows.select("lang", "d", "b", at.alias("at")).filter(F.size("at") > 0).select("lang", F.explode(cut).alias("c")).select("lang", "c.h", "c.w").distinct()
+    by: dict[str, list[tuple[int, bytes]]] = {x: [] for x in langs}
+    for r in chosen.collect():
+        by[r["lang"]].append((r["h"], bytes(r["w"])))
+    sample = [(y, w) for y, x in enumerate(langs) for _, w in sorted(by[x])[:SAMPLE]]
+    x = np.frombuffer(b"".join(w.ljust(WINDOW, b"\0") for _, w in sample), np.uint8).reshape(len(sample), WINDOW)
+    return cnn.fit(x, np.array([y for y, _ in sample]))
 
 
 def predict(docs: DataFrame, cnn: ByteCnn, keep: list[str] | None = None) -> DataFrame:
     """keep (all columns by default) with lang_pred and score; the model, a few hundred kB, goes to the tasks with the function."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     weights, langs = cnn.w, cnn.langs
-    df = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
+    # The caller's columns travel as one struct, so none of their names can clash with those made here.
+    df = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").alias("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -212,14 +219,13 @@ def predict(docs: DataFrame, cnn: ByteCnn, keep: list[str] | None = None) -> Dat
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                found = model.predict(part.column("__text").to_pylist())
-                cols = [c for name, c in zip(part.schema.names, part.columns) if name != "__text"]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"])
+                found = model.predict(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["row", "lang_pred", "score"])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([f for f in df.schema if f.name != "__text"] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.mapInArrow(run, schema)
+    schema = T.StructType([df.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return df.mapInArrow(run, schema).select(*[F.col("row").getField(c).alias(c) for c in keep], "lang_pred", "score")
 
 
 def fold(doc_id: str = "doc_id") -> Column:

@@ -11,7 +11,8 @@ need no padding and are tried beside it. The stream is dealt to tasks by ranges
 segments of SEGMENT tokens, carrying the last window over, so its memory doesn't grow with its share.
 
 Edge cases: a null or empty text is its end id alone; rows with one doc_id are packed one after the other, ordered by
-text; a null doc_id comes first; an empty table gives no rows.
+text, by one task; a null doc_id comes first; only doc_id and text are read, so other columns' names can't clash; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

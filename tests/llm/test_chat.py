@@ -46,3 +46,9 @@ def test_empty_and_extra_columns(spark):
 
     assert chat.digest(chat.read_back(chat.format_chat(frame(spark, []))).select("*")).count() == 0
     assert chat.format_chat(frame(spark).withColumns({"t": F.lit(1), "formatted": F.lit(2)})).count() == 6
+
+
+def test_ties_are_sorted_before_escaping(spark):
+    rows = [(1, 0, "user", "<]x"), (1, 0, "user", "<|x"), (1, 0, "user", "\\"), (1, 0, "user", "[")]
+    got = chat.read_back(chat.format_chat(frame(spark, rows))).collect()[0]
+    assert [t["text"] for t in got["turns"]] == sorted(r[3] for r in rows)

@@ -62,3 +62,23 @@ def test_no_labels(docs):
     model = langid.train(df.filter("false"))
     assert {x["lang_pred"] for x in langid.predict(df, model).collect()} == {"und"}
     assert langid.predict(docs([]), model).count() == 0
+
+
+def test_sample_is_bounded_and_of_whole_texts(docs, monkeypatch):
+    """One document repeated many times and one far longer than the sample: windows come from all of its length."""
+    monkeypatch.setattr(langid, "SAMPLE", 60)
+    seen = []
+    monkeypatch.setattr(langid.ByteCnn, "fit", lambda self, x, y, epochs=1: seen.append((x, y)) or self)
+    long = " ".join(f"word{i}" for i in range(20_000))
+    df = docs([long] + ["kurzer text"] * 500 + ["et un"], langs=["en"] + ["de"] * 500 + ["fr"], ids=[1] + [2] * 500 + [3])
+    assert langid.train(df).langs == ["de", "en", "fr"]
+    x, y = seen[0]
+    assert list(np.bincount(y)) == [1, 60, 1]
+    places = [long.encode().find(bytes(w)) for w in x[y == 1]]
+    assert min(places) >= 0 and max(places) > len(long) * 0.8 and min(places) < len(long) * 0.2
+
+
+def test_accuracy_on_given_tables(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang IS NOT NULL")
+    held = langid.predict(df.filter(langid.fold() == 1), langid.train(df.filter(langid.fold() != 1)), ["lang"]).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.9
