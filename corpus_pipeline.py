@@ -1,8 +1,14 @@
 """A corpus pipeline of five of the training-data operators.
 
 Each stage reads the documents that the one before kept: junk goes, texts of no known language go, one document of
-each group of near copies stays, secrets are masked, and what is left is packed into sequences. Edge cases are the
-operators'; an empty table passes through every stage.
+each group of near copies stays, secrets are masked, and what is left is packed into sequences.
+
+Edge cases, stage by stage. Quality rules: null and empty texts go; rows of a null doc_id and repeated rows are judged one
+by one. Language ID: the same rows are judged one by one; texts without a letter go; without labels every text goes. Near
+duplicates: of rows with one doc_id one stays, rows of a null doc_id all stay, ties go to the smallest doc_id. Secret
+scans: every row stays, one by one. Packing: rows with one doc_id follow each other, a null doc_id comes first. Very long
+texts are processed whole; columns besides those of documents are carried through to the packing; an empty table passes
+through every stage.
 """
 
 from __future__ import annotations
