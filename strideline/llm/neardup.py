@@ -36,9 +36,9 @@ from .lm import word_hash, words_of
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, ORDER, SEED = 22, 2, 5
 #: Hashes made at once.
-AT_ONCE = 1 << 19
-#: Texts in a part of a bucket; numbers of words remembered by a worker.
-PART, WORDS = 1024, 1_000_000
+AT_ONCE = 1 << 17
+#: Texts in a part of a bucket; numbers of words remembered by a worker; rows taken from a batch at once.
+PART, WORDS, ROWS = 1024, 200_000, 256
 
 
 
@@ -175,7 +175,7 @@ def describe(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         seeds = _seeds()
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             found = [sketches(shingles(t), seeds) for t in b.column("text").to_pylist()]
             offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.ListArray.from_arrays(offsets, np.concatenate([*found, np.zeros(0, np.int64)]))], names=["doc_id", "digest", "sketches"])
@@ -190,7 +190,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             keep, last = [], (None, None)
             for i, (x, y) in enumerate(zip(b.column("ta").to_pylist(), b.column("tb").to_pylist())):
                 if last[0] != x:

@@ -22,7 +22,7 @@ WHITE = (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2
 #: Ends a text in a batch: no character.
 _END = 0x10FFFF + 1
 #: Characters cut at once, and pieces remembered.
-BATCH, ENTRIES, LONGEST = 1 << 20, 500_000, 64
+BATCH, ENTRIES, LONGEST = 1 << 19, 250_000, 64
 
 _classes: np.ndarray | None = None
 
