@@ -12,6 +12,8 @@ from ..functions import clean
 #: How far a rate must be from the baseline, in percent points.
 THRESHOLDS = {"risky_crossing": 2.0, "run_red_light": 1.0}
 PER_CATEGORY, OVERALL = 3, 10
+#: Effects alike in so many decimals are ties: the two sides of a category of two differ by rounding only.
+DECIMALS = 9
 
 
 @dataclass(frozen=True)
@@ -72,11 +74,12 @@ def effect_sizes(df: DataFrame, label: Column, rate: Column, category: str, thre
 
 
 def balanced(effects: DataFrame, per_category: int = PER_CATEGORY, overall: int = OVERALL) -> DataFrame:
-    """The strongest of each category, then the strongest of those; ties by category and label."""
-    w = Window.partitionBy("category").orderBy(F.desc(F.abs("effect")), "label")
+    """The strongest of each category, then the strongest of those; ties (to DECIMALS) by category and label."""
+    strength = F.round(F.abs("effect"), DECIMALS)
+    w = Window.partitionBy("category").orderBy(F.desc(strength), "label")
     few = effects.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= per_category).drop("__r")
-    top = few.orderBy(F.desc(F.abs("effect")), "category", "label").limit(overall)
-    return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc(F.abs("effect")), "category", "label")))
+    top = few.orderBy(F.desc(strength), "category", "label").limit(overall)
+    return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc(strength), "category", "label")))
 
 
 def grouped_mean(df: DataFrame, group: Column, rate: Column) -> DataFrame:

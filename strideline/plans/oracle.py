@@ -208,8 +208,8 @@ QUERIES: dict[str, str] = {
     UNION ALL SELECT 'Demographics', gender, risky_crossing, 0.0001, 100, 0.02 FROM g WHERE gender <> ''
     UNION ALL SELECT 'Age', label, avg(risky_crossing), 0.0001, 100, 0.02 FROM (SELECT CASE WHEN CAST(age AS int) BETWEEN 18 AND 30 THEN '18-30' WHEN CAST(age AS int) BETWEEN 31 AND 50 THEN '31-50' WHEN CAST(age AS int) >= 51 THEN '51+' END AS label, risky_crossing FROM a) WHERE label IS NOT NULL GROUP BY label),
   f AS (SELECT *, rate * scale AS shown, rate * scale - coalesce(avg(CASE WHEN rate > low THEN rate END) OVER (PARTITION BY category), 0) * scale AS effect FROM e WHERE rate IS NOT NULL),
-  k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY abs(effect) DESC, label) AS r FROM f WHERE abs(effect) > least)
-  SELECT row_number() OVER (ORDER BY abs(effect) DESC, category, label) AS position, category, label, round(shown, 6) AS rate, round(effect, 6) AS effect, CASE WHEN effect > 0 THEN 'up' ELSE 'down' END AS direction FROM k WHERE r <= 3 ORDER BY abs(effect) DESC, category, label LIMIT 10""",
+  k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY round(abs(effect), 9) DESC, label) AS r FROM f WHERE abs(effect) > least)
+  SELECT row_number() OVER (ORDER BY round(abs(effect), 9) DESC, category, label) AS position, category, label, round(shown, 6) AS rate, round(effect, 6) AS effect, CASE WHEN effect > 0 THEN 'up' ELSE 'down' END AS direction FROM k WHERE r <= 3 ORDER BY round(abs(effect), 9) DESC, category, label LIMIT 10""",
     "merge_sessions": f"@{INCOMING} SELECT coalesce(o.session_id, n.session_id) AS session_id, coalesce(o.link, n.link) AS link, coalesce(n.collected, o.collected) AS collected, CASE WHEN n.link IS NOT NULL THEN n.speed ELSE o.speed END AS speed, CASE WHEN n.link IS NOT NULL THEN n.weather ELSE o.weather END AS weather, CASE WHEN n.link IS NOT NULL THEN n.risky_ratio ELSE o.risky_ratio END AS risky_ratio FROM old o FULL JOIN new n ON o.link = n.link",
     "merge_partial": """@o AS (SELECT * FROM (SELECT session_id, track, risky, age, walking, delay, row_number() OVER (PARTITION BY session_id, track ORDER BY walking NULLS FIRST, delay NULLS FIRST, risky NULLS FIRST, age NULLS FIRST) AS r FROM observations) WHERE r = 1),
   n AS (SELECT * FROM (SELECT session_id, track, risky, age + 1 AS age, walking + 1000 AS walking, delay, row_number() OVER (PARTITION BY session_id, track ORDER BY walking DESC NULLS LAST, delay DESC NULLS LAST, risky DESC NULLS LAST, age DESC NULLS LAST) AS r FROM observations WHERE session_id % 2 = 0) WHERE r = 1)
@@ -282,8 +282,8 @@ QUERIES: dict[str, str] = {
         + "".join(f" UNION ALL SELECT '{x}', {i}, '{k}', '{n}', CAST(100 * {count_if(f'{f} AND {z}')} AS double) / nullif({count_if(f)}, 0), 0.01, 1.0 FROM observations" for i, k, named in ((3, "Demographics", {f: n[:1].upper() + n[1:] for f, n in CLOTHES.items()}), (4, "Behavior", {f: "Phone Users" if n == "phone_using" else n[:1].upper() + n[1:] for f, n in ITEMS.items()}), (5, "Vehicles", {f: f[:1].upper() + f[1:] for f in FLAGS})) for f, n in named.items())
         for x, y, z in (("risky_crossing", "risky_crossing_prob", "risky"), ("run_red_light", "run_red_light_prob", "red_light")))
         + """), f AS (SELECT *, rate * scale AS shown, rate * scale - coalesce(avg(CASE WHEN rate > low THEN rate END) OVER (PARTITION BY metric, src), 0) * scale AS effect FROM e WHERE rate IS NOT NULL),
-  k AS (SELECT *, row_number() OVER (PARTITION BY metric, category ORDER BY abs(effect) DESC, label) AS r FROM f WHERE abs(effect) > 0.02)
-  SELECT * FROM (SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY abs(effect) DESC, category, label) AS position, category, label, round(shown, 6) AS rate, round(effect, 6) AS effect, CASE WHEN effect > 0 THEN 'up' ELSE 'down' END AS direction FROM k WHERE r <= 3) WHERE position <= 10""",
+  k AS (SELECT *, row_number() OVER (PARTITION BY metric, category ORDER BY round(abs(effect), 9) DESC, label) AS r FROM f WHERE abs(effect) > 0.02)
+  SELECT * FROM (SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY round(abs(effect), 9) DESC, category, label) AS position, category, label, round(shown, 6) AS rate, round(effect, 6) AS effect, CASE WHEN effect > 0 THEN 'up' ELSE 'down' END AS direction FROM k WHERE r <= 3) WHERE position <= 10""",
     "served_rows": f"SELECT place_id, {', '.join(f'floor({x} * {float(10 ** n)}::double + 0.5::double) / {float(10 ** n)}::double AS {x}' for x, n in SERVED.items())} FROM ({summary()})",
     "country_codes": """@h AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN ' c' || c_nationkey WHEN 1 THEN 'n' || c_nationkey WHEN 2 THEN 'Nation_' || c_nationkey WHEN 3 THEN 'nowhere' END AS hint FROM customer)
   SELECT c_custkey, hint, 'C' || n_nationkey AS iso2, 'N' || n_nationkey AS iso3, coalesce(r_name, 'Unknown') AS continent FROM h LEFT JOIN (nation JOIN region ON n_regionkey = r_regionkey) ON lower(trim(hint)) IN ('c' || n_nationkey, 'n' || n_nationkey, lower(n_name))""",

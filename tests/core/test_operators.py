@@ -185,3 +185,9 @@ def test_candidates_and_duplicates(spark):
     s = spark.createDataFrame([(7, 2), (8, 1)], "session_id int, place_id int")
     kept, moved = places.merge_duplicates(pl, s)
     assert sorted(r["place_id"] for r in kept.collect()) == [1, 4] and {r["place_id"] for r in moved.collect()} == {1}
+
+
+def test_effects_that_differ_by_rounding_are_ties(spark):
+    rows = [("A", "x", 1.0, 0.1 + 0.2, "up"), ("A", "w", 1.0, -0.3, "down"), ("B", "v", 1.0, 0.3 - 1e-13, "up")]
+    got = effects.balanced(spark.createDataFrame(rows, "category string, label string, rate double, effect double, direction string"))
+    assert [r.label for r in got.orderBy("position").collect()] == ["w", "x", "v"]
