@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, chat, idfile, langid, lm, neardup, packing, quality, secret_scan
+from . import ann, bpe, chat, idfile, langid, lm, neardup, packing, quality, repair, secret_scan
 from .common import documents
 
 
@@ -68,6 +68,11 @@ def op10_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.stored(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair.repaired_digests(repair.damage(turns), F.col("present"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
     "op10_id_planes": op10_id_planes,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 
