@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, chat, idfile, langid, lm, neardup, packing, quality, repair, secret_scan, simhash
+from . import ann, bpe, chat, idfile, langid, lm, neardup, packing, quality, repair, search, secret_scan, simhash
 from .common import documents
 
 
@@ -73,6 +73,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_digests(repair.damage(turns), F.col("present"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(documents(spark, sf_dir))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_id_planes": op10_id_planes,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_ranked_search": op12_ranked_search,
     "op13_simhash": op13_simhash,
 }
 

@@ -52,4 +52,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (11 + sum(length({_ESCAPED.format("text")}) + CASE WHEN before IS NOT DISTINCT FROM role THEN 10 ELSE CASE WHEN before IS NULL THEN 0 ELSE 11 END + 12 + length(replace({_ESCAPED.format("role")}, chr(10), '<|im_nl|>')) + 1 END))::BIGINT AS formatted_chars
 FROM led GROUP BY conv_id""",
+    "op12_ranked_search": r"""
+WITH words AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+docs AS (SELECT rid, doc_id, ts, len(ts)::BIGINT AS n FROM words WHERE len(ts) > 0),
+stats AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM docs),
+items AS (SELECT row_number() OVER () AS query, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS ts FROM benchmark),
+asked AS (SELECT query, item_id, unnest(ts) AS term FROM items),
+held AS (SELECT rid, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT rid, doc_id, n, unnest(ts) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weighed AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM held, stats GROUP BY term, docs),
+scored AS (SELECT query, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total))))::BIGINT AS score FROM asked JOIN held USING (term) JOIN weighed USING (term), stats GROUP BY ALL HAVING score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 50""",
 }
