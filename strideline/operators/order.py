@@ -1,18 +1,20 @@
-"""Global order without a global sort: exact ranks, percent ranks and percentiles from counts of values.
+"""Order without a global sort: exact ranks, percent ranks and percentiles from counts of values.
 
 Equal values are counted first, with partial sums before the shuffle, so a very common value is one row. The counted
-values are dealt to BUCKETS ranges whose edges come from a mergeable sketch; within a range counts are summed up in
-order, and what lies in the ranges before it is added. Only the ranges' sums, BUCKETS rows a column and group, meet in
-one task. Values are compared as doubles.
+values of a column and group are dealt to ranges; within a range counts are summed up in order, and what lies in the ranges
+before it is added. The ranges' edges are the values whose hash is 0 modulo RANGE, so a range holds about RANGE distinct values
+however many there are, the same ones on every run, and only a row a range meets in one task. A group of few values is
+one range. Values are compared as doubles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 64
+#: Distinct values of a range; edges of a group beyond which only every k-th is taken, as each value looks through them.
+RANGE, MOST_EDGES = 1 << 16, 1 << 12
 _BY = ["name", "grp"]
 
 
@@ -23,16 +25,26 @@ def melt(df: DataFrame, columns: Mapping[str, tuple[str, str | None]], *keep: st
     return df.select(*keep, F.explode(F.array(*entries)).alias("e")).select(*keep, "e.*")
 
 
-def running(melted: DataFrame) -> DataFrame:
-    """name, grp, value, n, up_to (values up to this one) and known (values in all); NULLs don't count."""
-    counts = melted.filter("value IS NOT NULL").groupBy(*_BY, "value").agg(F.count("*").alias("n"))
-    edges = counts.groupBy(*_BY).agg(F.percentile_approx("value", F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("edges"))
-    dealt = counts.join(edges, _BY).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col("value")))).drop("edges")
-    sums = dealt.groupBy(*_BY, "bucket").agg(F.sum("n").alias("of_bucket"))
-    w = Window.partitionBy(*_BY)
-    before = sums.select(*_BY, "bucket", (F.sum("of_bucket").over(w.orderBy("bucket")) - F.col("of_bucket")).alias("before"), F.sum("of_bucket").over(w).alias("known"))
-    within = F.sum("n").over(Window.partitionBy(*_BY, "bucket").orderBy("value"))
-    return dealt.join(before, [*_BY, "bucket"]).select(*_BY, "value", "n", (F.col("before") + within).alias("up_to"), "known")
+def running(melted: DataFrame, by: Sequence[str] = _BY) -> DataFrame:
+    """by, value, n, up_to (values up to this one) and known (values in all) of every distinct value; NULLs don't count."""
+    return running_counts(melted.filter("value IS NOT NULL").groupBy(*by, "value").agg(F.count("*").alias("n")), by)
+
+
+def running_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """As running, of counted values: by, value and n."""
+    by = list(by)
+    same = lambda a, b, cols: [F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{x}")) for x in cols]
+    edges = counts.filter(F.pmod(F.xxhash64("value"), F.lit(RANGE)) == 0).groupBy(*by).agg(F.sort_array(F.collect_list("value")).alias("edges"))
+    step = F.ceil(F.size("edges") / MOST_EDGES)
+    edges = edges.withColumn("edges", F.when(step <= 1, F.col("edges")).otherwise(F.filter("edges", lambda _, i: i % step == 0)))
+    dealt = counts.alias("c").join(edges.alias("e"), same("c", "e", by), "left")
+    dealt = dealt.select("c.*", F.when(F.col("edges").isNull(), 0).otherwise(F.size(F.filter("edges", lambda e: e < F.col("value")))).alias("bucket"))
+    sums = dealt.groupBy(*by, "bucket").agg(F.sum("n").alias("of_bucket"))
+    w = Window.partitionBy(*by)
+    before = sums.select(*by, "bucket", (F.sum("of_bucket").over(w.orderBy("bucket")) - F.col("of_bucket")).alias("before"), F.sum("of_bucket").over(w).alias("known"))
+    within = F.sum("n").over(Window.partitionBy(*by, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    summed = dealt.withColumn("within", within)
+    return summed.alias("c").join(before.alias("b"), same("c", "b", [*by, "bucket"])).select(*[f"c.{x}" for x in by], "value", "n", (F.col("before") + F.col("within")).alias("up_to"), "known")
 
 
 def placed(df: DataFrame, columns: Mapping[str, tuple[str, str | None]], key: str = "place_id") -> DataFrame:
@@ -61,15 +73,29 @@ def rank_known(place: str) -> Column:
     return (F.col(f"{place}.above") + 1).cast("int")
 
 
+def _at(c: str, p: float) -> Column:
+    """The interpolated percentile of the column c among running values, as an aggregate."""
+    own = F.col("name") == c
+    place = F.lit(p) * (F.col("known") - 1)
+    first = lambda i: F.min(F.when(own & (F.col("up_to") > i), F.col("value")))
+    low, high, part = first(F.floor(place)), first(F.ceil(place)), F.max(F.when(own, place - F.floor(place)))
+    return low + (high - low) * part
+
+
 def percentiles(df: DataFrame, wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
     """One row: name -> exact interpolated percentile of (column, p) over all rows; NULL without values."""
     columns = dict.fromkeys(c for c, _ in wanted.values())
-    t = running(melt(df, {c: (c, None) for c in columns}))
+    return running(melt(df, {c: (c, None) for c in columns})).agg(*[_at(c, p).alias(n) for n, (c, p) in wanted.items()])
+
+
+def group_percentiles(df: DataFrame, key: str, wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """key and exact interpolated percentiles of (column, p) of each group with a value; no group's values meet in one task."""
+    columns = dict.fromkeys(c for c, _ in wanted.values())
+    entries = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns]
+    long = df.select(key, F.explode(F.array(*entries)).alias("e")).select(key, "e.*").filter("value IS NOT NULL")
+    return percentiles_of_counts(long.groupBy(key, "name", "value").agg(F.count("*").alias("n")), key, wanted)
 
-    def at(c: str, p: float) -> Column:
-        place = F.lit(p) * (F.col("known") - 1)
-        first = lambda i: F.min(F.when((F.col("name") == c) & (F.col("up_to") > i), F.col("value")))
-        low, high, part = first(F.floor(place)), first(F.ceil(place)), F.max(F.when(F.col("name") == c, place - F.floor(place)))
-        return low + (high - low) * part
 
-    return t.agg(*[at(c, p).alias(n) for n, (c, p) in wanted.items()])
+def percentiles_of_counts(counts: DataFrame, key: str, wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """As group_percentiles, of counted values: key, name, value and n."""
+    return running_counts(counts, [key, "name"]).groupBy(key).agg(*[_at(c, p).alias(n) for n, (c, p) in wanted.items()])

@@ -34,6 +34,25 @@ def observation_rollup(observations: DataFrame, sessions: DataFrame, parts: Spec
     return per_place.select(place, *[c.alias(n) for n, c in finals.items()])
 
 
+def place_parts(sessions: DataFrame, observations: DataFrame, session_spec: Spec, parts: Spec, place: str = "place_id", session: str = "session_id") -> DataFrame:
+    """One row a place, and one for what has none: session aggregates beside sums of the observations' additive parts, from
+    one pass over either table. In session_spec the column __session tells sessions from observations without one.
+
+    Sums of this table's additive columns are the figures of all rows, so places and the whole need no second pass."""
+    rows = sessions.withColumn("__session", F.lit(1)).join(observation_sums(observations, parts, session), session, "full_outer")
+    return rows.groupBy(place).agg(*[x.alias(n) for n, x in session_spec.items()], *[F.sum(n).alias(n) for n in parts])
+
+
+def value_counts(rows: DataFrame, values: Spec, key: str, sessions: DataFrame | None = None, place: str = "place_id") -> DataFrame:
+    """key (or place), name, value and n: how often each value occurs. With sessions, key is a session's, and values are
+    counted per session before they meet its place."""
+    entries = [F.struct(F.lit(n).alias("name"), x.cast("double").alias("value")) for n, x in values.items()]
+    counts = rows.select(key, F.explode(F.array(*entries)).alias("e")).select(key, "e.*").filter("value IS NOT NULL").groupBy(key, "name", "value").agg(F.count("*").alias("n"))
+    if sessions is None:
+        return counts
+    return counts.join(sessions.select(key, place), key).groupBy(place, "name", "value").agg(F.sum("n").alias("n"))
+
+
 def with_default(df: DataFrame, zeros: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in zeros if c in df.columns})
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import clean, measures as m
-from ..operators import api, asof, effects, facts, filters, insights, merge, mixes, places as place_ops, rank, reports, rollup
+from ..operators import api, asof, effects, facts, filters, incremental, insights, merge, mixes, order, places as place_ops, rank, reports, rollup
+from ..sources.storage import cut, new_path
 from .adapters import FLAGS, Data
 
 c = F.col
@@ -60,12 +61,20 @@ def session_summary(d: Data) -> DataFrame:
 
 
 def behavior_profile(d: Data) -> DataFrame:
-    rows = d.places.select("place_id").join(d.sessions.select("place_id", "session_id"), "place_id", "left").join(d.observations.select("session_id", "gender", "age", "daytime", "phone", "track"), "session_id", "left")
-    return rows.groupBy("place_id").agg(
-        F.count_if(c("gender") == "male").alias("male"), F.count_if(c("gender") == "female").alias("female"), F.count_if(c("gender").isNull() | (c("gender") == "")).alias("unknown_gender"),
-        m.mean(c("age")).alias("avg_age"), F.min("age").alias("min_age"), F.max("age").alias("max_age"), m.percentile(c("age"), 0.5).alias("median_age"),
-        m.count_true(c("daytime")).alias("day"), F.count_if(~c("daytime")).alias("night"), m.pooled_rate(c("phone"), c("track")).alias("phone_rate"),
+    """Counts as of a left join down to observations: a session or place without any counts as one of unknown gender."""
+    o = d.observations.groupBy("session_id").agg(
+        F.count_if(c("gender") == "male").alias("male"), F.count_if(c("gender") == "female").alias("female"), F.count_if(c("gender").isNull() | (c("gender") == "")).alias("unknown"),
+        F.sum("age").alias("s_age"), F.count("age").alias("n_age"), F.min("age").alias("min_age"), F.max("age").alias("max_age"), m.count_true(c("daytime")).alias("day"), F.count_if(~c("daytime")).alias("night"),
+        m.count_true(c("phone")).alias("phone"), F.count("track").alias("n_track"),
     )
+    ages = order.percentiles_of_counts(rollup.value_counts(d.observations, {"age": c("age")}, "session_id", d.sessions), "place_id", {"median_age": ("age", 0.5)})
+    rows = d.places.select("place_id").join(d.sessions.select("place_id", "session_id"), "place_id", "left").join(o, "session_id", "left")
+    zero = lambda x: F.coalesce(F.sum(x), F.lit(0)).alias(x)
+    out = rows.groupBy("place_id").agg(
+        zero("male"), zero("female"), F.sum(F.coalesce("unknown", F.lit(1))).alias("unknown_gender"), m.ratio(F.sum("s_age"), F.sum("n_age")).alias("avg_age"), F.min("min_age").alias("min_age"), F.max("max_age").alias("max_age"),
+        zero("day"), zero("night"), m.ratio(F.sum("phone"), F.sum("n_track")).alias("phone_rate"),
+    )
+    return out.join(ages, "place_id", "left")
 
 
 RANKS = {"speed_rank": "avg_speed", "risky_rank": "avg_risky_ratio", "red_rank": "avg_red_ratio", "crosswalk_rank": "avg_crosswalk_ratio"}
@@ -81,42 +90,82 @@ def rank_table(d: Data) -> DataFrame:
     return rollup.ranked(rank_base(d), RANKS, {"speed_percentile": "avg_speed", "risky_percentile": "avg_risky_ratio", "red_percentile": "avg_red_ratio", "crosswalk_percentile": "avg_crosswalk_ratio"})
 
 
-def global_baseline(d: Data) -> DataFrame:
-    s = {"global_avg_speed": m.mean(c("speed")), "global_avg_risky_ratio": m.mean(c("risky_ratio")), "global_avg_red_ratio": m.mean(c("red_ratio")), "total_sessions": F.count("*"), "localized": F.count_if(c("status") == "ok"), "global_avg_people": m.mean(c("n_people")), "global_avg_vehicles": m.mean(c("n_vehicles")), "global_avg_measured": m.mean(c("measured_speed")), "measured_sessions": F.count("measured_speed")}
-    o = {"global_avg_age": m.mean(c("age")), "total_observations": F.count("*"), "global_risky_rate": m.pooled_rate(c("risky"), c("track")), "global_red_rate": m.pooled_rate(c("red_light"), c("track")), "global_phone_rate": m.pooled_rate(c("phone"), c("track"))}
-    quartiles = {"global_q1_speed": ("speed", 0.25), "global_median_speed": ("speed", 0.5), "global_q3_speed": ("speed", 0.75)}
-    return rollup.baseline(d.sessions, d.observations, d.places, s, o, quartiles, {"global_median_age": ("age", 0.5)})
+def place_parts(d: Data) -> DataFrame:
+    """What baselines and insights need of sessions and observations, one row a place, written once: sums s_ and counts n_ are additive."""
+    ok = c("status") == "ok"
+    means = ("speed", "risky_ratio", "red_ratio", "crosswalk_ratio", "n_people", "n_vehicles", "measured_speed", "crossing_time", "hazard")
+    spec = {"video_count": F.count("__session"), "videos_localized": F.count_if(ok)} | {k: x for v in means for k, x in ((f"s_{v}", F.sum(v)), (f"n_{v}", F.count(v)))}
+    spec |= {
+        "dominant_weather": F.mode("weather", deterministic=True), "weather_variety": F.size(F.collect_set("weather")).cast("long"), "vehicles_list": rollup.sorted_list(c("top_vehicles")),
+        "localized_street": F.min_by(F.when(ok, c("street_name")), F.when(ok, c("session_id"))),
+    }
+    return cut(rollup.place_parts(d.sessions, d.observations, spec, parts() | {"n_track": F.count("track")}))
 
 
-def insight_base(d: Data) -> DataFrame:
-    """Domain names over the adapters; ratios are 0 to 1."""
-    share = lambda x: m.mean(c(x)) / 100.0
-    ok = c("status") == "ok"
-    s = rollup.session_rollup(d.sessions, {
-        "video_count": F.count("*"), "avg_crossing_speed": m.mean(c("speed")), "median_crossing_speed": m.percentile(c("speed"), 0.5), "avg_risky_crossing_ratio": share("risky_ratio"), "avg_run_red_light_ratio": share("red_ratio"), "avg_crosswalk_usage_ratio": share("crosswalk_ratio"),
-        "dominant_weather": F.mode("weather", deterministic=True), "weather_variety": F.count_distinct("weather"), "vehicles_list": rollup.sorted_list(c("top_vehicles")), "videos_localized": F.count_if(ok), "localized_street": F.min_by(F.when(ok, c("street_name")), F.when(ok, c("session_id"))),
-        "avg_crossing_time": m.mean(c("crossing_time")), "avg_pedestrians_per_video": m.mean(c("n_people")), "avg_vehicles_per_video": m.mean(c("n_vehicles")), "avg_accident_prob": share("hazard"), "avg_measured_walking_speed": m.mean(c("measured_speed")),
-    })
-    o = rollup.observation_rollup(d.observations, d.sessions, parts(), {"pedestrian_count": c("n"), "avg_age": m.ratio(c("s_age"), c("n_age")), "male_ratio": m.ratio(c("s_male"), c("n")), "phone_usage_ratio": m.ratio(c("s_phone"), c("n")), "age_sample": c("n_age")})
-    df = d.places.select("place_id", "city", "country", "continent", "city_med_age").join(s, "place_id", "left").join(o, "place_id", "left")
-    df = rollup.with_default(df, ["video_count", "pedestrian_count"])
+def speed_counts(d: Data) -> DataFrame:
+    return cut(rollup.value_counts(d.sessions, {"speed": c("speed")}, "place_id"))
+
+
+def baseline_row(d: Data, per: DataFrame, speeds: DataFrame, sums: dict[str, Column], quartiles: dict[str, float], age: str) -> DataFrame:
+    """One row of the whole: sums over the places' parts, percentiles of counted speeds, and the median age."""
+    whole = speeds.groupBy(F.lit(0).alias("all"), "name", "value").agg(F.sum("n").alias("n"))
+    ages = rollup.value_counts(d.observations.withColumn("all", F.lit(0)), {"age": c("age")}, "all")
+    out = per.agg(*[x.alias(n) for n, x in sums.items()]).crossJoin(d.places.agg(F.count("*").alias("total_places")))
+    at = order.percentiles_of_counts(whole, "all", {n: ("speed", p) for n, p in quartiles.items()}).agg(*[F.first(n).alias(n) for n in quartiles])
+    return out.crossJoin(at).crossJoin(order.percentiles_of_counts(ages, "all", {age: ("age", 0.5)}).agg(F.first(age).alias(age)))
+
+
+def part_mean(x: str) -> Column:
+    return m.ratio(F.sum(f"s_{x}"), F.sum(f"n_{x}"))
+
+
+def part_rate(x: str) -> Column:
+    return m.ratio(F.sum(f"s_{x}"), F.sum("n_track"))
+
+
+def global_baseline(d: Data) -> DataFrame:
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    sums = {
+        "global_avg_speed": part_mean("speed"), "global_avg_risky_ratio": part_mean("risky_ratio"), "global_avg_red_ratio": part_mean("red_ratio"), "total_sessions": total("video_count"), "localized": total("videos_localized"), "global_avg_people": part_mean("n_people"),
+        "global_avg_vehicles": part_mean("n_vehicles"), "global_avg_measured": part_mean("measured_speed"), "measured_sessions": total("n_measured_speed"), "global_avg_age": part_mean("age"), "total_observations": total("n"),
+        "global_risky_rate": part_rate("risky"), "global_red_rate": part_rate("red"), "global_phone_rate": part_rate("phone"),
+    }
+    return baseline_row(d, place_parts(d), speed_counts(d), sums, {"global_q1_speed": 0.25, "global_median_speed": 0.5, "global_q3_speed": 0.75}, "global_median_age")
+
+
+def insight_tables(d: Data) -> tuple[DataFrame, DataFrame]:
+    """The ranked base, domain names over the adapters, ratios 0 to 1, and the global row: each table is read at most twice."""
+    per, speeds = place_parts(d), speed_counts(d)
+    mean = lambda x: m.ratio(c(f"s_{x}"), c(f"n_{x}"))
+    share = lambda x: mean(x) / 100.0
+    own = per.select(
+        "place_id", "video_count", mean("speed").alias("avg_crossing_speed"), share("risky_ratio").alias("avg_risky_crossing_ratio"), share("red_ratio").alias("avg_run_red_light_ratio"), share("crosswalk_ratio").alias("avg_crosswalk_usage_ratio"),
+        "dominant_weather", F.when(c("video_count") > 0, c("weather_variety")).alias("weather_variety"), "vehicles_list", F.when(c("video_count") > 0, c("videos_localized")).alias("videos_localized"), "localized_street",
+        mean("crossing_time").alias("avg_crossing_time"), mean("n_people").alias("avg_pedestrians_per_video"), mean("n_vehicles").alias("avg_vehicles_per_video"), share("hazard").alias("avg_accident_prob"), mean("measured_speed").alias("avg_measured_walking_speed"),
+        c("n").alias("pedestrian_count"), mean("age").alias("avg_age"), m.ratio(c("s_male"), c("n")).alias("male_ratio"), m.ratio(c("s_phone"), c("n")).alias("phone_usage_ratio"), c("n_age").alias("age_sample"),
+    )
+    medians = order.percentiles_of_counts(speeds, "place_id", {"median_crossing_speed": ("speed", 0.5)})
+    df = d.places.select("place_id", "city", "country", "continent", "city_med_age").join(own, "place_id", "left").join(medians, "place_id", "left")
+    df = cut(rollup.with_default(df, ["video_count", "pedestrian_count"]))
     ranks = {"speed_rank": "avg_crossing_speed", "risky_rank": "avg_risky_crossing_ratio", "red_light_rank": "avg_run_red_light_ratio", "crosswalk_usage_rank": "avg_crosswalk_usage_ratio"}
     df = rollup.ranked(df, ranks, known_only={"measured_walking_speed_rank": "avg_measured_walking_speed"}, within={"continent_speed_rank": ("avg_crossing_speed", "continent")})
-    return rollup.peers(df, "cities_in_continent", "continent")
+    sums = {
+        "global_avg_crossing_speed": part_mean("speed"), "global_avg_crosswalk_usage_ratio": part_mean("crosswalk_ratio") / 100.0, "global_avg_pedestrians_per_video": part_mean("n_people"),
+        "global_avg_vehicles_per_video": part_mean("n_vehicles"), "global_risky_crossing_rate": part_rate("risky"),
+    }
+    return rollup.peers(df, "cities_in_continent", "continent"), baseline_row(d, per, speeds, sums, {"global_q1_crossing_speed": 0.25, "global_q3_crossing_speed": 0.75}, "global_median_pedestrian_age")
 
 
-def insight_baseline(d: Data) -> DataFrame:
-    share = lambda x: m.mean(c(x)) / 100.0
-    s = {"global_avg_crossing_speed": m.mean(c("speed")), "global_avg_crosswalk_usage_ratio": share("crosswalk_ratio"), "global_avg_pedestrians_per_video": m.mean(c("n_people")), "global_avg_vehicles_per_video": m.mean(c("n_vehicles"))}
-    o = {"global_risky_crossing_rate": m.pooled_rate(c("risky"), c("track"))}
-    return rollup.baseline(d.sessions, d.observations, d.places, s, o, {"global_q1_crossing_speed": ("speed", 0.25), "global_q3_crossing_speed": ("speed", 0.75)}, {"global_median_pedestrian_age": ("age", 0.5)})
+def insight_base(d: Data) -> DataFrame:
+    return insight_tables(d)[0]
 
 
 def all_insights(d: Data) -> DataFrame:
     """The adapters have no road width and scene probabilities of their own: crossing times and ratios stand in."""
     missing = ("avg_traffic_light_prob", "avg_crack_prob", "avg_potholes_prob")
-    base = insight_base(d).withColumns({n: F.lit(None).cast("double") for n in missing} | {"avg_road_width": c("avg_crossing_time"), "avg_crosswalk_prob": c("avg_crosswalk_usage_ratio")})
-    return insights.exploded(insights.generate(base, insight_baseline(d)))
+    base, whole = insight_tables(d)
+    base = base.withColumns({n: F.lit(None).cast("double") for n in missing} | {"avg_road_width": c("avg_crossing_time"), "avg_crosswalk_prob": c("avg_crosswalk_usage_ratio")})
+    return insights.exploded(insights.generate(base, whole))
 
 
 def insight_rules(d: Data) -> DataFrame:
@@ -133,9 +182,11 @@ def weighted_measures(d: Data) -> DataFrame:
 
 
 def plausible_median(d: Data) -> DataFrame:
-    rows = d.observations.select("session_id", "walking", "delay").join(d.sessions.select("session_id", "place_id"), "session_id")
     ok = c("walking").between(30, 300)
-    return rows.groupBy("place_id").agg(m.percentile(F.when(ok, c("walking")), 0.5).alias("median_walking"), F.count_if(~ok).alias("implausible"), m.percentile(F.when(c("delay") >= 0, c("delay")), 0.5).alias("median_delay"))
+    implausible = rollup.observation_rollup(d.observations, d.sessions, {"bad": F.count_if(~ok)}, {"implausible": c("bad")})
+    counts = rollup.value_counts(d.observations, {"walking": F.when(ok, c("walking")), "delay": F.when(c("delay") >= 0, c("delay"))}, "session_id", d.sessions)
+    medians = order.percentiles_of_counts(counts, "place_id", {"median_walking": ("walking", 0.5), "median_delay": ("delay", 0.5)})
+    return implausible.join(medians, "place_id", "left")
 
 
 def filter_options(d: Data) -> DataFrame:

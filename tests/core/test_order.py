@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strideline.operators import order, rollup
 
@@ -39,6 +40,36 @@ def test_percentiles_equal_interpolation(rows):
         assert got[name] == pytest.approx(low + (known[min(int(at) + 1, len(known) - 1)] - low) * (at - int(at)))
 
 
+@pytest.mark.parametrize("most", [1 << 12, 3])
+def test_small_ranges_give_the_same_order(rows, monkeypatch, most):
+    """Many ranges, also with edges thinned out."""
+    data, df = rows
+    want = {r["place_id"]: r for r in rollup.ranked(df, {"r": "v"}, {"p": "v"}, {"m": "v"}, {"w": ("v", "g")}).collect()}
+    quartiles = {"a": ("v", 0.25), "b": ("v", 0.9)}
+    q = order.percentiles(df, quartiles).first()
+    monkeypatch.setattr(order, "RANGE", 8)
+    monkeypatch.setattr(order, "MOST_EDGES", most)
+    assert {r["place_id"]: r for r in rollup.ranked(df, {"r": "v"}, {"p": "v"}, {"m": "v"}, {"w": ("v", "g")}).collect()} == want
+    assert order.percentiles(df, quartiles).first() == q
+    counts = order.melt(df, {"v": ("v", None)}).groupBy("name", "grp", "value").count().withColumnRenamed("count", "n").filter("value IS NOT NULL")
+    edges = [v for (v,) in counts.select("value").distinct().filter(F.pmod(F.xxhash64("value"), F.lit(8)) == 0).collect()]
+    assert len(edges) > 20  # 400 values, 8 a range
+
+
+@pytest.mark.parametrize("size", [1 << 16, 4])
+def test_percentiles_within_groups(spark, monkeypatch, size):
+    monkeypatch.setattr(order, "RANGE", size)
+    r = random.Random(5)
+    data = [(r.choice([1, 1, 1, 2, None]), float(r.randrange(200)), r.choice([None, 1.5, 2.5])) for _ in range(2000)] + [(3, None, None), (4, 2.0, None)]
+    df = spark.createDataFrame(data, "g long, a double, b double").repartition(3)
+    got = {x["g"]: x for x in order.group_percentiles(df, "g", {"m": ("a", 0.5), "q": ("a", 0.9), "b": ("b", 0.25)}).collect()}
+    want = df.groupBy("g").agg(F.percentile("a", F.lit(0.5)).alias("m"), F.percentile("a", F.lit(0.9)).alias("q"), F.percentile("b", F.lit(0.25)).alias("b")).filter("m IS NOT NULL").collect()
+    assert len(got) == len(want) == 4
+    for x in want:
+        for name in "mqb":
+            assert got[x["g"]][name] == (None if x[name] is None else pytest.approx(x[name]))
+
+
 def test_empty_and_single(spark):
     df = spark.createDataFrame([], "place_id long, v double")
     assert rollup.ranked(df, {"r": "v"}).count() == 0
