@@ -94,25 +94,68 @@ def metric_insights(base: DataFrame, baseline: DataFrame, metrics: dict[str, tup
     return found.join(F.broadcast(means), "metric").withColumn("sentence", text)
 
 
-def city_details(place: int, sessions: DataFrame, observations: DataFrame, ranked: DataFrame, flags: list[str]) -> dict[str, DataFrame]:
-    """The panels of one place: ranks, mixes of weather, daytime, gender and vehicles, risk by age and by weather, and
-    measured behaviour. Filters on the place reach the scans."""
-    s = sessions.filter(F.col("place_id") == place)
+#: Panels of a place and, in each, the columns that name an item and that are its count and value.
+PANELS = {
+    "weather": ("category", "n", "percent"), "daytime": ("category", "n", "percent"), "gender": ("category", "n", "percent"), "vehicles": ("category", "n", "percent"),
+    "risk_by_age": ("bucket", "n", "risky_percent"), "risk_factors": ("weather", "n", "mean_value"),
+}
+
+
+def city_details(sessions: DataFrame, observations: DataFrame, averages: DataFrame, stored_ranks: DataFrame, stored_ages: DataFrame, flags: list[str], observed_weather: Column | None = None, place: int | None = None) -> dict[str, DataFrame]:
+    """The panels of one place, or of all: ranks, mixes of weather, daytime, gender and vehicles, risk by age and by weather,
+    average age, and measured behaviour. A filter on the place reaches the scans.
+
+    Ranks, weather and age fall back where a place has none, and say by layer which source told: ranks from stored_ranks
+    (place_id and a rank for each column of averages), else counted among averages of all places; weather from sessions, else
+    sessions counted by the weather that observations name; age from stored_ages (place_id, avg_age), else the mean of
+    observed ages above 0, else the middles of age buckets."""
+    only = lambda df: df if place is None else df.filter(F.col("place_id") == place)
+    s = only(sessions)
     o = observations.join(s.select("session_id", "place_id"), "session_id")
+    columns = [x for x in averages.columns if x != "place_id"]
+    counted = rank.rank_by_average(averages, columns).select("place_id", *[F.col(f"{x}_rank").alias(x) for x in columns])
+    stored = stored_ranks.select("place_id", *columns).filter(F.coalesce(*[F.col(x) for x in columns]).isNotNull())
+    weather = {"sessions": mixes.weather_mix(s)}
+    if observed_weather is not None:
+        seen = o.withColumn("__weather", observed_weather)
+        weather["observations"] = mixes.mix(seen.filter(~F.lower("__weather").isin(*mixes.NOT_WEATHER)), "place_id", F.col("__weather"), F.col("session_id"))
+    by_age = mixes.risk_by_bucket(o, "place_id", clean.age_detail(F.col("age")), F.col("age"), F.col("risky"))
+    ages = {
+        "summary": only(stored_ages).select("place_id", "avg_age").filter("avg_age <> 0"),
+        "observations": o.filter("age > 0").groupBy("place_id").agg(m.mean(F.col("age")).alias("avg_age")),
+        "buckets": mixes.average_of_buckets(by_age),
+    }
     n = F.count("measured_speed")
     measured = s.groupBy("place_id").agg(n.alias("n"), m.mean(F.col("measured_speed")).alias("mean"), m.weighted_mean(F.col("measured_speed"), F.col("measured_n")).alias("weighted"))
     return {
-        "ranks": ranked.filter(F.col("place_id") == place),
-        "weather": mixes.weather_mix(s),
+        "ranks": mixes.with_fallback({"stored": only(stored), "counted": only(counted)}),
+        "weather": mixes.with_fallback(weather),
         "daytime": mixes.mix(o, "place_id", F.when(F.col("daytime"), "Day").otherwise("Night")),
         "gender": mixes.mix(o, "place_id", F.col("gender")),
         "vehicles": mixes.flag_mix(rollup.session_rollup(o, mixes.flag_sums(flags)), "place_id", flags),
-        "risk_by_age": mixes.risk_by_bucket(o, "place_id", clean.age_detail(F.col("age")), F.col("age"), F.col("risky")),
+        "risk_by_age": by_age,
         "risk_factors": mixes.risk_factors(s, "place_id", "weather", F.col("risky_ratio")),
+        "age": mixes.with_fallback(ages),
         "measured": measured.select("place_id", "n", *[F.when(F.col("n") > 0, F.col(x)).alias(x) for x in ("mean", "weighted")]),
     }
 
 
+def details_rows(panels: dict[str, DataFrame]) -> DataFrame:
+    """The panels in one form: place_id, panel, item, n, value and layer."""
+    out: DataFrame | None = None
+    for panel, df in panels.items():
+        layer = F.col("layer") if "layer" in df.columns else F.lit(None).cast("string")
+        if panel in PANELS:
+            item, n, value = PANELS[panel]
+            entries = [F.struct(F.col(item).cast("string").alias("item"), F.col(n).cast("long").alias("n"), F.col(value).cast("double").alias("value"))]
+        else:
+            count = F.col("n").cast("long") if "n" in df.columns else F.lit(None).cast("long")
+            entries = [F.struct(F.lit(x).alias("item"), count.alias("n"), F.col(x).cast("double").alias("value")) for x in df.columns if x not in ("place_id", "layer", "n")]
+        rows = df.select("place_id", F.lit(panel).alias("panel"), layer.alias("layer"), F.explode(F.array(*entries)).alias("e")).select("place_id", "panel", "e.*", "layer")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def top_stored_insights(stored: DataFrame, limit: int | None = None, text: str = "insights") -> DataFrame:
     """The best insights of places whose insights are stored as JSON text; scores that aren't numbers are dropped."""
     rows = stored.select("place_id", "city", F.explode(insights.from_json_insights(F.col(text))).alias("i")).select("place_id", "city", "i.*")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.clean import safe_numeric
 from ..functions import measures as m
+from ..sources import storage
+from ..sources.readers import read_category_stats
 
 SLOTS = ("value_numeric", "value_percentage", "correlation_coefficient")
 FACTS = "data_source string, fact_type string, metric_name string, dimension_type string, dimension_value string, value_numeric double, value_percentage double, correlation_coefficient double"
@@ -43,13 +47,43 @@ MELTS = {
 }
 
 
-def melt(stats: DataFrame, source: str, spec: Melt) -> DataFrame:
-    """One fact for each metric value that is a number; several dimension columns are joined by '_', empty ones left out."""
+def cells(stats: DataFrame, source: str, spec: Melt) -> DataFrame:
+    """A row for each metric cell: where it belongs, its text raw, and x, its number, NULL if it has none. Several dimension
+    columns are joined by '_', empty ones left out; metric columns that the table lacks are left out."""
     value = F.concat_ws("_", *[F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")) for c in spec.dimension])
     have = [c for c in spec.metrics if c in stats.columns]
-    cells = F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(spec.metrics[c], ("fact_type", "metric_name", "slot"))], safe_numeric(F.col(f"`{c}`").cast("string")).alias("x")) for c in have]))
-    df = stats.select(value.alias("dimension_value"), cells.alias("f")).filter("f.x IS NOT NULL")
-    return df.select(F.lit(source).alias("data_source"), "f.fact_type", "f.metric_name", F.lit(spec.dimension_type).alias("dimension_type"), "dimension_value", *[F.when(F.col("f.slot") == s, F.col("f.x")).alias(s) for s in SLOTS])
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    found = [F.struct(F.lit(c).alias("column"), *[F.lit(x).alias(n) for x, n in zip(spec.metrics[c], ("fact_type", "metric_name", "slot"))], text(c).alias("raw"), safe_numeric(text(c)).alias("x")) for c in have]
+    file = F.col("source_file") if "source_file" in stats.columns else F.lit(None).cast("string")
+    df = stats.select(value.alias("dimension_value"), file.alias("source_file"), F.explode(F.array(*found)).alias("f"))
+    return df.select(F.lit(source).alias("data_source"), "source_file", F.lit(spec.dimension_type).alias("dimension_type"), "dimension_value", "f.*")
+
+
+def accepted(found: DataFrame) -> DataFrame:
+    """The facts among cells: those with a number, in the column of their slot."""
+    keep = ["data_source", "fact_type", "metric_name", "dimension_type", "dimension_value"]
+    return found.filter("x IS NOT NULL").select(*keep, *[F.when(F.col("slot") == s, F.col("x")).alias(s) for s in SLOTS], *[c for c in ("source_file",) if c in found.columns])
+
+
+def rejected(found: DataFrame) -> DataFrame:
+    """The cells that say something, but no number."""
+    return found.filter("x IS NULL AND trim(raw) <> ''").select("data_source", "source_file", "dimension_value", "column", "raw")
+
+
+def melt(stats: DataFrame, source: str, spec: Melt) -> DataFrame:
+    """One fact for each metric value that is a number."""
+    return accepted(cells(stats, source, spec)).drop("source_file")
+
+
+def load_stats(spark: SparkSession, folder: str, names: Iterable[str] = MELTS) -> tuple[DataFrame, DataFrame]:
+    """Facts with the file they come from, and rejected cells, of the statistics tables in a folder, by their names; tables that
+    aren't there are left out."""
+    there = {n.removesuffix(".csv") for n in storage.children(spark, folder) if n.endswith(".csv")}
+    tables = [cells(read_category_stats(spark, folder, n), n, MELTS[n]) for n in names if n in there]
+    if not tables:
+        raise FileNotFoundError(f"no statistics tables in {folder}")
+    found = reduce(DataFrame.unionByName, tables)
+    return accepted(found), rejected(found)
 
 
 def dimensions(facts: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -61,6 +95,21 @@ def dimensions(facts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return known.unionByName(pairs.join(known, ["dimension_type", "dimension_value"], "left_anti"), allowMissingColumns=True)
 
 
+def keyed(facts: DataFrame, known: DataFrame) -> DataFrame:
+    """facts with dimension_id in place of type and value; NULL for a pair that known, as dimensions gives it, lacks."""
+    pair = ["dimension_type", "dimension_value"]
+    ids = known.select(*[F.col(c).alias(f"__{c}") for c in pair], "dimension_id")
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in pair]
+    return facts.join(ids, on, "left").select("dimension_id", *[c for c in facts.columns if c not in pair])
+
+
+def analytics_summary(keyed_facts: DataFrame, known: DataFrame) -> DataFrame:
+    """Facts beside their dimensions; one whose id is unknown stays, with neither type nor value."""
+    ids = known.select(F.col("dimension_id").alias("__id"), "dimension_type", "dimension_value")
+    rest = [c for c in keyed_facts.columns if c not in ("dimension_id", *SLOTS, "data_source", "fact_type", "metric_name")]
+    return keyed_facts.join(ids, F.col("dimension_id") == F.col("__id"), "left").select("dimension_id", "fact_type", "metric_name", "dimension_type", "dimension_value", *SLOTS, *rest, "data_source")
+
+
 def replace_source(facts: DataFrame, path: str) -> None:
     """Write facts, replacing those of the same data_source and no others."""
     facts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("data_source").parquet(path)

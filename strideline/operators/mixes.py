@@ -65,3 +65,27 @@ def average_with_fallback(first: Column, second: Column, buckets: list[tuple[str
     total = sum((F.coalesce(F.col(c), F.lit(0)) for c, _ in buckets[1:]), F.coalesce(F.col(buckets[0][0]), F.lit(0)))
     weight = sum((F.coalesce(F.col(c), F.lit(0)) * mid for c, mid in buckets[1:]), F.coalesce(F.col(buckets[0][0]), F.lit(0)) * buckets[0][1])
     return F.coalesce(first, second, F.try_divide(weight.cast("double"), F.nullif(total, F.lit(0)).cast("double")))
+
+
+def with_fallback(layers: dict[str, DataFrame], key: str = "place_id") -> DataFrame:
+    """For each key the rows of the first layer that has any, with that layer's name as layer. One plan: a layer loses the keys
+    that earlier ones tell by an anti join. Layers have equal columns; rows of a NULL key are left out."""
+    out: DataFrame | None = None
+    told: DataFrame | None = None
+    for name, df in layers.items():
+        df = df.filter(F.col(key).isNotNull())
+        rows = (df if told is None else df.join(told, key, "left_anti")).withColumn("layer", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+        keys = df.select(key).distinct()
+        told = keys if told is None else told.union(keys)
+    return out
+
+
+#: Middle ages of the buckets of clean.age_detail.
+AGE_MIDDLES = {"Under 18": 15.0, "18-30": 24.0, "31-50": 40.5, "50+": 60.0}
+
+
+def average_of_buckets(buckets: DataFrame, middles: dict[str, float] = AGE_MIDDLES, key: str = "place_id") -> DataFrame:
+    """key and avg_age: the mean of the buckets' middles weighted by their counts. buckets: key, bucket and n."""
+    middle = F.coalesce(*[F.when(F.col("bucket") == b, F.lit(x)) for b, x in middles.items()])
+    return buckets.withColumn("__m", middle).filter("__m IS NOT NULL").groupBy(key).agg(m.ratio(F.sum(F.col("__m") * F.col("n")), F.sum("n")).alias("avg_age"))

@@ -21,6 +21,16 @@ def coverage(rows: DataFrame, present: Column, by: str | None = None) -> DataFra
     return rows.groupBy(by).agg(*cols) if by else rows.agg(*cols)
 
 
+def age_coverage(rows: DataFrame, by: str, age: str = "age") -> DataFrame:
+    """by, observations, those with an age above 0, those without one, and percent with one; a row of by NULL and the whole as
+    'all' come along, the latter with the number of groups that have any age."""
+    known = F.col(age).isNotNull() & (F.col(age) > 0)
+    per = rows.groupBy(by).agg(F.count("*").alias("total"), F.count_if(known).alias("with_age"))
+    whole = per.agg(F.lit("all").alias(by), F.sum("total").alias("total"), F.sum("with_age").alias("with_age"), F.count_if(F.col("with_age") > 0).alias("groups_with_age"))
+    both = per.withColumns({by: F.col(by).cast("string"), "groups_with_age": F.lit(None).cast("long")}).unionByName(whole)
+    return both.withColumns({"without_age": F.col("total") - F.col("with_age"), "percent": m.ratio(F.lit(100) * F.col("with_age"), F.col("total"))})
+
+
 def top_places(per_place: DataFrame, column: str, n: int = 10, key: str = "place_id") -> DataFrame:
     return per_place.orderBy(F.desc_nulls_last(column), key).limit(n)
 

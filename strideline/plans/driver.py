@@ -679,10 +679,15 @@ def shown(name: str, df: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: (lambda spark, folder, q=q: shown(q.__name__, q(Data(spark, folder)))) for q in QUERIES}
+    from . import details, keeping, statistics
+
+    every = [*QUERIES, *keeping.QUERIES, *statistics.QUERIES, *details.QUERIES]
+    return {q.__name__: (lambda spark, folder, q=q: shown(q.__name__, q(Data(spark, folder)))) for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracle import ORACLE
+    from . import details, keeping, statistics
+    from .oracle import ORACLE, whole
 
-    return dict(ORACLE)
+    more = keeping.sql() | statistics.sql() | details.sql()
+    return ORACLE | {name: whole(name, text) for name, text in more.items()}

@@ -112,6 +112,27 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode("m").alias("alias", "name")).filter(~F.col("alias").startswith("_"))
 
 
+_GAZETTEER = "struct<cities:array<struct<city:string,country:string,iso3:string,state:string,continent:string,latitude:double,longitude:double,population_city:bigint,video_count:bigint>>,aliases:map<string,string>>"
+
+
+def read_gazetteer(spark: SparkSession, path: str, more_aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Canonical places and aliases of JSON documents {"cities": [...], "aliases": {...}}, a file each, as resolve takes them.
+
+    Places are typed and keep all homonyms: several rows may share a name. Places and aliases whose name folds to nothing go;
+    of aliases that fold alike the one of more_aliases (as read_aliases gives them) counts, then the least text. A document is
+    read whole by one task."""
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", _GAZETTEER).alias("g"))
+    places = doc.select(F.explode("g.cities").alias("c")).select("c.*").filter(clean.normalize_name(F.col("city")) != "").select(
+        F.col("city").alias("name"), "country", "iso3", "state", "continent", "latitude", "longitude", F.col("population_city").alias("population"), F.coalesce("video_count", F.lit(0).cast("long")).alias("videos"),
+    )
+    pairs = doc.select(F.explode("g.aliases").alias("alias", "name")).withColumn("rank", F.lit(1))
+    if more_aliases is not None:
+        pairs = pairs.unionByName(more_aliases.select("alias", "name").withColumn("rank", F.lit(0)))
+    folded = lambda c: clean.normalize_name(F.col(c)) != ""
+    one = pairs.filter(folded("alias") & folded("name")).groupBy(clean.normalize_name(F.col("alias")).alias("key")).agg(F.min(F.struct("rank", "alias", "name")).alias("a"))
+    return places, one.select("a.alias", "a.name")
+
+
 def read_world_places(spark: SparkSession, path: str) -> DataFrame:
     """The world's places from CSV (name, country, iso3, continent, population, latitude, longitude): one row a name and
     country, typed, with videos 0, so that resolve takes it as its world layer; rows without a name or a place go."""
@@ -133,7 +154,8 @@ def homonyms(world: DataFrame) -> DataFrame:
 
 
 def read_category_stats(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return _strings(spark, f"{folder}/{name}.csv", "UTF-8")
+    """A statistics table by its name, all values as strings, with the file each row comes from."""
+    return _strings(spark, f"{folder}/{name}.csv", "UTF-8").withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
 
 
 def realign(df: DataFrame, columns: list[str], renames: dict[str, str] | None = None) -> DataFrame:
