@@ -18,7 +18,9 @@ FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_re
   CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 101 END AS risky_ratio, o_orderkey % 97 AS red_ratio, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 89 END AS crosswalk_ratio,
   CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 5 END AS severe_conflicts, o_orderkey % 50 AS n_people, o_orderkey % 17 AS n_vehicles,
   CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 END AS n_groups, o_orderkey % 6 AS grouped_people,
-  CASE WHEN o_orderkey % 3 = 0 THEN 'ok' ELSE 'none' END AS status, concat('St ', o_orderkey % 13) AS street_name, concat('veh', o_orderkey % 4) AS top_vehicles, o_orderkey % 23 AS crossing_time, o_orderkey % 31 AS hazard
+  CASE WHEN o_orderkey % 3 = 0 THEN 'ok' ELSE 'none' END AS status, concat('St ', o_orderkey % 13) AS street_name, concat('veh', o_orderkey % 4) AS top_vehicles, o_orderkey % 23 AS crossing_time, o_orderkey % 31 AS hazard,
+  CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 181 - 90 AS double) END AS latitude, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 361 - 180 AS double) END AS longitude,
+  CASE WHEN o_orderkey % 3 = 0 THEN CASE o_orderkey % 2 WHEN 0 THEN 'high' ELSE 'low' END END AS confidence, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 500 AS double) END AS spread_m, CASE WHEN o_orderkey % 3 = 0 THEN concat('run ', o_orderkey % 4) END AS provenance
 FROM {orders}""",
     "observations": """SELECT l_orderkey AS session_id, l_linenumber AS track, l_returnflag = 'R' AS risky, l_discount > CAST(0.08 AS double) AS red_light, l_linestatus = 'O' AS crosswalk, l_tax > CAST(0.05 AS double) AS phone,
   CASE WHEN l_partkey % 10 <> 0 THEN CAST(l_quantity AS bigint) END AS age, CASE l_suppkey % 4 WHEN 0 THEN 'male' WHEN 1 THEN 'female' WHEN 2 THEN '' END AS gender,

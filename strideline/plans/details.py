@@ -11,7 +11,7 @@ from .driver import c, rank_base
 
 AVERAGES = ["avg_speed", "avg_risky_ratio", "avg_red_ratio"]
 #: The day of the stored summary, and the age above which an estimate counts as one.
-STORED, SURE = "1993-12-31", 47
+STORED, SURE = "1996-12-31", 47
 
 
 def city_details(d: Data) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import clean, measures as m
 from ..operators import api, asof, effects, facts, filters, incremental, insights, merge, mixes, order, places as place_ops, rank, reports, rollup
+from ..sources import readers
 from ..sources.storage import cut, new_path
 from .adapters import FLAGS, Data
 
@@ -54,10 +55,15 @@ def place_summary_fanout(d: Data) -> DataFrame:
     return rollup.fanout_summary(d.places.select("place_id", "city", "country"), d.sessions.select("place_id", "session_id", "speed"), d.observations.select("session_id", "risky"), spec, ["place_id", "city", "country"])
 
 
+LOCATED = ["status", "street_name", "latitude", "longitude", "confidence", "spread_m", "provenance"]
+
+
 def session_summary(d: Data) -> DataFrame:
+    """Sessions with their place, what they saw, and how they were located."""
     p = parts() | {"s_female": F.count_if(c("gender") == "female")}
-    f = {"n_observations": c("n"), "avg_age": m.ratio(c("s_age"), c("n_age")), "male": c("s_male"), "female": c("s_female"), "n_risky": c("s_risky"), "risky_rate": m.ratio(c("s_risky"), c("n"))}
-    return rollup.session_summary(d.sessions.select("session_id", "place_id", "link", "collected", "status", "street_name"), d.observations, p, f, ["n_observations", "male", "female", "n_risky"])
+    f = {"n_observations": c("n"), "avg_age": m.ratio(c("s_age"), c("n_age")), "male": c("s_male"), "female": c("s_female")} | {k: v for x in ("risky", "red", "crosswalk") for k, v in ((f"n_{x}", c(f"s_{x}")), (f"{x}_rate", m.ratio(c(f"s_{x}"), c("n"))))}
+    s = d.sessions.select("session_id", "place_id", "link", "collected", *LOCATED).join(d.places.select("place_id", "city", "country", "continent"), "place_id", "left")
+    return rollup.session_summary(s, d.observations, p, f, ["n_observations", "male", "female", "n_risky", "n_red", "n_crosswalk"])
 
 
 def behavior_profile(d: Data) -> DataFrame:
@@ -236,7 +242,7 @@ def place_list(d: Data) -> DataFrame:
 
 
 def newest_sessions(d: Data) -> DataFrame:
-    return filters.newest_sessions(d.sessions.select("session_id", "place_id", "collected", "status"), d.places).select("place_id", "position", "session_id", "collected", "latitude", "longitude")
+    return filters.newest_sessions(d.sessions.select("session_id", "place_id", "collected", "status", "latitude", "longitude"), d.places).select("place_id", "position", "session_id", "collected", "latitude", "longitude")
 
 
 SERVED = {"avg_speed": 2, "avg_risky_ratio": 3, "risky_rate": 4, "avg_measured": 1, "conflicts_per_100": 2, "risk_intensity": 3}
@@ -254,9 +260,9 @@ def monthly_series(d: Data) -> DataFrame:
 
 
 def metric_series(d: Data) -> DataFrame:
-    """All places and two metrics, a pooled one and a mean; the window leaves some places without a month."""
+    """All places and metrics, pooled ones and means; the window leaves some places without a month."""
     rows = None
-    for metric in ("risky_crossing_rate", "avg_measured_walking_speed"):
+    for metric in (*api.SERIES_POOLED, *api.SERIES_MEANS):
         one = api.all_series(d.sessions, d.observations, metric, "1998-02-01", "1998-07-01").withColumn("metric", F.lit(metric))
         rows = one if rows is None else rows.unionByName(one)
     return rows
@@ -510,14 +516,29 @@ def aliases(d: Data) -> DataFrame:
     return d.nation.select(F.concat(F.lit("land"), c("n_nationkey").cast("string")).alias("alias"), c("n_name").alias("name"))
 
 
-def resolve_names(d: Data) -> DataFrame:
-    """Suppliers' nations, some misspelled, aliased, or places of the world, against the nations of the customers."""
+def supplied_names(d: Data) -> DataFrame:
+    """Suppliers' nations, some misspelled, aliased, or places of the world."""
     n = d.supplier.join(d.nation, c("s_nationkey") == c("n_nationkey"))
     k = c("s_suppkey")
     brand = F.concat(F.lit("brand #"), (k % 5 + 1).cast("string"), (F.floor(k / 5) % 5 + 1).cast("string"))
     name = F.when(k % 10 == 7, brand).when(k % 5 == 0, F.concat(F.lower("n_name"), F.lit("!"))).when(k % 5 == 1, F.replace("n_name", F.lit("NATION"), F.lit("NATIO"))).when(k % 5 == 2, F.concat(F.lit("Land "), c("s_nationkey").cast("string"))).otherwise(c("n_name"))
-    inputs = n.select(k.alias("input_id"), name.alias("name"), F.lit(None).cast("string").alias("country"), F.when(k % 3 == 0, F.concat(F.lit("N"), c("n_nationkey").cast("string"))).when(k % 3 == 1, "N99").alias("iso3"))
-    return place_ops.resolve(inputs, known_names(d), aliases(d), world_names(d)).select("input_id", "name", c("c_name").alias("found"), "layer", "confident")
+    return n.select(k.alias("input_id"), name.alias("name"), F.lit(None).cast("string").alias("country"), F.when(k % 3 == 0, F.concat(F.lit("N"), c("n_nationkey").cast("string"))).when(k % 3 == 1, "N99").alias("iso3"))
+
+
+def resolve_names(d: Data) -> DataFrame:
+    """Those names against the nations of the customers."""
+    return place_ops.resolve(supplied_names(d), known_names(d), aliases(d), world_names(d)).select("input_id", "name", c("c_name").alias("found"), "layer", "confident")
+
+
+def resolve_from_files(d: Data) -> DataFrame:
+    """As resolve_names, with known places and aliases read from a gazetteer's JSON document."""
+    place = F.struct(c("name").alias("city"), "country", "iso3", "continent", c("population").alias("population_city"), c("videos").alias("video_count"))
+    names = aliases(d).agg(F.map_from_entries(F.collect_list(F.struct("alias", "name"))).alias("aliases"))
+    doc = known_names(d).agg(F.collect_list(place).alias("cities")).crossJoin(names)  # one row each
+    path = new_path(d.spark, "gazetteer")
+    doc.select(F.to_json(F.struct("cities", "aliases"))).write.text(path)
+    known, named = readers.read_gazetteer(d.spark, path)
+    return place_ops.resolve(supplied_names(d), known, named, world_names(d)).select("input_id", "name", c("c_name").alias("found"), "layer", "confident")
 
 
 def disambiguate(d: Data) -> DataFrame:
@@ -565,8 +586,13 @@ def work_list(d: Data) -> DataFrame:
 
 
 def duplicated(d: Data) -> tuple[DataFrame, DataFrame]:
-    p = d.places.select("place_id", F.concat(F.lit("C"), F.floor(c("place_id") / 2).cast("string")).alias("city"), F.when(c("place_id") % 8 == 1, "Unknown").when(c("place_id") % 4 == 3, F.concat(F.lit("I"), F.floor(c("place_id") / 2).cast("string"))).otherwise(c("country")).alias("country"), F.concat(F.lit("I"), F.floor(c("place_id") / 2).cast("string")).alias("iso3"))
-    return p, d.sessions.filter(c("place_id") % 16 != 1).select("session_id", "place_id")
+    """Places in pairs of a name, and a third of them once more, of unknown country and without sessions; all sessions."""
+    k = c("place_id")
+    pair = F.floor(k / 2).cast("string")
+    iso3 = F.concat(F.lit("I"), pair)
+    p = d.places.select("place_id", F.concat(F.lit("C"), pair).alias("city"), F.when(k % 8 == 1, "Unknown").when(k % 4 == 3, iso3).otherwise(c("country")).alias("country"), iso3.alias("iso3"))
+    empty = p.filter(k % 3 == 0).select((-k).alias("place_id"), "city", F.lit("Unknown").alias("country"), "iso3")
+    return p.unionByName(empty), d.sessions.select("session_id", "place_id")
 
 
 def merge_duplicates(d: Data) -> DataFrame:
@@ -648,9 +674,14 @@ def known_places(d: Data) -> DataFrame:
     return api.known_places(summary(d))
 
 
+INSIGHT_METRICS = {"avg_speed": "Speed", "avg_risky_ratio": "Risky crossing", "avg_red_ratio": "Red light running", "avg_crosswalk_ratio": "Crosswalk use", "phone_rate": "Phone use"}
+
+
 def metric_insights(d: Data) -> DataFrame:
-    base = d.sessions.agg(m.mean(c("speed")).alias("g_speed"), m.mean(c("red_ratio")).alias("g_red"))
-    return api.metric_insights(rank_base(d), base, {"avg_speed": ("Speed", "g_speed"), "avg_red_ratio": ("Red light running", "g_red")})
+    """All five metrics of the domain; global figures are means over sessions, that of phones a pooled rate."""
+    means = {"avg_speed": "speed", "avg_risky_ratio": "risky_ratio", "avg_red_ratio": "red_ratio", "avg_crosswalk_ratio": "crosswalk_ratio"}
+    base = d.sessions.agg(*[m.mean(c(x)).alias(f"g_{n}") for n, x in means.items()]).crossJoin(d.observations.agg(m.pooled_rate(c("phone"), c("track")).alias("g_phone_rate")))
+    return api.metric_insights(summary(d), base, {n: (label, f"g_{n}") for n, label in INSIGHT_METRICS.items()})
 
 
 QUERIES = [
@@ -659,7 +690,7 @@ QUERIES = [
     risk_by_bucket, flag_mix, risk_factors, rank_by_counting, measured_groups, avg_with_fallback, facts_melt, facts_ranked, facts_by_continent, facts_by_place, effects_balanced, merge_sessions, merge_partial,
     append_dedup, history_rows, lookup_fallback, rejects, lines_without_part, localization_apply, resolve_names, disambiguate, fuzzy_unique, enrich, candidate_score, missing_report, work_list, merge_duplicates,
     homonym_dedup, repair_names, rank_scale, layer_rows, coverage, flag_coverage, top_vehicle_places, safe_casts, delta_vs_global, load_summary, known_places, metric_insights, served_rows, country_codes, fill_from_match, stored_insights,
-    metric_series, leaderboards, global_insights, deltas_vs_global, relationships,
+    metric_series, leaderboards, global_insights, deltas_vs_global, relationships, resolve_from_files,
 ]
 
 

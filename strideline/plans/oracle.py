@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from ..operators.api import SERIES_MEANS, SERIES_POOLED
 from .adapters import FLAGS, prelude
-from .driver import AS_OF, BOARDS, CLOTHES, DATES, ITEMS, NULLABLE, SERVED, TODAY
+from .driver import AS_OF, BOARDS, CLOTHES, DATES, INSIGHT_METRICS, ITEMS, LOCATED, NULLABLE, SERVED, TODAY
 
 DENSE = "pipeline_version = 'dense_v2'"
 
@@ -126,6 +127,9 @@ CONFIDENCE = "CASE WHEN video_count >= 5 AND pedestrian_count >= 100 THEN 'high'
 INSIGHTS = f"""insight_base AS ({INSIGHT_BASE}), insight_ranked AS ({INSIGHT_RANKED}), x AS (SELECT * FROM insight_ranked, ({INSIGHT_GLOBAL})),
 rules AS (SELECT r.*, row_number() OVER (PARTITION BY place_id ORDER BY relevance_score DESC, ord) AS position FROM ({RULES}) r)"""
 
+_MONTH = "CAST(date_trunc('month', collected) AS date) AS month"
+SERIES = {n: f"SELECT place_id, {_MONTH}, CASE WHEN {x} THEN 1 ELSE 0 END AS x, 1 AS y FROM sessions s JOIN observations o ON s.session_id = o.session_id" for n, x in SERIES_POOLED.items()}
+SERIES |= {n: f"SELECT place_id, {_MONTH}, {x} AS x, 1 AS y FROM sessions WHERE {x} IS NOT NULL" for n, x in SERIES_MEANS.items()}
 GENDER_STATS = f"SELECT gender, {ratio(count_if('risky'), 'count(*)')} AS risky_crossing, {ratio(count_if('red_light'), 'count(*)')} AS run_red_light FROM observations GROUP BY gender"
 AGE_STATS = f"SELECT CAST(age AS varchar) AS age, {ratio(count_if('risky'), 'count(*)')} AS risky_crossing, {ratio(count_if('red_light'), 'count(*)')} AS run_red_light FROM observations GROUP BY age"
 WEATHER_STATS = f"""SELECT weather, CASE WHEN daytime THEN '1' ELSE '0' END AS daytime, {ratio('100 * ' + count_if('risky'), 'count(*)')} AS risky_crossing_prob, {ratio('100 * ' + count_if('red_light'), 'count(*)')} AS run_red_light_prob FROM observations o JOIN sessions s ON o.session_id = s.session_id GROUP BY ALL"""
@@ -156,8 +160,9 @@ WORLD = f"world AS (SELECT {NORM.format('p_brand')} AS k, p_brand AS name, min(p
 QUERIES: dict[str, str] = {
     "place_summary": summary(),
     "place_summary_fanout": f"SELECT p.place_id, p.city, p.country, count(DISTINCT s.session_id) AS sessions, count(*) AS joined_rows, {mean('speed')} AS avg_speed, {ratio(count_if('risky'), 'count(*)')} AS risky_rate FROM places p LEFT JOIN sessions s ON p.place_id = s.place_id LEFT JOIN observations o ON s.session_id = o.session_id GROUP BY 1, 2, 3",
-    "session_summary": f"""SELECT s.session_id, s.place_id, s.link, s.collected, s.status, s.street_name, coalesce(n_observations, 0) AS n_observations, avg_age, coalesce(male, 0) AS male, coalesce(female, 0) AS female, coalesce(n_risky, 0) AS n_risky, risky_rate FROM sessions s LEFT JOIN
-  (SELECT session_id, count(*) AS n_observations, {mean('age')} AS avg_age, {count_if("gender = 'male'")} AS male, {count_if("gender = 'female'")} AS female, {count_if('risky')} AS n_risky, {ratio(count_if('risky'), 'count(*)')} AS risky_rate FROM observations GROUP BY 1) o ON s.session_id = o.session_id""",
+    "session_summary": f"""SELECT s.session_id, s.place_id, s.link, s.collected, {', '.join(f's.{x}' for x in LOCATED)}, city, country, continent, coalesce(n_observations, 0) AS n_observations, avg_age, coalesce(male, 0) AS male, coalesce(female, 0) AS female,
+  {', '.join(f'coalesce(n_{x}, 0) AS n_{x}, {x}_rate' for x in ('risky', 'red', 'crosswalk'))} FROM sessions s LEFT JOIN places p ON s.place_id = p.place_id LEFT JOIN
+  (SELECT session_id, count(*) AS n_observations, {mean('age')} AS avg_age, {count_if("gender = 'male'")} AS male, {count_if("gender = 'female'")} AS female, {', '.join(f"{count_if(f)} AS n_{x}, {ratio(count_if(f), 'count(*)')} AS {x}_rate" for x, f in (('risky', 'risky'), ('red', 'red_light'), ('crosswalk', 'crosswalk')))} FROM observations GROUP BY 1) o ON s.session_id = o.session_id""",
     "behavior_profile": f"""SELECT p.place_id, {count_if("gender = 'male'")} AS male, {count_if("gender = 'female'")} AS female, {count_if("gender IS NULL OR gender = ''")} AS unknown_gender, {mean('age')} AS avg_age, min(age) AS min_age, max(age) AS max_age, quantile_cont(age, 0.5) AS median_age,
   {count_if('daytime')} AS day, {count_if('NOT daytime')} AS night, {ratio(count_if('phone'), 'count(track)')} AS phone_rate FROM places p LEFT JOIN sessions s ON p.place_id = s.place_id LEFT JOIN observations o ON s.session_id = o.session_id GROUP BY 1""",
     "rank_table": f"SELECT *, {RANKS}, {PERCENTILES} FROM ({RANK_BASE})",
@@ -179,7 +184,7 @@ QUERIES: dict[str, str] = {
         + f", DATE '{TODAY}' - DATE '{AS_OF}' AS period_days FROM a FULL JOIN b ON a.city = b.city AND a.country = b.country",
     "batch_stats": "SELECT batch, count(DISTINCT s.session_id) AS sessions, count(DISTINCT place_id) AS places, coalesce(sum(n), 0)::BIGINT AS observations FROM sessions s LEFT JOIN (SELECT session_id, count(*) AS n FROM observations GROUP BY 1) o ON s.session_id = o.session_id GROUP BY 1",
     "place_list": "SELECT place_id, city, country, continent, population FROM places WHERE city ILIKE '%00000001%' AND country ILIKE '%nation_1%' AND continent IN ('ASIA', 'EUROPE', 'AMERICA')",
-    "newest_sessions": "SELECT s.place_id, position, session_id, collected, latitude, longitude FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY collected DESC NULLS LAST, session_id DESC) AS position FROM sessions) s JOIN places p ON s.place_id = p.place_id WHERE position <= 5",
+    "newest_sessions": "SELECT s.place_id, position, session_id, collected, coalesce(s.latitude, p.latitude) AS latitude, coalesce(s.longitude, p.longitude) AS longitude FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY collected DESC NULLS LAST, session_id DESC) AS position FROM sessions) s JOIN places p ON s.place_id = p.place_id WHERE position <= 5",
     "monthly_series": f"""@v AS (SELECT place_id, CAST(date_trunc('month', collected) AS date) AS month, {mean('risky_ratio')} AS value FROM sessions WHERE risky_ratio IS NOT NULL GROUP BY 1, 2),
   m AS (SELECT place_id, CAST(month AS date) AS month FROM (SELECT DISTINCT place_id FROM v), (SELECT unnest(generate_series(DATE '1992-01-01', DATE '1998-12-01', INTERVAL 1 MONTH)) AS month))
   SELECT *, strftime(month, '%b %Y') AS label FROM (SELECT m.place_id, m.month, last_value(value IGNORE NULLS) OVER (PARTITION BY m.place_id ORDER BY m.month ROWS UNBOUNDED PRECEDING) AS value FROM m LEFT JOIN v ON m.place_id = v.place_id AND m.month = v.month) WHERE value IS NOT NULL""",
@@ -243,9 +248,9 @@ QUERIES: dict[str, str] = {
   SELECT place_id, candidate, code, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY code LIKE 'PPL%' DESC, score DESC, candidate) AS r FROM s) WHERE r = 1 AND score > 30""",
     "missing_report": f"@{MISSING} SELECT 'field' AS kind, what, count(*) AS n FROM (SELECT unnest(missing) AS what FROM miss) GROUP BY 2 UNION ALL SELECT 'pattern', array_to_string(list_sort(missing), ','), count(*) FROM miss WHERE len(missing) > 0 GROUP BY 2",
     "work_list": f"@{MISSING} SELECT place_id, array_to_string(missing, ',') AS missing FROM miss WHERE len(list_filter(missing, lambda z: z NOT IN ('measured_sample', 'conflict_exposure'))) > 0",
-    "merge_duplicates": """@p AS (SELECT place_id, 'C' || (place_id // 2) AS city, CASE WHEN place_id % 8 = 1 THEN 'Unknown' WHEN place_id % 4 = 3 THEN 'I' || (place_id // 2) ELSE country END AS country, 'I' || (place_id // 2) AS iso3 FROM places),
-  s AS (SELECT session_id, place_id FROM sessions WHERE place_id % 16 <> 1), mv AS (SELECT d.place_id AS f, min(k.place_id) AS t FROM p d JOIN p k ON d.city = k.city AND d.country = k.iso3 AND d.country <> k.country GROUP BY 1),
-  m AS (SELECT session_id, coalesce(t, place_id) AS place_id FROM s LEFT JOIN mv ON place_id = f), kept AS (SELECT * FROM p WHERE place_id NOT IN (SELECT f FROM mv)),
+    "merge_duplicates": """@p AS (SELECT place_id, 'C' || (place_id // 2) AS city, CASE WHEN place_id % 8 = 1 THEN 'Unknown' WHEN place_id % 4 = 3 THEN 'I' || (place_id // 2) ELSE country END AS country, 'I' || (place_id // 2) AS iso3 FROM places UNION ALL SELECT -place_id, 'C' || (place_id // 2), 'Unknown', 'I' || (place_id // 2) FROM places WHERE place_id % 3 = 0),
+  mv AS (SELECT d.place_id AS f, min(k.place_id) AS t FROM p d JOIN p k ON d.city = k.city AND d.country = k.iso3 AND d.country <> k.country GROUP BY 1),
+  m AS (SELECT session_id, coalesce(t, place_id) AS place_id FROM sessions LEFT JOIN mv ON place_id = f), kept AS (SELECT * FROM p WHERE place_id NOT IN (SELECT f FROM mv)),
   fin AS (SELECT * FROM kept WHERE NOT (country = 'Unknown' AND city IN (SELECT city FROM p GROUP BY 1 HAVING count(*) > 1) AND place_id NOT IN (SELECT place_id FROM m)))
   SELECT fin.place_id, city, country, coalesce(n, 0) AS n_sessions FROM fin LEFT JOIN (SELECT place_id, count(*) AS n FROM m GROUP BY 1) q ON fin.place_id = q.place_id""",
     "homonym_dedup": "@p AS (SELECT place_id, 'São ' || state AS city, country, CASE WHEN place_id % 2 = 0 THEN iso3 ELSE '' END AS iso3, population % 1000 AS videos FROM places) SELECT place_id, city, country, iso3, videos FROM (SELECT *, row_number() OVER (PARTITION BY city, coalesce(nullif(iso3, ''), country) ORDER BY videos DESC NULLS LAST, place_id) AS r FROM p) WHERE r = 1",
@@ -264,12 +269,10 @@ QUERIES: dict[str, str] = {
     CASE WHEN raw = '' THEN NULL ELSE raw IN ('1', 'true', 'yes') END AS strict_case, CASE WHEN lower(raw) IN ('1', 'true', 'yes') THEN true WHEN lower(raw) IN ('0', 'false', 'no') THEN false END AS tri, nullif(trim(raw), '') AS cleaned, CASE WHEN numeric BETWEEN -90 AND 90 THEN numeric END AS coord FROM f""",
     "delta_vs_global": f"SELECT place_id, (avg_speed - g) / nullif(g, 0) * 100 AS delta, coalesce(avg_speed > g, false) AS above FROM ({RANK_BASE}), (SELECT {mean('speed')} AS g FROM sessions)",
     "known_places": f"SELECT DISTINCT city FROM ({summary()}) WHERE total_sessions > 0 AND n_observations > 0",
-    "metric_insights": " UNION ALL ".join(f"""SELECT '{x}' AS metric, *, '{label} is highest in ' || top_name || ' and lowest in ' || bottom_name AS sentence FROM (SELECT (SELECT city FROM ({RANK_BASE}) WHERE {x} > 0 ORDER BY {x} DESC, city LIMIT 1) AS top_name, (SELECT max({x}) FROM ({RANK_BASE})) AS top_value,
-  (SELECT city FROM ({RANK_BASE}) WHERE {x} > 0 ORDER BY {x}, city LIMIT 1) AS bottom_name, (SELECT min({x}) FROM ({RANK_BASE}) WHERE {x} > 0) AS bottom_value, '{label}' AS label, (SELECT {mean(g)} FROM sessions) AS global_mean)""" for x, label, g in (("avg_speed", "Speed", "speed"), ("avg_red_ratio", "Red light running", "red_ratio"))),
+    "metric_insights": f"@ms AS ({summary()}) " + " UNION ALL ".join(f"""SELECT '{x}' AS metric, *, '{label} is highest in ' || top_name || ' and lowest in ' || bottom_name AS sentence FROM (SELECT (SELECT city FROM ms WHERE {x} > 0 ORDER BY {x} DESC, city LIMIT 1) AS top_name, (SELECT max({x}) FROM ms) AS top_value,
+  (SELECT city FROM ms WHERE {x} > 0 ORDER BY {x}, city LIMIT 1) AS bottom_name, (SELECT min({x}) FROM ms WHERE {x} > 0) AS bottom_value, '{label}' AS label, (SELECT {ratio(count_if('phone'), 'count(track)') + ' FROM observations' if x == 'phone_rate' else mean(x[4:]) + ' FROM sessions'}) AS global_mean)""" for x, label in INSIGHT_METRICS.items()),
     "metric_series": "@" + ", ".join(f"""w{i} AS ({rows}), a{i} AS (SELECT place_id, CAST(sum(x) AS double) / nullif(sum(y), 0) AS value FROM w{i} GROUP BY 1), v{i} AS (SELECT place_id, month, CAST(sum(x) AS double) / nullif(sum(y), 0) AS value FROM w{i} WHERE month BETWEEN DATE '1998-02-01' AND DATE '1998-07-01' GROUP BY 1, 2),
-  s{i} AS (SELECT * FROM (SELECT p.place_id, g.month, last_value(value IGNORE NULLS) OVER (PARTITION BY p.place_id ORDER BY g.month ROWS UNBOUNDED PRECEDING) AS value FROM (SELECT DISTINCT place_id FROM v{i}) p CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '1998-02-01', DATE '1998-07-01', INTERVAL 1 MONTH)) AS date) AS month) g LEFT JOIN v{i} v ON v.place_id = p.place_id AND v.month = g.month) WHERE value IS NOT NULL)""" for i, rows in enumerate((
-        "SELECT place_id, CAST(date_trunc('month', collected) AS date) AS month, CASE WHEN risky THEN 1 ELSE 0 END AS x, 1 AS y FROM sessions s JOIN observations o ON s.session_id = o.session_id",
-        "SELECT place_id, CAST(date_trunc('month', collected) AS date) AS month, measured_speed AS x, 1 AS y FROM sessions WHERE measured_speed IS NOT NULL"))) + " SELECT *, strftime(month, '%b %Y') AS label FROM (" + " UNION ALL ".join(f"SELECT '{metric}' AS metric, place_id, month, value FROM s{i} UNION ALL SELECT '{metric}', place_id, DATE '1998-07-01', value FROM a{i} WHERE place_id NOT IN (SELECT place_id FROM v{i})" for i, metric in enumerate(("risky_crossing_rate", "avg_measured_walking_speed"))) + ")",
+  s{i} AS (SELECT * FROM (SELECT p.place_id, g.month, last_value(value IGNORE NULLS) OVER (PARTITION BY p.place_id ORDER BY g.month ROWS UNBOUNDED PRECEDING) AS value FROM (SELECT DISTINCT place_id FROM v{i}) p CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '1998-02-01', DATE '1998-07-01', INTERVAL 1 MONTH)) AS date) AS month) g LEFT JOIN v{i} v ON v.place_id = p.place_id AND v.month = g.month) WHERE value IS NOT NULL)""" for i, rows in enumerate(SERIES.values())) + " SELECT *, strftime(month, '%b %Y') AS label FROM (" + " UNION ALL ".join(f"SELECT '{metric}' AS metric, place_id, month, value FROM s{i} UNION ALL SELECT '{metric}', place_id, DATE '1998-07-01', value FROM a{i} WHERE place_id NOT IN (SELECT place_id FROM v{i})" for i, metric in enumerate(SERIES)) + ")",
     "leaderboards": f"@lb AS (SELECT s.*, {', '.join(f'r.{n}_rank' for n in RATIO_RANKS)} FROM ({summary()}) s JOIN (SELECT place_id, {RANKS} FROM ({RANK_BASE})) r ON s.place_id = r.place_id), gs AS (SELECT {mean('speed')} AS global_avg_speed, {mean('risky_ratio')} AS global_avg_risky_ratio, {mean('red_ratio')} AS global_avg_red_ratio, {mean('measured_speed')} AS global_avg_measured FROM sessions), go AS (SELECT {mean('age')} AS global_avg_age, {ratio(count_if('phone'), 'count(*)')} AS global_phone_rate FROM observations) "
         + " UNION ALL ".join(f"SELECT '{name}' AS metric, row_number() OVER (ORDER BY v {up}, place_id) AS position, place_id, CAST(v * {100 if b.unit == '%' else 1} AS double) AS value, {f'(v - {b.baseline}) / nullif({b.baseline}, 0) * 100' if b.baseline else 'NULL::double'} AS delta_percent, {b.rank or 'NULL'} AS stored_rank FROM (SELECT {b.column} AS v, * FROM lb WHERE {b.column} IS NOT NULL{f' AND {b.column} > 0.0001' if b.unit == '%' else ''}{f' AND {b.sample} >= {b.least}' if b.sample else ''} ORDER BY v {up}, place_id LIMIT 100), gs, go"
             for name, b in BOARDS.items() for up in ["DESC" if b.higher_is_better else "ASC"]),
@@ -302,4 +305,5 @@ def whole(name: str, sql: str) -> str:
     return f"SELECT * REPLACE ({', '.join(shown)}) FROM ({sql})" if shown else sql
 
 
+QUERIES["resolve_from_files"] = QUERIES["resolve_names"]
 ORACLE = {name: whole(name, sql) for name, sql in QUERIES.items()}

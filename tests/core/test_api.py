@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strideline.operators import api
+from strideline.operators import api, mixes
 from strideline.plans.adapters import FLAGS, Data
 from strideline.plans import driver
 
@@ -11,13 +11,45 @@ def data(spark, sf_dir):
     return Data(spark, sf_dir)
 
 
+def details(data, place=None, **changes):
+    ages = data.sessions.select("place_id", F.lit(30.0).alias("avg_age")).distinct()
+    ranks = driver.rank_base(data).select("place_id", "avg_speed")
+    given = {"averages": ranks, "stored_ranks": ranks, "stored_ages": ages, "flags": FLAGS, "place": place} | changes
+    return api.city_details(data.sessions, data.observations, **given)
+
+
 def test_details_of_one_place(data):
     place = data.sessions.first()["place_id"]
-    panels = api.city_details(place, data.sessions, data.observations, driver.rank_table(data), FLAGS)
+    panels = details(data, place)
     got = {k: df.collect() for k, df in panels.items()}
+    assert set(got) == {"ranks", "weather", "daytime", "gender", "vehicles", "risk_by_age", "risk_factors", "age", "measured"}
     assert got["ranks"][0]["place_id"] == place and all(r["place_id"] == place for rows in got.values() for r in rows)
     for k in ("weather", "gender", "daytime"):
         assert not got[k] or abs(sum(r["percent"] for r in got[k]) - 100) < 1e-9
+    rows = api.details_rows(panels).collect()
+    assert {r["panel"] for r in rows} == {k for k, v in got.items() if v} and {r["place_id"] for r in rows} == {place}
+
+
+@pytest.mark.parametrize("panel, layers", [("ranks", {"stored", "counted"}), ("weather", {"sessions", "observations"}), ("age", {"summary", "observations", "buckets"})])
+def test_every_fallback_is_used_by_the_registered_query(spark, sf_dir, panel, layers):
+    rows = driver.queries()["city_details"](spark, sf_dir).filter(F.col("panel") == panel).collect()
+    assert {r["layer"] for r in rows} == layers
+    told = {}
+    for r in rows:
+        told.setdefault(r["place_id"], set()).add(r["layer"])
+    assert all(len(x) == 1 for x in told.values())
+
+
+def test_a_place_without_stored_rank_is_counted_among_all(data):
+    averages = driver.rank_base(data).select("place_id", "avg_speed")
+    place = averages.filter("avg_speed IS NOT NULL").first()
+    row = details(data, place["place_id"], averages=averages, stored_ranks=averages.limit(0))["ranks"].collect()[0]
+    assert row["layer"] == "counted" and row["avg_speed"] == averages.filter(F.col("avg_speed") > place["avg_speed"]).count() + 1
+
+
+def test_bucket_ages(spark):
+    rows = spark.createDataFrame([(1, "Under 18", 1), (1, "50+", 3), (2, "other", 4)], "place_id int, bucket string, n long")
+    assert [tuple(r) for r in mixes.average_of_buckets(rows).collect()] == [(1, (15 + 180) / 4)]
 
 
 def test_lists_and_series(data, spark):

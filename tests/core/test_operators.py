@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from strideline.functions import clean
 from strideline.operators import asof, effects, facts, filters, insights, merge, mixes, places, rank, reports, rollup
 
 c = F.col
@@ -191,3 +192,47 @@ def test_effects_that_differ_by_rounding_are_ties(spark):
     rows = [("A", "x", 1.0, 0.1 + 0.2, "up"), ("A", "w", 1.0, -0.3, "down"), ("B", "v", 1.0, 0.3 - 1e-13, "up")]
     got = effects.balanced(spark.createDataFrame(rows, "category string, label string, rate double, effect double, direction string"))
     assert [r.label for r in got.orderBy("position").collect()] == ["w", "x", "v"]
+
+
+def test_names_of_one_beginning_do_not_all_meet(spark):
+    """A thousand names begin alike; what each contains has rarer letters, so few pairs meet and none is lost."""
+    rows = [(i, f"san {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i:03d}") for i in range(1000)]
+    good = spark.createDataFrame(rows, "place_id int, city string").withColumn("country", F.lit("X"))
+    bad = good.select("place_id", F.concat("city", F.lit("?q")).alias("city"), "country")
+    fold = lambda df, key: places.fold(df, "city", key).select(F.col("country").alias("__c"), key)
+    a, b = fold(bad, "__a"), fold(good, "__b")
+    pairs = places._contained(a, "__a", b, "__b")
+    assert pairs.count() < 20 * len(rows)
+    begun = a.withColumn("g", F.substring("__a", 1, 3)).join(b.withColumn("g", F.substring("__b", 1, 3)), "g")
+    assert begun.count() == len(rows) ** 2
+    got = {r["place_id"]: r["repaired"] for r in places.repair_names(bad, good.drop("place_id")).collect()}
+    assert got == dict(rows)
+
+
+def test_contained_names_equal_all_pairs(spark):
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randrange(1, 8)))
+    bad = [(i, word(), "X") for i in range(120)]
+    good = sorted({word() for _ in range(60)})
+    got = {x["place_id"]: (x["repaired"], round(x["score"], 6)) for x in places.repair_names(spark.createDataFrame(bad, "place_id int, city string, country string"), spark.createDataFrame([(g, "X") for g in good], "city string, country string")).collect()}
+    for i, a, _ in bad:
+        scored = [(300.0 if a == b else 100.0 * min(len(a), len(b)) / max(len(a), len(b)), b) for b in good if a in b or b in a]
+        best = sorted(((-s, b) for s, b in scored if s > 50))
+        assert got.get(i) == ((best[0][1], round(-best[0][0], 6)) if best else None)
+
+
+def test_keys_without_a_value_and_dates(spark):
+    rows = spark.createDataFrame([("1996-05-06", "1997-01-02 00:00:00", None), (None, "1997-01-02 00:00:00", None), (None, None, "1998-03-04 05:06:07"), (None, None, None)], "a string, b string, c string")
+    df = rows.select(F.col("a").cast("date").alias("a"), F.col("b").cast("timestamp").alias("b"), F.col("c").cast("timestamp").alias("c"))
+    months = [str(r[0]) for r in df.select(clean.effective_date(F.col("a"), F.col("b"), F.col("c"))).collect()]
+    assert months == ["1996-05-01", "1997-01-01", "1998-03-01", "None"]
+    assert [r["row"] for r in filters.served_json(rows.select("a", "c")).collect()] == ['{"a":"1996-05-06"}', "{}", '{"c":"1998-03-04 05:06:07"}', "{}"]
+
+
+def test_backfill_keeps_what_is_there(spark):
+    rows = spark.createDataFrame([(1, None, None, None, "1996-05-06 07:08:09"), (2, "b", None, None, "1996-05-06 07:08:09"), (3, None, "1990-01-01", "1991-01-01 00:00:00", "1996-05-06 07:08:09")], "id int, batch string, collected string, first_imported string, created string")
+    df = rows.withColumns({"collected": F.col("collected").cast("date"), "first_imported": F.col("first_imported").cast("timestamp"), "created": F.col("created").cast("timestamp")})
+    got = {r["id"]: (r["batch"], str(r["collected"]), str(r["first_imported"])) for r in merge.backfill_provenance(df, "x").collect()}
+    assert got == {1: ("x", "1996-05-06", "1996-05-06 07:08:09"), 2: ("b", "None", "None"), 3: ("x", "1990-01-01", "1991-01-01 00:00:00")}

@@ -1,7 +1,9 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from strideline.operators import facts, places as place_ops
 from strideline.sources import readers, writers
 
 
@@ -99,3 +101,41 @@ def test_long_and_quoted_headers(spark, tmp_path):
     (tmp_path / "q.csv").write_bytes(b'"x, y","Say ""hi""",Z\xfc\r\n1,2,3\n')
     got = {r["path"].rsplit("/", 1)[1]: r["headers"] for r in readers.list_headers(spark, str(tmp_path)).collect()}
     assert got["long.csv"] == names and got["q.csv"] == ['say "hi"', "x, y", "zü"]
+
+
+def test_gazetteer_documents(spark, tmp_path):
+    doc = {"cities": [{"city": "Paris", "country": "France", "iso3": "FRA", "continent": "Europe", "latitude": 48.8, "longitude": 2.3, "population_city": 2000000, "video_count": 7}, {"city": "Paris", "country": "United States", "iso3": "USA"}, {"city": "?"}], "aliases": {"Lutetia": "Paris", "!": "Paris", "City of Light": "Paris"}}
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "a.json").write_text(json.dumps(doc, indent=1))
+    (tmp_path / "g" / "b.json").write_text(json.dumps({"cities": [{"city": "Oslo", "country": "Norway"}]}))
+    more = spark.createDataFrame([("lutetia!", "Oslo")], "alias string, name string")
+    places, aliases = readers.read_gazetteer(spark, str(tmp_path / "g"), more)
+    assert sorted((r["name"], r["country"], r["population"], r["videos"]) for r in places.collect()) == [("Oslo", "Norway", None, 0), ("Paris", "France", 2000000, 7), ("Paris", "United States", None, 0)]
+    assert sorted(map(tuple, aliases.collect())) == [("City of Light", "Paris"), ("lutetia!", "Oslo")]
+    inputs = spark.createDataFrame([(1, "PARIS", None, "usa"), (2, "city of light", None, None), (3, "Lutetia", None, None)], "input_id int, name string, country string, iso3 string")
+    world = places.limit(0)
+    got = {r["input_id"]: (r["c_name"], r["c_country"], r["confident"]) for r in place_ops.resolve(inputs, places, aliases, world).collect()}
+    assert got == {1: ("Paris", "United States", True), 2: ("Paris", "France", False), 3: ("Oslo", "Norway", True)}
+
+
+def test_statistics_by_name_with_rejects(spark, tmp_path):
+    (tmp_path / "gender_stats.csv").write_text("gender,risky_crossing,run_red_light,more\nmale,0.5,,x\nfemale,often,0.25,y\n")
+    (tmp_path / "time_stats.csv").write_text("index,duration_minutes\nmean,27.8\n")
+    (tmp_path / "other.csv").write_text("a\n1\n")
+    assert readers.read_category_stats(spark, str(tmp_path), "gender_stats").columns[-1] == "source_file"
+    good, bad = facts.load_stats(spark, str(tmp_path))
+    assert sorted((r["data_source"], r["source_file"], r["metric_name"], r["dimension_value"], r["value_numeric"]) for r in good.collect()) == [
+        ("gender_stats", "gender_stats.csv", "risky_crossing_rate", "male", 0.5), ("gender_stats", "gender_stats.csv", "run_red_light_rate", "female", 0.25), ("time_stats", "time_stats.csv", "duration_minutes", "mean", 27.8)]
+    assert [tuple(r) for r in bad.collect()] == [("gender_stats", "gender_stats.csv", "female", "risky_crossing", "often")]
+    with pytest.raises(FileNotFoundError):
+        facts.load_stats(spark, str(tmp_path), ["age_stats"])
+
+
+def test_dimension_ids_are_looked_up_or_made(spark):
+    f = facts.melt(spark.createDataFrame([("male", "1"), ("other", "2")], "gender string, risky_crossing string"), "gender_stats", facts.MELTS["gender_stats"])
+    known = facts.dimensions(f, spark.createDataFrame([("gender", "male", 7)], "dimension_type string, dimension_value string, dimension_id long"))
+    with_ids = facts.keyed(f, known)
+    assert "dimension_value" not in with_ids.columns
+    view = {r["value_numeric"]: r for r in facts.analytics_summary(with_ids, known.filter("dimension_value = 'male'")).collect()}
+    assert (view[1.0]["dimension_id"], view[1.0]["dimension_value"]) == (7, "male")
+    assert view[2.0]["dimension_id"] is not None and view[2.0]["dimension_value"] is None
