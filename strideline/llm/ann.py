@@ -16,10 +16,15 @@ with limit the squared distance that belongs to the k-th largest inner product k
 then that of the lists read before. The number of probes is fitted: a bounded sample of queries is held against all
 vectors, in blocks, and the smallest number that reaches TARGET recall on it is taken.
 
+Distances only drop candidates that can't be among the nearest, with room for rounding; what stays is scored on the original
+vectors, component by component in double precision as the result shows it, before any is cut. So equal scores are equal, and
+ties, however many, go to the smaller vec_id.
+
 How it runs. Lists are put together in shards of bounded size, a longer one is dealt to several. A query goes once to
 each shard that holds lists it probes, so its vector travels once a shard, not once a list, and a shard returns at most
-K + 1 rows a query. Equal vectors are searched once: of the rows with one vector only the K + 1 smallest ids can be
-among K nearest. What is collected is bounded: the sample, the checked queries' neighbours, and a row for each list.
+K + 1 rows a query. A shard that more than QUERIES queries ask meets them in several tasks, and only such a shard is sent
+more than once. Equal vectors are searched once: of the rows with one vector only the K + 1 smallest ids can be
+among K nearest. What is collected is bounded: the sample, the checked queries' neighbours, and a row for each list and shard.
 
 Work. A query touches its probed lists' vectors, the fitted share of all. Vectors that form groups need few probes; of
 vectors spread evenly in many dimensions no partition keeps neighbours together, and the share is above one half.
@@ -48,6 +53,8 @@ EPSILON, BLOCK, TARGET, SEED = 2.1, 16, 0.96, 11
 ROUNDS = 8
 #: Pairs whose partial distances are held at once.
 TILE = 1 << 21
+#: How far rounding can move a product of two vectors of length 1 at most: some 1e-13 for a thousand components.
+MARGIN = 1e-10
 
 
 def usable(vector: Column) -> Column:
@@ -165,34 +172,56 @@ def best_of(owner: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) ->
     return order[rank < k]
 
 
+def exact(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of original vectors, summed from the first component to the last."""
+    out = np.zeros(len(a))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for j in range(x.shape[1]):
+            out += q[a, j] * x[b, j]
+    return out
+
+
+def largest(near: np.ndarray, q: np.ndarray, x: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, place and exact score of each query's k best, ties to the smaller key. near: rounded scores, -inf for none."""
+    if near.shape[1] > k:
+        a, b = np.nonzero((near >= np.partition(near, -k, axis=1)[:, -k, None] - MARGIN) & (near > -np.inf))
+    else:
+        a, b = np.nonzero(near > -np.inf)
+    score = exact(q, x, a, b)
+    best = best_of(a, keys[b], score, k)
+    return a[best], b[best], score[best]
+
+
 class Pool:
-    """The best candidates of a block of queries, and the k-th largest inner product known for each."""
+    """The best candidates of a block of queries, and the k-th largest rounded inner product known for each."""
 
     def __init__(self, known: np.ndarray, k: int):
-        self.known, self.k, self.parts, self.size = known.copy(), k, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+        self.known, self.k, self.size = known.copy(), k, 0
+        self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
 
-    def add(self, owner: np.ndarray, other: np.ndarray, score: np.ndarray) -> None:
-        self.parts.append((owner, other, score))
+    def add(self, owner: np.ndarray, other: np.ndarray, score: np.ndarray, near: np.ndarray) -> None:
+        self.parts.append((owner, other, score, near))
         self.size += len(owner)
         if self.size > 8 * self.k * max(1, len(self.known)):
             self.settle()
 
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        owner, other, score = (np.concatenate(x) for x in zip(*self.parts))
+        owner, other, score, near = (np.concatenate(x) for x in zip(*self.parts))
         keep = best_of(owner, other, score, self.k)
-        owner, other, score = owner[keep], other[keep], score[keep]
-        ends = np.flatnonzero(np.concatenate([owner[1:] != owner[:-1], [True]])) if len(owner) else np.zeros(0, np.int64)
-        counts = np.diff(np.concatenate([[-1], ends]))
-        full = ends[counts == self.k]
-        self.known[owner[full]] = np.maximum(self.known[owner[full]], score[full])
-        self.parts, self.size = [(owner, other, score)], 0
+        owner, other, score, near = owner[keep], other[keep], score[keep], near[keep]
+        starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+        full = np.diff(np.concatenate([starts, [len(owner)]])) == self.k
+        if full.any():
+            worst = np.minimum.reduceat(near, starts)[full]
+            self.known[owner[starts[full]]] = np.maximum(self.known[owner[starts[full]]], worst)
+        self.parts, self.size = [(owner, other, score, near)], 0
         return owner, other, score
 
 
 def limits(known: np.ndarray, band: int) -> np.ndarray:
     """Squared distances on the band's sphere that belong to inner products; a little more, for rounding."""
     with np.errstate(over="ignore"):
-        return 2 - 2 * known * np.exp2(float(min(band, 1100))) + 1e-9
+        return 2 - 2 * (known - MARGIN) * np.exp2(float(min(band, 1100))) + 1e-9
 
 
 def _matrix(column) -> np.ndarray:
@@ -225,6 +254,7 @@ class Shards:
                 at, held = at + parts, 0
             else:
                 held += n
+        self.count = int((self.first + self.parts).max()) if len(lists) else 0
 
     def of(self, lists: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Of each vector."""
@@ -265,10 +295,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     def assign(batches: Iterator) -> Iterator:
         for b in batches:
             if b.num_rows:
-                x, band = index.data(_matrix(b.column("v")))
-                yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(index.lists(x, band)), _lists(x)], names=["key", "list", "x"])
+                yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(index.lists(*index.data(_matrix(b.column("v"))))), b.column("v")], names=["key", "list", "v"])
 
-    placed = cut(single.select("key", "v").mapInArrow(assign, "key long, list long, x array<double>"))
+    placed = cut(single.select("key", "v").mapInArrow(assign, "key long, list long, v array<double>"))
     # Each query row finds its vector's key; a vector is searched once however many queries share it.
     asked = rows.filter(is_query).select("vec_id", "h1", "h2").distinct()
     asked = cut(asked.join(single.select("h1", "h2", "key"), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "key"))
@@ -277,7 +306,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     sizes = np.array([tuple(r) for r in placed.groupBy("list").count().orderBy("list").collect()], np.int64).reshape(-1, 2)
     lists, shards = sizes[:, 0], Shards(sizes[:, 0], sizes[:, 1])
     probes = _probes(placed, questions, index, lists, k)
-    blocks = max(1, -(-questions.count() // QUERIES))
 
     def in_sample(keys: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Inner products with the sample, the query's own vector apart."""
@@ -294,19 +322,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                keys = b.column("key").to_numpy()
-                score = in_sample(keys, index.query(_matrix(b.column("v"))))
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                s, c, owner = np.take_along_axis(score, best, 1).ravel(), sample_keys[best].ravel(), np.repeat(keys, best.shape[1])
-                some = s > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(owner[some]), pa.array(c[some]), pa.array(s[some])], names=["q", "c", "s"])
+                keys, v = b.column("key").to_numpy(), _matrix(b.column("v"))
+                owner, place, score = largest(in_sample(keys, index.query(v)), v, points, sample_keys, k)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[owner]), pa.array(sample_keys[place]), pa.array(score)], names=["q", "c", "s"])
 
     def aim(batches: Iterator) -> Iterator:
         """A row for each query and shard that holds lists it probes."""
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                keys, q = b.column("key").to_numpy(), index.query(_matrix(b.column("v")))
+                keys, v = b.column("key").to_numpy(), _matrix(b.column("v"))
+                q = index.query(v)
                 best = known(keys, q)
                 rank = np.argsort(-index.expected(q, lists), axis=1, kind="stable")[:, :probes]
                 who, which = np.repeat(np.arange(len(q)), rank.shape[1]), rank.ravel()
@@ -318,26 +344,42 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
                 opens = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (shard[1:] != shard[:-1])])) if len(who) else np.zeros(0, np.int64)
                 ends = np.concatenate([opens, [len(who)]]).astype(np.int32)
                 w = who[opens]
-                block = (keys[w].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % np.uint64(blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(shard[opens]), pa.array(block.astype(np.int32)), pa.array(keys[w]), pa.array(best[w]), pa.ListArray.from_arrays(ends, lists[which]), _lists(q[w])], names=["shard", "block", "key", "known", "lists", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[opens]), pa.array(keys[w]), pa.array(best[w]), pa.ListArray.from_arrays(ends, lists[which]), _lists(v[w])], names=["shard", "key", "known", "lists", "v"])
+
+    asking = cut(questions.mapInArrow(aim, "shard long, key long, known double, lists array<long>, v array<double>"))
+    # Tasks in which each shard meets its queries.
+    requests = np.array([tuple(r) for r in asking.groupBy("shard").count().collect()], np.int64).reshape(-1, 2)
+    meetings = np.zeros(shards.count, np.int64)
+    meetings[requests[:, 0]] = -(-requests[:, 1] // QUERIES)
 
     def deal(batches: Iterator) -> Iterator:
         for b in batches:
             if b.num_rows:
                 shard = shards.of(b.column("list").to_numpy(), b.column("key").to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(shard), b.column("key"), b.column("list"), b.column("x")], names=["shard", "key", "list", "x"])
+                times = meetings[shard]
+                at = np.repeat(np.arange(len(shard)), times)
+                block = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                yield pa.RecordBatch.from_arrays([pa.array(shard[at]), pa.array(block), *(b.column(c).take(pa.array(at)) for c in ("key", "list", "v"))], names=["shard", "block", "key", "list", "v"])
+
+    def meet(batches: Iterator) -> Iterator:
+        for b in batches:
+            keys, shard = b.column("key").to_numpy(), b.column("shard").to_numpy()
+            mixed = keys.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((mixed % meetings[shard].astype(np.uint64)).astype(np.int64))], names=[*b.schema.names, "block"])
 
-    left = placed.mapInArrow(deal, "shard long, key long, list long, x array<double>").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = questions.mapInArrow(aim, "shard long, block int, key long, known double, lists array<long>, q array<double>")
+    left = placed.mapInArrow(deal, "shard long, block long, key long, list long, v array<double>")
+    right = asking.mapInArrow(meet, "shard long, key long, known double, lists array<long>, v array<double>, block long")
     cells = len(index.centres) * len(index.offsets)
 
     def compare(group, queries):
         pool, who = Pool(queries.column("known").to_numpy(), k + 1), queries.column("key").to_numpy()
         if group.num_rows and queries.num_rows:
-            x, keys, own = _matrix(group.column("x")), group.column("key").to_numpy(), group.column("list").to_numpy()
+            v, keys, own = _matrix(group.column("v")), group.column("key").to_numpy(), group.column("list").to_numpy()
             order = np.lexsort((keys, own))
-            x, keys, own = x[order], keys[order], own[order]
-            q, wanted = _matrix(queries.column("q")), queries.column("lists").combine_chunks()
+            v, keys, own = v[order], keys[order], own[order]
+            x = index.data(v)[0]
+            asked_v, wanted = _matrix(queries.column("v")), queries.column("lists").combine_chunks()
+            q = index.query(asked_v)
             probed, by = wanted.flatten().to_numpy(), np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy()))
             order = np.lexsort((by, probed))
             probed, by = probed[order], by[order]
@@ -347,15 +389,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
                 if len(mine):
                     band = int(one // cells)
                     a, b, far = scan(q[mine], x[i:j], limits(pool.known[mine], band))
-                    pool.add(mine[a], keys[i:j][b], (1 - far / 2) * np.exp2(-float(band)))
+                    pool.add(mine[a], keys[i:j][b], exact(asked_v, v[i:j], mine[a], b), (1 - far / 2) * np.exp2(-float(band)))
         owner, other, score = pool.settle()
         return pa.table({"q": who[owner] if len(owner) else np.zeros(0, np.int64), "c": other, "s": score})
 
     near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(compare, "q long, c long, s double")
     near = near.union(questions.mapInArrow(seed, "q long, c long, s double")).groupBy("q", "c").agg(F.max("s").alias("s"))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "c"))).filter(F.col("r") <= k + 1).select("q", "c")
-    score = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    near = near.join(single.select(F.col("key").alias("c"), F.col("v").alias("b")), "c").join(single.select(F.col("key").alias("q"), F.col("v").alias("a")), "q").select("q", "c", score.alias("score"))
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "c"))).filter(F.col("r") <= k + 1).select("q", "c", F.col("s").alias("score"))
     rows_of = near.join(copies.select(F.col("key").alias("c"), "vec_id"), "c")
     best = rows_of.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
     best = best.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found"))
@@ -370,19 +410,20 @@ def _probes(placed: DataFrame, questions: DataFrame, index: Index, lists: np.nda
     some = questions.orderBy(F.xxhash64("key")).limit(CHECKED).collect()
     if not some:
         return 1
-    q, ids = index.query(np.array([r["v"] for r in some])), np.array([r["key"] for r in some])
-    cells = len(index.centres) * len(index.offsets)
+    v, ids = np.array([r["v"] for r in some]), np.array([r["key"] for r in some])
+    q = index.query(v)
 
     def truth(batches: Iterator) -> Iterator:
         for b in batches:
             if b.num_rows:
-                own, keys = b.column("list").to_numpy(), b.column("key").to_numpy()
-                s = (q @ _matrix(b.column("x")).T) * np.exp2(-(own // cells).astype(float))[None]
+                own, keys, x = b.column("list").to_numpy(), b.column("key").to_numpy(), _matrix(b.column("v"))
+                turned, band = index.data(x)
+                s = (q @ turned.T) * np.exp2(-band.astype(float))[None]
                 s[ids[:, None] == keys[None]] = -np.inf
-                at = np.argsort(-s, axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), at.shape[1])), pa.array(own[at].ravel()), pa.array(np.take_along_axis(s, at, 1).ravel())], names=["q", "list", "s"])
+                owner, at, score = largest(s, v, x, keys, k)
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(keys[at]), pa.array(own[at]), pa.array(score)], names=["q", "key", "list", "s"])
 
-    best = placed.mapInArrow(truth, "q long, list long, s double").filter(F.col("s") > float("-inf")).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "list"))).filter(F.col("r") <= k)
+    best = placed.mapInArrow(truth, "q long, key long, list long, s double").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "key"))).filter(F.col("r") <= k)
     place = np.argsort(np.argsort(-index.expected(q, lists), axis=1, kind="stable"), axis=1)  # how late a query probes each list
     hits = np.array([place[r["q"], np.searchsorted(lists, r["list"])] for r in best.select("q", "list").collect()])
     return int(np.sort(hits)[max(0, int(np.ceil(TARGET * len(hits))) - 1)]) + 1 if len(hits) else 1

@@ -91,6 +91,42 @@ def test_large_and_small_finite_components(spark):
     assert recall(spark, x, 5) >= 0.9
 
 
+def exactly(x, q, k=20):
+    s = x @ x[q]
+    s[q] = -np.inf
+    order = np.lexsort((np.arange(len(x)), -s))[:k]
+    return [(int(i), float(s[i])) for i in order]
+
+
+def test_ties_of_distinct_vectors_go_to_the_smaller_id(spark, monkeypatch):
+    """Small whole numbers: many distinct vectors have one exact score, and rounding of rotated ones must not order them."""
+    rng = np.random.default_rng(7)
+    x = np.unique(rng.integers(-1, 2, size=(1500, 16)), axis=0).astype(float)
+    x = x[np.abs(x).sum(1) > 0][rng.permutation(len(x) - 1)]
+    monkeypatch.setattr(ann, "TARGET", 1.0)
+    monkeypatch.setattr(ann, "CHECKED", 200)
+    rows = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert by == {q: exactly(x, q) for q in range(0, len(x), 20)}
+
+
+def test_recall_by_id_on_whole_numbers(spark):
+    rng = np.random.default_rng(8)
+    x = np.unique(rng.integers(-1, 2, size=(1500, 16)), axis=0).astype(float)
+    assert recall(spark, x[np.abs(x).sum(1) > 0]) >= 0.9
+
+
+def test_exact_scores_equal_sparks_sum(spark):
+    rng = np.random.default_rng(10)
+    a, b = rng.normal(size=(50, 33)), rng.normal(size=(50, 33))
+    got = ann.exact(a, b, np.arange(50), np.arange(50))
+    df = spark.createDataFrame([(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(a, b))], "i long, a array<double>, b array<double>")
+    score = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    assert [r["s"] for r in df.orderBy("i").select(score.alias("s")).collect()] == got.tolist()
+
+
 def test_scan_equals_brute_force_with_a_wide_test():
     rng = np.random.default_rng(3)
     x, q = rng.normal(size=(3000, 40)), rng.normal(size=(7, 40))
