@@ -5,14 +5,16 @@ over each window, the largest response of each filter is kept, and a softmax lay
 response is a sum of one number for each of its places and the byte there, so inference adds rows of tables over pairs
 of bytes. Windows' log-probabilities are averaged over the text, weighted by their lengths.
 
-Training reads the labelled rows only. Whole texts are cut into windows, of which each language gives at most SAMPLE, those
-of smallest hash of doc_id and place (a bounded, documented sample: only its windows come to the driver). At most LANGUAGES
-languages are learned, those with most text. Everything is seeded.
+Training reads the labelled rows only. Whole texts are cut into windows, of which each language gives at most about SAMPLE
+different ones, those of smallest hash of their bytes (a bounded, documented sample: only these windows come to the driver).
+How often a window or a document is repeated, and what its doc_id is, makes no difference, and no language that has a text with
+a letter is left without windows. Labels come to the driver too, so more than LANGUAGES of them are an error, not a choice.
+Everything is seeded.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; with no labelled row every text is ``und``;
 texts shorter than a window are padded with zero bytes; texts are predicted whole; repeated rows get one answer each;
 rows of null languages aren't learned from; labels of a language are its exact strings; equal probabilities go to the first
-of them; rows repeated with one doc_id and text are learned once; ``predict`` replaces input columns named lang_pred and
+of them; equal windows of a language are learned once; a null doc_id is in fold 0, so it is learned from; ``predict`` replaces input columns named lang_pred and
 score, other names can't clash.
 """
 
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 WINDOW = 256
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 8, 8
+#: Windows of a language, and languages, at most.
 SAMPLE, LANGUAGES = 2000, 512
 EPOCHS, BATCH, RATE, SEED = 14, 64, 0.01, 7
 UNKNOWN = "und"
@@ -181,25 +184,30 @@ class ByteCnn:
 
 
 def train(labelled: DataFrame) -> ByteCnn:
-    """labelled: doc_id, text, lang. Trains on the driver on the bounded sample of windows."""
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.col("text").rlike(r"\p{L}")).select("lang", F.col("doc_id").cast("string").alias("d"), F.encode("text", "UTF-8").alias("b"))
+    """labelled: text, lang. Trains on the driver on the bounded sample of windows."""
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.col("text").rlike(r"\p{L}")).select("lang", F.encode("text", "UTF-8").alias("b"))
     n = F.greatest(F.ceil(F.octet_length("b") / WINDOW), F.lit(1)).cast("int")
-    totals = rows.groupBy("lang").agg(F.sum(n).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    begin = lambda i: F.greatest(F.lit(0), F.least(i * WINDOW, F.octet_length("b") - WINDOW)) + 1
+    window = lambda i: F.substring(F.col("b"), begin(i), F.lit(WINDOW))
+    hashes = rows.select("lang", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(window(i)))).alias("h"))
+    totals = hashes.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(totals) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: {labelled.select('lang').distinct().count()}")
     langs = sorted(r["lang"] for r in totals)
     cnn = ByteCnn(langs)
     if not langs:
         return cnn
     # A window is chosen by its own hash, so no language's rows meet in a task; a few more than needed come, for chance.
-    share = F.create_map(*[x for r in totals for x in (F.lit(r["lang"]), F.lit(1.2 * (SAMPLE + 10 * SAMPLE**0.5) / r["n"]))])[F.col("lang")]
-    key = lambda i: F.xxhash64("d", i)
-    at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.shiftrightunsigned(key(i), 1) < share * F.lit(float(2**63)))
-    begin = lambda i: F.greatest(F.lit(0), F.least(i * WINDOW, F.octet_length("b") - WINDOW)) + 1
-    cut = F.transform("at", lambda i: F.struct(key(i).alias("h"), F.substring(F.col("b"), begin(i), F.lit(WINDOW)).alias("w")))
-    chosen = rows.select("lang", "d", "b", at.alias("at")).filter(F.size("at") > 0).select("lang", F.explode(cut).alias("c")).select("lang", "c.h", "c.w").distinct()
+    share = F.create_map(*[x for r in totals for x in (F.lit(r["lang"]), F.lit(1.2 * (SAMPLE + 10 * SAMPLE**0.5) / max(1, r["n"])))])[F.col("lang")]
+    few = lambda h: F.shiftrightunsigned(h, 1) < F.col("share") * F.lit(float(2**63))
+    at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: few(F.xxhash64(window(i))))
+    chosen = rows.withColumn("share", share).select("lang", F.explode(F.transform(at, window)).alias("w")).distinct()
     by: dict[str, list[tuple[int, bytes]]] = {x: [] for x in langs}
-    for r in chosen.collect():
+    for r in chosen.select("lang", "w", F.xxhash64("w").alias("h")).collect():
         by[r["lang"]].append((r["h"], bytes(r["w"])))
-    sample = [(y, w) for y, x in enumerate(langs) for _, w in sorted(by[x])[:SAMPLE]]
+    if empty := [x for x in langs if not by[x]]:
+        raise ValueError(f"no windows of {empty}")
+    sample = [(y, w) for y, x in enumerate(langs) for _, w in sorted(by[x], key=lambda c: (c[0] & (1 << 64) - 1, c[1]))[:SAMPLE]]
     x = np.frombuffer(b"".join(w.ljust(WINDOW, b"\0") for _, w in sample), np.uint8).reshape(len(sample), WINDOW)
     return cnn.fit(x, np.array([y for y, _ in sample]))
 
@@ -229,5 +237,5 @@ def predict(docs: DataFrame, cnn: ByteCnn, keep: list[str] | None = None) -> Dat
 
 
 def fold(doc_id: str = "doc_id") -> Column:
-    """crc32 of doc_id as text, modulo 3: 1 is held out."""
-    return F.crc32(F.col(doc_id).cast("string")) % 3
+    """crc32 of doc_id as text, modulo 3: 1 is held out; a null doc_id is in fold 0."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3, F.lit(0).cast("long"))

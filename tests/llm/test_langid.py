@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from strideline.llm import langid
 
@@ -82,3 +84,30 @@ def test_accuracy_on_given_tables(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang IS NOT NULL")
     held = langid.predict(df.filter(langid.fold() == 1), langid.train(df.filter(langid.fold() != 1)), ["lang"]).collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.9
+
+
+def counted(monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid.ByteCnn, "fit", lambda self, x, y, epochs=1: seen.append(dict(zip(self.langs, np.bincount(y, minlength=len(self.langs)).tolist()))) or self)
+    return seen
+
+
+def test_repeated_rows_and_ids_cost_no_language_its_windows(spark, docs, monkeypatch):
+    """A document repeated 50,000 times, one doc_id for all texts of a language, and null ids, beside an ordinary language."""
+    seen = counted(monkeypatch)
+    word = F.sha2(F.concat(F.lit("salt"), F.col("id").cast("string")), 256)
+    own = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("plain").alias("lang"), word.alias("text"))
+    again = spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("again").alias("lang"), F.lit("said often").alias("text"))
+    few = spark.range(1000).select((F.col("id") + 9000).alias("doc_id"), F.lit("again").alias("lang"), F.concat(F.lit("x"), word).alias("text"))
+    one = spark.range(6000).select(F.lit(3).cast("long").alias("doc_id"), F.lit("one").alias("lang"), F.concat(F.lit("y"), word).alias("text"))
+    none = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("none").alias("lang"), F.concat(F.lit("z"), word).alias("text"))
+    langid.train(own.union(again).union(few).union(one).union(none))
+    assert seen == [{"again": 1001, "none": 2000, "one": 2000, "plain": 2000}]
+
+
+def test_null_ids_are_learned_from_and_too_many_languages_are_an_error(docs, monkeypatch):
+    df = docs(["some text", "other text"], ids=[None, None])
+    assert [r["f"] for r in df.select(langid.fold().alias("f")).collect()] == [0, 0]
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    with pytest.raises(ValueError, match="4"):
+        langid.train(docs(["a", "b", "c", "d", "a"], langs=["1", "2", "3", "4", "1"]))
