@@ -1,7 +1,7 @@
 """Chat formatting in Spark expressions.
 
 The turns of a conversation are collected as structs and sorted; adjacent turns of one role are merged into one block
-by array aggregation, and the blocks are concatenated:
+by array aggregation, and the blocks are aggregated and concatenated:
 
     <|im_start|>ROLE\nTEXT<|im_end|>\n        one block
     TEXT<|im_sep|>TEXT                        inside a merged block
@@ -10,15 +10,18 @@ Texts are escaped reversibly: ``\\`` becomes ``\\\\`` and ``<|`` becomes ``<\\|`
 occur in them; a newline in a role becomes ``<|im_nl|>``. The loss mask is an array of spans in code points, one for
 each assistant turn's escaped text. ``read_back`` recovers turns and masked texts from the formatted string alone.
 
+How it runs. One shuffle, by conversation; what follows keeps its partitioning: the sorted turns get the number of their block
+and the length before them as running sums, blocks gather their turns' texts, and conversations their blocks. So the work grows
+with the turns (and their sorting), however long a conversation is.
+
 Edge cases: null texts and roles are empty; turns with one number are ordered by role, then text; null turns come
 first; a null conv_id is a conversation; repeated rows are repeated turns; an empty table gives no rows. One
-conversation is one output row, so its turns must fit a task; rows are reduced to role and text before the shuffle. Spans
-are gathered by an array aggregation, which copies them once a trained turn.
+conversation is one output row, so its turns must fit a task; rows are reduced to role and text before the shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 START, END, SEP, NEWLINE = "<|im_start|>", "<|im_end|>", "<|im_sep|>", "<|im_nl|>"
 #: Role whose texts are under the loss mask.
@@ -38,25 +41,22 @@ def format_chat(turns: DataFrame) -> DataFrame:
     df = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     df = df.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("raw"))
     # Escaped after sorting: escapes would change the order of ties.
-    safe = lambda t: F.struct(F.replace(escape(t["role"]), F.lit("\n"), F.lit(NEWLINE)).alias("role"), escape(t["text"]).alias("text"))
-    df = df.select("conv_id", F.transform("raw", safe).alias("ts"))
+    df = df.select("conv_id", F.posexplode("raw").alias("place", "t"))
+    df = df.select("conv_id", "place", F.replace(escape(F.col("t.role")), F.lit("\n"), F.lit(NEWLINE)).alias("role"), escape(F.col("t.text")).alias("text"))
+    ordered = Window.partitionBy("conv_id").orderBy("place")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
     # A turn opens a block unless the one before it has its role.
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(F.transform("ts", lambda t: t["role"]), 1, F.size("ts") - 1))
-    piece = F.zip_with("ts", before, lambda t, r: F.struct(
-        t["role"].alias("role"), t["text"].alias("text"),
-        F.when(t["role"].eqNullSafe(r), F.lit(SEP)).otherwise(F.concat(F.when(r.isNull(), F.lit("")).otherwise(F.lit(f"{END}\n")), F.lit(START), t["role"], F.lit("\n"))).alias("lead"),
-    ))
-    df = df.select("conv_id", piece.alias("ps"))
-    df = df.select("conv_id", "ps", F.concat(F.array_join(F.transform("ps", lambda p: F.concat(p["lead"], p["text"])), ""), F.lit(f"{END}\n")).alias("formatted"))
-    # Running lengths by one aggregation: the spans of the trained turns and the place reached.
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start, n = acc["at"] + F.length(p["lead"]), F.length(p["text"]).cast("long")
-        span = F.array(F.struct(start.cast("long").alias("start"), n.alias("length")))
-        return F.struct((start + n).cast("long").alias("at"), F.when(p["role"] == TRAINED, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return df.select("conv_id", "formatted", F.aggregate("ps", empty, step, lambda acc: acc["spans"]).alias("loss_spans"))
+    df = df.withColumn("opens", ~F.col("role").eqNullSafe(F.lag("role").over(ordered)))
+    lead = F.when(F.col("opens"), F.when(F.col("place") > 0, len(END) + 1).otherwise(0) + len(START) + F.length("role") + 1).otherwise(len(SEP))
+    n = F.length("text").cast("long")
+    df = df.withColumns({"block": F.count_if("opens").over(so_far), "start": F.sum(lead + n).over(so_far) - n})
+    span = F.when(F.col("role") == TRAINED, F.struct("start", n.alias("length")))
+    blocks = df.groupBy("conv_id", "block").agg(F.first("role").alias("role"), F.sort_array(F.array_agg(F.struct("place", "text", span.alias("span")))).alias("ts"))
+    body = F.array_join(F.transform("ts", lambda t: t["text"]), SEP)
+    spans = F.array_compact(F.transform("ts", lambda t: t["span"]))
+    blocks = blocks.select("conv_id", F.struct("block", F.concat(F.lit(START), "role", F.lit("\n"), body, F.lit(f"{END}\n")).alias("text"), spans.alias("spans")).alias("b"))
+    whole = blocks.groupBy("conv_id").agg(F.sort_array(F.array_agg("b")).alias("bs"))
+    return whole.select("conv_id", F.array_join(F.transform("bs", lambda b: b["text"]), "").alias("formatted"), F.flatten(F.transform("bs", lambda b: b["spans"])).alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -52,3 +52,17 @@ def test_ties_are_sorted_before_escaping(spark):
     rows = [(1, 0, "user", "<]x"), (1, 0, "user", "<|x"), (1, 0, "user", "\\"), (1, 0, "user", "[")]
     got = chat.read_back(chat.format_chat(frame(spark, rows))).collect()[0]
     assert [t["text"] for t in got["turns"]] == sorted(r[3] for r in rows)
+
+
+def test_one_shuffle_and_a_long_conversation(spark):
+    """Blocks and spans need no shuffle beyond the first; ten thousand turns of long runs come back whole."""
+    from pyspark.sql import functions as F
+
+    role = F.when(F.floor(F.col("id") / 700) % 2 == 0, "user").otherwise("assistant")
+    turns = spark.range(10_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("t<|"), F.col("id").cast("string")).alias("text"))
+    out = chat.format_chat(turns)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = chat.read_back(out).collect()[0]
+    assert [t["text"] for t in got["turns"]] == [f"t<|{i}" for i in range(10_000)]
+    assert got["masked"] == [f"t<|{i}" for i in range(10_000) if i // 700 % 2]
