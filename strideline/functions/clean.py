@@ -5,7 +5,8 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Letters that decomposition leaves whole.
 SPECIAL_LETTERS = {"ł": "l", "đ": "d", "ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ħ": "h", "ı": "i", "ĸ": "k", "ŋ": "n"}
@@ -74,6 +75,19 @@ def nfc(s: Column) -> Column:
     return _normalizer("NFC")(s)
 
 
+def nfc_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with these text columns in Unicode NFC; all of them cross to Python once, together."""
+    @F.pandas_udf(StructType([StructField(f"c{i}", StringType()) for i in range(len(names))]))
+    def run(texts: pd.DataFrame) -> pd.DataFrame:
+        return texts.apply(lambda s: s.str.normalize("NFC"))
+
+    if not names:
+        return df
+    packed = df.withColumn("__nfc", run(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])))
+    at = {c: i for i, c in enumerate(names)}
+    return packed.select(*[F.col(f"__nfc.c{at[c]}").alias(c) if c in at else F.col(f"`{c}`") for c in df.columns])
+
+
 def _decomposed() -> tuple[str, str]:
     """Latin letters with accents and the letters below them, made from Unicode's own decompositions."""
     pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -45,18 +46,34 @@ def sources() -> dict[str, Source]:
 
 def relationships(metric: str, tables: Mapping[str, DataFrame], threshold: float | None = None) -> DataFrame:
     """The balanced effects of all sources at hand on a metric. tables: name -> statistics table."""
-    if metric not in THRESHOLDS:
-        raise ValueError(f"unknown metric: {metric}")
-    found = None
-    for name, s in sources().items():
+    return all_relationships(tables, [metric], threshold).drop("metric")
+
+
+def all_relationships(tables: Mapping[str, DataFrame], metrics: Iterable[str] = THRESHOLDS, threshold: float | None = None) -> DataFrame:
+    """The balanced effects on several metrics, each table read once: its rates are melted, and baselines, effects and
+    places are taken within metric and source."""
+    metrics = list(metrics)
+    if unknown := [x for x in metrics if x not in THRESHOLDS]:
+        raise ValueError(f"unknown metric: {', '.join(unknown)}")
+    parts = []
+    for i, (name, s) in enumerate(sources().items()):
         if name in tables:
-            df, rate = tables[name].filter(s.label.isNotNull()), F.col(f"`{s.rates[metric]}`")
-            label, rate, df = (F.col("label"), F.col("rate"), grouped_mean(df, s.label, rate)) if s.group else (s.label, rate, df)
-            one = effect_sizes(df, label, rate, s.category, THRESHOLDS[metric] if threshold is None else threshold, s.floor, s.scale)
-            found = one if found is None else found.unionByName(one)
-    if found is None:
+            entries = F.array(*[F.struct(F.lit(x).alias("metric"), F.col(f"`{s.rates[x]}`").cast("double").alias("rate"), F.lit(THRESHOLDS[x] if threshold is None else threshold).alias("least")) for x in metrics])
+            df = tables[name].select(s.label.alias("label"), F.explode(entries).alias("e")).select("label", "e.*").filter("label IS NOT NULL")
+            if s.group:
+                df = df.groupBy("metric", "least", "label").agg(F.avg("rate").alias("rate"))
+            parts.append(df.select("metric", F.lit(i).alias("source"), F.lit(s.category).alias("category"), "label", "rate", "least", F.lit(s.floor).alias("floor"), F.lit(s.scale).alias("scale")))
+    if not parts:
         raise ValueError("no statistics tables")
-    return balanced(found)
+    rows = reduce(DataFrame.unionByName, parts)
+    mean = F.avg(F.when(F.col("rate") > F.col("floor"), F.col("rate"))).over(Window.partitionBy("metric", "source"))
+    rows = rows.withColumn("baseline", F.coalesce(mean, F.lit(0.0)) * F.col("scale")).filter("rate IS NOT NULL").withColumn("rate", F.col("rate") * F.col("scale"))
+    rows = rows.withColumn("effect", F.col("rate") - F.col("baseline")).filter(F.abs("effect") > F.col("least"))
+    strength = F.round(F.abs("effect"), DECIMALS)
+    order = [F.desc(strength), "category", "label"]
+    few = rows.withColumn("__r", F.row_number().over(Window.partitionBy("metric", "category").orderBy(F.desc(strength), "label"))).filter(F.col("__r") <= PER_CATEGORY)
+    top = few.withColumn("position", F.row_number().over(Window.partitionBy("metric").orderBy(*order))).filter(F.col("position") <= OVERALL)
+    return top.select("metric", "category", "label", "rate", "effect", F.when(F.col("effect") > 0, "up").otherwise("down").alias("direction"), "position")
 
 
 def filtered_mean(rate: Column, above: float) -> Column:

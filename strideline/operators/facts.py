@@ -124,15 +124,19 @@ def ranked_facts(facts: DataFrame) -> DataFrame:
     return facts.withColumns(cols)
 
 
+def _if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows, which a bounded job finds out."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def facts_by_continent(facts: DataFrame, per_place: DataFrame) -> DataFrame:
     """Fact averages beside each continent's counts. per_place: place_id, continent, sessions, observations, and joined:
     the rows that places, sessions and observations make when joined, at least 1. fact_count counts facts times those."""
     c = per_place.filter("continent IS NOT NULL").groupBy("continent").agg(F.count("*").alias("place_count"), F.sum("sessions").alias("session_count"), F.sum("observations").alias("observation_count"), F.sum("joined").alias("joined"))
     f = facts.groupBy("fact_type", "metric_name", "dimension_type", "dimension_value").agg(*[m.mean(F.col(s)).alias(f"avg_{s}") for s in SLOTS], F.count("*").alias("n"))
-    return f.crossJoin(F.broadcast(c)).select("continent", *f.columns[:-1], (F.col("n") * F.col("joined")).alias("fact_count"), "place_count", "session_count", "observation_count")
+    return f.crossJoin(_if_small(c)).select("continent", *f.columns[:-1], (F.col("n") * F.col("joined")).alias("fact_count"), "place_count", "session_count", "observation_count")
 
 
 def facts_by_place(facts: DataFrame, per_place: DataFrame) -> DataFrame:
     """Every place beside every fact. facts are few (one row a category and metric) and broadcast only while so."""
-    small = facts.limit(10_001).count() <= 10_000
-    return per_place.crossJoin(F.broadcast(facts) if small else facts)
+    return per_place.crossJoin(_if_small(facts))

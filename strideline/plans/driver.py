@@ -445,8 +445,8 @@ def relationships(d: Data) -> DataFrame:
         "weather_daytime_stats": stats_by_weather(d), "gender_stats": stats_by_gender(d), "age_stats": stats_by_age(d), "clothing_stats": stats_by_flag(d, "clothing_type", CLOTHES),
         "phone_stats": stats_by_flag(d, "accessory", ITEMS), "vehicle_stats": stats_by_flag(d, "vehicle_type", {f: f for f in FLAGS}),
     }
-    both = [effects.relationships(x, tables, 0.02).withColumn("metric", F.lit(x)) for x in effects.THRESHOLDS]
-    return both[0].unionByName(both[1]).select("metric", "position", "category", "label", F.round("rate", 6).alias("rate"), F.round("effect", 6).alias("effect"), "direction")
+    found = effects.all_relationships(tables, threshold=0.02)
+    return found.select("metric", "position", "category", "label", F.round("rate", 6).alias("rate"), F.round("effect", 6).alias("effect"), "direction")
 
 
 def incoming(d: Data) -> tuple[DataFrame, DataFrame]:

@@ -45,7 +45,7 @@ def read_csv(spark: SparkSession, path: str, glob: str = "*.csv", normalize: boo
         df = part if df is None else df.unionByName(part, allowMissingColumns=True)
     names = [c for c in df.columns if c != "source_file"]
     df = df.dropna(how="all", subset=names).select(*[F.col(f"`{c}`") for c in names], "source_file")
-    return df.withColumns({c: clean.nfc(F.col(f"`{c}`")) for c in names}) if normalize else df
+    return clean.nfc_columns(df, names) if normalize else df
 
 
 def read_csv_best_encoding(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1", "UTF-16")) -> DataFrame:

@@ -21,9 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().get().rstrip("/")
 
 
+#: Folders made by this process, until sweep.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the folders that new_path gave since the last sweep, and say how many: for the end of a run, when nothing reads
+    them any more. Checkpoints go with their DataFrames if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    n = len(_made)
+    while _made:
+        delete(spark, _made.pop())
+    return n
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -112,4 +112,6 @@ def test_storage(spark, tmp_path):
     assert storage.children(spark, base) == ["x"] and storage.children(spark, f"{base}/no") == [] and storage.exists(spark, f"{base}/x")
     storage.delete(spark, f"{base}/x")
     assert not storage.exists(spark, f"{base}/x")
-    assert storage.new_path(spark, "a") != storage.new_path(spark, "a")
+    one, two = storage.new_path(spark, "a"), storage.new_path(spark, "a")
+    spark.range(3).write.parquet(one)
+    assert one != two and storage.sweep(spark) >= 2 and not storage.exists(spark, one)

@@ -139,3 +139,10 @@ def test_dimension_ids_are_looked_up_or_made(spark):
     view = {r["value_numeric"]: r for r in facts.analytics_summary(with_ids, known.filter("dimension_value = 'male'")).collect()}
     assert (view[1.0]["dimension_id"], view[1.0]["dimension_value"]) == (7, "male")
     assert view[2.0]["dimension_id"] is not None and view[2.0]["dimension_value"] is None
+
+
+def test_all_columns_are_normalized_in_one_crossing(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("a,b c,d\ne\u0301,,o\u0308\n", encoding="utf-8")
+    df = readers.read_csv(spark, str(tmp_path))
+    assert tuple(df.drop("source_file").first()) == ("\u00e9", None, "\u00f6") and df.columns == ["a", "b c", "d", "source_file"]
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
