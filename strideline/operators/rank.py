@@ -134,6 +134,27 @@ def layer_rows(base: DataFrame, metric: Metric, key: str = "place_id") -> DataFr
     return df.select(key, F.col(metric.column).alias("value"), on.alias("is_ranked"), F.when(on, m.safe_normalize(F.col(metric.column), F.col("low"), F.col("high"))).alias("t"), evidence_status(metric, scaled).alias("evidence"), sample.cast("long").alias("sample"))
 
 
+def map_layers(base: DataFrame, metrics: dict[str, Metric], key: str = "place_id") -> DataFrame:
+    """The rows of every metric's layer, with its name: base is read twice, once for the scales, a row a metric, and once for the
+    rows, however many metrics there are."""
+
+    def entry(name: str, metric: Metric) -> Column:
+        sample = F.col(metric.sample).cast("long") if metric.sample else F.lit(None).cast("long")
+        return F.struct(
+            F.lit(name).alias("metric"), F.col(metric.column).cast("double").alias("value"), sample.alias("sample"), passes(metric).alias("passes"),
+            F.lit(bool(metric.sample)).alias("gated"), F.lit(metric.least).alias("least"), F.lit(SCALED_FROM if metric.sample else 1).alias("scaled_from"),
+        )
+
+    long = base.select(key, F.explode(F.array(*[entry(n, x) for n, x in metrics.items()])).alias("e")).select(key, "e.*").filter("value IS NOT NULL")
+    ranked = F.when(F.col("passes"), F.col("value"))
+    scales = long.groupBy("metric", "scaled_from").agg(F.count(ranked).alias("n"), F.min(ranked).alias("low"), F.max(ranked).alias("high")).filter("n >= scaled_from").select("metric", "low", "high")
+    df = long.join(F.broadcast(scales), "metric", "left")  # one row a metric
+    scaled = F.col("low").isNotNull()
+    on = F.col("passes") & scaled
+    evidence = F.when(~F.col("gated"), "ungated").when(F.col("sample").isNull(), "unknown").when(F.col("sample") < F.col("least"), "below_bar").when(scaled, "ranked").otherwise("no_scale")
+    return df.select("metric", key, "value", on.alias("is_ranked"), F.when(on, m.safe_normalize(F.col("value"), F.col("low"), F.col("high"))).alias("t"), evidence.alias("evidence"), "sample")
+
+
 def rank_by_average(df: DataFrame, columns: list[str], key: str = "place_id") -> DataFrame:
     """Rank as one more than the places with a larger average; a place without the average has 1."""
     found = order.placed(df.select(key, *columns), {f"__{c}": (c, None) for c in columns}, key)
