@@ -111,18 +111,18 @@ def city_details(sessions: DataFrame, observations: DataFrame, averages: DataFra
     observed ages above 0, else the middles of age buckets."""
     only = lambda df: df if place is None else df.filter(F.col("place_id") == place)
     s = only(sessions)
-    o = observations.join(s.select("session_id", "place_id"), "session_id")
+    o = observations if place is None else observations.join(s.select("session_id"), "session_id", "left_semi")
     columns = [x for x in averages.columns if x != "place_id"]
     counted = rank.rank_by_average(averages, columns).select("place_id", *[F.col(f"{x}_rank").alias(x) for x in columns])
     stored = stored_ranks.select("place_id", *columns).filter(F.coalesce(*[F.col(x) for x in columns]).isNotNull())
     weather = {"sessions": mixes.weather_mix(s)}
     if observed_weather is not None:
         seen = o.withColumn("__weather", observed_weather)
-        weather["observations"] = mixes.mix(seen.filter(~F.lower("__weather").isin(*mixes.NOT_WEATHER)), "place_id", F.col("__weather"), F.col("session_id"))
-    by_age = mixes.risk_by_bucket(o, "place_id", clean.age_detail(F.col("age")), F.col("age"), F.col("risky"))
+        weather["observations"] = mixes.mix_of_sessions(seen.filter(~F.lower("__weather").isin(*mixes.NOT_WEATHER)), s, F.col("__weather"), distinct=True)
+    by_age = mixes.risk_of_sessions(o, s, clean.age_detail(F.col("age")), F.col("age"), F.col("risky"))
     ages = {
         "summary": only(stored_ages).select("place_id", "avg_age").filter("avg_age <> 0"),
-        "observations": o.filter("age > 0").groupBy("place_id").agg(m.mean(F.col("age")).alias("avg_age")),
+        "observations": rollup.observation_rollup(o.filter("age > 0"), s, {"a": F.sum("age"), "k": F.count("age")}, {"avg_age": m.ratio(F.col("a"), F.col("k"))}),
         "buckets": mixes.average_of_buckets(by_age),
     }
     n = F.count("measured_speed")
@@ -130,9 +130,9 @@ def city_details(sessions: DataFrame, observations: DataFrame, averages: DataFra
     return {
         "ranks": mixes.with_fallback({"stored": only(stored), "counted": only(counted)}),
         "weather": mixes.with_fallback(weather),
-        "daytime": mixes.mix(o, "place_id", F.when(F.col("daytime"), "Day").otherwise("Night")),
-        "gender": mixes.mix(o, "place_id", F.col("gender")),
-        "vehicles": mixes.flag_mix(rollup.session_rollup(o, mixes.flag_sums(flags)), "place_id", flags),
+        "daytime": mixes.mix_of_sessions(o, s, F.when(F.col("daytime"), "Day").otherwise("Night")),
+        "gender": mixes.mix_of_sessions(o, s, F.col("gender")),
+        "vehicles": mixes.flag_mix(rollup.observation_rollup(o, s, mixes.flag_sums(flags), {f: F.col(f) for f in flags}), "place_id", flags),
         "risk_by_age": by_age,
         "risk_factors": mixes.risk_factors(s, "place_id", "weather", F.col("risky_ratio")),
         "age": mixes.with_fallback(ages),

@@ -17,6 +17,23 @@ def mix(df: DataFrame, key: str, category: Column, count: Column | None = None)
     return rows.withColumn("percent", m.ratio(F.lit(100) * F.col("n"), F.sum("n").over(Window.partitionBy(key))))
 
 
+def mix_of_sessions(rows: DataFrame, sessions: DataFrame, category: Column, distinct: bool = False, key: str = "place_id", session: str = "session_id") -> DataFrame:
+    """mix of the rows of sessions, counted per session and category before they meet the session's place, so that join moves a
+    row for each of these. distinct: sessions that have the category are counted instead of rows."""
+    per = rows.select(session, category.alias("category")).filter(F.col("category").isNotNull() & (F.col("category").cast("string") != ""))
+    per = per.groupBy(session, "category").agg((F.lit(1).cast("long") if distinct else F.count("*")).alias("n"))
+    out = per.join(sessions.select(session, key), session).groupBy(key, "category").agg(F.sum("n").alias("n"))
+    return out.withColumn("percent", m.ratio(F.lit(100) * F.col("n"), F.sum("n").over(Window.partitionBy(key))))
+
+
+def risk_of_sessions(rows: DataFrame, sessions: DataFrame, bucket: Column, order_by: Column, risky: Column, key: str = "place_id", session: str = "session_id") -> DataFrame:
+    """risk_by_bucket of the rows of sessions, counted per session and bucket first."""
+    per = rows.select(session, bucket.alias("bucket"), order_by.alias("__o"), risky.alias("__r")).filter("bucket IS NOT NULL")
+    per = per.groupBy(session, "bucket").agg(F.count("*").alias("n"), m.count_true(F.col("__r")).alias("__risky"), F.min("__o").alias("__o"))
+    total = per.join(sessions.select(session, key), session).groupBy(key, "bucket").agg(F.sum("n").alias("n"), F.sum("__risky").alias("__risky"), F.min("__o").alias("bucket_order"))
+    return total.select(key, "bucket", "n", m.ratio(F.lit(100) * F.col("__risky"), F.col("n")).alias("risky_percent"), "bucket_order")
+
+
 def weather_mix(sessions: DataFrame, key: str = "place_id", weather: str = "weather") -> DataFrame:
     return mix(sessions.filter(~F.lower(weather).isin(*NOT_WEATHER)), key, F.col(weather))
 

@@ -327,19 +327,19 @@ def by_place(d: Data, *columns: str) -> DataFrame:
 
 
 def mix_daynight(d: Data) -> DataFrame:
-    return mixes.mix(by_place(d, "daytime"), "place_id", F.when(c("daytime"), "Day").otherwise("Night"))
+    return mixes.mix_of_sessions(d.observations, d.sessions, F.when(c("daytime"), "Day").otherwise("Night"))
 
 
 def mix_gender(d: Data) -> DataFrame:
-    return mixes.mix(by_place(d, "gender"), "place_id", c("gender"))
+    return mixes.mix_of_sessions(d.observations, d.sessions, c("gender"))
 
 
 def mix_sessions_by_gender(d: Data) -> DataFrame:
-    return mixes.mix(by_place(d, "gender"), "place_id", c("gender"), c("session_id"))
+    return mixes.mix_of_sessions(d.observations, d.sessions, c("gender"), distinct=True)
 
 
 def risk_by_bucket(d: Data) -> DataFrame:
-    return mixes.risk_by_bucket(by_place(d, "age", "risky"), "place_id", clean.age_detail(c("age")), c("age"), c("risky"))
+    return mixes.risk_of_sessions(d.observations, d.sessions, clean.age_detail(c("age")), c("age"), c("risky"))
 
 
 def flag_mix(d: Data) -> DataFrame:
