@@ -185,7 +185,7 @@ class ByteCnn:
 
 def train(labelled: DataFrame) -> ByteCnn:
     """labelled: text, lang. Trains on the driver on the bounded sample of windows."""
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.col("text").rlike(r"\p{L}")).select("lang", F.encode("text", "UTF-8").alias("b"))
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.col("text").rlike(r"\p{L}")).select("lang", F.col("text").cast("binary").alias("b"))
     n = F.greatest(F.ceil(F.octet_length("b") / WINDOW), F.lit(1)).cast("int")
     begin = lambda i: F.greatest(F.lit(0), F.least(i * WINDOW, F.octet_length("b") - WINDOW)) + 1
     window = lambda i: F.substring(F.col("b"), begin(i), F.lit(WINDOW))
