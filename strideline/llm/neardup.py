@@ -12,7 +12,9 @@ connected component of links; equal texts are linked.
 3. In each bucket of equal sketches every text is verified against the smallest id (a star, not all pairs).
 4. Verified links give components. Buckets that still hold several components are searched exactly: within parts of
    bounded size an inverted index of the rarest words (prefix filter, lossless at THRESHOLD) finds the pairs left to
-   verify. Parts of a large bucket meet pairwise, so no link is lost and no task holds more than two parts.
+   verify. A large bucket is dealt to classes of length, so wide that texts which can be similar are in one class or in
+   neighbouring ones, and each class to parts; only parts of one or neighbouring classes meet. So no link is lost, no task
+   holds more than two parts, and a text is sent once for each part of its own length.
 5. Components of all links are the classes; class_id is the smallest doc_id.
 
 Words are runs between ASCII white space, A to Z lowered; a text of fewer than five words is one shingle, a text
@@ -28,7 +30,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut
 from .lm import word_hash, words_of
@@ -169,19 +171,21 @@ def linked(a: np.ndarray, b: np.ndarray, marked_a: np.ndarray, marked_b: np.ndar
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, digest and sketches of each text that isn't null."""
+    """doc_id, digest, number of words and sketches of each text that isn't null."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         seeds = _seeds()
         for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
-            found = [sketches(shingles(t), seeds) for t in b.column("text").to_pylist()]
+            made = [shingles(t) for t in b.column("text").to_pylist()]
+            words = pa.array([len(x) + SHINGLE - 1 for x in made], pa.int64())  # five for fewer ones
+            found = [sketches(x, seeds) for x in made]
             offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.ListArray.from_arrays(offsets, np.concatenate([*found, np.zeros(0, np.int64)]))], names=["doc_id", "digest", "sketches"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), words, pa.ListArray.from_arrays(offsets, np.concatenate([*found, np.zeros(0, np.int64)]))], names=["doc_id", "digest", "words", "sketches"])
 
     df = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), "text")
-    return df.mapInArrow(run, "doc_id long, digest string, sketches array<long>")
+    return df.mapInArrow(run, "doc_id long, digest string, words long, sketches array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -256,13 +260,42 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def deal(named: DataFrame, open_: DataFrame) -> DataFrame:
+    """The meetings of each text: band, value, low and i, high and j (the classes and parts that meet), id, label, and side.
+
+    named: band, value, id, words, label. open_: band, value and n of the buckets to be searched. A bucket of at most PART
+    texts is one class; in larger ones texts that can be similar differ by a class at most, as a class is a little wider
+    than 1 / THRESHOLD."""
+    width = float(np.log(1 / THRESHOLD) * (1 + 1e-6))
+    own = F.when(F.col("n") <= PART, 0).otherwise(F.floor(F.log(F.col("words").cast("double")) / width)).cast("int")
+    rows = named.join(open_, ["band", "value"]).withColumn("class", own)
+    counts = rows.groupBy("band", "value", "class").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    # A few dozen classes a bucket: the logarithm of the longest text.
+    sizes = counts.groupBy("band", "value").agg(F.map_from_entries(F.collect_list(F.struct("class", "parts"))).alias("parts"))
+    rows = rows.join(sizes, ["band", "value"])
+    of = lambda c: F.coalesce(F.try_element_at("parts", c), F.lit(0))
+    part = F.pmod(F.xxhash64(F.lit(1), "id"), of(F.col("class"))).cast("int")
+    rows = rows.withColumn("part", part)
+    c, p = F.col("class"), F.col("part")
+    none = F.array().cast("array<struct<low:int,i:int,high:int,j:int,side:int>>")
+
+    def meet(other: Column, low: Column, i, high: Column, j, side) -> Column:
+        each = lambda x: F.struct(low.alias("low"), i(x).alias("i"), high.alias("high"), j(x).alias("j"), side(x).alias("side"))
+        return F.when(of(other) > 0, F.transform(F.sequence(F.lit(0), of(other) - 1), each)).otherwise(none)
+
+    same = meet(c, c, lambda x: F.least(x, p), c, lambda x: F.greatest(x, p), lambda x: F.when(x == p, 2).when(p < x, 0).otherwise(1))
+    above = meet(c + 1, c, lambda x: p, c + 1, lambda x: x, lambda x: F.lit(0))
+    below = meet(c - 1, c - 1, lambda x: x, c, lambda x: p, lambda x: F.lit(1))
+    return rows.select("band", "value", "id", "label", F.explode(F.concat(same, above, below)).alias("m")).select("band", "value", "m.*", "id", "label")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id, one row for each row of docs."""
     found = cut(describe(docs))
-    alike = found.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sketches", "doc_id").alias("sketches"))
+    alike = found.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("words").alias("words"), F.min_by("sketches", "doc_id").alias("sketches"))
     alike = cut(alike)
     same = found.select("doc_id", "digest").join(alike.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
-    buckets = alike.select("id", F.posexplode("sketches").alias("band", "value"))
+    buckets = alike.select("id", "words", F.posexplode("sketches").alias("band", "value"))
     shared = cut(buckets.groupBy("band", "value").agg(F.min("id").alias("lead"), F.count_distinct("id").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("set")).filter("n > 1"))
     members = cut(buckets.join(shared.select("band", "value", "lead"), ["band", "value"]).distinct())
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
@@ -270,16 +303,11 @@ def classes(docs: DataFrame) -> DataFrame:
     star = members.filter("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     stars = cut(_verify(star, texts))
     label = components(stars.union(same.filter("a != b")))
-    named = members.join(label, members["id"] == label["node"], "left").select("band", "value", "id", F.coalesce("label", "id").alias("label"))
+    named = members.join(label, members["id"] == label["node"], "left").select("band", "value", "id", "words", F.coalesce("label", "id").alias("label"))
     # Buckets with several components left; of buckets with equal members one is enough.
     open_ = named.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("band", "value")
     open_ = open_.join(shared.select("band", "value", "n", "set"), ["band", "value"]).groupBy("n", "set").agg(F.min(F.struct("band", "value")).alias("k"))
-    open_ = open_.select("k.band", "k.value", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64(F.lit(1), "id"), F.col("parts")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("i"), F.greatest(p, F.col("part")).alias("j")))
-    dealt = named.join(open_, ["band", "value"]).withColumn("part", part).select("band", "value", "id", "label", "part", F.explode(meets).alias("m"))
-    side = F.when(F.col("m.i") == F.col("m.j"), 2).otherwise(F.when(F.col("part") == F.col("m.i"), 0).otherwise(1))
-    dealt = dealt.select("band", "value", F.col("m.i").alias("i"), F.col("m.j").alias("j"), "id", "label", side.alias("side")).join(texts, F.col("id") == F.col("doc_id")).drop("doc_id")
+    dealt = deal(named, open_.select("k.band", "k.value", "n")).join(texts, F.col("id") == F.col("doc_id")).drop("doc_id")
 
     def search(table):
         import pyarrow as pa
@@ -287,7 +315,7 @@ def classes(docs: DataFrame) -> DataFrame:
         pairs = search_part(*(table.column(c).to_pylist() for c in ("id", "label", "text", "side")))
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    rest = cut(dealt.groupBy("band", "value", "i", "j").applyInArrow(search, "a long, b long"))
+    rest = cut(dealt.groupBy("band", "value", "low", "i", "high", "j").applyInArrow(search, "a long, b long"))
     if not rest.isEmpty():
         # Components are joined through their labels.
         lead = lambda c: F.coalesce(F.col(f"{c}.label"), F.col(f"rest.{c}"))

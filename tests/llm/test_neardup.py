@@ -149,3 +149,46 @@ def test_deduplicate_keeps_one_row_of_each_class(docs):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 4), (True, 0)]
     assert nd.classes(docs([])).count() == 0 and nd.deduplicate(docs([])).count() == 0
+
+
+def test_a_hot_pair_of_shingles_sends_texts_to_their_own_length(spark, docs, by_id, monkeypatch):
+    """Texts of all lengths share a line, so one bucket holds all of them: rows sent stay far below texts times parts, and
+    near copies in it are found."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(nd, "PART", 32)
+    r = random.Random(13)
+    line = prose(r, 150)
+    texts = []
+    for _ in range(300):
+        own = prose(r, int(10 * 1.01 ** r.randrange(420)) + 1)
+        copy = list(own)
+        if len(copy) > 12:
+            copy[r.randrange(len(copy))] = "edit"
+        texts += [" ".join([*line, *own]), " ".join([*line, *copy])]
+    sent, true_deal = [], nd.deal
+
+    def counted(named, open_):
+        out = true_deal(named, open_).cache()
+        hot = open_.orderBy(F.desc("n"), "band").first()
+        sent.append((out.filter((F.col("band") == hot["band"]) & (F.col("value") == hot["value"])).count(), hot["n"]))
+        return out
+
+    monkeypatch.setattr(nd, "deal", counted)
+    got = by_id(nd.classes(docs(texts)))
+    rows, n = sent[0]
+    assert n > 8 * nd.PART and rows * 1.5 < n * -(-n // nd.PART)
+    words = [nd.word_codes(t) for t in texts]
+    linked = lambda i, j: nd.linked(words[i], words[j], nd.labelled(words[i]), nd.labelled(words[j]))
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if find(i) != find(j) and linked(i, j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert [got[i]["class_id"] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
