@@ -2,38 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Characters between words: space and tab to carriage return.
-SPACES = r"\x20\x09-\x0D"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session, whose driver is
-    its only machine, gets a folder of its own; a cluster has to be told one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        context = spark.sparkContext._jsc.sc()
-        if context.getCheckpointDir().isEmpty():
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strideline-"))
-        path = context.getCheckpointDir().get()
-    return path.rstrip("/")
+from ..sources.storage import cut, delete, new_path, shared_dir
 
+__all__ = ["SPACES", "cut", "delete", "documents", "new_path", "shared_dir"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there, so that a lost executor costs no recomputation of its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+#: Characters between words: space and tab to carriage return.
+SPACES = r"\x20\x09-\x0D"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ moved; the manifest, one row a file, is made of finished tasks' rows only, so at
 Edge cases: a null or empty text is its end id alone; rows with one doc_id follow each other, ordered by text; a null
 doc_id comes first and is kept as null; all rows of one doc_id are in one file; only doc_id and text are read, so other
 columns' names can't clash; an empty table gives no file and no rows. What follows the files is a row a file: the sum over
-the files before it is one window, and its rows are broadcast.
+the files before it is one window, and its rows, of 16 bytes, are broadcast; a file is a task's range of documents, so there are as
+many as the shuffle has partitions, thousands, not millions.
 """
 
 from __future__ import annotations

@@ -12,6 +12,10 @@ of numbers travel instead of rows, and no vocabulary is broadcast. EM needs for
 and the ratios of the three estimates; these are gathered over all deleted documents in a histogram of log-ratios of
 fixed size, on which the driver iterates.
 
+Limit: every block asks every bucket that holds one of its keys, so there are up to blocks times buckets rows, which grow as
+the square of the tokens until a row holds about one key; from then on they grow with the keys. At BLOCK and BUCKET tokens that
+is reached near 10**12 tokens; larger corpora want a larger BLOCK, as far as a task's memory goes.
+
 Edge cases: a null or empty text is its end token alone; a null doc_id is a training document; rows with one doc_id are
 scored one by one; without training documents N and V are 0; only doc_id and text are read, so other columns' names can't
 clash; an empty table gives no rows. Context of the first token is the text's beginning, which is no token.

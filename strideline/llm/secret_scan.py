@@ -2,8 +2,8 @@
 
 One Aho-Corasick pass over the case-folded text finds keywords: names of credentials, token prefixes, and all groups
 of four hexadecimal digits, one of which opens every run of digits. Only at such a hit is the kind's pattern tried,
-anchored there. Matches with an embedded checksum (the CRC-32 in base 62 that closes GitHub and npm tokens, the JSON
-header of a JWT) must validate. Matches of a kind are leftmost and don't overlap; starts and ends are code points.
+anchored there. Tokens with an embedded checksum (the CRC-32 in base 62 that closes GitHub and npm tokens) must validate; a JWT,
+which has none, is validated by its header, which must be JSON with an algorithm. Matches of a kind are leftmost and don't overlap; starts and ends are code points.
 
 Edge cases: a null text is empty and has no spans; texts are scanned whole; folding touches A-Z only where lower()
 would change lengths; repeated rows are scanned one by one; columns named like the results are replaced.
