@@ -710,15 +710,15 @@ def shown(name: str, df: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import details, keeping, metrics, statistics
+    from . import details, exchange, keeping, metrics, statistics
 
-    every = [*QUERIES, *keeping.QUERIES, *statistics.QUERIES, *details.QUERIES, *metrics.QUERIES]
+    every = [*QUERIES, *keeping.QUERIES, *statistics.QUERIES, *details.QUERIES, *metrics.QUERIES, *exchange.QUERIES]
     return {q.__name__: (lambda spark, folder, q=q: shown(q.__name__, q(Data(spark, folder)))) for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import details, keeping, metrics, statistics
+    from . import details, exchange, keeping, metrics, statistics
     from .oracle import ORACLE, whole
 
-    more = keeping.sql() | statistics.sql() | details.sql() | metrics.sql()
+    more = keeping.sql() | statistics.sql() | details.sql() | metrics.sql() | exchange.sql()
     return ORACLE | {name: whole(name, text) for name, text in more.items()}
