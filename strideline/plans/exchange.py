@@ -9,7 +9,7 @@ from ..operators import api, facts
 from ..sources import readers, writers
 from ..sources.storage import new_path
 from .adapters import FLAGS, Data
-from .driver import FACT_COLUMNS, all_facts, c, summary
+from .driver import CLOTHES, FACT_COLUMNS, all_facts, c, stats_by_age, stats_by_flag, stats_by_gender, stats_by_weather, summary
 
 K = "session_id"
 
@@ -92,6 +92,24 @@ def published(d: Data) -> DataFrame:
     return out.select("place_id", "city", c("speed").cast("double").alias("speed"), c("located").cast("double").alias("located"), "north", F.array_join(F.transform("insights", lambda i: i["text"]), ",").alias("insights"))
 
 
+def routed_files(d: Data) -> DataFrame:
+    """Raw tables, a folder each, dealt to statistics tables: by hand, by their headers, or as weather by daytime; and their rows."""
+    folder = new_path(d.spark, "routes")
+    known = {"gender_stats": stats_by_gender(d), "age_stats": stats_by_age(d), "vehicle_stats": stats_by_flag(d, "vehicle_type", {f: f for f in FLAGS})}
+    raw = known | {"odd_weather": stats_by_weather(d).withColumns({"more": F.lit(1), "yet": F.lit(2)}), "by_hand": stats_by_flag(d, "clothing_type", CLOTHES), "unlike": d.region.select("r_name")}
+    for name, df in known.items():
+        writers.write_csv(df.limit(0).coalesce(1), f"{folder}/known/{name}")
+    for name, df in raw.items():
+        writers.write_csv(df.coalesce(1), f"{folder}/raw/{name}")
+    heads = readers.list_headers(d.spark, f"{folder}/raw")
+    above = lambda x: F.element_at(F.split(x, "/"), -2)
+    manual = heads.filter(above(c("path")) == "by_hand").select("path", F.lit("clothing_stats").alias("target"))
+    matched = readers.match_headers(heads, readers.list_headers(d.spark, f"{folder}/known")).withColumn("b", above(c("b")))
+    routed = readers.route_files(heads, manual, matched).select(above(c("path")).alias("place"), "target")
+    lines = readers.scan_place_folders(d.spark, f"{folder}/raw").groupBy("place").agg((F.count("*") - 1).alias("n_rows"))
+    return lines.join(routed, "place")
+
+
 def cleaned_texts(d: Data) -> DataFrame:
     """Texts as exports have them: loose booleans, dates, broken letters, arrays in JSON, letters with marks of their own."""
     k = c("event_id")
@@ -116,11 +134,11 @@ def route_points(d: Data) -> DataFrame:
     return api.route_points(routes).withColumn("position", c("position").cast("long"))
 
 
-QUERIES = [csv_files, localization_file, world_file, replaced_source, refreshed_snapshots, exported_gazetteer, published, cleaned_texts, appended_categories, route_points]
+QUERIES = [csv_files, localization_file, world_file, replaced_source, refreshed_snapshots, exported_gazetteer, published, routed_files, cleaned_texts, appended_categories, route_points]
 
 
 def sql() -> dict[str, str]:
-    from .oracle import FACTS, summary as summary_sql
+    from .oracle import AGE_STATS, FACTS, GENDER_STATS, WEATHER_STATS, summary as summary_sql
 
     fast = "CASE WHEN batch >= 1997 THEN speed + 5 ELSE speed END"
     flags = " UNION ALL ".join(f"SELECT '{f}' AS vehicle, '' AS n FROM observations GROUP BY ALL HAVING bool_or({f})" for f in FLAGS[2:])
@@ -135,6 +153,7 @@ def sql() -> dict[str, str]:
   SELECT g.* EXCLUDE (state), n AS n_aliases FROM g LEFT JOIN (SELECT state, count(*) AS n FROM places WHERE place_id % 4 = 0 GROUP BY 1) a ON a.state = g.state""",
         "published": f"""@t AS (SELECT place_id, {fast} AS speed, CASE WHEN session_id % 4 = 0 THEN 'ok' ELSE status END AS status, CASE WHEN session_id % 4 = 0 THEN n_people::double ELSE latitude END AS latitude FROM sessions)
   SELECT p.place_id, p.city, speed, located, north, CASE WHEN top > 200000 THEN 'up to ' || top ELSE '' END AS insights FROM places p LEFT JOIN (SELECT place_id, sum(speed)::double AS speed, (count(*) FILTER (status = 'ok'))::double AS located, max(latitude) AS north, max(speed) AS top FROM t GROUP BY 1) s ON p.place_id = s.place_id""",
+        "routed_files": f"SELECT 'gender_stats' AS place, 'gender_stats' AS target, count(*) AS n_rows FROM ({GENDER_STATS}) UNION ALL SELECT 'age_stats', 'age_stats', count(*) FROM ({AGE_STATS}) UNION ALL SELECT 'odd_weather', 'weather_daytime_stats', count(*) FROM ({WEATHER_STATS}) UNION ALL SELECT 'unlike', NULL, count(*) FROM region UNION ALL SELECT 'vehicle_stats', 'vehicle_stats', {len(FLAGS)} UNION ALL SELECT 'by_hand', 'clothing_stats', {len(CLOTHES)}",
         "cleaned_texts": """SELECT event_id, event_id % 4 IN (0, 1) AS loose, CASE WHEN event_id % 15 + 10 <= 12 THEN '199' || event_id % 10 || '-' || (event_id % 15 + 10) || '-01' END AS day, CASE event_id % 3 WHEN 0 THEN 'São' WHEN 1 THEN 'München' ELSE 'Oslo' END AS fixed, event_id % 3 < 2 AS corrupted,
   CASE WHEN event_id % 3 = 0 THEN event_id ELSE -1 END AS second, chr(233) || event_id AS composed FROM events""",
         "appended_categories": flags,
