@@ -41,6 +41,8 @@ SKETCHES, ORDER, SEED = 22, 2, 5
 AT_ONCE = 1 << 17
 #: Texts in a part of a bucket; numbers of words remembered by a worker; rows taken from a batch at once.
 PART, WORDS, ROWS = 1024, 200_000, 256
+#: Parts beyond which a bucket is dealt to classes of length first: each text meets three classes, so fewer parts are cheaper alone.
+FEW_PARTS = 4
 
 
 
@@ -263,11 +265,11 @@ def components(edges: DataFrame) -> DataFrame:
 def deal(named: DataFrame, open_: DataFrame) -> DataFrame:
     """The meetings of each text: band, value, low and i, high and j (the classes and parts that meet), id, label, and side.
 
-    named: band, value, id, words, label. open_: band, value and n of the buckets to be searched. A bucket of at most PART
-    texts is one class; in larger ones texts that can be similar differ by a class at most, as a class is a little wider
+    named: band, value, id, words, label. open_: band, value and n of the buckets to be searched. A bucket of at
+    most FEW_PARTS parts is one class; in larger ones texts that can be similar differ by a class at most, as a class is a little wider
     than 1 / THRESHOLD."""
     width = float(np.log(1 / THRESHOLD) * (1 + 1e-6))
-    own = F.when(F.col("n") <= PART, 0).otherwise(F.floor(F.log(F.col("words").cast("double")) / width)).cast("int")
+    own = F.when(F.col("n") <= FEW_PARTS * PART, 0).otherwise(F.floor(F.log(F.col("words").cast("double")) / width)).cast("int")
     rows = named.join(open_, ["band", "value"]).withColumn("class", own)
     counts = rows.groupBy("band", "value", "class").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     # A few dozen classes a bucket: the logarithm of the longest text.
