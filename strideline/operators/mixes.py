@@ -27,7 +27,8 @@ def mix_of_sessions(rows: DataFrame, sessions: DataFrame, category: Column, dist
 
 
 def risk_of_sessions(rows: DataFrame, sessions: DataFrame, bucket: Column, order_by: Column, risky: Column, key: str = "place_id", session: str = "session_id") -> DataFrame:
-    """risk_by_bucket of the rows of sessions, counted per session and bucket first."""
+    """Percent risky in each bucket of the rows of sessions; unknown is not risky. order_by gives the bucket's place. Rows are
+    counted per session and bucket before they meet the session's place."""
     per = rows.select(session, bucket.alias("bucket"), order_by.alias("__o"), risky.alias("__r")).filter("bucket IS NOT NULL")
     per = per.groupBy(session, "bucket").agg(F.count("*").alias("n"), m.count_true(F.col("__r")).alias("__risky"), F.min("__o").alias("__o"))
     total = per.join(sessions.select(session, key), session).groupBy(key, "bucket").agg(F.sum("n").alias("n"), F.sum("__risky").alias("__risky"), F.min("__o").alias("bucket_order"))
@@ -38,13 +39,6 @@ def weather_mix(sessions: DataFrame, key: str = "place_id", weather: str = "weat
     return mix(sessions.filter(~F.lower(weather).isin(*NOT_WEATHER)), key, F.col(weather))
 
 
-def risk_by_bucket(rows: DataFrame, key: str, bucket: Column, order_by: Column, risky: Column) -> DataFrame:
-    """Percent risky in each bucket; unknown is not risky. order_by gives the bucket's place."""
-    df = rows.select(key, bucket.alias("bucket"), order_by.alias("__o"), risky.alias("__r")).filter("bucket IS NOT NULL")
-    df = df.groupBy(key, "bucket").agg(F.count("*").alias("n"), m.ratio(F.lit(100) * m.count_true(F.col("__r")), F.count("*")).alias("risky_percent"), F.min("__o").alias("bucket_order"))
-    return df
-
-
 def flag_sums(flags: list[str]) -> dict[str, Column]:
     return {f: m.count_true(F.col(f)) for f in flags}
 

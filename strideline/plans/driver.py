@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import clean, measures as m
-from ..operators import api, asof, effects, facts, filters, incremental, insights, merge, mixes, order, places as place_ops, rank, reports, rollup
+from ..operators import api, asof, effects, facts, filters, insights, merge, mixes, order, places as place_ops, rank, reports, rollup
 from ..sources import readers
 from ..sources.storage import cut, new_path
 from .adapters import FLAGS, Data
