@@ -149,8 +149,9 @@ def forest(points: np.ndarray, lives: np.ndarray, block: int) -> list[tuple[int,
             some = own[i : i + LEAF]
             for j in range(0, len(others), AT_ONCE // LEAF * 8):
                 near = others[j : j + AT_ONCE // LEAF * 8]
-                hits = np.bitwise_count(points[some][:, None] ^ points[near][None, :]) <= REACH
-                for k in np.flatnonzero(hits.sum(1) > 1) if len(some) > 1 or len(near) > 1 else ():
+                # A point is its own neighbour in one stretch of the others only, so it is told apart by its place.
+                hits = (np.bitwise_count(points[some][:, None] ^ points[near][None, :]) <= REACH) & (some[:, None] != near[None, :])
+                for k in np.flatnonzero(hits.any(1)):
                     found = near[hits[k]]
                     theirs, first = np.unique(roots(found), return_index=True)
                     mine = int(roots(some[k : k + 1])[0])

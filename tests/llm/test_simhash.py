@@ -97,6 +97,16 @@ def test_a_crowd_around_one_fingerprint_is_parted_and_linked_by_a_forest():
     assert united(len(points), links) == connected(points).tolist()
 
 
+def test_a_link_to_a_visitor_far_from_the_point_itself_is_found():
+    """A leaf with more others than are compared at once: the point and its only neighbour are in different stretches."""
+    rng = random.Random(6)
+    far = [rng.getrandbits(64) for _ in range(10_000)]
+    points = np.array([5, *far, 4], np.uint64)
+    lives = np.zeros(len(points), bool)
+    lives[0] = True
+    assert simhash.forest(points, lives, 0) == [(0, len(points) - 1)]
+
+
 def test_query_equals_all_pairs(spark, sf_dir):
     from strideline.llm import entry
 
