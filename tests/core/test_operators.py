@@ -223,6 +223,50 @@ def test_contained_names_equal_all_pairs(spark):
         assert got.get(i) == ((best[0][1], round(-best[0][0], 6)) if best else None)
 
 
+def test_repair_broadcasts_no_exploded_names_and_keeps_repeated_rows(spark, tmp_path):
+    spark.range(600).select(F.col("id").alias("place_id"), F.concat(F.lit("large ring "), F.col("id") % 7).alias("city"), F.lit("X").alias("country")).write.parquet(str(tmp_path / "names"))
+    names = spark.read.parquet(str(tmp_path / "names"))
+    df = places.repair_names(names.withColumn("city", F.concat("city", F.lit("®s"))), names.select("city", "country").distinct())
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r["place_id"]: r["repaired"] for r in df.collect()} == {i: f"large ring {i % 7}" for i in range(600)}
+
+
+def joined_rows(df):
+    """Rows that come out of the joins of a DataFrame's plan, as it ran."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        inner = p.executedPlan() if name == "AdaptiveSparkPlan" else p.plan() if "QueryStage" in name else None
+        rows = p.metrics().get("numOutputRows") if "Join" in name else None
+        found += [rows.get().value()] if rows is not None and rows.isDefined() else []
+        kids = p.children()
+        todo += [inner] if inner is not None else [kids.apply(i) for i in range(kids.size())]
+    return found
+
+
+def test_disambiguation_meets_few_candidates_and_equals_all_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    land = lambda: (r.choice([None, "", "France", "peru ", "FRA"]), r.choice([None, "", "FRA", "per"]))
+    cands = [(r.choice(["a", "a", "a", "b", "c"]), *land(), r.choice([None, i]), i) for i in range(400)] + [("d", "France", "FRA", 1, 1)]
+    asked = [(i, r.choice(["a", "a", "b", "d", "e", None]), *land()) for i in range(300)]
+    df = places.disambiguate(spark.createDataFrame(asked, "input_id int, name_key string, country string, iso3 string"), spark.createDataFrame(cands, "name_key string, country string, iso3 string, videos int, population int"))
+    got = {x["input_id"]: (x["c_population"], x["confident"]) for x in df.collect()}
+    low = lambda x: None if x is None else x.strip().lower()
+    same = lambda x, y: x is not None and low(x) == low(y)
+    want = {}
+    for i, key, country, iso3 in asked:
+        own = [c for c in cands if c[0] == key]
+        rated = sorted((not (same(iso3, c[2]) or same(country, c[1]) or same(country, c[2])), c[3] is None, -(c[3] or 0), -c[4]) for c in own)
+        if own:
+            want[i] = (-rated[0][3], not rated[0][0] if iso3 or country else len(own) == 1)
+    assert got == want
+    assert max(joined_rows(df)) <= 3 * len(asked)
+
+
 def test_keys_without_a_value_and_dates(spark):
     rows = spark.createDataFrame([("1996-05-06", "1997-01-02 00:00:00", None), (None, "1997-01-02 00:00:00", None), (None, None, "1998-03-04 05:06:07"), (None, None, None)], "a string, b string, c string")
     df = rows.select(F.col("a").cast("date").alias("a"), F.col("b").cast("timestamp").alias("b"), F.col("c").cast("timestamp").alias("c"))
