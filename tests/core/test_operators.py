@@ -267,6 +267,16 @@ def test_disambiguation_meets_few_candidates_and_equals_all_pairs(spark):
     assert max(joined_rows(df)) <= 3 * len(asked)
 
 
+def test_values_meet_their_place_before_one_count(spark, monkeypatch):
+    """One aggregation holds the values, in as many tasks as the rows need."""
+    monkeypatch.setattr(rollup, "PER_TASK", 1)
+    rows = spark.createDataFrame([(1, 5, None), (1, 5, 2), (2, 5, None), (3, None, None), (9, 5, 5)], "session_id int, a int, b int")
+    df = rollup.value_counts(rows, {"a": F.col("a"), "b": F.col("b")}, "session_id", spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "session_id int, place_id int"))
+    assert sorted(map(tuple, df.collect())) == [(7, "a", 5.0, 3), (7, "b", 2.0, 1)]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    assert df.rdd.getNumPartitions() == 5
+
+
 def test_keys_without_a_value_and_dates(spark):
     rows = spark.createDataFrame([("1996-05-06", "1997-01-02 00:00:00", None), (None, "1997-01-02 00:00:00", None), (None, None, "1998-03-04 05:06:07"), (None, None, None)], "a string, b string, c string")
     df = rows.select(F.col("a").cast("date").alias("a"), F.col("b").cast("timestamp").alias("b"), F.col("c").cast("timestamp").alias("c"))
