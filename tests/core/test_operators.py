@@ -290,3 +290,15 @@ def test_backfill_keeps_what_is_there(spark):
     df = rows.withColumns({"collected": F.col("collected").cast("date"), "first_imported": F.col("first_imported").cast("timestamp"), "created": F.col("created").cast("timestamp")})
     got = {r["id"]: (r["batch"], str(r["collected"]), str(r["first_imported"])) for r in merge.backfill_provenance(df, "x").collect()}
     assert got == {1: ("x", "1996-05-06", "1996-05-06 07:08:09"), 2: ("b", "None", "None"), 3: ("x", "1990-01-01", "1991-01-01 00:00:00")}
+
+
+def test_insights_as_arrays_equal_insights_as_rows(spark):
+    kind = "place_id int, city string, insights array<struct<id:string,rule:string,category:string,relevance_score:double>>"
+    some = [("1_b", "b", None, 0.9), ("1_a", "a", "x", 0.9), ("1_m", "m", "meta", 2.0), ("1_n", "n", "x", None)]
+    arrays = spark.createDataFrame([(1, "A", some), (2, "A", [("2_a", "a", "x", 0.95)]), (3, "B", [("3_m", "m", "meta", 1.0)]), (4, "C", []), (5, "D", [("5_a", "a", "x", float("nan")), ("5_b", "b", "x", 3.0)])], kind)
+    rows = insights.exploded(arrays)
+    plain = lambda df: [repr(tuple(r)) for r in df.select("place_id", "city", "rule", "relevance_score").collect()]
+    assert plain(insights.top_of_arrays(arrays, 5)) == plain(insights.top_insights(rows, 5)) != []
+    places_ = arrays.select("place_id", "city").union(spark.createDataFrame([(9, "E")], "place_id int, city string"))
+    stored = lambda df: sorted(map(repr, df.select("place_id", "city", "insights").collect()))
+    assert stored(insights.store_arrays(places_, arrays)) == stored(insights.store_insights(places_, rows.drop("city")))
