@@ -9,7 +9,7 @@ from ..operators import api, incremental, insights, merge, reports, rollup
 from ..sources.storage import new_path
 from ..streaming import ingest
 from .adapters import Data
-from .driver import all_insights, by_place, c, summary
+from .driver import by_place, c, generated, summary
 
 SESSION = ["session_id", "place_id", "collected", "speed", "weather", "status", "batch"]
 #: Corrections of located sessions, as SQL over the adapters.
@@ -87,7 +87,7 @@ def city_list(d: Data) -> DataFrame:
 
 def stored_top_insights(d: Data) -> DataFrame:
     """The best insights read back from JSON texts."""
-    stored = insights.store_insights(d.places.select("place_id", "city"), all_insights(d).drop("city", "country")).withColumn("insights", F.to_json("insights"))
+    stored = insights.store_arrays(d.places.select("place_id", "city"), generated(d)).withColumn("insights", F.to_json("insights"))
     return api.top_stored_insights(stored, 50).select("place_id", "city", F.substring_index("id", "_", -1).alias("rule"), "relevance_score")
 
 
