@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import measures as m
 from ..operators import api, rollup
+from ..sources.storage import new_path
 from .adapters import FLAGS, Data
 from .driver import c, rank_base
 
@@ -18,14 +19,17 @@ def city_details(d: Data) -> DataFrame:
     """Each fallback is needed somewhere: stored ranks know places of no debt, stored ages those of old sessions; weather is known
     of densely analysed sessions, and ages if above SURE."""
     sessions = d.sessions.withColumn("weather", F.when(c("pipeline_version") == "dense_v2", c("weather")))
-    observations = d.observations.withColumn("age", F.when(c("age") > SURE, c("age")).otherwise(0))
+    seen = F.when(c("crosswalk"), "Sunny").when(c("red_light"), "Rain").otherwise("dusk")
+    age = F.when(c("age") > SURE, c("age")).otherwise(0).alias("age")
+    tasks = rollup.tasks_of(d.observations)
+    rows = d.observations.select("session_id", age, "gender", "daytime", "risky", *FLAGS, seen.alias("seen"))
+    # Every panel of observations counts them by place: they meet their places once, not once a panel.
+    observations = rollup.snapshot(rollup.of_places(rows, d.sessions.select("session_id", "place_id", (c("collected") <= STORED).alias("old")), tasks), new_path(d.spark, "observations"))
     averages = rank_base(d)
     known = d.places.filter("population >= 0").select("place_id")
     stored = rollup.ranked(averages.join(known, "place_id", "left_semi"), {f"r_{x}": x for x in AVERAGES}).select("place_id", *[c(f"r_{x}").alias(x) for x in AVERAGES])
-    old = observations.filter("age > 0").join(d.sessions.filter(c("collected") <= STORED).select("session_id", "place_id"), "session_id")
-    ages = old.groupBy("place_id").agg(m.mean(c("age")).alias("avg_age"))
-    seen = F.when(c("crosswalk"), "Sunny").when(c("red_light"), "Rain").otherwise("dusk")
-    return api.details_rows(api.city_details(sessions, observations, averages.select("place_id", *AVERAGES), stored, ages, FLAGS, seen)).withColumn("n", c("n").cast("double"))
+    ages = observations.filter("age > 0 AND old").groupBy("place_id").agg(m.mean(c("age")).alias("avg_age"))
+    return api.details_rows(api.city_details(sessions, observations, averages.select("place_id", *AVERAGES), stored, ages, FLAGS, c("seen"), tasks=tasks)).withColumn("n", c("n").cast("double"))
 
 
 QUERIES = [city_details]

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strideline.operators import api, mixes
+from strideline.operators import api, mixes, rollup
 from strideline.plans.adapters import FLAGS, Data
 from strideline.plans import driver
 
@@ -71,3 +71,23 @@ def test_stored_insights_routes_and_appends(spark):
     t = spark.createDataFrame([("Rain", "1")], "weather string, n string")
     assert [x["weather"] for x in api.append_categories(t, spark.createDataFrame([("1", "true")], "Rain string, Fog string"), ["Rain", "Fog"]).collect()] == ["Fog"]
     assert [tuple(x) for x in api.append_categories(t, spark.createDataFrame([("Snow", "2"), ("Rain", "3")], "Weather string, count string"), renames={"count": "n"}).collect()] == [("Snow", "2")]
+
+
+def test_observations_that_know_their_place_give_the_same_panels_without_a_join(data):
+    """Also dealt to tasks: then no panel's rows are as many in a task as Spark finds small enough."""
+    ages, ranks = data.sessions.select("place_id", F.lit(30.0).alias("avg_age")).distinct(), driver.rank_base(data).select("place_id", "avg_speed")
+    seen = F.when(F.col("crosswalk"), "Sunny").otherwise("dusk")
+    panels = lambda o, **more: api.city_details(data.sessions, o, ranks, ranks, ages, FLAGS, seen, **more)
+    placed = rollup.of_places(data.observations, data.sessions.select("session_id", "place_id"), 3).localCheckpoint()
+    one, other = panels(data.observations), panels(placed, tasks=5)
+    rows = lambda found: sorted(map(repr, api.details_rows(found).collect()))
+    assert rows(one) == rows(other)
+    assert all(other[x].rdd.getNumPartitions() % 5 == 0 for x in ("ranks", "weather", "gender", "age"))
+    assert "Join" not in other["gender"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_flags_are_put_in_order_without_a_sort_across_places(spark):
+    df = spark.createDataFrame([(1, 3, 0, 3, 9), (2, 0, 0, 0, 0), (3, 0, 1, 0, 0)], "place_id long, b long, c long, a long, d long")
+    out = mixes.flag_mix(df, "place_id", ["b", "c", "a", "d"], 2)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a", 3, 20.0, 2), (1, "d", 9, 60.0, 1), (3, "c", 1, 100.0, 1)]
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
