@@ -29,12 +29,13 @@ def signed(new: DataFrame, replaced: DataFrame | None = None) -> DataFrame:
     return out if replaced is None else out.unionByName(replaced.select(*new.columns).withColumn("__sign", F.lit(-1)))
 
 
-def parts(rows: DataFrame, key: str, sums: Mapping[str, Column], values: Mapping[str, Column]) -> DataFrame:
-    """key, name, value and n of signed rows: sums of whole numbers with a NULL value, and counted values. NULLs count for neither."""
+def parts(rows: DataFrame, key: str, sums: Mapping[str, Column], values: Mapping[str, Column], tasks: int | None = None) -> DataFrame:
+    """key, name, value and n of signed rows: sums of whole numbers with a NULL value, and counted values. NULLs count for neither.
+    tasks: how many the rows are dealt to by key before they become several each, which then move no more."""
     one = F.lit(None).cast("double")
     entries = [F.struct(F.lit(n).alias("name"), one.alias("value"), x.cast("long").alias("n")) for n, x in sums.items()]
     entries += [F.struct(F.lit(n).alias("name"), x.cast("double").alias("value"), F.when(x.isNotNull(), F.lit(1)).cast("long").alias("n")) for n, x in values.items()]
-    long = rows.select(key, "__sign", F.explode(F.array(*entries)).alias("e")).filter("e.n IS NOT NULL")
+    long = (rows if tasks is None else rows.repartition(tasks, key)).select(key, "__sign", F.explode(F.array(*entries)).alias("e")).filter("e.n IS NOT NULL")
     return long.groupBy(key, F.col("e.name").alias("name"), F.col("e.value").alias("value")).agg(F.sum(F.col("e.n") * F.col("__sign")).alias("n"))
 
 
@@ -47,11 +48,11 @@ def _schema(key: str, kind: str) -> StructType:
     return StructType.fromDDL(f"{key} {kind}, {PARTS}")
 
 
-def refresh(increment: DataFrame, batch: int, folder: str, key: str, partitions: int = ingest.PARTS) -> list[int]:
+def refresh(increment: DataFrame, batch: int, folder: str, key: str, partitions: int = ingest.PARTS, touching: DataFrame | None = None) -> list[int]:
     """Fold an increment's parts into those kept in folder, and return the partitions that were rewritten. A batch that is
-    replayed changes nothing."""
+    replayed changes nothing. touching: rows that hold all keys of the increment, if cheaper to read than it is to compute."""
     schema = _schema(key, dict(increment.dtypes)[key])
-    return ingest.merge_batch(increment, batch, folder, schema, [key], lambda old, new: add(old, new, key), partitions)
+    return ingest.merge_batch(increment, batch, folder, schema, [key], lambda old, new: add(old, new, key), partitions, touching)
 
 
 def current(spark: SparkSession, folder: str, key: str, kind: str, batch: int | None = None) -> DataFrame:

@@ -38,12 +38,15 @@ def incremental_summary(d: Data) -> DataFrame:
     seen = rollup.observation_sums(d.observations, {"n": F.count("*"), "n_risky": m.count_true(c("risky"))})
     none = {"n": F.lit(0).cast("long"), "n_risky": F.lit(0).cast("long")}
     before = d.sessions.select(*SESSION).filter(c("status") == "ok")
-    increments = [incremental.signed(rows.join(seen, "session_id", "left")) for rows in (old, new)]
-    increments.append(incremental.signed(fixed.withColumns(none), before.withColumns(none)))
+    # Sessions meet what they saw once, not once an increment.
+    told = rollup.snapshot(d.sessions.select(*SESSION).join(seen, "session_id", "left"), new_path(d.spark, "told"))
+    increments = [(incremental.signed(told.filter(of)), rows) for of, rows in ((c("batch") <= 1997, old), (c("batch") > 1997, new))]
+    increments.append((incremental.signed(fixed.withColumns(none), before.withColumns(none)), before))
+    tasks = rollup.tasks_of(d.sessions)
     sums = {"sessions": F.lit(1), "speed": c("speed"), "speeds": F.when(c("speed").isNotNull(), 1), "observations": c("n"), "risky": c("n_risky")}
     values = {"speed": c("speed"), "day": F.unix_date("collected"), "batch": c("batch")}
-    for number, rows in enumerate(increments):
-        incremental.refresh(incremental.parts(rows, "place_id", sums, values), number, folder, "place_id")
+    for number, (rows, touching) in enumerate(increments):
+        incremental.refresh(incremental.parts(rows, "place_id", sums, values, tasks), number, folder, "place_id", touching=touching)
     state = incremental.current(d.spark, folder, "place_id", "long")
     out = d.places.select("place_id")
     for part in (incremental.totals(state, "place_id", list(sums)), incremental.extremes(state, "place_id", ["day", "batch"]), incremental.percentiles(state, "place_id", {"median_speed": ("speed", 0.5)})):

@@ -54,15 +54,16 @@ def snapshot(spark: SparkSession, folder: str, schema: StructType, batch: int |
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def merge_batch(new: DataFrame, batch: int, folder: str, schema: StructType, keys: list[str], merge: Merge, parts: int = PARTS) -> list[int]:
+def merge_batch(new: DataFrame, batch: int, folder: str, schema: StructType, keys: list[str], merge: Merge, parts: int = PARTS, touching: DataFrame | None = None) -> list[int]:
     """Merge the rows of a batch, and return the partitions that were rewritten. merge: (old, new) -> rows of the snapshot, with
-    the keys of either side where they are."""
+    the keys of either side where they are. touching: rows that hold all keys of the batch and are cheaper to read than new,
+    which is then computed once."""
     spark = new.sparkSession
     before = [v for v in versions(spark, folder) if v < batch]
     held, known = manifest(spark, folder, before[-1]) if before else ({}, None)
     parts = known or parts
     of = F.pmod(F.xxhash64(*[F.col(k).cast(schema[k].dataType) for k in keys]), F.lit(parts)).cast("int")
-    touched = sorted(r["part"] for r in new.select(of.alias("part")).distinct().collect())
+    touched = sorted(r["part"] for r in (new if touching is None else touching).select(of.alias("part")).distinct().collect())
     if touched:
         old = snapshot(spark, folder, schema, before[-1], touched) if before else spark.createDataFrame([], schema)
         path = version(folder, "data", batch)

@@ -115,3 +115,25 @@ def test_storage(spark, tmp_path):
     one, two = storage.new_path(spark, "a"), storage.new_path(spark, "a")
     spark.range(3).write.parquet(one)
     assert one != two and storage.sweep(spark) >= 2 and not storage.exists(spark, one)
+
+
+def test_an_increment_is_computed_once_if_told_what_it_touches(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for one in batches:
+            seen.add(one.num_rows)
+            yield one
+
+    data = spark.createDataFrame([(i, i % 7, i % 3) for i in range(40)], "id long, place long, v long")
+    rows = incremental.signed(data.mapInArrow(counted, data.schema))
+    sums, values = {"n": F.lit(1), "v": F.col("v")}, {"v": F.col("v")}
+    want = sorted(map(tuple, incremental.parts(incremental.signed(data), "place", sums, values).collect()), key=repr)
+    folder = str(tmp_path / "s")
+    touched = incremental.refresh(incremental.parts(rows, "place", sums, values, 3), 0, folder, "place", 4, data)
+    assert seen.value == 40 and touched == files_of(folder, 0)
+    assert sorted(map(tuple, incremental.current(spark, folder, "place", "long").collect()), key=repr) == want
+
+
+def files_of(folder, number):
+    return sorted(int(n[5:]) for n in files(folder, number))
