@@ -302,3 +302,47 @@ def test_insights_as_arrays_equal_insights_as_rows(spark):
     places_ = arrays.select("place_id", "city").union(spark.createDataFrame([(9, "E")], "place_id int, city string"))
     stored = lambda df: sorted(map(repr, df.select("place_id", "city", "insights").collect()))
     assert stored(insights.store_arrays(places_, arrays)) == stored(insights.store_insights(places_, rows.drop("city")))
+
+
+def test_insights_are_made_once_best_first(spark):
+    rule = lambda id, when, score: insights.Rule(id, "x", when, score, f"concat('made of {id} ', v)", "v")
+    rules = lambda: [rule("A", "v > 0", "0.5D"), rule("B", "v > 1", "v"), rule("C", "v > 0", "0.5D"), rule("D", "v > 2", "CAST('NaN' AS double)"), rule("E", "v > 2", "CAST(NULL AS double)")]
+    base = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0), (4, 0.0), (5, None)], "place_id int, v double")
+    of = base.withColumns({"video_count": F.lit(1), "pedestrian_count": F.lit(1), "city": F.lit("Z")})
+    made = insights.generate(of, spark.range(1).select(F.lit(1).alias("whole")), rules, 4)
+    got = {}
+    for r in sorted(insights.exploded(made).collect(), key=lambda r: (r["place_id"], r["position"])):
+        assert r["text"] == f"made of {r['rule']} {r['metrics']['city_value']}" and r["position"] == len(got.get(r["place_id"], "")) + 1
+        got[r["place_id"]] = got.get(r["place_id"], "") + r["rule"]
+    assert got == {1: "AC", 2: "BAC", 3: "EBAC"}
+    # Not again in a filter that Spark infers for rows of an array, or for the best of one.
+    for df in (insights.exploded(made), insights.top_of_arrays(insights.generate(of, spark.range(1).select(F.lit(1).alias("whole")), rules), 5)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("CASE WHEN") > 0 and "array_sort(filter(array(CASE" not in plan and "Inner, (size(" not in plan and "Cross, (size(" not in plan
+        assert sum("named_struct(o, " in line for line in plan.splitlines()) == 1
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_parts_of_places_are_the_same_of_hot_ones(spark, monkeypatch, hot):
+    monkeypatch.setattr(rollup, "SAMPLED", 1 if hot else 1 << 40)
+    monkeypatch.setattr(rollup, "HOT", 1)
+    values = {1: [5.0, -0.0, 2.0, None], 2: [7.0, 7.5], 3: [1.0], 4: [None, None], None: [9.0, 4.0]}
+    of = [(p, v) for p, some in values.items() for v in some]
+    s = spark.createDataFrame([(i, p, v, f"w{i % 2}") for i, (p, v) in enumerate(of)], "session_id long, place_id long, speed double, weather string")
+    o = spark.createDataFrame([(i, x) for i in (0, 0, 1, 5, 99) for x in (1, 2)], "session_id long, x long")
+    counts, hot_places = rollup.counts_and_hot(s, "speed", c("speed"))
+    assert {r["place_id"] for r in hot_places.collect()} == ({1, 2, 4} if hot else set())
+    assert {r["value"]: r["n"] for r in counts.collect()} == {v: 1 for _, v in of if v is not None}
+    spec = {"n": F.count("__session"), "kinds": F.size(F.collect_set("weather")), "s": F.sum("speed")}
+    got = {r["place_id"]: tuple(r)[1:] for r in rollup.place_parts(s, o, spec, {"x": F.sum("x")}, hot_places, {"median": ("speed", 0.5), "low": ("speed", 0.25)}).collect()}
+    assert got == {1: (4, 2, 7.0, 9, 2.0, 1.0), 2: (2, 2, 14.5, 3, 7.25, 7.125), 3: (1, 1, 1.0, None, 1.0, 1.0), 4: (2, 2, None, None, None, None), None: (2, 2, 13.0, 3, None, None)}
+
+
+def test_places_sets_are_made_after_their_rows_meet(spark):
+    """A set or mode a place and task, of a row or two each, cost more than all else before."""
+    s = spark.createDataFrame([(1, 1, 2.0, "a")], "session_id long, place_id long, speed double, weather string")
+    o = spark.createDataFrame([(1, 1)], "session_id long, x long")
+    parts = rollup.place_parts(s, o, {"kinds": F.size(F.collect_set("weather"))}, {"x": F.sum("x")}, s.select("place_id").filter("false"))
+    lines = parts._jdf.queryExecution().sparkPlan().toString().splitlines()
+    own = [i for i, line in enumerate(lines) if "Aggregate" in line and "collect_set" in line]
+    assert own and any("REPARTITION_BY_NUM" in line for line in lines[own[-1]:])
