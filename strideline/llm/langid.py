@@ -20,7 +20,7 @@ score, other names can't clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -42,11 +42,10 @@ def windows(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         out = np.zeros((1, WINDOW), np.uint8)
         out[0, :n] = np.frombuffer(data, np.uint8)
         return out, np.array([n], np.float32)
-    starts = np.minimum(np.arange(0, n, WINDOW), n - WINDOW)
-    lengths = np.full(len(starts), WINDOW, np.float32)
-    lengths[-1] = n - WINDOW * (len(starts) - 1)
-    raw = np.frombuffer(data, np.uint8)
-    return raw[starts[:, None] + np.arange(WINDOW)], lengths
+    raw, k = np.frombuffer(data, np.uint8), -(-n // WINDOW)
+    lengths = np.full(k, WINDOW, np.float32)
+    lengths[-1] = n - WINDOW * (k - 1)
+    return np.concatenate([raw[: WINDOW * (k - 1)].reshape(k - 1, WINDOW), raw[None, n - WINDOW :]]), lengths
 
 
 class ByteCnn:
@@ -185,11 +184,23 @@ class ByteCnn:
 
 def train(labelled: DataFrame) -> ByteCnn:
     """labelled: text, lang. Trains on the driver on the bounded sample of windows."""
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.col("text").rlike(r"\p{L}")).select("lang", F.col("text").cast("binary").alias("b"))
-    n = F.greatest(F.ceil(F.octet_length("b") / WINDOW), F.lit(1)).cast("int")
-    begin = lambda i: F.greatest(F.lit(0), F.least(i * WINDOW, F.octet_length("b") - WINDOW)) + 1
-    window = lambda i: F.substring(F.col("b"), begin(i), F.lit(WINDOW))
-    hashes = rows.select("lang", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(window(i)))).alias("h"))
+    # Most texts have a letter at their beginning; only the others are turned into Java strings whole.
+    letter = F.substring("text", 1, WINDOW).rlike(r"\p{L}") | F.col("text").rlike(r"\p{L}")
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter(letter).select("lang", F.col("text").cast("binary").alias("b"))
+
+    def of_windows(made: Callable[[Callable[[Column], Column], Column], Column]) -> Column:
+        """made(window of a number, numbers of all windows). Inside an outer lambda the bytes are one array that windows are
+        cut from; as a column, each mention in a lambda would copy the whole text for each window."""
+
+        def of(b: Column) -> Column:
+            size = F.octet_length(b)
+            begin = lambda i: F.greatest(F.lit(0), F.least(i * WINDOW, size - WINDOW)) + 1
+            last = F.greatest(F.ceil(size / WINDOW), F.lit(1)).cast("int") - 1
+            return made(lambda i: F.substring(b, begin(i), F.lit(WINDOW)), F.sequence(F.lit(0), last))
+
+        return F.transform(F.array("b"), of)[0]
+
+    hashes = rows.select("lang", F.explode(of_windows(lambda window, all_: F.transform(all_, lambda i: F.xxhash64(window(i))))).alias("h"))
     totals = hashes.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(LANGUAGES + 1).collect()
     if len(totals) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages: {labelled.select('lang').distinct().count()}")
@@ -200,8 +211,8 @@ def train(labelled: DataFrame) -> ByteCnn:
     # A window is chosen by its own hash, so no language's rows meet in a task; a few more than needed come, for chance.
     share = F.create_map(*[x for r in totals for x in (F.lit(r["lang"]), F.lit(1.2 * (SAMPLE + 10 * SAMPLE**0.5) / max(1, r["n"])))])[F.col("lang")]
     few = lambda h: F.shiftrightunsigned(h, 1) < F.col("share") * F.lit(float(2**63))
-    at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: few(F.xxhash64(window(i))))
-    chosen = rows.withColumn("share", share).select("lang", F.explode(F.transform(at, window)).alias("w")).distinct()
+    found = of_windows(lambda window, all_: F.transform(F.filter(all_, lambda i: few(F.xxhash64(window(i)))), window))
+    chosen = rows.withColumn("share", share).select("lang", F.explode(found).alias("w")).distinct()
     by: dict[str, list[tuple[int, bytes]]] = {x: [] for x in langs}
     for r in chosen.select("lang", "w", F.xxhash64("w").alias("h")).collect():
         by[r["lang"]].append((r["h"], bytes(r["w"])))
@@ -212,12 +223,14 @@ def train(labelled: DataFrame) -> ByteCnn:
     return cnn.fit(x, np.array([y for y, _ in sample]))
 
 
-def predict(docs: DataFrame, cnn: ByteCnn, keep: list[str] | None = None) -> DataFrame:
-    """keep (all columns by default) with lang_pred and score; the model, a few hundred kB, goes to the tasks with the function."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    weights, langs = cnn.w, cnn.langs
+def tell(docs: DataFrame, cnn: ByteCnn, keep: list[str] | None = None) -> DataFrame:
+    """row (a struct of keep, all columns by default), lang_pred and score; the model, a few hundred kB, goes to the tasks with
+    the function, and a text that is kept goes there once."""
+    keep = docs.columns if keep is None else keep
+    weights, langs, at = cnn.w, cnn.langs, keep.index("text") if "text" in keep else None
     # The caller's columns travel as one struct, so none of their names can clash with those made here.
-    df = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").alias("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("_"))
+    df = docs.select(row.alias("row"), *([F.col("text").alias("text")] if at is None else []))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -225,15 +238,22 @@ def predict(docs: DataFrame, cnn: ByteCnn, keep: list[str] | None = None) -> Dat
         model = ByteCnn(langs)
         model.w = weights
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                found = model.predict(part.column("text").to_pylist())
+            for first in range(0, b.num_rows, 512):
+                part = b.slice(first, 512)
+                texts = part.column("text") if at is None else part.column("row").field(at)
+                found = model.predict(texts.to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["row", "lang_pred", "score"])
 
     from pyspark.sql import types as T
 
     schema = T.StructType([df.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.mapInArrow(run, schema).select(*[F.col("row").getField(c).alias(c) for c in keep], "lang_pred", "score")
+    return df.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, cnn: ByteCnn, keep: list[str] | None = None) -> DataFrame:
+    """keep (all columns by default) with lang_pred and score."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    return tell(docs, cnn, keep).select(*[F.col("row").getField(c).alias(c) for c in keep], "lang_pred", "score")
 
 
 def fold(doc_id: str = "doc_id") -> Column:

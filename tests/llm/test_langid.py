@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -111,3 +113,35 @@ def test_null_ids_are_learned_from_and_too_many_languages_are_an_error(docs, mon
     monkeypatch.setattr(langid, "LANGUAGES", 3)
     with pytest.raises(ValueError, match="4"):
         langid.train(docs(["a", "b", "c", "d", "a"], langs=["1", "2", "3", "4", "1"]))
+
+
+def test_windows_of_a_long_text_take_no_more_than_its_size():
+    data = b"some words " * 400_000
+    tracemalloc.start()
+    w, lengths = langid.windows(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lengths.sum() == len(data) and peak < 1.5 * len(data)
+
+
+def test_training_copies_no_whole_text_for_each_window(docs, monkeypatch):
+    """One text of 12 MB, after a beginning without a letter: copies of it for each of its 47,000 windows take minutes."""
+    seen = counted(monkeypatch)
+    long = "1" * 300 + " ".join(f"word{i}" for i in range(1_150_000))
+    df = docs([long, "123", "kurzer text"], langs=["en", "en", "de"])
+    began = time.time()
+    langid.train(df)
+    assert time.time() - began < 30 and seen == [{"de": 1, "en": 2000}]
+
+
+def test_a_kept_text_goes_to_the_tasks_once(docs, monkeypatch):
+    sent, df = [], docs(["the and", None, "der und"], ids=[1, 2, 3])
+    kind = type(df)
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, f=kind.mapInArrow: sent.append(self.columns) or f(self, *a))
+    model = langid.ByteCnn(["a", "b"])
+    apart = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, model, ["doc_id"]).collect()}
+    within = langid.predict(df.withColumn("_", F.lit(5)), model)
+    assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in within.collect()} == apart and apart[2] == ("und", 0.0)
+    assert within.columns == [*df.columns, "_", "lang_pred", "score"] and {r["_"] for r in within.collect()} == {5}
+    assert sent == [["row", "text"], ["row"]]
+    assert langid.predict(df, model, []).count() == 3
